@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, tokens
+from . import lm_score, media, tokens
 from .common import table
 
 #: Where the public vocabularies lie on every machine.
@@ -24,6 +24,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES = {"op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts}
+def remainder(divisor: int) -> F.Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES = {"op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
 
 ORACLES: dict[str, str] = {}
