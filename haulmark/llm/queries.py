@@ -7,12 +7,41 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score, media, tokens, toxicity
+from . import lm_score, media, mixing, oracles, secrets, sharding, tokens, toxicity
 from .common import table
 
 #: Where the public vocabularies lie on every machine.
 TOKENIZERS = os.environ.get("HAULMARK_TOKENIZERS", "/opt/tokenizers")
 TOKEN_LIMIT = 512
+#: Bytes of a shard; small enough for the given tables to have many.
+SHARD_BYTES = 1 << 20
+#: The mixture's entropy as a share of the sources' most, and how often a source may be repeated.
+ENTROPY_SHARE, MAX_REPEATS = 0.9, 1.0
+
+
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repo"), F.col("source").alias("owner"))
+    found = secrets.scan(docs)
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def counted(kind: int) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    return found.select(
+        "doc_id", *map(counted, range(3)), F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
+    )
+
+
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_depth", "shard_part", "shard_bytes")
+
+
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), ENTROPY_SHARE, MAX_REPEATS)
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies", "epoch", "block")
 
 
 def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +72,10 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {"op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
+QUERIES = {"op1_secret_ownership": op1_secret_ownership, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_secret_ownership": oracles.SECRETS,
+    "op3_extendible_shards": oracles.shards(SHARD_BYTES),
+    "op7_temperature_mix": oracles.mixture(ENTROPY_SHARE, MAX_REPEATS),
+}
