@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score, media, mixing, oracles, secrets, sharding, tokens, toxicity
+from . import decontam, lm_score, media, mixing, oracles, secrets, sharding, tokens, toxicity
 from .common import table
 
 #: Where the public vocabularies lie on every machine.
@@ -35,6 +35,11 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.search(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "leak.*")
+
+
 def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_depth", "shard_part", "shard_bytes")
 
@@ -72,7 +77,7 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {"op1_secret_ownership": op1_secret_ownership, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
+QUERIES = {"op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
 
 ORACLES = {
     "op1_secret_ownership": oracles.SECRETS,
