@@ -80,3 +80,13 @@ def row_chunks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def lower_words(text: str | None) -> list[bytes]:
     """Words of [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; null is empty."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+#: Rows of keys that may be broadcast: 16 MB at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def keep_keys(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join with materialized `keys`: broadcast where they are counted to be few, else shuffled."""
+    few = keys.count() <= BROADCAST_ROWS
+    return rows.join(keys.hint("broadcast") if few else keys, on, how)

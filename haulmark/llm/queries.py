@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm_score, media, mixing, oracles, secrets, sharding, tokens, toxicity
+from . import decontam, lm_score, media, mixing, ngram_join, oracles, secrets, sharding, tokens, toxicity
 from .common import table
 
 #: Where the public vocabularies lie on every machine.
@@ -49,6 +49,10 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies", "epoch", "block")
 
 
+def op4_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_column(media.encode_column(table(spark, sf_dir, "documents")))
 
@@ -77,7 +81,7 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {"op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
+QUERIES = {"op4_shingle_components": op4_shingle_components, "op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
 
 ORACLES = {
     "op1_secret_ownership": oracles.SECRETS,
