@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm_score, media, mixing, ngram_join, oracles, secrets, sharding, tokens, toxicity
+from . import decontam, lm_score, media, mixing, ngram_join, oracles, secrets, sharding, suffix_dedup, tokens, toxicity
 from .common import table
 
 #: Where the public vocabularies lie on every machine.
@@ -66,6 +66,11 @@ def remainder(divisor: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Learned from the labels of the rows whose remainder by 3 is not 1."""
     return toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), remainder(3) != 1))
@@ -81,7 +86,7 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {"op4_shingle_components": op4_shingle_components, "op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
+QUERIES = {"op9_repeated_bytes": op9_repeated_bytes, "op4_shingle_components": op4_shingle_components, "op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
 
 ORACLES = {
     "op1_secret_ownership": oracles.SECRETS,
