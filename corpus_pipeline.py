@@ -1,8 +1,71 @@
-"""The corpus pipeline: stages over `documents`, each of which reads what the one before it kept."""
+"""The corpus pipeline: toxicity, n-gram Jaccard join, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but
+the last return the columns of `docs`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haulmark.llm import decontam, mixing, ngram_join, sharding, toxicity
+from haulmark.llm.common import keep_keys, materialize, table
+from haulmark.llm.queries import ENTROPY_SHARE, MAX_REPEATS, SHARD_BYTES, toxicity_model
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that of the smallest doc_id, of repeated rows one.
+
+    Rows are told apart by their place in the input, so the row that stays of a doc_id is its first.
+    """
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = ngram_join.join(docs.withColumn("_at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")), key="_at")
+    lost = found.where(F.col("_at") != F.col("component_id")).select(F.col("_at._row").alias("_row"))
+    return keep_keys(docs, materialize(lost), "_row", "left_anti").drop("_row")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.search(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("leak.contaminated")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mixture asks for; a repetition limit of 1 repeats none."""
+    found = mixing.mix(docs, ENTROPY_SHARE, MAX_REPEATS).where("copies > 0")
+    if MAX_REPEATS > 1:
+        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with the shard that they are written to."""
+    return sharding.shard(docs, SHARD_BYTES)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", decontaminated),
+    ("temperature_mixing", mixed),
+    ("extendible_sharding", sharded),
+]
+
+#: SQL expresses neither the toxicity model nor the BM25 search.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)  # written as Parquet and read again
+    return docs
