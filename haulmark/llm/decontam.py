@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_bytes
+from .common import Shared, row_chunks, text_bytes
 
 WORD = re.compile(r"[^\W_]+")
 PASSAGE = 128
@@ -274,16 +274,17 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
 
 
 def _search_slice(docs: DataFrame, items: list[tuple[int, str]], text: str) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index(items))
+    shared = Shared(docs.sparkSession, Index(items))
     at, leak = docs.columns.index(text), docs.columns.index("leak")
     kind = pa.struct([("n_passages", pa.int64()), ("n_retrieved", pa.int64()), ("contaminated", pa.bool_()), ("item_id", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("bm25_share", pa.float64())])
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             _, offsets = text_bytes(batch.column(at))
             for i, j in row_chunks(offsets, CHUNK):
                 some = batch.slice(i, j - i)
-                found = _searched(index.value, some.column(at).to_pylist(), some.column(leak).to_pylist())
+                found = _searched(index, some.column(at).to_pylist(), some.column(leak).to_pylist())
                 columns = list(some.columns)
                 columns[leak] = pa.array([{k.name: r[k.name] for k in kind} for r in found], kind)
                 yield pa.record_batch(columns, some.schema.names)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize
+from .common import Shared, lower_words, materialize
 
 HEAVY = 1 << 17
 MARK = "▁"
@@ -201,14 +201,14 @@ def score(docs: DataFrame, held_out: F.Column, vocabulary: str, text: str = "tex
     alone; repeated rows are scored each; an empty table gives an empty table; without any training
     row N and V are 0 and every token is unknown. Other columns are left out.
     """
-    spark = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     pieces = load_pieces(vocabulary)
     words = materialize(word_counts(docs, ~F.col("held")))
     n_words, v_words = words.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1))).first()
     ends = docs.where(~F.col("held")).count()
     n, v = (n_words or 0) + ends, (v_words or 0) + (ends > 0)
-    lattice = spark.broadcast(fit(words, pieces, first_lattice(pieces)))
+    lattice = Shared(spark, fit(words, pieces, first_lattice(pieces)))
     denominator, mixed = math.log10(n + (v + 1)), math.log10(n + v + 1)
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def score(docs: DataFrame, held_out: F.Column, vocabulary: str, text: str = "tex
         "word", "c", (F.log10(F.col("c") + 1.0) - denominator).alias("base"), mixture.alias("score"))
     scored = materialize(scored)
     least = max(2, -(-n // HEAVY))
-    heavy = spark.broadcast({bytes(r.word): (r.base, r.score) for r in scored.where(F.col("c") >= least).toLocalIterator()})
+    heavy = spark.sparkContext.broadcast({bytes(r.word): (r.base, r.score) for r in scored.where(F.col("c") >= least).toLocalIterator()})
     end_base = math.log10(ends + 1) - denominator
     end_score = math.log10((ends + 1) / (n + v + 1))
 

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Shared
+
 LABELLED_ROWS = 1 << 15
 MAX_FEATURES = 1 << 15
 #: Shares of the background counts that the Dirichlet prior weighs.
@@ -240,13 +242,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "te
     Null and empty texts have no words and get the score of texts without a positive word.
     Repeated rows get equal scores; columns of these names are replaced, all others stay.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     names = ["score", "predicted", "passages"]
     docs = docs.drop(*names)
     at = docs.columns.index(text)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = broadcast.value
+        own = shared.value
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
         for batch in batches:
             scores, passages = [], []
