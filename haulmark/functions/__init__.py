@@ -1 +1 @@
-
+"""Column functions: text, hashing, time, geometry, classification."""

@@ -1,4 +1,6 @@
-"""Registered queries by family; each module has QUERIES and ORACLES."""
+"""Registered queries by family; each module adds its own to the registry."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregates, filters, matches, scans
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "matches", "scans"]

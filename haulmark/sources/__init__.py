@@ -1 +1 @@
-
+"""Tables, domain views, document formats and sinks."""
