@@ -85,13 +85,13 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer, supplier = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = item.join(order, item.l_orderkey == order.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    joined = joined.where((F.col("c_nationkey") != F.col("s_nationkey")) & (F.pmod(F.col("c_nationkey") * 7 + F.col("s_nationkey") * 3, F.lit(6)) == 0))
+    joined = joined.where((F.col("c_nationkey") != F.col("s_nationkey")) & (F.pmod(F.col("c_nationkey") * 5 + F.col("s_nationkey") * 3, F.lit(7)) < 3))
     return joined.groupBy(F.col("c_nationkey").alias("u"), F.col("s_nationkey").alias("v"), F.substring("o_orderpriority", 1, 1).cast("int").alias("key")).agg(
         F.min(F.col("l_quantity") * 100 + F.pmod(F.col("l_partkey"), F.lit(97))).alias("length_m"), F.count(F.lit(1)).alias("trips"))
 
 
 ROADS = """roads AS (SELECT c_nationkey AS u, s_nationkey AS v, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS key, min(l_quantity * 100 + l_partkey % 97) AS length_m, count(*) AS trips
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey <> s_nationkey AND (c_nationkey * 7 + s_nationkey * 3) % 6 = 0 GROUP BY 1, 2, 3)"""
+  WHERE c_nationkey <> s_nationkey AND (c_nationkey * 5 + s_nationkey * 3) % 7 < 3 GROUP BY 1, 2, 3)"""
 #: One edge for each pair: the shortest, of the smallest key.
 LINKS = ROADS + ", links AS (SELECT u, v, min(length_m) AS w FROM roads GROUP BY u, v)"

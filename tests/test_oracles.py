@@ -29,8 +29,8 @@ def test_rows_equal_those_of_sql(spark, db, name):
     assert got or name in EMPTY
 
 
-#: Queries that find nothing in clean data.
-EMPTY: set[str] = set()
+#: Queries that find nothing in the smallest data, whose road graph is thin.
+EMPTY = {"feasibility_certificate"}
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
