@@ -4,12 +4,14 @@ The incidence of documents (texts with equal sets are one) and hashed five-word
 multiplied with its transpose, blocked by shingle. Size-derived bounds keep the product sparse: two
 sets can only be similar if they share one of their first n - ceil(0.75 n) + 1 shingles in a common
 order, so only those columns are laid out; the order puts rare shingles first, so that a passage of
-thousands of documents takes part for documents that have little else. Overlaps that the blocks
-add up are held against what the sizes ask for, and what stays is counted over the whole sets.
+thousands of documents takes part for documents that have little else. Which shingles are frequent
+is counted over all documents for those with a hash under `COUNTED`, which come first; of the others,
+what a task meets often. Overlaps that the blocks add up are held against what the sizes ask for,
+and what stays is counted over the whole sets.
 
 A large group of near copies would fill its columns with pairs. Columns first link their documents
-to one pivot each; what becomes connected that way needs no further pairs, as only components are
-asked for. Then every pair of different components that shares a column is looked at, so no link
+to one pivot each, that with the largest share of frequent shingles: of near copies the least edited.
+What becomes connected that way needs no further pairs, as only components are asked for. Then every pair of different components that shares a column is looked at, so no link
 between components is lost. Frequent columns are split by salt, and pairs of frequent pivots too.
 """
 
@@ -31,9 +33,10 @@ K = 5
 #: Two sets link when PERCENT of their union is shared.
 PERCENT = 75
 CHUNK = 1 << 20
-#: Shingles that make up at least one in so many are frequent: so many at most are broadcast.
-FREQUENT = 1 << 17
-#: A task looks at so many shingles at once for those it sees LEAST_SEEN times.
+#: So many of the most frequent shingles at most are broadcast, and none that is in fewer documents than LEAST.
+FREQUENT, LEAST = 1 << 18, 8
+#: Shingles with hashes under COUNTED are counted exactly; of the others, those that are LEAST_SEEN times in a task's BUFFER.
+COUNTED = U(int(0.4 * 2**64))
 BUFFER, LEAST_SEEN = 1 << 21, 4
 #: Documents of a frequent column that are dealt to one part, and pairs of a pivot.
 PART = 4096
@@ -65,85 +68,115 @@ def _sets(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """One scan of (key, text): rows (key, node, check, n) of the texts, and (h, seen) of shingles seen often.
-
-    A node is a hash of the whole set, `check` another one.
-    """
+    """(key, node, check, n) of the texts of (key, text). A node is a hash of the whole set, `check` another one."""
     kind = docs.schema["key"].dataType.simpleString()
-    names = ["key", "node", "check", "n", "h", "seen"]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def often() -> pa.RecordBatch:
-            h, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            held.clear()
-            h, seen = h[seen >= LEAST_SEEN], seen[seen >= LEAST_SEEN]
-            nulls = [pa.nulls(len(h), t) for t in (key_type, pa.int64(), pa.int64(), pa.int64())]
-            return pa.record_batch([*nulls, pa.array(h.view(np.int64)), pa.array(seen)], names)
-
-        key_type, size = pa.int64(), 0
         for rows, hashes, row, sizes, node in _sets(batches, 1):
-            key_type = rows.column(0).type
             check = np.zeros(len(sizes), np.uint64)
             if len(hashes):
                 begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                 check[row[begin]] = np.bitwise_xor.reduceat(mix(hashes * U(3) + U(1)), begin)
-            yield pa.record_batch([rows.column(0), pa.array(node), pa.array(check.view(np.int64)), pa.array(sizes), *(pa.nulls(len(sizes), pa.int64()),) * 2], names)
-            held.append(hashes)
-            size += len(hashes)
+            yield pa.record_batch([rows.column(0), pa.array(node), pa.array(check.view(np.int64)), pa.array(sizes)], ["key", "node", "check", "n"])
+
+    return docs.mapInArrow(per_batch, f"key {kind}, node long, check long, n long")
+
+
+class Unmet:
+    """Which sets a task has not passed on yet, as far as it remembers."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def among(self, node: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(node), bool)
+        for i, one in enumerate(node.tolist()):
+            if sizes[i] and one not in self.seen:
+                new[i] = True
+                self.seen.add(one)
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        return new
+
+
+def frequencies(docs: DataFrame) -> dict[str, np.ndarray]:
+    """The most frequent shingles (h, sorted) and in how many documents about they are (n): FREQUENT at most."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        unmet, size = Unmet(), 0
+
+        def counted() -> pa.RecordBatch:
+            h, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            keep = (h < COUNTED) | (seen >= LEAST_SEEN)
+            return pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(seen[keep].astype(np.int32))], ["h", "seen"])
+
+        for _, hashes, row, sizes, node in _sets(batches, 0):
+            held.append(hashes[unmet.among(node, sizes)[row]])
+            size += len(held[-1])
             if size >= BUFFER:
-                yield often()
+                yield counted()
                 size = 0
-        if held:
-            yield often()
-
-    return docs.mapInArrow(per_batch, f"key {kind}, node long, check long, n long, h long, seen long")
+        yield counted()
+
+    sums = docs.select("text").mapInArrow(per_batch, "h long, seen int").groupBy("h").agg(F.sum("seen").alias("n")).where(F.col("n") >= LEAST)
+    sums = materialize(sums)
+    # the least count of which no more than FREQUENT are left, from a few bins
+    step = F.floor(F.log2("n") * 8).cast("int")
+    bins = sums.groupBy(step.alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low")).orderBy(F.desc("bin")).collect()
+    least, taken = None, 0
+    for b in bins:
+        taken += b.k
+        if taken > FREQUENT:
+            break
+        least = b.low
+    rows = sorted((r.h % (1 << 64), r.n) for r in sums.where(F.col("n") >= least).collect()) if least else []
+    return {"h": np.array([h for h, _ in rows], np.uint64), "n": np.array([n for _, n in rows], np.int64)}
 
 
 def columns(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
-    """(h, part, node, n): the first columns of each set in the common order.
+    """(h, part, node, n, pull): the first columns of each set in the common order: rare shingles, then those
+    that weren't counted, then frequent ones; `pull` is the share of frequent ones in the whole set.
 
-    frequent: hashes (sorted) and counts. A set that a task has passed on already is left out.
+    A set that a task has passed on already is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value["h"], shared.value["n"]
-        seen: set[int] = set()
+        unmet = Unmet()
         for _, hashes, row, sizes, node in _sets(batches, 0):
-            rank = np.zeros(len(hashes), np.int64)
+            rank = (hashes >= COUNTED).astype(np.int64)
+            pull = np.zeros(len(sizes), np.int32)
             if len(common) and len(hashes):
                 at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                rank = np.where(common[at] == hashes, counts[at], 0)
-                if rank.any():
+                often = common[at] == hashes
+                rank = np.where(often, counts[at], rank)
+                pull = (np.bincount(row, often, len(sizes)) * 1000 / np.maximum(sizes, 1)).astype(np.int32)
+                if often.any():
                     order = np.lexsort((hashes, rank, row))
                     hashes, rank, row = hashes[order], rank[order], row[order]
-            new = np.zeros(len(sizes), bool)
-            for i, one in enumerate(node.tolist()):
-                if sizes[i] and one not in seen:
-                    new[i] = True
-                    seen.add(one)
-            if len(seen) > SEEN:
-                seen.clear()
+            new = unmet.among(node, sizes)
             begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
             take = (np.arange(len(hashes)) - begin[row] < prefix_length(sizes)[row]) & new[row]
             own = row[take]
-            part = node[own] % np.maximum(1, -(-rank[take] // PART))
-            yield pa.record_batch([pa.array(hashes[take].view(np.int64)), pa.array(part.astype(np.int32)), pa.array(node[own]), pa.array(sizes[own].astype(np.int32))], ["h", "part", "node", "n"])
+            # parts from 1 of columns that are split, 0 of all others
+            parts = np.maximum(1, -(-rank[take] // PART))
+            part = np.where(parts > 1, 1 + node[own] % parts, 0)
+            arrays = (hashes[take].view(np.int64), part.astype(np.int32), node[own], sizes[own].astype(np.int32), pull[own])
+            yield pa.record_batch([pa.array(x) for x in arrays], ["h", "part", "node", "n", "pull"])
 
-    return docs.select("text").mapInArrow(per_batch, "h long, part int, node long, n int")
+    return docs.select("text").mapInArrow(per_batch, "h long, part int, node long, n int, pull int")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the (node, key) asked for."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        unmet = Unmet()
         for _, hashes, row, sizes, node in _sets(batches, 0):
-            new = [i for i, one in enumerate(node.tolist()) if sizes[i] and one not in seen and not seen.add(one)]
-            if len(seen) > SEEN:
-                seen.clear()
+            new = np.flatnonzero(unmet.among(node, sizes))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
             yield pa.record_batch([pa.array(node[new]), lists.take(pa.array(new, pa.int64()))], ["node", "shingles"])
@@ -180,28 +213,24 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     it has no other; other columns are left out; an empty table gives an empty table.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = materialize(describe(docs))
-    rows = found.where("n is not null").select("key", "node", "n", "check")
+    rows = materialize(describe(docs))
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high")))
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two sets of shingles have one 64-bit hash")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    often = found.where("h is not null").groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(2 * LEAST_SEEN, total // FREQUENT))
-    often = sorted((r.h % (1 << 64), r.seen) for r in often.collect())
-    frequent = {"h": np.array([h for h, _ in often], np.uint64), "n": np.array([n for _, n in often], np.int64)}
 
     by = W.partitionBy("h", "part")
-    laid = columns(docs, frequent).withColumn("pivot", F.min(F.struct("node", "n")).over(by)).withColumn("other", F.max("node").over(by))
-    laid = materialize(laid.where(F.col("pivot.node") != F.col("other")).select("h", "part", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+    own = F.struct("pull", "node", "n")
+    laid = columns(docs, frequencies(docs)).withColumn("pivot", F.max(own).over(by)).withColumn("other", F.min("node").over(by)).withColumn("last", F.max("node").over(by))
+    laid = materialize(laid.where("part > 0 or other <> last").select("h", "part", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pull").alias("pull")))
     # the pivots of a frequent column's parts are linked to one of them
     parts = laid.where("part > 0").select("h").distinct()
-    pivots = laid.join(parts, "h").select("h", F.col("pivot").alias("node"), F.col("pivot_n").alias("n")).distinct()
-    heads = pivots.groupBy("h").agg(F.min(F.struct("node", "n")).alias("first"))
-    stars = laid.select("node", "n", "pivot", "pivot_n").union(pivots.join(heads, "h").select("node", "n", "first.node", "first.n"))
-    stars = stars.where((F.col("node") != F.col("pivot")) & similar_sizes("n", "pivot_n")).groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    # each document's best two pivots: the others are for the second turn, if it needs them
-    best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x"), F.min("b").alias("y"))
-    pairs = materialize(best.select("a", F.explode(F.array_distinct(F.array("x.b", "y"))).alias("b")))
+    pivots = laid.join(parts, "h").select("h", F.col("pivot").alias("node"), F.col("pivot_n").alias("n"), "pull").distinct()
+    heads = pivots.groupBy("h").agg(F.max(own).alias("first"))
+    stars = laid.select("node", "n", "pivot", "pivot_n", "pull").union(pivots.join(heads, "h").select("node", "n", "first.node", "first.n", "first.pull"))
+    stars = stars.where((F.col("node") != F.col("pivot")) & similar_sizes("n", "pivot_n")).groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("pull").alias("pull"))
+    # each document's best pivots by what is shared and by pull: the others are for the second turn, if it needs them
+    best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x"), F.max(F.struct("pull", "b")).alias("y"))
+    pairs = materialize(best.select("a", F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b")))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = whole_sets(docs, nodes.join(classes, "node"))
     edges = materialize(linked(pairs, sets))
