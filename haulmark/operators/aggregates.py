@@ -37,6 +37,17 @@ def wasserstein(df: DataFrame, keys: list[str], value: str, side: str) -> DataFr
     return cdf.groupBy(*keys).agg(F.sum(F.abs(F.col("_fa") - F.col("_fb")) * F.coalesce("_dx", F.lit(0.0))).alias("w1"))
 
 
+def exact_mean(value: str | Column, digits: int) -> Column:
+    """The mean of values of so many decimals. Decimal sums don't depend on the order of rows, so neither does the mean."""
+    x = F.col(value) if isinstance(value, str) else value
+    return F.sum(x.cast(f"decimal(18,{digits})")).cast("double") / F.count(x)
+
+
+def sql_mean(value: str, digits: int) -> str:
+    """DuckDB SQL of exact_mean."""
+    return f"CAST(sum(CAST({value} AS DECIMAL(18,{digits}))) AS DOUBLE) / count({value})"
+
+
 def concentration(df: DataFrame, keys: list[str], group: str) -> DataFrame:
     """(keys, hhi, largest_share, groups): how a key's rows are spread over groups."""
     sizes = df.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_n"))

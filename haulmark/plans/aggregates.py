@@ -37,14 +37,14 @@ def station_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.fill_left(days, pivot, key, {f"decile_{i}": 0 for i in range(10)})
 
 
-@query("""SELECT l_suppkey AS station_id, count(*) AS n, count(DISTINCT l_orderkey) AS n_routes, count(DISTINCT l_partkey) AS n_parts, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price, max(l_quantity) AS most, min(l_quantity) AS least,
-  round(avg(l_discount), 6) AS mean_discount, min(l_shipdate) AS first_day, max(l_shipdate) AS last_day, round(sqrt(pow(max(l_quantity) - min(l_quantity), 2) + pow(max(l_discount) - min(l_discount), 2)), 6) AS spread,
+@query(f"""SELECT l_suppkey AS station_id, count(*) AS n, count(DISTINCT l_orderkey) AS n_routes, count(DISTINCT l_partkey) AS n_parts, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price, max(l_quantity) AS most, min(l_quantity) AS least,
+  {aggregates.sql_mean('l_discount', 2)} AS mean_discount, min(l_shipdate) AS first_day, max(l_shipdate) AS last_day, round(sqrt(pow(max(l_quantity) - min(l_quantity), 2) + pow(max(l_discount) - min(l_discount), 2)), 6) AS spread,
   min(l_returnflag) AS first_flag, max(l_linestatus) AS last_status FROM lineitem GROUP BY 1""")
 def agg_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d = F.col("l_quantity"), F.col("l_discount")
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station_id")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_routes"), F.count_distinct("l_partkey").alias("n_parts"), F.sum(q).alias("quantity"), F.round(F.sum("l_extendedprice"), 2).alias("price"),
-        F.max(q).alias("most"), F.min(q).alias("least"), F.round(F.avg(d), 6).alias("mean_discount"), F.min("l_shipdate").alias("first_day"), F.max("l_shipdate").alias("last_day"),
+        F.max(q).alias("most"), F.min(q).alias("least"), aggregates.exact_mean(d, 2).alias("mean_discount"), F.min("l_shipdate").alias("first_day"), F.max("l_shipdate").alias("last_day"),
         F.round(F.hypot(F.max(q) - F.min(q), F.max(d) - F.min(d)), 6).alias("spread"), F.min("l_returnflag").alias("first_flag"), F.max("l_linestatus").alias("last_status"))
 
 
@@ -67,15 +67,15 @@ def agg_pivot_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINDS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query(f"WITH {LOCATIONS} SELECT city_id, {', '.join(f'count(*) FILTER (kind = {k!r}) AS kind_{k}' for k in KINDS)}, sum(units)::BIGINT AS units, round(avg(balance), 6) AS mean_balance FROM locations GROUP BY 1")
+@query(f"WITH {LOCATIONS} SELECT city_id, {', '.join(f'count(*) FILTER (kind = {k!r}) AS kind_{k}' for k in KINDS)}, sum(units)::BIGINT AS units, {aggregates.sql_mean('balance', 2)} AS mean_balance FROM locations GROUP BY 1")
 def agg_group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_hot = (F.count_if(F.col("kind") == k).alias(f"kind_{k}") for k in KINDS)
-    return locations(spark, sf_dir).groupBy("city_id").agg(*one_hot, F.sum("units").alias("units"), F.round(F.avg("balance"), 6).alias("mean_balance"))
+    return locations(spark, sf_dir).groupBy("city_id").agg(*one_hot, F.sum("units").alias("units"), aggregates.exact_mean("balance", 2).alias("mean_balance"))
 
 
-@query(f"WITH {POINTS} SELECT kind, count(*) AS weight, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM points GROUP BY 1")
+@query(f"WITH {POINTS} SELECT kind, count(*) AS weight, {aggregates.sql_mean('x', 3)} AS x, {aggregates.sql_mean('y', 3)} AS y FROM points GROUP BY 1")
 def agg_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("weight"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    return points(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("weight"), aggregates.exact_mean("x", 3).alias("x"), aggregates.exact_mean("y", 3).alias("y"))
 
 
 @query(f"""WITH {STOPS}, v AS (SELECT station_id, packages, sum(service_s) AS w FROM stops GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY station_id ORDER BY packages) AS upto, sum(w) OVER (PARTITION BY station_id) AS total FROM v)
@@ -136,10 +136,10 @@ def agg_threshold_groupingsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STOPS} SELECT station_id, count(*) AS n, min(travel_s) AS low, round(quantile_cont(travel_s, 0.1), 5) AS q10, round(quantile_cont(travel_s, 0.5), 5) AS q50, round(quantile_cont(travel_s, 0.9), 5) AS q90, round(quantile_cont(travel_s, 0.99), 5) AS q99,
-  round(avg(travel_s), 5) AS mean, max(travel_s) AS high, round(stddev_pop(travel_s), 5) AS std FROM stops GROUP BY 1""")
+  {aggregates.sql_mean('travel_s', 3)} AS mean, max(travel_s) AS high, round(stddev_pop(travel_s), 5) AS std FROM stops GROUP BY 1""")
 def agg_summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stops(spark, sf_dir).groupBy("station_id").agg(*aggregates.summary("travel_s"))
-    return found.select("station_id", "n", "low", *(F.round(c, 5).alias(c) for c in ("q10", "q50", "q90", "q99", "mean")), "high", F.round("std", 5).alias("std"))
+    found = stops(spark, sf_dir).groupBy("station_id").agg(*aggregates.summary("travel_s"), aggregates.exact_mean("travel_s", 3).alias("exact"))
+    return found.select("station_id", "n", "low", *(F.round(c, 5).alias(c) for c in ("q10", "q50", "q90", "q99")), F.col("exact").alias("mean"), "high", F.round("std", 5).alias("std"))
 
 
 @query(f"WITH {STOPS} SELECT status, round(corr(packages, travel_s), 5) AS r, count(*) AS n FROM stops GROUP BY 1")
@@ -167,14 +167,14 @@ def agg_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STOPS}, s AS (SELECT n_regionkey AS city, day_type, CASE WHEN packages <= 10 THEN 'small' WHEN packages <= 30 THEN 'medium' ELSE 'large' END AS scale, route_id, packages, travel_s, discount FROM stops JOIN supplier ON station_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
-  SELECT city, day_type, scale, count(DISTINCT route_id) AS routes, count(*) AS n, round(avg(packages), 6) AS mean_packages, round(avg(travel_s), 4) AS mean_travel_s, round(avg(discount), 6) AS mean_discount, count(DISTINCT packages) = max(packages) - min(packages) + 1 AS consistent FROM s GROUP BY 1, 2, 3""")
+  SELECT city, day_type, scale, count(DISTINCT route_id) AS routes, count(*) AS n, round(avg(packages), 6) AS mean_packages, {aggregates.sql_mean('travel_s', 3)} AS mean_travel_s, {aggregates.sql_mean('discount', 2)} AS mean_discount, count(DISTINCT packages) = max(packages) - min(packages) + 1 AS consistent FROM s GROUP BY 1, 2, 3""")
 def strata_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("station_id"), F.col("n_regionkey").alias("city"))
     n = F.col("packages")
     rows = stops(spark, sf_dir).join(place, "station_id").withColumn("scale", F.when(n <= 10, "small").when(n <= 30, "medium").otherwise("large"))
     return rows.groupBy("city", "day_type", "scale").agg(
-        F.count_distinct("route_id").alias("routes"), F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean_packages"), F.round(F.avg("travel_s"), 4).alias("mean_travel_s"),
-        F.round(F.avg("discount"), 6).alias("mean_discount"), (F.count_distinct("packages") == F.max(n) - F.min(n) + 1).alias("consistent"))
+        F.count_distinct("route_id").alias("routes"), F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean_packages"), aggregates.exact_mean("travel_s", 3).alias("mean_travel_s"),
+        aggregates.exact_mean("discount", 2).alias("mean_discount"), (F.count_distinct("packages") == F.max(n) - F.min(n) + 1).alias("consistent"))
 
 
 @query("""WITH a AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS first_try, event_type <> 'error' AS ok FROM events)
@@ -334,7 +334,7 @@ def resettable_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STOPS}, r AS (SELECT station_id, route_id, sum(2 * travel_s) AS trips, max(travel_s) AS edge FROM stops GROUP BY 1, 2)
-  SELECT station_id, round(avg(trips), 4) AS mean_sum, round(quantile_cont(trips, 0.5), 4) AS median_sum, max(edge) AS longest FROM r GROUP BY 1""")
+  SELECT station_id, {aggregates.sql_mean('trips', 3)} AS mean_sum, round(quantile_cont(trips, 0.5), 4) AS median_sum, max(edge) AS longest FROM r GROUP BY 1""")
 def repair_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = stops(spark, sf_dir).groupBy("station_id", "route_id").agg(F.sum(2 * F.col("travel_s")).alias("trips"), F.max("travel_s").alias("edge"))
-    return routes.groupBy("station_id").agg(F.round(F.avg("trips"), 4).alias("mean_sum"), F.round(F.median("trips"), 4).alias("median_sum"), F.max("edge").alias("longest"))
+    return routes.groupBy("station_id").agg(aggregates.exact_mean("trips", 3).alias("mean_sum"), F.round(F.median("trips"), 4).alias("median_sum"), F.max("edge").alias("longest"))

@@ -244,11 +244,11 @@ def struct_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select(*flat)
 
 
-@query("SELECT o_orderkey, round(0.8::DOUBLE * (o_orderkey % 10 + 1) + CASE WHEN o_custkey % 5 > 0 THEN 0.2::DOUBLE * (o_totalprice / 100000) / (o_custkey % 5) ELSE 0.2::DOUBLE * (o_orderkey % 10 + 1) END, 6) AS weight FROM orders")
+@query("SELECT o_orderkey, 0.8::DOUBLE * (o_orderkey % 10 + 1) + CASE WHEN o_custkey % 5 > 0 THEN 0.2::DOUBLE * (o_totalprice / 100000) / (o_custkey % 5) ELSE 0.2::DOUBLE * (o_orderkey % 10 + 1) END AS weight FROM orders")
 def adaptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses, old = F.pmod("o_custkey", F.lit(5)), F.pmod("o_orderkey", F.lit(10)) + 1
     new = F.when(uses > 0, 0.8 * old + 0.2 * (F.col("o_totalprice") / 100000) / uses).otherwise(0.8 * old + 0.2 * old)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(new, 6).alias("weight"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", new.alias("weight"))
 
 
 @query("SELECT event_id, round(CASE WHEN value <= 100 THEN 1.0::DOUBLE ELSE exp(-(value - 100) / greatest(1e-12, 40.0::DOUBLE)) END, 6) AS acceptance, round(-value / ln(0.5), 5) AS first_temperature FROM events")

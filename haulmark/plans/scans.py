@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing, text
-from haulmark.operators import joins, windows
+from haulmark.operators import aggregates, joins, windows
 from haulmark.sources import documents, sinks
 from haulmark.sources.tables import LOCATIONS, POINTS, ROADS, eligible, locations, points, roads, table
 
@@ -134,21 +134,21 @@ def dedup_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.first_per_key(rows, ["l_orderkey", "l_linenumber"], *map(F.col, ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])).drop("l_extendedprice")
 
 
-@query("""SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS segment FROM customer
-  EXCEPT SELECT c_nationkey, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND o_totalprice > 100000""")
+@query("""SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS source FROM customer
+  EXCEPT SELECT c_nationkey, c_mktsegment, c_custkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'""")
 def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
-    present = planned.join(urgent, "c_custkey", "left_semi").select("nation", "segment").distinct()
-    return planned.select("nation", "segment").distinct().join(present, ["nation", "segment"], "left_anti")
+    """Planned sources that no urgent record is present for."""
+    planned = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("source")).distinct()
+    present = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.col("o_custkey").alias("source"))
+    return planned.join(present, "source", "left_anti")
 
 
-@query(f"""WITH {POINTS} SELECT CAST(floor(x / 500) AS BIGINT) AS gx, CAST(floor(y / 500) AS BIGINT) AS gy, count(*) AS n, count(*) FILTER (kind < 5) AS n_low, count(*) FILTER (kind >= 5) AS n_high, round(avg(x), 6) AS mean_x,
+@query(f"""WITH {POINTS} SELECT CAST(floor(x / 500) AS BIGINT) AS gx, CAST(floor(y / 500) AS BIGINT) AS gy, count(*) AS n, count(*) FILTER (kind < 5) AS n_low, count(*) FILTER (kind >= 5) AS n_high, {aggregates.sql_mean('x', 3)} AS mean_x,
   '{{"gx":' || CAST(floor(x / 500) AS BIGINT) || ',"gy":' || CAST(floor(y / 500) AS BIGINT) || ',"n":' || count(*) || '}}' AS feature FROM points GROUP BY floor(x / 500), floor(y / 500)""")
 def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.floor(F.col("x") / 500).alias("gx"), F.floor(F.col("y") / 500).alias("gy")
     low = F.col("kind") < 5
-    sizes = points(spark, sf_dir).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_if(low).alias("n_low"), F.count_if(~low).alias("n_high"), F.round(F.avg("x"), 6).alias("mean_x"))
+    sizes = points(spark, sf_dir).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_if(low).alias("n_low"), F.count_if(~low).alias("n_high"), aggregates.exact_mean("x", 3).alias("mean_x"))
     return sizes.withColumn("feature", F.to_json(F.struct("gx", "gy", "n")))
 
 
