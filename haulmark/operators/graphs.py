@@ -19,7 +19,13 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Large-star and small-star steps in turn, so the rounds grow with the logarithm of a
     component's diameter, and the edges never grow in number.
     """
+
+    def mark(df: DataFrame) -> tuple:
+        """The number of links and the sum of their hashes: alike twice in a row, no link has moved."""
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first())
+
     links = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    before = mark(links)
     for _ in range(rounds):
         both = links.union(links.select("lo", "hi"))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
@@ -27,11 +33,11 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         wide = wide.union(least.where("m < hi").select("hi", F.col("m").alias("lo"))).distinct()
         least = wide.groupBy("hi").agg(F.min("lo").alias("m"))
         close = wide.join(least, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        after = settle(close)
-        done = after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty()
-        links = after
-        if done:
+        links = settle(close)
+        now = mark(links)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
