@@ -11,7 +11,9 @@ and what stays is counted over the whole sets.
 
 A large group of near copies would fill its columns with pairs. Columns first link their documents
 to one pivot each, that with the largest share of frequent shingles: of near copies the least edited.
-What becomes connected that way needs no further pairs, as only components are asked for. Then every pair of different components that shares a column is looked at, so no link
+What becomes connected that way needs no further pairs, as only components are asked for. Pairs whose
+parities (512 bits of each set) differ in more places than sets that link can are dropped where they
+arise. Then every pair of different components that shares a column is looked at, so no link
 between components is lost. Frequent columns are split by salt, and pairs of frequent pivots too.
 """
 
@@ -40,6 +42,9 @@ COUNTED = U(int(0.4 * 2**64))
 BUFFER, LEAST_SEEN = 1 << 21, 4
 #: Documents of a frequent column that are dealt to one part, and pairs of a pivot.
 PART = 4096
+#: Words of 64 bits that hold the parities of a set's shingles by their hash.
+WORDS = 8
+PARITIES = [f"b{i}" for i in range(WORDS)]
 #: Sets that a task remembers to have passed on.
 SEEN = 1 << 20
 
@@ -68,7 +73,10 @@ def _sets(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(key, node, check, n) of the texts of (key, text). A node is a hash of the whole set, `check` another one."""
+    """(key, node, check, n, b0 ...) of the texts of (key, text). A node is a hash of the whole set, `check` another one.
+
+    b0 ... are parities: two sets differ in as many shingles at least as their parities do in bits.
+    """
     kind = docs.schema["key"].dataType.simpleString()
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +85,13 @@ def describe(docs: DataFrame) -> DataFrame:
             if len(hashes):
                 begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                 check[row[begin]] = np.bitwise_xor.reduceat(mix(hashes * U(3) + U(1)), begin)
-            yield pa.record_batch([rows.column(0), pa.array(node), pa.array(check.view(np.int64)), pa.array(sizes)], ["key", "node", "check", "n"])
+            bit = ((hashes >> U(20)) % U(64 * WORDS)).astype(np.int64)
+            odd = np.bincount(row * 64 * WORDS + bit, minlength=len(sizes) * 64 * WORDS) & 1
+            words = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), WORDS)
+            yield pa.record_batch([rows.column(0), pa.array(node), pa.array(check.view(np.int64)), pa.array(sizes), *(pa.array(w) for w in words.T.copy())], names)
 
-    return docs.mapInArrow(per_batch, f"key {kind}, node long, check long, n long")
+    names = ["key", "node", "check", "n", *PARITIES]
+    return docs.mapInArrow(per_batch, f"key {kind}, node long, check long, n long, {', '.join(f'{b} long' for b in PARITIES)}")
 
 
 class Unmet:
@@ -204,6 +216,12 @@ def similar_sizes(na: str, nb: str) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT
 
 
+def like_parities() -> Column:
+    """Sets that link differ in (100 - PERCENT) / (100 + PERCENT) of both sizes' sum at most."""
+    apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in PARITIES), F.lit(0))
+    return apart * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) of every row of `docs`: the component is the smallest key
     that links reach.
@@ -214,7 +232,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = materialize(describe(docs))
-    classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high")))
+    classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"), *(F.first(b).alias(b) for b in PARITIES)))
     if not classes.where("low <> high").isEmpty():
         raise RuntimeError("two sets of shingles have one 64-bit hash")
 
@@ -239,8 +257,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     tagged = laid.select("h", "node", "n").distinct().join(comps, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
     spread = tagged.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     tagged = materialize(tagged.join(spread, "h"))
-    left, right = (tagged.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in "ab")
-    more = left.join(right, "h").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & similar_sizes("n_a", "n_b"))
+    own = classes.select("node", *PARITIES)
+    tagged = tagged.join(own, "node")
+    left, right = (tagged.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", *PARITIES))) for s in "ab")
+    more = left.join(right, "h").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & similar_sizes("n_a", "n_b") & like_parities())
     more = more.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
     # columns beyond both prefixes can add no more than the longer rest
     rest = F.greatest(F.ceil(F.col("na") * PERCENT / 100) - 1, F.ceil(F.col("nb") * PERCENT / 100) - 1)
