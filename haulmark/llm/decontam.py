@@ -36,7 +36,7 @@ BLOCK = 16
 K1, B, RETRIEVE, OVERLAP = 1.2, 0.75, 0.5, 0.75
 #: Share of the threshold that an item's commonest terms may make up without being looked at first.
 LATER = 0.6
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def words_of(text: str | None) -> list[str]:

@@ -12,7 +12,7 @@ and what stays is counted over the whole sets.
 A large group of near copies would fill its columns with pairs. Columns first link their documents
 to one pivot each, that with the largest share of frequent shingles: of near copies the least edited.
 What becomes connected that way needs no further pairs, as only components are asked for. Pairs whose
-parities (512 bits of each set) differ in more places than sets that link can are dropped where they
+parities (1024 bits of each set) differ in more places than sets that link can are dropped where they
 arise. Then every pair of different components that shares a column is looked at, so no link
 between components is lost. Frequent columns are split by salt, and pairs of frequent pivots too.
 """
@@ -34,16 +34,16 @@ from .shingles import U, mix, shingle_sets
 K = 5
 #: Two sets link when PERCENT of their union is shared.
 PERCENT = 75
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: So many of the most frequent shingles at most are broadcast, and none that is in fewer documents than LEAST.
 FREQUENT, LEAST = 1 << 18, 8
 #: Shingles with hashes under COUNTED are counted exactly; of the others, those that are LEAST_SEEN times in a task's BUFFER.
 COUNTED = U(int(0.4 * 2**64))
-BUFFER, LEAST_SEEN = 1 << 21, 4
+BUFFER, LEAST_SEEN = 1 << 20, 4
 #: Documents of a frequent column that are dealt to one part, and pairs of a pivot.
 PART = 4096
 #: Words of 64 bits that hold the parities of a set's shingles by their hash.
-WORDS = 8
+WORDS = 16
 PARITIES = [f"b{i}" for i in range(WORDS)]
 #: Sets that a task remembers to have passed on.
 SEEN = 1 << 20

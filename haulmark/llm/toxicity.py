@@ -38,7 +38,7 @@ LEAST_BEGINNING = 4
 SIGNIFICANT = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose weights each task remembers.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 
 
 def lowered(text: str) -> str:
