@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from haulmark.llm import decontam, mixing, ngram_join, sharding, toxicity
 from haulmark.llm.common import keep_keys, materialize, table
-from haulmark.llm.queries import ENTROPY_SHARE, MAX_REPEATS, SHARD_BYTES, toxicity_model
+from haulmark.llm.queries import ENTROPY_SHARE, SHARD_BYTES, toxicity_model
+
+#: How often the mixture may repeat a source while it has every document once.
+REPEATS = 4.0
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +41,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mixture asks for; a repetition limit of 1 repeats none."""
-    found = mixing.mix(docs, ENTROPY_SHARE, MAX_REPEATS).where("copies > 0")
-    if MAX_REPEATS > 1:
-        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return found.select(docs.columns)
+    """As many copies of each document as the mixture asks for, one at least: small sources are repeated, none is cut."""
+    found = mixing.mix(docs, ENTROPY_SHARE, REPEATS, whole=True)
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,12 @@ def _repeats(shares: Column, exponent: Column, budget: float) -> Column:
     return F.array_max(F.zip_with(powers, shares, lambda w, p: w / p)) / _total(powers) * budget
 
 
+def _spread(shares: Column, exponent: Column) -> Column:
+    """How often the most repeated source is taken while the least repeated one is taken once."""
+    taken = F.zip_with(_powers(shares, exponent), shares, lambda w, p: w / p)
+    return F.array_max(taken) / F.array_min(taken)
+
+
 def _bisect(low: Column, high: Column, enough: callable) -> Column:
     """The largest exponent in [low, high] for which `enough`, true at low and ever less so, still holds."""
     start = F.struct(low.alias("lo"), high.alias("hi"))
@@ -65,13 +71,16 @@ def _bisect(low: Column, high: Column, enough: callable) -> Column:
     return F.when(enough(high), high).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["lo"]))
 
 
-def weights(sources: DataFrame, entropy_share: float, max_repeats: float, budget: float | None) -> DataFrame:
+def weights(sources: DataFrame, entropy_share: float, max_repeats: float, budget: float | None, whole: bool = False) -> DataFrame:
     """(source, tokens, weight, quota) of rows of (source, tokens); one row of all shares is what
     the exponent is bisected on, so there may be MAX_SOURCES of them at most.
 
     budget: in sizes of the corpus. None stands for the most that repeats no source over
-    `max_repeats`. With one, the exponent grows until no source is repeated more.
+    `max_repeats`. With one, the exponent grows until no source is repeated more. `whole` stands for
+    the least budget that has every source once; the exponent grows likewise.
     """
+    if whole and (budget is not None or max_repeats < 1):
+        raise ValueError("a whole mixture has its own budget and takes each source once at least")
     if (n := sources.count()) > MAX_SOURCES:
         raise ValueError(f"{n} sources; {MAX_SOURCES} can be mixed")
     some = sources.where("tokens > 0").agg(F.array_sort(F.collect_list("tokens")).alias("t"))
@@ -81,18 +90,25 @@ def weights(sources: DataFrame, entropy_share: float, max_repeats: float, budget
     target = entropy_share * F.ln(F.size(p))
     exponent = _bisect(F.lit(0.0), F.lit(1.0), lambda a: _entropy(p, a) >= target - 1e-12)
     some = some.withColumn("exponent", exponent)
-    if budget is not None:  # the repetition shrinks as the exponent grows: bisect what is left to 1
+    if whole:
+        lift = _bisect(F.lit(0.0), 1 - F.col("exponent"), lambda d: _spread(p, 1 - d) <= max_repeats)
+        some = some.withColumn("exponent", 1 - lift)
+    elif budget is not None:  # the repetition shrinks as the exponent grows: bisect what is left to 1
         lift = _bisect(F.lit(0.0), 1 - F.col("exponent"), lambda d: _repeats(p, 1 - d, budget) <= max_repeats)
         some = some.withColumn("exponent", 1 - lift)
     some = some.withColumn("norm", _total(_powers(p, F.col("exponent"))))
-    size = F.lit(budget) if budget is not None else max_repeats / _repeats(p, F.col("exponent"), 1.0)
+    if whole:
+        size = F.col("norm") / F.array_min(F.zip_with(_powers(p, F.col("exponent")), p, lambda w, x: w / x))
+    else:
+        size = F.lit(budget) if budget is not None else max_repeats / _repeats(p, F.col("exponent"), 1.0)
     some = some.select("all", "exponent", "norm", (size * F.col("all")).alias("budget"))
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("all"), F.col("exponent")) / F.col("norm")).otherwise(0.0)
     # one row beside each source's
     joined = sources.withColumn("_one", F.lit(1)).join(F.broadcast(some.withColumn("_one", F.lit(1))), "_one").drop("_one")
     joined = joined.withColumn("weight", weight)
     # a hair more, so that a quota of exactly the whole source isn't lost to rounding
-    return joined.select("source", "tokens", "exponent", "weight", F.floor(F.col("weight") * F.col("budget") + 1e-6).cast("long").alias("quota"))
+    quota = F.floor(F.col("weight") * F.col("budget") + 1e-6).cast("long")
+    return joined.select("source", "tokens", "exponent", "weight", (F.greatest("tokens", quota) if whole else quota).alias("quota"))
 
 
 def cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -125,17 +141,18 @@ def cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return state.drop("left")
 
 
-def mix(docs: DataFrame, entropy_share: float = 0.9, max_repeats: float = 1.0, budget: float | None = None, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, entropy_share: float = 0.9, max_repeats: float = 1.0, budget: float | None = None, text: str = "text", key: str = "doc_id", source: str = "source", whole: bool = False) -> DataFrame:
     """`docs` with n_tokens, weight, copies, and epoch and block of the last copy.
 
-    Rows of copies 0 are not in the mixture. Null texts have no tokens and are in it once (of no
+    Rows of copies 0 are not in the mixture; with `whole` there are none, and small sources are
+    repeated instead, up to `max_repeats`. Null texts have no tokens and are in it once (of no
     budget); null sources are one source with ''; rows of one key in one source are taken together;
     ties in the permutation too; columns of these names are replaced; an empty table stays empty.
     """
     docs = docs.drop("n_tokens", "weight", "copies", "epoch", "block")
     group = F.coalesce(F.col(source).cast("string"), F.lit(""))
     sized = materialize(docs.select(group.alias("source"), F.col(key).alias("key"), count_words(F.col(text)).alias("tokens")))
-    plan = weights(sized.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy_share, max_repeats, budget)
+    plan = weights(sized.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy_share, max_repeats, budget, whole)
     plan = cuts(sized, plan).select(F.col("source").alias("_group"), F.col("weight"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
     rows = docs.withColumn("_group", group).join(F.broadcast(plan), "_group").withColumn("_at", permuted(F.col(key), F.col("_epochs")))
     more = (F.col("_at") < F.col("_cut")).cast("long")

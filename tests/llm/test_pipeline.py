@@ -50,3 +50,13 @@ def test_odd_rows_pass_through(spark):
     assert sorted((r.doc_id is None, r.text or "") for r in at.select("doc_id", "text").collect())[:2] == [(False, ""), (False, "hello there")]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_a_tiny_source_costs_no_document(spark):
+    rows = [(i, "w " * 50, "hot" if i % 2 else f"src{i % 19}") for i in range(760)] + [(1000, "one", "tiny"), (1001, None, "hot"), (1002, "", "src2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.doc_id: r["count"] for r in corpus_pipeline.mixed(spark, docs, SF).groupBy("doc_id").count().collect()}
+    assert set(taken) == {r[0] for r in rows}
+    assert taken[1000] == 4 and max(taken.values()) <= 4
+    words = lambda hot: sum(50 * taken[i] for i in range(760) if (i % 2 > 0) == hot)
+    assert words(True) == 50 * 380 < words(False)  # the largest source once, smaller ones more often
