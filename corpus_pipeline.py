@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.llm import decontam, mixing, ngram_join, sharding, toxicity
-from haulmark.llm.common import keep_keys, materialize, table
+from haulmark.llm.common import keep_keys, materialize, numbered, table
 from haulmark.llm.queries import ENTROPY_SHARE, SHARD_BYTES, toxicity_model
 
 #: How often the mixture may repeat a source while it has every document once.
@@ -28,7 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by their place in the input, so the row that stays of a doc_id is its first.
     """
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = numbered(docs, "_row")
     found = ngram_join.join(docs.withColumn("_at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")), key="_at")
     lost = found.where(F.col("_at") != F.col("component_id")).select(F.col("_at._row").alias("_row"))
     return keep_keys(docs, materialize(lost), "_row", "left_anti").drop("_row")

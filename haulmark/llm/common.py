@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +46,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a number for each row, written once: numbers that follow from file splits would be
+    others in a later scan if executors came or went between."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what `materialize` wrote for these frames, once nothing reads them."""
     for df in frames:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, row_chunks, text_bytes
+from .common import BROADCAST_ROWS, materialize, numbered, row_chunks, text_bytes
 from .shingles import PLACE, POWERS, U, mix
 
 LENGTH, KGRAM = 200, 100
@@ -272,11 +272,11 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """(key, n_bytes, n_removed, spans, kept) of every row: `spans` has the removed starts and ends in
     turn, `kept` the remaining bytes.
 
-    `docs` is read several times, so it should be a table and not a computation. Null and empty
+    `docs` is read once; its keys and texts are kept with the rows' numbers. Null and empty
     texts and those under LENGTH bytes lose nothing; repeated rows repeat each other's strings;
     other columns are left out; an empty table gives an empty table.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    docs = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "rid")
     spans = materialize(stretches(repeated(docs)))
     few = spans.count() <= BROADCAST_ROWS
     joined = docs.join(spans.hint("broadcast") if few else spans, "rid", "left").select("key", "text", "spans")

@@ -131,6 +131,30 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch):
     assert suffix_dedup.dedup(documents(spark, [])).count() == 0
 
 
+def test_row_numbers_stay_when_splits_change(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = text(300)
+    rows = [(i, text(150) + (shared if i % 5 == 0 else "") + text(150)) for i in range(60)]
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(path)
+    stretches = suffix_dedup.stretches
+
+    def later(places):
+        found = stretches(places).localCheckpoint()
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # as after a change of executors: one file in a split
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "stretches", later)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        assert deduplicated(suffix_dedup.dedup(spark.read.parquet(path))) == removed(rows, 200)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_removed_bytes_of_the_table_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     assert Counter(map(tuple, queries.op9_repeated_bytes(spark, SF).collect())) == removed(rows, 200)
