@@ -193,8 +193,16 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
             yield pa.record_batch([pa.array(node[new]), lists.take(pa.array(new, pa.int64()))], ["node", "shingles"])
 
-    some = keep_keys(docs, materialize(nodes.select("key").distinct()), "key")
-    return some.select("text").mapInArrow(per_batch, "node long, shingles array<long>").dropDuplicates(["node"])
+    def sets(some: DataFrame) -> DataFrame:
+        return some.select("text").mapInArrow(per_batch, "node long, shingles array<long>")
+
+    asked = materialize(nodes.select("node", "key").distinct())
+    found = sets(keep_keys(docs, materialize(asked.where("key is not null").select("key").distinct()), "key"))
+    # no join finds null keys: of all texts under them, the sets asked for stay
+    lone = materialize(asked.where("key is null").select("node"))
+    if not lone.isEmpty():
+        found = found.union(keep_keys(sets(docs.where("key is null")), lone, "node"))
+    return found.dropDuplicates(["node"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

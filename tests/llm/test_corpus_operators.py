@@ -86,6 +86,17 @@ def test_small_parts_change_no_component(spark, monkeypatch):
     assert Counter(map(tuple, ngram_join.join(documents(spark, rows)).collect())) == linked_groups(rows)
 
 
+def test_near_copies_without_a_key_are_linked(spark):
+    words = [f"n{i}" for i in range(200)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    # 1 and 2 are joined only through the row without a key; the second text has a near copy without one
+    rows = [(1, changed(10, 30, 50)), (None, changed(50, 100)), (2, changed(100, 130, 170)), (None, None)]
+    rows += [(5, " ".join(f"m{i}" for i in range(100))), (None, " ".join(f"m{i}" for i in range(99)))]
+    want = linked_groups(rows)
+    assert want[1, 196, 1] == want[2, 196, 1] == want[None, 196, 1] == 1
+    assert Counter(map(tuple, ngram_join.join(documents(spark, rows)).collect())) == want
+
+
 def test_empty_tables_join_to_nothing(spark):
     assert ngram_join.join(documents(spark, [])).count() == 0
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
