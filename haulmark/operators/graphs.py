@@ -107,7 +107,7 @@ def ranked(members: DataFrame, prefix: str) -> DataFrame:
     by_size = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     before = by_size.alias("a").join(by_size.alias("b"), F.col("b.size") > F.col("a.size"), "left").groupBy(F.col("a.size").alias("size")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     rank = sizes.withColumn("at", F.row_number().over(W.partitionBy("size").orderBy("least"))).join(before, "size")
-    named = rank.select("component", "size", F.concat(F.lit(prefix), F.lpad((F.col("before") + F.col("at")).cast("string"), 4, "0")).alias("label"))
+    named = rank.select("component", "size", F.format_string("%s%04d", F.lit(prefix), F.col("before") + F.col("at")).alias("label"))
     return members.join(named, "component")
 
 

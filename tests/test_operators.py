@@ -168,3 +168,9 @@ def test_gates_and_parsers_on_nulls(spark):
         text.unsafe_path(F.lit("a/b")).alias("e"), text.try_number(F.lit("1e999")).alias("f"), text.checkpoint_label(F.lit(0.5)).alias("g"), time.day_type(F.lit("2024-01-06").cast("date")).alias("h"),
         text.normalize(F.lit("  A--b c ")).alias("i"), F.array_join(text.multivalue(F.lit("['a', 'b']")), "+").alias("j")).first()
     assert tuple(one) == (30 * 1.609344, None, None, True, False, None, "0p5s", "weekend", "a b c", "a+b")
+
+
+def test_labels_of_many_components_differ(spark):
+    members = spark.range(10_012).select(F.col("id").alias("node"), F.col("id").alias("component"))
+    labels = {r.node: r.label for r in graphs.ranked(members, "W").collect()}
+    assert labels == {i: f"W{i + 1:04d}" for i in range(10_012)}
