@@ -2,38 +2,39 @@
 
 Every training passage (windows of `PASSAGE` words, half overlapping) is a query. An item is
 retrieved when the passage's BM25 score reaches a share of the item's own score; items longer than
-half a passage are indexed in parts. A document is contaminated when a retrieved item is verified:
-its question, or question and answer together, have three quarters of their five-word shingles in
-the document.
+half a passage are indexed in parts. A document is contaminated when a retrieved item is verified
+beside the passage: three quarters of the five-word shingles of its question are there, and half of
+those of its answer, if it has one.
 
-The index covers at most `SLICE` items at once; more items are searched slice by slice, so the
-broadcast has a bound and nothing is dropped.
+The index covers at most `SLICE` items and about `SLICE_BYTES` of text at once; more items are
+searched slice by slice, so the broadcast has a bound and nothing is dropped. Document frequencies
+and the mean length are those of all items, so that slices change no result.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, row_chunks, text_bytes
+from .common import Shared, materialize, numbered, row_chunks, text_bytes
 
 WORD = re.compile(r"[^\W_]+")
 PASSAGE = 128
 STEP = PASSAGE // 2
 SHINGLE = 5
-SLICE = 20_000
+SLICE, SLICE_BYTES = 20_000, 1 << 24
 #: Items in a block of a posting list.
 BLOCK = 16
-#: BM25's constants, the share of an item's own score that retrieves it, and what must overlap.
-K1, B, RETRIEVE, OVERLAP = 1.2, 0.75, 0.5, 0.75
+#: BM25's constants, the share of an item's own score that retrieves it, and what must overlap of question and answer.
+K1, B, RETRIEVE, OVERLAP, ANSWERED = 1.2, 0.75, 0.5, 0.75, 0.5
 #: Share of the threshold that an item's commonest terms may make up without being looked at first.
 LATER = 0.6
 CHUNK = 1 << 19
@@ -59,12 +60,39 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(" ".join(lines[:-1])), words_of(lines[-1])
 
 
+def parts_of(words: list[str]) -> list[list[str]]:
+    """The parts under which an item is indexed: STEP words each, the last one drawn back if it is short."""
+    return [words[i : i + STEP] if i == 0 or len(words) - i >= STEP // 2 else words[-STEP:] for i in range(0, len(words), STEP)]
+
+
 @dataclass
 class Item:
     item_id: int
-    question: set[tuple[str, ...]]
-    answer: set[tuple[str, ...]]
-    whole: set[tuple[str, ...]]
+    text: str
+    n_words: int
+
+    def overlaps(self, words: list[str]) -> tuple[bool, float, float]:
+        """Whether these words hold the item, and the shares of question and answer that they hold."""
+        question, answer = question_and_answer(self.text)
+        asked, answered = _share(shingles(question), words), _share(shingles(answer), words)
+        return asked >= OVERLAP and (not answer or answered >= ANSWERED), asked, answered
+
+
+def _share(part: set[tuple[str, ...]], words: list[str]) -> float:
+    if not part:
+        return 0.0
+    k = len(next(iter(part)))
+    held = shingles(words, k) if len(words) >= k else set()
+    return len(part & held) / len(part)
+
+
+@dataclass
+class Statistics:
+    """Of all items together: parts, their mean words, and in how many parts each term is (of the terms that matter here)."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
 
 
 class Terms(dict):
@@ -80,16 +108,14 @@ class Index:
     With impacts so scaled, a passage retrieves an entry when its impacts add up to 1.
     """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], known: Statistics | None = None) -> None:
         self.items, parts, self.owner = [], [], []
         for item_id, text in items:
-            question, answer = question_and_answer(text or "")
             every = words_of(text)
             if not every:
                 continue
-            self.items.append(Item(item_id, shingles(question), shingles(answer), shingles(every)))
-            for i in range(0, len(every), STEP):
-                part = every[i : i + STEP] if i == 0 or len(every) - i >= STEP // 2 else every[-STEP:]
+            self.items.append(Item(item_id, text, len(every)))
+            for part in parts_of(every):
                 parts.append(part)
                 self.owner.append(len(self.items) - 1)
         self.terms = Terms()
@@ -99,10 +125,13 @@ class Index:
                 rows.append((self.terms.setdefault(word, len(self.terms)), e, part.count(word)))
         self.n = len(parts)
         term, entry, tf = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         size = np.array([len(p) for p in parts], float)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[entry] / max(size.mean(), 1))) if rows else np.zeros(0)
+        if known is None:
+            df, total, mean = np.bincount(term, minlength=len(self.terms)), self.n, size.mean() if parts else 1.0
+        else:
+            df, total, mean = np.array([known.df[t] for t in self.terms], np.int64), known.n, known.mean
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[entry] / max(mean, 1))) if rows else np.zeros(0)
         own = np.bincount(entry, impact, minlength=self.n)
         impact = impact / (RETRIEVE * own[entry])
         # first looked at: all but the commonest terms of each entry that stay under LATER
@@ -201,13 +230,16 @@ class Index:
                     cursors.pop()
 
 
-RESULT = "struct<n_passages:long,n_retrieved:long,contaminated:boolean,item_id:long,question_overlap:double,answer_overlap:double,bm25_share:double>"
+KIND = pa.struct([("n_passages", pa.int64()), ("n_retrieved", pa.int64()), ("contaminated", pa.bool_()), ("item_id", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("bm25_share", pa.float64())])
+RESULT = "n_passages long, n_retrieved long, contaminated boolean, item_id long, question_overlap double, answer_overlap double, bm25_share double"
+#: What makes one found item better than another, best last.
+BETTER = ("contaminated", "question_overlap", "answer_overlap", "bm25_share")
 
 
-def _searched(index: Index, texts: list[str | None], before: list[dict | None]) -> list[dict]:
-    """The result of each text, merged with what earlier slices found."""
+def _searched(index: Index, texts: list[str | None]) -> list[dict]:
+    """The result of each text."""
     number = index.terms.__getitem__
-    every, first_window, step_of, terms_of = [], [], [], []
+    every, first_window, step_of, terms_of, out = [], [], [], [], []
     base = 0
     for text in texts:
         words = words_of(text)
@@ -218,75 +250,106 @@ def _searched(index: Index, texts: list[str | None], before: list[dict | None])
         terms_of.append(ids[known])
         first_window.append(base)
         base += len(words) // STEP + 2  # a step between texts stays empty
-    out = []
-    for words, old in zip(every, before, strict=True):
         passages = max(1, -(-(len(words) - STEP) // STEP)) if words else 0
-        out.append(old or {"n_passages": passages, "n_retrieved": 0, "contaminated": False, "item_id": None, "question_overlap": 0.0, "answer_overlap": 0.0, "bm25_share": 0.0})
+        out.append({"n_passages": passages, "n_retrieved": 0, "contaminated": False, "item_id": None, "question_overlap": 0.0, "answer_overlap": 0.0, "bm25_share": 0.0})
     if not index.n or not terms_of:
         return out
     firsts = np.array(first_window)
     for window in index.likely(np.concatenate(terms_of), np.concatenate(step_of)).tolist():
         doc = int(np.searchsorted(firsts, window, "right")) - 1
-        words, at = every[doc], (window - first_window[doc]) * STEP
-        passage = words[at : at + PASSAGE]
-        found = index.wand(sorted({t for w in passage if (t := number(w)) >= 0}))
-        if not found:
-            continue
+        words, step = every[doc], window - first_window[doc]
+        if step >= out[doc]["n_passages"]:
+            continue  # the passage before it has all its words
+        at = step * STEP
+        found = index.wand(sorted({t for w in words[at : at + PASSAGE] if (t := number(w)) >= 0}))
         row = out[doc]
-        near = words[max(0, at - PASSAGE) : at + 2 * PASSAGE]
-        runs: dict[int, set] = {}
         for entry, score in found:
             item = index.items[index.owner[entry]]
             row["n_retrieved"] += 1
-
-            def share(part: set, of: list[str]) -> float:
-                if not part:
-                    return 0.0
-                k = len(next(iter(part)))
-                if k not in runs:
-                    runs[k] = shingles(of, k) if len(of) >= k else set()
-                return len(part & runs[k]) / len(part)
-
-            if len(item.whole) + SHINGLE > PASSAGE:  # longer than what surrounds a passage
-                runs, near = {}, words
-            question, answer, whole = share(item.question, near), share(item.answer, near), share(item.whole, near)
-            hit = max(question, whole) >= OVERLAP
-            if row["item_id"] is None or (hit, question, answer, -item.item_id) > (row["contaminated"], row["question_overlap"], row["answer_overlap"], -row["item_id"]):
-                row |= {"contaminated": hit, "item_id": item.item_id, "question_overlap": question, "answer_overlap": answer, "bm25_share": score * RETRIEVE}
+            # the item may begin or end as far outside the passage as it is long
+            reach = max(PASSAGE, item.n_words)
+            hit, question, answer = item.overlaps(words[max(0, at - reach) : at + PASSAGE + reach])
+            new = {"contaminated": hit, "item_id": item.item_id, "question_overlap": question, "answer_overlap": answer, "bm25_share": score * RETRIEVE}
+            if row["item_id"] is None or (*(new[k] for k in BETTER), -item.item_id) > (*(row[k] for k in BETTER), -row["item_id"]):
+                row |= new
     return out
 
 
+def sliced(items: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct items (k, t) with `slice`, and the number of slices: none has more than SLICE items and
+    twice SLICE_BYTES of text, or one item. Slices are hashes; their number grows until all fit."""
+    items = items.where(F.col("k").isNotNull()).distinct()
+    bytes_, n = items.agg(F.sum(F.octet_length("t")), F.count(F.lit(1))).first()
+    parts = max(1, -(-n // SLICE), -(-(bytes_ or 0) // SLICE_BYTES))
+    while True:
+        out = items.withColumn("slice", F.pmod(F.xxhash64("k", "t"), F.lit(parts)))
+        sizes = out.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b"))
+        if sizes.where((F.col("n") > 1) & ((F.col("n") > SLICE) | (F.col("b") > 2 * SLICE_BYTES))).isEmpty():
+            return materialize(out), parts
+        parts *= 2
+
+
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """The index of each slice of (k, t), with the statistics of all slices."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(s, p) for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in parts_of(words_of(t))]
+            yield pa.record_batch([pa.array([s for s, _ in found], pa.int64()), pa.array([p for _, p in found], pa.list_(pa.string()))], ["slice", "words"])
+
+    items, slices = sliced(items)
+    parts = materialize(items.select("slice", "t").mapInArrow(split, "slice long, words array<string>"))
+    n, words = parts.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    terms = parts.select("slice", F.explode(F.array_distinct("words")).alias("term"))
+    df = materialize(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    for part in range(slices):
+        own = items.where(F.col("slice") == part)
+        counts = df.join(terms.where(F.col("slice") == part).select("term").distinct(), "term")
+        known = Statistics(n, (words or 0) / max(n, 1), {r.term: r.df for r in counts.collect()})
+        yield Index(sorted((r.k, r.t or "") for r in own.collect()), known)
+
+
+def _searcher(spark: SparkSession, index: Index) -> Callable[[Column], Column]:
+    shared = Shared(spark, index)
+
+    def leaks(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for column in columns:
+            _, offsets = text_bytes(column)
+            found = [pa.array(_searched(own, column.slice(i, j - i).to_pylist()), KIND) for i, j in row_chunks(offsets, CHUNK)]
+            yield pa.concat_arrays(found) if found else pa.array([], KIND)
+
+    return F.arrow_udf(leaks, RESULT, F.ArrowUDFType.SCALAR_ITER)
+
+
 def search(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """`docs` with `leak`: a struct of passages, retrieved pairs (of passage and item part), contaminated,
     and the best item with its overlaps and its share of BM25.
 
-    Null and empty texts have no passages; null or wordless items are never found; repeated items
-    tie for the smaller id; repeated rows are searched each; a column named `leak` is replaced;
-    without items nothing is contaminated.
+    Null and empty texts have no passages; null or wordless items are never found; of items that are
+    alike the smaller id wins, and then the first in order; repeated items count once, repeated rows
+    are searched each; very long texts are searched passage by passage to their end; a column named
+    `leak` is replaced, all others stay as they are; without items nothing is contaminated. Items of
+    several slices are searched one slice after another over rows that are numbered once.
     """
-    out = docs.drop("leak").withColumn("leak", F.lit(None).cast(RESULT))
-    items = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).where(F.col("k").isNotNull())
-    slices = -(-items.count() // SLICE)
-    for part in range(max(1, slices)):
-        own = items.where(F.pmod(F.xxhash64("k"), F.lit(max(1, slices))) == part).collect()
-        out = _search_slice(out, sorted((r.k, r.t or "") for r in own), text)
-    return out
-
-
-def _search_slice(docs: DataFrame, items: list[tuple[int, str]], text: str) -> DataFrame:
-    shared = Shared(docs.sparkSession, Index(items))
-    at, leak = docs.columns.index(text), docs.columns.index("leak")
-    kind = pa.struct([("n_passages", pa.int64()), ("n_retrieved", pa.int64()), ("contaminated", pa.bool_()), ("item_id", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("bm25_share", pa.float64())])
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            _, offsets = text_bytes(batch.column(at))
-            for i, j in row_chunks(offsets, CHUNK):
-                some = batch.slice(i, j - i)
-                found = _searched(index, some.column(at).to_pylist(), some.column(leak).to_pylist())
-                columns = list(some.columns)
-                columns[leak] = pa.array([{k.name: r[k.name] for k in kind} for r in found], kind)
-                yield pa.record_batch(columns, some.schema.names)
-
-    return docs.mapInArrow(per_batch, docs.schema)
+    spark, docs = docs.sparkSession, docs.drop("leak")
+    items = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).cast("string").alias("t"))
+    every = indexes(items)
+    index = next(every)
+    following = next(every, None)
+    if following is None:
+        return docs.withColumn("leak", _searcher(spark, index)(F.col(text)))
+    rows = numbered(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), "rid")
+    hits = []
+    while index is not None:
+        found = rows.select("rid", _searcher(spark, index)(F.col("text")).alias("leak"))
+        hits.append(materialize(found.where(F.col("leak.n_retrieved") > 0)))
+        index, following = following, next(every, None)
+    one = hits[0]
+    for more in hits[1:]:
+        one = one.unionByName(more)
+    order = F.struct(*(F.col(f"leak.{k}") for k in BETTER), (-F.col("leak.item_id")).alias("id"))
+    best = one.groupBy("rid").agg(F.sum("leak.n_retrieved").alias("n"), F.max_by("leak", order).alias("best"))
+    none = _searcher(spark, Index([]))(F.col("text"))
+    whole = rows.join(best, "rid", "left").withColumn("leak", F.when(F.col("best").isNull(), none).otherwise(F.col("best").withField("n_retrieved", F.col("n"))))
+    return whole.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), "leak")
