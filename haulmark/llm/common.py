@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: What `materialize` has written and not yet deleted, and where the frames read from.
+_WRITTEN: dict[str, SparkSession] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 class Shared:
@@ -32,18 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or f"file://{tempfile.gettempdir()}/haulmark-checkpoints"
+    """The folder all executors share; a temporary one where none is set, which only one machine can have."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/haulmark-checkpoints"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/haulmark-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -55,10 +63,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def forget(*frames: DataFrame) -> None:
     """Delete what `materialize` wrote for these frames, once nothing reads them."""
     for df in frames:
-        for name in df.inputFiles()[:1]:
-            for spark, path in _WRITTEN:
-                if path.rpartition("/")[2] in name:
-                    _delete(spark, path)
+        if spark := _WRITTEN.pop(path := _PATHS[df], None):
+            _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -68,7 +74,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _delete_all() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone
@@ -101,11 +107,28 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-#: Rows of keys that may be broadcast: 16 MB at most.
-BROADCAST_ROWS = 1 << 20
+def unused(columns: list[str], *names: str) -> list[str]:
+    """`names`, with underscores before those that are among `columns` in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+#: Counted bytes up to which a frame may be broadcast.
+BROADCAST_BYTES = 1 << 24
+
+
+def few_bytes(frame: DataFrame, row_bytes: int) -> DataFrame:
+    """`frame` (written, or cheap to count) with a broadcast hint if it has at most BROADCAST_BYTES:
+    `row_bytes` for each row."""
+    return frame.hint("broadcast") if frame.count() * row_bytes <= BROADCAST_BYTES else frame
 
 
 def keep_keys(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join with materialized `keys`: broadcast where they are counted to be few, else shuffled."""
-    few = keys.count() <= BROADCAST_ROWS
-    return rows.join(keys.hint("broadcast") if few else keys, on, how)
+    return rows.join(few_bytes(keys, 16), on, how)
