@@ -6,21 +6,29 @@ budget would repeat a source too often. Each source's budget is realised as whol
 last one in part: an epoch is a permutation of the source by a hash of key and epoch, walked block
 by block (by the first bits of the hash) until the budget is met. The cut is found by summing
 tokens by blocks, then by blocks of the cut block, so no source is ever sorted or held in one task.
+
+Sources stay a table, however many there are: a round of the bisection sums the powers of their
+shares for GRID exponents at once, and only these sums reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import few_bytes, materialize, unused
 
-MAX_SOURCES = 100_000
-STEPS = 50
+#: A round of the bisection looks at so many parts of what is left: ROUNDS of them halve it 50 times.
+GRID, ROUNDS = 1 << 10, 5
 BITS = 60
 #: Bits of a level of blocks: so many blocks of a source meet in one task.
 BLOCK_BITS = 12
+ADDED = ["n_tokens", "weight", "copies", "epoch", "block"]
 
 
 def count_words(text: Column) -> Column:
@@ -32,48 +40,37 @@ def permuted(key: Column, epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(key.cast("string"), F.lit("")), epoch.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def _powers(shares: Column, exponent: Column) -> Column:
-    return F.transform(shares, lambda p: F.pow(p, exponent))
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
-
-def _entropy(shares: Column, exponent: Column) -> Column:
-    """Entropy of the shares raised to the exponent and normalised, in nats."""
-    weighed = F.transform(shares, lambda p: F.struct(F.pow(p, exponent).alias("w"), (F.pow(p, exponent) * F.ln(p) * exponent).alias("wl")))
-    sums = F.aggregate(weighed, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wl")), lambda a, x: F.struct((a["w"] + x["w"]).alias("w"), (a["wl"] + x["wl"]).alias("wl")))
-    return F.ln(sums["w"]) - sums["wl"] / sums["w"]
-
-
-def _repeats(shares: Column, exponent: Column, budget: float) -> Column:
-    """The most that a source is repeated: of budget * weight / share (budget in corpus sizes)."""
-    powers = _powers(shares, exponent)
-    return F.array_max(F.zip_with(powers, shares, lambda w, p: w / p)) / _total(powers) * budget
+@dataclass
+class Shares:
+    """The sources with tokens, by their shares of all tokens."""
 
+    table: DataFrame  # (p): one row for each source
+    n: int
+    least: float
+    most: float
 
-def _spread(shares: Column, exponent: Column) -> Column:
-    """How often the most repeated source is taken while the least repeated one is taken once."""
-    taken = F.zip_with(_powers(shares, exponent), shares, lambda w, p: w / p)
-    return F.array_max(taken) / F.array_min(taken)
+    def sums(self, exponents: list[float]) -> list[tuple[float, float]]:
+        """For each exponent the sums of p^a and of p^a ln p over all sources."""
+        each = self.table.select("p", F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a"))
+        power = F.pow("p", "a")
+        found = each.groupBy("i").agg(F.sum(power).alias("s"), F.sum(power * F.ln("p")).alias("l")).collect()
+        return [(r.s, r.l) for r in sorted(found)]
 
-
-def _bisect(low: Column, high: Column, enough: callable) -> Column:
-    """The largest exponent in [low, high] for which `enough`, true at low and ever less so, still holds."""
-    start = F.struct(low.alias("lo"), high.alias("hi"))
-
-    def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        holds = enough(mid)
-        return F.struct(F.when(holds, mid).otherwise(acc["lo"]).alias("lo"), F.when(holds, acc["hi"]).otherwise(mid).alias("hi"))
-
-    return F.when(enough(high), high).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: acc["lo"]))
+    def largest(self, low: float, high: float, enough: Callable[[float, float, float], bool], exponent: Callable[[float], float] = lambda x: x) -> float:
+        """The largest x in [low, high] for which `enough` (of the exponent and its two sums), true at
+        low and ever less so, still holds."""
+        if enough(exponent(high), *self.sums([exponent(high)])[0]):
+            return high
+        for _ in range(ROUNDS):
+            grid = [low + (high - low) * i / GRID for i in range(1, GRID)]
+            sums = self.sums([exponent(x) for x in grid])
+            held = next((i for i, x in enumerate(grid) if not enough(exponent(x), *sums[i])), len(grid))
+            low, high = (grid[held - 1] if held else low), (grid[held] if held < len(grid) else high)
+        return low
 
 
 def weights(sources: DataFrame, entropy_share: float, max_repeats: float, budget: float | None, whole: bool = False) -> DataFrame:
-    """(source, tokens, weight, quota) of rows of (source, tokens); one row of all shares is what
-    the exponent is bisected on, so there may be MAX_SOURCES of them at most.
+    """(source, tokens, exponent, weight, quota) of rows of (source, tokens).
 
     budget: in sizes of the corpus. None stands for the most that repeats no source over
     `max_repeats`. With one, the exponent grows until no source is repeated more. `whole` stands for
@@ -81,33 +78,27 @@ def weights(sources: DataFrame, entropy_share: float, max_repeats: float, budget
     """
     if whole and (budget is not None or max_repeats < 1):
         raise ValueError("a whole mixture has its own budget and takes each source once at least")
-    if (n := sources.count()) > MAX_SOURCES:
-        raise ValueError(f"{n} sources; {MAX_SOURCES} can be mixed")
-    some = sources.where("tokens > 0").agg(F.array_sort(F.collect_list("tokens")).alias("t"))
-    some = some.select(F.col("t"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"))
-    some = some.select("all", F.transform("t", lambda x: x / F.col("all")).alias("p"))
-    p = F.col("p")
-    target = entropy_share * F.ln(F.size(p))
-    exponent = _bisect(F.lit(0.0), F.lit(1.0), lambda a: _entropy(p, a) >= target - 1e-12)
-    some = some.withColumn("exponent", exponent)
-    if whole:
-        lift = _bisect(F.lit(0.0), 1 - F.col("exponent"), lambda d: _spread(p, 1 - d) <= max_repeats)
-        some = some.withColumn("exponent", 1 - lift)
-    elif budget is not None:  # the repetition shrinks as the exponent grows: bisect what is left to 1
-        lift = _bisect(F.lit(0.0), 1 - F.col("exponent"), lambda d: _repeats(p, 1 - d, budget) <= max_repeats)
-        some = some.withColumn("exponent", 1 - lift)
-    some = some.withColumn("norm", _total(_powers(p, F.col("exponent"))))
-    if whole:
-        size = F.col("norm") / F.array_min(F.zip_with(_powers(p, F.col("exponent")), p, lambda w, x: w / x))
-    else:
-        size = F.lit(budget) if budget is not None else max_repeats / _repeats(p, F.col("exponent"), 1.0)
-    some = some.select("all", "exponent", "norm", (size * F.col("all")).alias("budget"))
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("all"), F.col("exponent")) / F.col("norm")).otherwise(0.0)
-    # one row beside each source's
-    joined = sources.withColumn("_one", F.lit(1)).join(F.broadcast(some.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    joined = joined.withColumn("weight", weight)
+    if budget is not None and budget > max_repeats:
+        raise ValueError("a budget of more sizes than a source may be repeated can't be met")
+    sources = materialize(sources)
+    n, total, least, most = sources.where("tokens > 0").agg(F.count(F.lit(1)), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    exponent, norm, size = 1.0, 1.0, 0.0
+    if n:
+        shares = Shares(sources.where("tokens > 0").select((F.col("tokens") / total).alias("p")), n, least / total, most / total)
+        # the entropy, in nats, of the shares raised to a
+        exponent = shares.largest(0.0, 1.0, lambda a, s, l: math.log(s) - a * l / s >= entropy_share * math.log(n) - 1e-12)
+        repeated = lambda a, s: shares.least ** (a - 1) / s  # noqa: E731  of budget 1, the smallest source is repeated most
+        spread = lambda a: (shares.least / shares.most) ** (a - 1)  # noqa: E731  times that it is taken while the largest is taken once
+        if whole:
+            exponent = 1 - shares.largest(0.0, 1 - exponent, lambda a, s, l: spread(a) <= max_repeats, lambda d: 1 - d)
+        elif budget is not None:  # the repetition shrinks as the exponent grows: bisect what is left to 1
+            exponent = 1 - shares.largest(0.0, 1 - exponent, lambda a, s, l: budget * repeated(a, s) <= max_repeats * (1 + 1e-12), lambda d: 1 - d)
+        norm = shares.sums([exponent])[0][0]
+        size = norm * shares.most ** (1 - exponent) if whole else budget if budget is not None else max_repeats / repeated(exponent, norm)
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / (total or 1), F.lit(exponent)) / norm).otherwise(0.0)
     # a hair more, so that a quota of exactly the whole source isn't lost to rounding
-    quota = F.floor(F.col("weight") * F.col("budget") + 1e-6).cast("long")
+    quota = F.floor(F.col("weight") * (size * (total or 0)) + 1e-6).cast("long")
+    joined = sources.withColumn("weight", weight).withColumn("exponent", F.lit(exponent))
     return joined.select("source", "tokens", "exponent", "weight", (F.greatest("tokens", quota) if whole else quota).alias("quota"))
 
 
@@ -117,27 +108,30 @@ def cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
     sized: (source, key, tokens). Each turn narrows the cut by BLOCK_BITS bits.
     """
+    names = plan.columns
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)).cast("long"))
     left = F.when(F.col("tokens") > 0, F.col("quota") - F.col("epochs") * F.col("tokens")).otherwise(0).cast("long")
     state = materialize(plan.withColumn("left", left).withColumn("cut", F.lit(0).cast("long")))
+    open_ = state.where("left > 0").select("source", "epochs")
+    placed = materialize(sized.join(few_bytes(open_, 64), "source").select("source", permuted(F.col("key"), F.col("epochs")).alias("at"), "tokens"))
     for used in range(0, BITS, BLOCK_BITS):
+        if state.where("left > 0").isEmpty():
+            break
         rest = BITS - used - BLOCK_BITS
-        open_ = state.where("left > 0").select("source", "epochs", F.col("cut").alias("from"))
-        rows = sized.join(F.broadcast(open_), "source").withColumn("at", permuted(F.col("key"), F.col("epochs")))
-        inside = rows.where(F.shiftright("at", rest + BLOCK_BITS) == F.shiftright("from", rest + BLOCK_BITS))
+        inside = placed
+        if used:
+            cut = state.where("left > 0").select("source", F.col("cut").alias("from"))
+            inside = placed.join(few_bytes(cut, 64), "source").where(F.shiftright("at", rest + BLOCK_BITS) == F.shiftright("from", rest + BLOCK_BITS))
         blocks = inside.groupBy("source", F.shiftright("at", rest).alias("block")).agg(F.sum("tokens").alias("n"))
         run = W.partitionBy("source").orderBy("block")
-        blocks = blocks.withColumn("upto", F.sum("n").over(run)).join(F.broadcast(state.select("source", "left")), "source")
+        blocks = blocks.withColumn("upto", F.sum("n").over(run)).join(state.select("source", "left"), "source")
         over = blocks.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("block", (F.col("upto") - F.col("n")).alias("before"))).alias("b"))
         end = F.lit(1 << BITS) if not used else F.col("cut") + F.lit(1 << (rest + BLOCK_BITS))
-        moved = state.join(F.broadcast(over), "source", "left").select(
-            *plan.columns,
+        state = materialize(state.join(over, "source", "left").select(
+            *names, "epochs",
             F.when(F.col("left") <= 0, F.col("left")).when(F.col("b").isNull(), F.lit(0)).otherwise(F.col("left") - F.col("b.before")).cast("long").alias("left"),
             F.when(F.col("left") <= 0, F.col("cut")).when(F.col("b").isNull(), end).otherwise(F.shiftleft("b.block", rest)).cast("long").alias("cut"),
-        )
-        state = materialize(moved)
-        if state.where("left > 0").isEmpty():
-            break
+        ))
     return state.drop("left")
 
 
@@ -145,19 +139,22 @@ def mix(docs: DataFrame, entropy_share: float = 0.9, max_repeats: float = 1.0, b
     """`docs` with n_tokens, weight, copies, and epoch and block of the last copy.
 
     Rows of copies 0 are not in the mixture; with `whole` there are none, and small sources are
-    repeated instead, up to `max_repeats`. Null texts have no tokens and are in it once (of no
-    budget); null sources are one source with ''; rows of one key in one source are taken together;
-    ties in the permutation too; columns of these names are replaced; an empty table stays empty.
+    repeated instead, up to `max_repeats`. Null and empty texts have no tokens and are in it once (of
+    no budget); very long texts are counted whole, and one that passes what its source has left is
+    not taken in part; null sources are one source with ''; rows of one key in one source are taken
+    together; ties in the permutation too; columns of these names are replaced, all others stay as
+    they are; an empty table stays empty. `docs` is read twice and has to give the same rows.
     """
-    docs = docs.drop("n_tokens", "weight", "copies", "epoch", "block")
-    group = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    sized = materialize(docs.select(group.alias("source"), F.col(key).alias("key"), count_words(F.col(text)).alias("tokens")))
+    docs = docs.drop(*ADDED)
+    group, epochs, cut, at = unused(docs.columns, "group", "epochs", "cut", "at")
+    own = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    sized = materialize(docs.select(own.alias("source"), F.col(key).alias("key"), count_words(F.col(text)).alias("tokens")))
     plan = weights(sized.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy_share, max_repeats, budget, whole)
-    plan = cuts(sized, plan).select(F.col("source").alias("_group"), F.col("weight"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    rows = docs.withColumn("_group", group).join(F.broadcast(plan), "_group").withColumn("_at", permuted(F.col(key), F.col("_epochs")))
-    more = (F.col("_at") < F.col("_cut")).cast("long")
+    plan = cuts(sized, plan).select(F.col("source").alias(group), "weight", F.col("epochs").alias(epochs), F.col("cut").alias(cut))
+    rows = docs.withColumn(group, own).join(few_bytes(plan, 64), group).withColumn(at, permuted(F.col(key), F.col(epochs)))
+    more = (F.col(at) < F.col(cut)).cast("long")
     return rows.select(
-        *docs.columns, count_words(F.col(text)).alias("n_tokens"), "weight", (F.col("_epochs") + more).alias("copies"),
-        F.when(more > 0, F.col("_epochs")).otherwise(F.col("_epochs") - 1).alias("epoch"),
-        F.shiftright(F.when(more > 0, F.col("_at")).otherwise(permuted(F.col(key), F.col("_epochs") - 1)), BITS - BLOCK_BITS).alias("block"),
+        *(F.col(f"`{c}`") for c in docs.columns), count_words(F.col(text)).alias("n_tokens"), "weight", (F.col(epochs) + more).alias("copies"),
+        F.when(more > 0, F.col(epochs)).otherwise(F.col(epochs) - 1).alias("epoch"),
+        F.shiftright(F.when(more > 0, F.col(at)).otherwise(permuted(F.col(key), F.col(epochs) - 1)), BITS - BLOCK_BITS).alias("block"),
     )

@@ -39,19 +39,28 @@ SELECT doc_id, b AS n_bytes, CASE WHEN f.level = 0 THEN '' ELSE lpad(bin(d.a >>
 FROM d JOIN f USING (a) JOIN s ON s.level = f.level AND s.k = d.a >> (60 - f.level)"""
 
 
-def mixture(entropy_share: float, max_repeats: float) -> str:
+def _bisected(name: str, low: str, high: str, enough: str) -> str:
+    """50 halvings of (lo, hi) in a recursive table; `enough` is of x and of the shares p."""
+    holds = enough.replace("<x>", "((lo + hi) / 2)")
+    return f"""{name}(i, lo, hi) AS (SELECT 0, ({low})::DOUBLE, ({high})::DOUBLE UNION ALL
+  SELECT any_value(i) + 1, CASE WHEN {holds} THEN (any_value(lo) + any_value(hi)) / 2 ELSE any_value(lo) END, CASE WHEN {holds} THEN any_value(hi) ELSE (any_value(lo) + any_value(hi)) / 2 END
+  FROM {name}, p, goal WHERE i < 50 GROUP BY lo, hi)"""
+
+
+def mixture(entropy_share: float, max_repeats: float, budget: float) -> str:
+    entropy = "ln(sum(pow(p, <x>))) - sum(pow(p, <x>) * ln(p) * <x>) / sum(pow(p, <x>)) >= any_value(h)"
+    repeats = f"max(pow(p, -<x>)) / sum(pow(p, 1 - <x>)) * {budget} <= {max_repeats}"
     return rf"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, coalesce(source, '') AS g, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
 t AS MATERIALIZED (SELECT g, sum(n)::BIGINT AS n FROM d GROUP BY g),
 p AS MATERIALIZED (SELECT g, n, n / (SELECT sum(n) FROM t) AS p FROM t WHERE n > 0),
 goal AS (SELECT {entropy_share} * ln(count(*)) - 1e-12 AS h FROM p),
-bisect(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
-  SELECT any_value(i) + 1, CASE WHEN ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * ln(p) * (lo + hi) / 2) / sum(pow(p, (lo + hi) / 2)) >= any_value(h) THEN (any_value(lo) + any_value(hi)) / 2 ELSE any_value(lo) END,
-    CASE WHEN ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * ln(p) * (lo + hi) / 2) / sum(pow(p, (lo + hi) / 2)) >= any_value(h) THEN any_value(hi) ELSE (any_value(lo) + any_value(hi)) / 2 END
-  FROM bisect, p, goal WHERE i < 50 GROUP BY lo, hi),
-e AS MATERIALIZED (SELECT CASE WHEN (SELECT -sum(p * ln(p)) FROM p) >= (SELECT h FROM goal) THEN 1.0 ELSE (SELECT lo FROM bisect WHERE i = 50) END AS x),
-w AS (SELECT g, n, p, pow(p, x) / sum(pow(p, x)) OVER () AS w FROM p, e),
-q AS MATERIALIZED (SELECT g, n, w, floor(w * {max_repeats} / max(w / p) OVER () * sum(n) OVER () + 1e-6)::BIGINT AS quota FROM w),
+{_bisected('flat', '0', '1', entropy)},
+e AS MATERIALIZED (SELECT CASE WHEN (SELECT -sum(p * ln(p)) FROM p) >= (SELECT h FROM goal) THEN 1.0 ELSE (SELECT lo FROM flat WHERE i = 50) END AS x),
+{_bisected('lift', '0', 'SELECT 1 - x FROM e', repeats)},
+r AS MATERIALIZED (SELECT CASE WHEN max(pow(p, x - 1)) / sum(pow(p, x)) * {budget} <= {max_repeats} THEN any_value(x) ELSE 1 - (SELECT lo FROM lift WHERE i = 50) END AS x FROM p, e),
+w AS (SELECT g, n, pow(p, x) / sum(pow(p, x)) OVER () AS w FROM p, r),
+q AS MATERIALIZED (SELECT g, n, w, floor(w * ({budget} * sum(n) OVER ()) + 1e-6)::BIGINT AS quota FROM w),
 k AS (SELECT d.*, coalesce(w, 0) AS w, coalesce(quota // q.n, 1) AS epochs, coalesce(quota % q.n, 0) AS rest FROM d LEFT JOIN q USING (g)),
 placed AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || epochs), 1, 15))::BIGINT AS a,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || (epochs - 1)), 1, 15))::BIGINT AS b FROM k),

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, lm_score, media, mixing, ngram_join, oracles, secrets, sharding, suffix_dedup, tokens, toxicity
 from .common import table
 
-#: Where the public vocabularies lie on every machine.
-TOKENIZERS = os.environ.get("HAULMARK_TOKENIZERS", "/opt/tokenizers")
 TOKEN_LIMIT = 512
 #: Bytes of a shard; small enough for the given tables to have many.
 SHARD_BYTES = 1 << 20
-#: The mixture's entropy as a share of the sources' most, and how often a source may be repeated.
-ENTROPY_SHARE, MAX_REPEATS = 0.9, 1.0
+#: The mixture's entropy as a share of the sources' most, its size in sizes of the corpus, and how often a source may be repeated.
+ENTROPY_SHARE, BUDGET, MAX_REPEATS = 0.9, 1.0, 4.0
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +42,7 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), ENTROPY_SHARE, MAX_REPEATS)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), ENTROPY_SHARE, MAX_REPEATS, BUDGET)
     return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies", "epoch", "block")
 
 
@@ -58,7 +55,7 @@ def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    counts = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
@@ -83,7 +80,7 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {"op9_repeated_bytes": op9_repeated_bytes, "op4_shingle_components": op4_shingle_components, "op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
@@ -91,5 +88,5 @@ QUERIES = {"op9_repeated_bytes": op9_repeated_bytes, "op4_shingle_components": o
 ORACLES = {
     "op1_secret_ownership": oracles.SECRETS,
     "op3_extendible_shards": oracles.shards(SHARD_BYTES),
-    "op7_temperature_mix": oracles.mixture(ENTROPY_SHARE, MAX_REPEATS),
+    "op7_temperature_mix": oracles.mixture(ENTROPY_SHARE, MAX_REPEATS, BUDGET),
 }

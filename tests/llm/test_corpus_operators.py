@@ -8,11 +8,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from conftest import DATA, database, rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from haulmark.llm import components, decontam, mixing, ngram_join, queries, sharding, suffix_dedup
+from haulmark.llm import components, decontam, mixing, ngram_join, oracles, queries, sharding, suffix_dedup
 from haulmark.llm.common import table
 
 SF = str(DATA / "sf0.001")
@@ -81,8 +82,8 @@ def test_components_of_the_table_equal_all_pairs(spark):
 
 
 def test_small_parts_change_no_component(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PART", 3)
-    monkeypatch.setattr(ngram_join, "LEAST", 2)
+    for name, value in (("PART", 3), ("LEAST", 2), ("PAIRS", 2), ("TILE", 2), ("COUNT_ROWS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(5, 12, 14)
     assert Counter(map(tuple, ngram_join.join(documents(spark, rows)).collect())) == linked_groups(rows)
 
@@ -193,6 +194,92 @@ def test_shards_fit_and_hot_keys_are_parted(spark):
     assert {r.shard for r in sharding.shard(documents(spark, rows[:5]), 10**6).collect()} == {""}
 
 
+def brute_shards(rows: list[tuple], limit: int) -> Counter:
+    """Splits a bucket over the limit in two, again and again."""
+    at = lambda k: int(hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[:15], 16)
+    out, todo = Counter(), [("", [(at(k), k, len((t or "").encode())) for k, t in rows])]
+    while todo:
+        name, own = todo.pop()
+        total = sum(n for *_, n in own)
+        if total <= limit or len(name) == 60:
+            out.update((k, n, name, total) for _, k, n in own)
+        else:
+            for bit in "01":
+                todo.append((name + bit, [r for r in own if f"{r[0]:060b}"[len(name)] == bit]))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 90, 400, 10**7])
+def test_shards_equal_brute_force(spark, limit):
+    rows = [(i, "x" * (i % 50)) for i in range(200)] + [(7, "é" * 40)] * 30 + [(None, None), (None, "n" * 50), (5000, ""), (5001, "z" * 900), (5002, "long " * 30000)]
+    found = sharding.shard(documents(spark, rows), limit)
+    assert found.columns == [c for c in documents(spark, rows).columns if c not in sharding.ADDED] + sharding.ADDED
+    got = found.collect()
+    assert Counter((r.doc_id, r.n_bytes, r.shard, r.shard_bytes) for r in got) == brute_shards(rows, limit)
+    parts = defaultdict(list)
+    for r in got:
+        parts[r.shard, r.shard_part].append(r.n_bytes)
+    alone = Counter()
+    for k, t in rows:
+        alone[k] += len((t or "").encode())
+    assert all(sum(p) <= limit or len([n for n in p if n]) == 1 for p in parts.values())
+    assert all(r.shard_part == 0 for r in got if alone[r.doc_id] <= limit)
+
+
+INNER = "at cell leaf open uid task step before group epochs cut source tokens key parent bucket level bytes most parted".split()
+
+
+def test_names_inside_may_be_those_of_columns(spark):
+    rows = [(i % 40, f"w {i} " * 30, f"s{i % 3}") for i in range(90)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, origin string")
+    extra = [F.lit(f"mine {n}").alias(n) for n in INNER] + [F.lit(f"mine {n}").alias(f"_{n}") for n in INNER]
+    clash = plain.select("*", *extra)
+    for make in (lambda d: sharding.shard(d, 700), lambda d: mixing.mix(d, 0.9, 2.0, 1.5, source="origin")):
+        found = make(clash)
+        assert found.columns[: len(clash.columns)] == clash.columns
+        assert all(r[n] == f"mine {n.lstrip('_')}" for r in found.collect() for n in [*INNER, *(f"_{n}" for n in INNER)])
+        added = [c for c in found.columns if c not in clash.columns]
+        assert rows_of(found.select("doc_id", *added)) == rows_of(make(plain).select("doc_id", *added))
+
+
+@pytest.mark.parametrize(("share", "repeats", "budget"), [(0.9, 4.0, 1.0), (0.95, 1.2, 1.0), (0.99, 3.0, 2.5), (0.5, 1.0, 0.4)])
+def test_mixture_of_skewed_sources_equals_sql(spark, tmp_path, share, repeats, budget):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(0, 30), "hot" if i % 2 else f"src{rng.randint(0, 9) ** 2}") for i in range(500)]
+    rows += [(1000, "one", "tiny"), (1001, None, "hot"), (1002, "", "empty"), (1003, "a b", None), (None, "c d e", "hot"), (7, "w " * 9, "hot"), (1004, "long " * 900, "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = mixing.mix(docs, share, repeats, budget)
+    found = found.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies", "epoch", "block")
+    want, _ = sql_rows(db, oracles.mixture(share, repeats, budget))
+    assert rows_of(found) == want
+    taken = Counter()
+    for r in found.where("n_tokens > 0").collect():
+        taken[r.source] += r.copies * r.n_tokens
+    all_ = Counter()
+    for _, t, s in rows:
+        all_[s] += len((t or "").split())
+    assert all(taken[s] <= repeats * n + 1e-6 for s, n in all_.items()) and taken.total() <= budget * all_.total()
+
+
+def test_a_tiny_source_does_not_shrink_the_mixture(spark):
+    rows = [(i, "w " * 50, "hot" if i % 3 == 0 else f"src{i % 19}") for i in range(900)] + [(1000, "one", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, queries.ENTROPY_SHARE, queries.MAX_REPEATS, queries.BUDGET)
+    kept = found.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] / found.agg(F.sum("n_tokens")).first()[0]
+    assert kept > 0.95
+
+
+def test_very_many_sources_are_mixed(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', int(1 + 3000 / (1 + id)))").alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    found = mixing.mix(docs, 0.97, 2.0, 1.0)
+    w = [r.weight for r in found.select("weight").collect()]
+    assert sum(w) == pytest.approx(1, abs=1e-9) and found.count() == 3000
+    assert -sum(x * math.log(x) for x in w) >= 0.97 * math.log(3000) - 1e-9 or max(r.copies for r in found.collect()) <= 2
+
+
 def test_mixture_meets_its_limits(spark):
     docs = documents(spark, [(i, "w " * (1 + i % 9)) for i in range(400)] + [(900, None), (None, "a b")]).withColumn("source", F.when(F.col("doc_id") % 10 > 0, "big").otherwise("small"))
     found = mixing.mix(docs, 0.97, 1.0)

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import public_tokenizers
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -68,15 +69,15 @@ def test_secrets_count_owners(spark):
 
 # tokens
 def test_token_counts_equal_the_library(spark):
-    library = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = documents(spark, ODD)
-    got = Counter(map(tuple, tokens.count_tokens(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json").collect()))
+    got = Counter(map(tuple, tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()))
     assert got == Counter((k, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in ODD)
     whole = table(spark, SF, "documents").collect()
     counts = {r.doc_id: (r.n_tokens, r.over_limit) for r in queries.op6_token_counts(spark, SF).collect()}
     for r, e in zip(whole, library.encode_batch([r.text or "" for r in whole], add_special_tokens=False), strict=True):
         assert counts[r.doc_id] == (len(e.ids), len(e.ids) > 512)
-    assert tokens.count_tokens(documents(spark, []), f"{queries.TOKENIZERS}/byte_bpe_50k.json").count() == 0
+    assert tokens.count_tokens(documents(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 # media
@@ -152,7 +153,7 @@ def test_toxicity_of_odd_rows(spark):
 def test_base_scores_equal_plain_counts(spark):
     held = F.col("doc_id") % 3 == 0
     rows = [*ODD, (9, "Plain WORDS again again"), (12, "words of its own")]
-    got = lm_score.score(documents(spark, rows), held, f"{queries.TOKENIZERS}/piece_bpe_32k.model").collect()
+    got = lm_score.score(documents(spark, rows), held, public_tokenizers.path("piece_bpe_32k.model")).collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     learn = [words(t) for k, t in rows if k is None or k % 3]
     c = Counter(w for ws in learn for w in ws)
@@ -165,7 +166,7 @@ def test_base_scores_equal_plain_counts(spark):
     plain = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
     assert plain == want
     assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
-    assert lm_score.score(documents(spark, []), held, f"{queries.TOKENIZERS}/piece_bpe_32k.model").count() == 0
+    assert lm_score.score(documents(spark, []), held, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
 def test_marginals_sum_over_all_segmentations():
@@ -186,7 +187,7 @@ def test_marginals_sum_over_all_segmentations():
 
 
 def test_learning_makes_held_out_text_likelier(spark):
-    path = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    path = public_tokenizers.path("piece_bpe_32k.model")
     untrained = lm_score.first_lattice(lm_score.load_pieces(path))
     got = {r.doc_id: r.score for r in queries.op10_lattice_scores(spark, SF).where("held_out").collect()}
     before = 0.0
