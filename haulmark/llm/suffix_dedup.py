@@ -1,20 +1,21 @@
-"""Exact removal of repeated byte strings, by suffix names that are sorted outside memory.
+"""Exact removal of repeated byte strings, by the names of content-defined windows.
 
 A byte goes if it lies in a string of `LENGTH` bytes that also starts elsewhere, in the same text
-or another. Sorting all suffixes by induction would carry a tuple of at least 16 bytes for every
-byte through each level; here the recursion goes down through sampled suffixes instead, and Spark's
-spilling sort takes the part of the disk-backed queues:
+or another. This is not an induced suffix sort: only whether a window of LENGTH bytes occurs twice
+is asked for, so windows are named and grouped, and suffixes are never put in order:
 
 1. In each window of LENGTH bytes the smallest hash of KGRAM bytes is its anchor. Equal windows have
    equal anchors at equal offsets, so comparing windows of equal anchors compares all that can be
    equal. Consecutive windows of one anchor are a run; tuples (anchor name, run name, place) are
-   sorted by name. A run whose name occurs twice is repeated as a whole.
+   grouped by name. A run whose name occurs twice is repeated as a whole.
 2. Runs that stand alone under an anchor that occurs elsewhere hold the ends of repeats. Only they
-   (and one copy of each repeated run beside them) are named again, window by window, and sorted.
+   (and one copy of each repeated run beside them) are named again, window by window, and grouped.
 
-Names are 64-bit hashes. Names that a task has met twice need no sorting to be known as repeated:
-their places are passed on under keys of their own, so a string that a third of all rows share
-reaches the sort once from each task. Names of frequent anchors are dealt to parts by run name.
+Names are two independent 64-bit hashes, which both have to agree. Names that a task has met twice
+need no grouping to be known as repeated: their places are passed on under keys of their own, so a
+string that a third of all rows share reaches its group once from each task. Names of frequent
+anchors are dealt to parts by run name. Texts are joined with what is asked of them; these tables
+are broadcast while their counted bytes are few, and beyond that the join shuffles.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, numbered, row_chunks, text_bytes
+from .common import materialize, numbered, row_chunks, text_bytes
 from .shingles import PLACE, POWERS, U, mix
 
 LENGTH, KGRAM = 200, 100
@@ -35,10 +36,12 @@ REACH = LENGTH - KGRAM + 1
 CHUNK = 1 << 20
 #: Low bits of a packed value that hold a place in a piece; a piece has fewer bytes.
 PLACE_BITS = U(21)
-FREQUENT, BUFFER, LEAST_SEEN, PART = 1 << 17, 1 << 20, 4, 4096
+FREQUENT, BUFFER, LEAST_SEEN, PART = 1 << 20, 1 << 20, 4, 4096
 #: Repeated names that a task remembers.
 SEEN = 1 << 20
-BYTE = np.random.default_rng(20240301).integers(1, 1 << 63, 256, np.uint64) * U(2) + U(1)
+BYTE, OTHER = np.random.default_rng(20240301).integers(1, 1 << 63, (2, 256), np.uint64) * U(2) + U(1)
+#: Counted bytes of runs or stretches up to which they are broadcast.
+BROADCAST_BYTES = 1 << 26
 
 
 class Windows:
@@ -46,13 +49,14 @@ class Windows:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         n = len(data)
-        self.total = np.zeros(n + 1, np.uint64)
+        self.total, self.other = np.zeros((2, n + 1), np.uint64)
         up, self.down = POWERS.upto(n + 1)
         np.cumsum(BYTE[data] * up[:n], out=self.total[1:])
+        np.cumsum(OTHER[data] * up[:n], out=self.other[1:])
         self.count = max(0, n - LENGTH + 1)
         empty = np.zeros(0, np.int64)
         self.text = self.first = self.last = empty
-        self.anchor = self.name = np.zeros(0, np.uint64)
+        self.anchor = self.name = self.check = np.zeros(0, np.uint64)
         if not self.count:
             return
         grams = n - KGRAM + 1
@@ -78,12 +82,12 @@ class Windows:
         self.last = whole[np.append(begin[1:], len(whole)) - 1]
         at = at[begin]
         self.anchor = gram[at]
-        context = (self.total[self.last + LENGTH] - self.total[self.first]) * self.down[self.first]
-        self.name = mix(context + (at - self.first).astype(np.uint64) * PLACE[1] + (self.last - self.first).astype(np.uint64) * PLACE[2])
+        shape = (at - self.first).astype(np.uint64) * PLACE[1] + (self.last - self.first).astype(np.uint64) * PLACE[2]
+        self.name, self.check = (mix((x[self.last + LENGTH] - x[self.first]) * self.down[self.first] + shape) for x in (self.total, self.other))
 
-    def names(self, at: np.ndarray) -> np.ndarray:
-        """Names of the windows that start at these places."""
-        return mix((self.total[at + LENGTH] - self.total[at]) * self.down[at] ^ U(0x9FB21C651E98DF25))
+    def names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both names of the windows that start at these places."""
+        return tuple(mix((x[at + LENGTH] - x[at]) * self.down[at] ^ U(0x9FB21C651E98DF25)) for x in (self.total, self.other))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
@@ -105,23 +109,27 @@ class Repeats:
     """Which names a task has met before: at once in a piece, or as repeated in an earlier one."""
 
     def __init__(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-
-    def sift(self, names: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each name whether it is known as repeated without sorting, and the weight (1, or 2 for
-        repeated names) under which it goes to the sort. One of each newly repeated name goes there."""
-        at = np.minimum(np.searchsorted(self.known, names), max(0, len(self.known) - 1))
-        known = self.known[at] == names if len(self.known) else np.zeros(len(names), bool)
+        self.known = self.checks = np.zeros(0, np.uint64)
+
+    def sift(self, names: np.ndarray, checks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each name whether it is known as repeated without grouping, and the weight (1, or 2 for
+        repeated names) under which it goes to its group. One of each newly repeated name goes there."""
+        known = np.zeros(len(names), bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
+            known = (self.known[at] == names) & (self.checks[at] == checks)
         every, first, back = np.unique(names, return_index=True, return_inverse=True)
-        weight = np.bincount(back, weights, minlength=len(every))
-        lone = np.zeros(len(names), bool)
+        alike = checks == checks[first][back]  # others of the same first name are left to the groups
+        weight = np.bincount(back, np.where(alike, weights, 0), minlength=len(every))
+        lone = ~alike
         lone[first] = True
         done = known | ~lone
-        fresh = every[(weight > 1) & ~known[first]]
-        if len(self.known) + len(fresh) > SEEN:
-            self.known = np.zeros(0, np.uint64)
-        self.known = np.union1d(self.known, fresh)
-        return done, np.minimum(weight[back], 2).astype(np.int32)
+        fresh = (weight > 1) & ~known[first]
+        if len(self.known) + fresh.sum() > SEEN:
+            self.known = self.checks = np.zeros(0, np.uint64)
+        self.known, keep = np.unique(np.concatenate((self.known, every[fresh])), return_index=True)
+        self.checks = np.concatenate((self.checks, checks[first][fresh]))[keep]
+        return done, np.where(alike, np.minimum(weight[back], 2), np.minimum(weights, 2)).astype(np.int32)
 
 
 def frequent_anchors(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -154,9 +162,9 @@ def frequent_anchors(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def runs(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
-    """(anchor, part, name, weight, rid, first, count, hot, done) of the runs of (rid, text)."""
+    """(anchor, part, name, check, weight, rid, first, count, hot, done) of the runs of (rid, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["anchor", "part", "name", "weight", "rid", "first", "count", "hot", "done"]
+    names = ["anchor", "part", "name", "check", "weight", "rid", "first", "count", "hot", "done"]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = shared.value["a"], shared.value["n"]
@@ -165,7 +173,7 @@ def runs(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
             w = Windows(data, offsets)
             if not len(w.name):
                 continue
-            done, weight = repeats.sift(w.name, np.ones(len(w.name)))
+            done, weight = repeats.sift(w.name, w.check, np.ones(len(w.name)))
             rid = rows.column(0).to_numpy()[w.text]
             times = np.zeros(len(w.name), np.int64)
             if len(common):
@@ -175,16 +183,16 @@ def runs(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
             # what is known already sorts under a key of its own
             key = np.where(done, mix(w.name ^ mix(rid.astype(np.uint64) + w.first.astype(np.uint64) * PLACE[3])), w.anchor)
             first = w.first - offsets[w.text] + start
-            columns = [key.view(np.int64), part, w.name.view(np.int64), weight, rid, first, (w.last - w.first + 1).astype(np.int32), times > 0, done]
+            columns = [key.view(np.int64), part, w.name.view(np.int64), w.check.view(np.int64), weight, rid, first, (w.last - w.first + 1).astype(np.int32), times > 0, done]
             yield pa.record_batch([pa.array(c) for c in columns], names)
 
-    return docs.select("rid", "text").mapInArrow(per_batch, "anchor long, part int, name long, weight int, rid long, first long, count int, hot boolean, done boolean")
+    return docs.select("rid", "text").mapInArrow(per_batch, "anchor long, part int, name long, check long, weight int, rid long, first long, count int, hot boolean, done boolean")
 
 
 def named_windows(docs: DataFrame) -> DataFrame:
-    """(name, weight, rid, first, count, done) of the windows of the runs that (rid, text, runs) asks
+    """(name, check, weight, rid, first, count, done) of the windows of the runs that (rid, text, runs) asks
     for; runs: (first, count, kind), kind 2 for runs that are known to be repeated."""
-    names = ["name", "weight", "rid", "first", "count", "done"]
+    names = ["name", "check", "weight", "rid", "first", "count", "done"]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = Repeats()
@@ -203,11 +211,11 @@ def named_windows(docs: DataFrame) -> DataFrame:
                 continue
             at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             kind, owner = np.repeat(kind, count), np.repeat(owner, count)
-            name = w.names(at)
-            done, weight = repeats.sift(name, np.where(kind == 2, 2, 1))
+            name, check = w.names(at)
+            done, weight = repeats.sift(name, check, np.where(kind == 2, 2, 1))
             rid, place = rows.column(0).to_numpy()[owner], at - offsets[owner] + start
             send = ~done
-            yield pa.record_batch([pa.array(c) for c in (name[send].view(np.int64), weight[send], rid[send], place[send], np.ones(send.sum(), np.int32), done[send])], names)
+            yield pa.record_batch([pa.array(c) for c in (name[send].view(np.int64), check[send].view(np.int64), weight[send], rid[send], place[send], np.ones(send.sum(), np.int32), done[send])], names)
             # known windows of asked runs, as stretches of consecutive ones
             known = np.flatnonzero(done & (kind == 1))
             if len(known):
@@ -217,14 +225,20 @@ def named_windows(docs: DataFrame) -> DataFrame:
                 size = np.diff(np.append(begin, len(known))).astype(np.int32)
                 head = known[begin]
                 key = mix(name[head] ^ mix(rid[head].astype(np.uint64) + place[head].astype(np.uint64) * PLACE[3]))
-                yield pa.record_batch([pa.array(c) for c in (key.view(np.int64), np.full(len(head), 2, np.int32), rid[head], place[head], size, np.ones(len(head), bool))], names)
+                yield pa.record_batch([pa.array(c) for c in (key.view(np.int64), check[head].view(np.int64), np.full(len(head), 2, np.int32), rid[head], place[head], size, np.ones(len(head), bool))], names)
+
+    return docs.select("rid", "text", "runs").mapInArrow(per_batch, "name long, check long, weight int, rid long, first long, count int, done boolean")
+
 
-    return docs.select("rid", "text", "runs").mapInArrow(per_batch, "name long, weight int, rid long, first long, count int, done boolean")
+def _hinted(table: DataFrame, lists: str, item_bytes: int) -> DataFrame:
+    """The table of one row a text, with a broadcast hint if all its lists have few bytes."""
+    rows, items = table.agg(F.count(F.lit(1)), F.sum(F.size(lists))).first()
+    return table.hint("broadcast") if rows * 64 + (items or 0) * item_bytes <= BROADCAST_BYTES else table
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(rid, first, count): stretches of repeated windows in texts of (rid, text)."""
-    by_anchor, by_name = W.partitionBy("anchor", "part"), W.partitionBy("anchor", "part", "name")
+    by_anchor, by_name = W.partitionBy("anchor", "part"), W.partitionBy("anchor", "part", "name", "check")
     seen = runs(docs, frequent_anchors(docs))
     seen = seen.withColumn("times", F.sum("weight").over(by_name)).withColumn("place", F.min(F.struct("rid", "first")).over(by_name))
     seen = seen.withColumn("all", F.sum("weight").over(by_anchor)).withColumn("least", F.min("times").over(by_anchor))
@@ -235,9 +249,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     level = materialize(seen.select("rid", "first", "count", kind.alias("kind")).where("kind is not null"))
     asked = level.where("kind > 0").groupBy("rid").agg(F.collect_list(F.struct("first", "count", "kind")).alias("runs"))
     asked = materialize(asked)
-    few = asked.count() <= BROADCAST_ROWS // 4
-    some = docs.join(asked.hint("broadcast") if few else asked, "rid")
-    windows = named_windows(some).withColumn("times", F.sum("weight").over(W.partitionBy("name")))
+    some = docs.join(_hinted(asked, "runs", 40), "rid")
+    windows = named_windows(some).withColumn("times", F.sum("weight").over(W.partitionBy("name", "check")))
     windows = windows.where("done or times > 1").select("rid", "first", "count")
     return level.where("kind <> 1").select("rid", "first", "count").union(windows)
 
@@ -273,13 +286,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     turn, `kept` the remaining bytes.
 
     `docs` is read once; its keys and texts are kept with the rows' numbers. Null and empty
-    texts and those under LENGTH bytes lose nothing; repeated rows repeat each other's strings;
-    other columns are left out; an empty table gives an empty table.
+    texts and those under LENGTH bytes lose nothing; very long texts are looked at in pieces that
+    share LENGTH - 1 bytes; of strings that occur twice no place is spared, so there are no ties;
+    repeated rows repeat each other's strings; other columns are left out; an empty table gives an
+    empty table.
     """
     docs = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "rid")
     spans = materialize(stretches(repeated(docs)))
-    few = spans.count() <= BROADCAST_ROWS
-    joined = docs.join(spans.hint("broadcast") if few else spans, "rid", "left").select("key", "text", "spans")
+    joined = docs.join(_hinted(spans, "spans", 8), "rid", "left").select("key", "text", "spans")
     names = ["key", "n_bytes", "n_removed", "spans", "kept"]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
