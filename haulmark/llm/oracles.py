@@ -1,6 +1,6 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
-from .secrets import ASSIGN, BARE, LONG_HEX, MOST_OWNERS
+from .secrets import ASSIGN, BARE, LONG_HEX, MOST_OWNERS, MOST_REPOS
 
 
 def _kind(number: int, pattern: str, group: int, least: int) -> str:
@@ -13,19 +13,21 @@ def _kind(number: int, pattern: str, group: int, least: int) -> str:
 
 
 SECRETS = rf"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, concat_ws('/', source, lang) AS repo, source AS owner FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, row(source, lang) AS repo, source AS owner FROM documents),
 base AS MATERIALIZED ({_kind(0, ASSIGN, 2, 6)} UNION ALL {_kind(1, 'AKIA[A-Z0-9]+', 0, 20)} UNION ALL {_kind(2, LONG_HEX, 0, 24)}),
 bare AS MATERIALIZED ({_kind(3, BARE, 0, 0)}),
 free AS (SELECT * FROM bare b WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.rid = b.rid AND s.start < b.stop AND b.start < s.stop)),
 every AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM free),
 known AS (SELECT v, regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8
-    AND count(DISTINCT coalesce('=' || owner, '')) <= {MOST_OWNERS} AS live FROM every GROUP BY v),
-kept AS (SELECT e.*, live, ['assign', 'access', 'hex', 'bare'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS said FROM every e JOIN known USING (v) WHERE kind < 3 OR live),
+    AND count(DISTINCT coalesce('=' || owner, '')) <= {MOST_OWNERS} AND count(DISTINCT repo) <= {MOST_REPOS} AS live,
+    count(DISTINCT coalesce('=' || owner, '')) AS owners, count(DISTINCT repo) AS repos FROM every GROUP BY v),
+kept AS (SELECT e.*, live, owners, repos, ['assign', 'access', 'hex', 'bare'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS said FROM every e JOIN known USING (v) WHERE kind < 3 OR live),
 r AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
     string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(said, ',' ORDER BY start, kind) AS s,
-    count(*) FILTER (live) AS l, count(*) FILTER (NOT live) AS c FROM kept GROUP BY rid)
+    count(*) FILTER (live) AS l, count(*) FILTER (NOT live) AS c, max(owners) AS o, max(repos) AS p FROM kept GROUP BY rid)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
-  sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(l, 0)::BIGINT AS n_live, coalesce(c, 0)::BIGINT AS n_copied
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(l, 0)::BIGINT AS n_live, coalesce(c, 0)::BIGINT AS n_copied,
+  coalesce(o, 0)::BIGINT AS most_owners, coalesce(p, 0)::BIGINT AS most_repos
 FROM d LEFT JOIN r USING (rid)"""
 
 

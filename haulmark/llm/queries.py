@@ -18,7 +18,7 @@ ENTROPY_SHARE, BUDGET, MAX_REPEATS = 0.9, 1.0, 4.0
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repo"), F.col("source").alias("owner"))
+    docs = docs.select("doc_id", "text", F.struct("source", "lang").alias("repo"), F.col("source").alias("owner"))
     found = secrets.scan(docs)
     base = F.filter("spans", lambda s: s["kind"] < 3)
 
@@ -29,6 +29,7 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(counted, range(3)), F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
+        *(F.coalesce(F.array_max(F.transform("spans", lambda s: s[f"n_{what}"])), F.lit(0)).cast("long").alias(f"most_{what}") for what in ("owners", "repos")),  # noqa: B023
     )
 
 
