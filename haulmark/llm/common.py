@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 #: What `materialize` has written and not yet deleted, and where the frames read from.
 _WRITTEN: dict[str, SparkSession] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: While a table is written: its shuffles go as soon as it stands.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Batches for Python of so many bytes, in a session that says nothing itself.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 class Shared:
@@ -43,12 +48,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/haulmark-checkpoints"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings of the session, and afterwards what was there before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, unless the session has a size of its own: large ones cost memory outside
+    the heap, several times over, in every task."""
+    name, size = BATCH
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, size)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/haulmark-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
-    df.write.parquet(path)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, materialize, numbered, row_chunks, text_bytes
+from .common import Shared, materialize, numbered, row_chunks, small_batches, text_bytes
 
 WORD = re.compile(r"[^\W_]+")
 PASSAGE = 128
@@ -333,6 +333,7 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     several slices are searched one slice after another over rows that are numbered once.
     """
     spark, docs = docs.sparkSession, docs.drop("leak")
+    small_batches(spark)
     items = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).cast("string").alias("t"))
     every = indexes(items)
     index = next(every)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, lower_words, materialize
+from .common import Shared, lower_words, materialize, small_batches
 
 HEAVY = 1 << 17
 MARK = "▁"
@@ -202,6 +202,7 @@ def score(docs: DataFrame, held_out: F.Column, vocabulary: str, text: str = "tex
     row N and V are 0 and every token is unknown. Other columns are left out.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     pieces = load_pieces(vocabulary)
     words = materialize(word_counts(docs, ~F.col("held")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_bytes
+from .common import row_chunks, small_batches, text_bytes
 
 ROW = 64
 MAX_ROWS = 8191  # of 8 pixels: a JPEG has 65535 lines at most
@@ -358,6 +358,7 @@ def encode_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             stored = encode_payloads([pad_payload(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
             yield pa.record_batch([rows.column(0), pa.array(stored, pa.binary()), pa.array(np.diff(offsets))], ["key", "media", "n_bytes"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(per_batch, f"key {kind}, media binary, n_bytes long")
     return out.withColumnRenamed("key", key)
@@ -386,6 +387,7 @@ def read_column(stored: DataFrame, key: str = "doc_id") -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.record_batch([rows.column(0), rows.column(2), *columns], names)
 
+    small_batches(stored.sparkSession)
     kind = stored.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return stored.select(F.col(key).alias("key"), "media", "n_bytes").mapInArrow(per_batch, schema).withColumnRenamed("key", key)

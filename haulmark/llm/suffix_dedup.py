@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, row_chunks, text_bytes
+from .common import materialize, numbered, row_chunks, small_batches, text_bytes
 from .shingles import PLACE, POWERS, U, mix
 
 LENGTH, KGRAM = 200, 100
@@ -291,6 +291,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     repeated rows repeat each other's strings; other columns are left out; an empty table gives an
     empty table.
     """
+    small_batches(docs.sparkSession)
     docs = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "rid")
     spans = materialize(stretches(repeated(docs)))
     joined = docs.join(_hinted(spans, "spans", 8), "rid", "left").select("key", "text", "spans")

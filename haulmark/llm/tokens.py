@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed value: the pre-tokenizing pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose counts each Python worker remembers.
@@ -97,6 +99,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str
             texts = batch.column(2).to_pylist()
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(map(counter.count, texts), pa.int64())], ["key", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text))
     return rows.mapInArrow(per_batch, f"key {kind}, n_bytes long, n_tokens long").withColumnRenamed("key", key)

@@ -1,13 +1,14 @@
 """Toxic passages: maximum-scoring segments of token log-odds, judged by extreme-value statistics.
 
-Weights are log-odds of words and word beginnings between toxic and clean labelled documents,
-with an informative Dirichlet prior. A linear scan finds all maximal-scoring segments of a text
-(Ruzzo and Tompa); Karlin-Altschul statistics turn a segment's score into the number of segments
-as good that chance would give in a clean text of that length; a logistic curve turns that
-evidence into a probability.
-
-The model is fitted on at most `LABELLED_ROWS` labelled documents and has at most `MAX_FEATURES`
-weights, so what is broadcast doesn't grow with the corpus.
+Scores are log-odds of words and word beginnings between toxic and clean labelled documents, with
+an informative Dirichlet prior, of either sign; a word whose log-odds can't be told from chance
+scores what such words say together, a little below zero. A linear scan finds all maximal-scoring
+segments of a text (Ruzzo and Tompa); Karlin-Altschul statistics turn a segment's score into the
+number of segments as good that chance would give in a clean text of that length; a logistic curve
+turns that evidence into a probability.
+
+The model is fitted on at most `LABELLED_ROWS` labelled documents, which bounds its features: each
+has to be in LEAST_DOCS of them.
 """
 
 from __future__ import annotations
@@ -15,24 +16,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Shared
+from .common import Shared, forget, materialize, small_batches, unused
 
 LABELLED_ROWS = 1 << 15
-MAX_FEATURES = 1 << 15
 #: Shares of the background counts that the Dirichlet prior weighs.
 PRIOR = 0.1
-#: A weight is kept if its z-score is as high and as many toxic documents have it.
+#: Log-odds are told from chance by a z-score as far from zero, and in as many documents.
 LEAST_Z, LEAST_DOCS = 3.0, 4
-#: A word's beginnings of as many letters are features besides the word.
+#: A word's beginnings are features besides the word: of as many letters, and each a half longer than the one before.
 LEAST_BEGINNING = 4
 #: Segments that chance gives so often or less in a clean text of the same length are significant.
 SIGNIFICANT = 0.05
@@ -48,18 +47,18 @@ def lowered(text: str) -> str:
 
 
 def beginnings(word: str) -> Iterator[str]:
-    """Features of a word: itself and its beginnings (marked with '^')."""
+    """Features of a word: itself and its beginnings (marked with '^'), longer by one letter and then by halves."""
     yield word
-    for k in range(LEAST_BEGINNING, min(len(word), 16)):
+    k = LEAST_BEGINNING
+    while k <= len(word):
         yield "^" + word[:k]
-    if len(word) >= LEAST_BEGINNING:
-        yield "^" + word[:16]
+        k += max(1, k // 8)
 
 
 def maximal_segments(scores: Iterable[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, last, score) in linear time.
 
-    `scores` has the positions with positive scores, in order; each position between two of them
+    `scores` has the positions with scores of their own, in order; each position between two of them
     scores -gap. A segment's score is the sum of its positions' scores.
     """
     found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum with
@@ -70,6 +69,8 @@ def maximal_segments(scores: Iterable[tuple[int, float]], gap: float) -> list[tu
         first, left = i, total
         total += s
         right = total
+        if s <= 0:
+            continue
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
@@ -96,25 +97,23 @@ class Model:
         self.seen: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
+        """The log-odds of the word's feature that is furthest from zero, or 0."""
         w = self.seen.get(word)
         if w is None:
-            w = max((self.weights.get(x, 0.0) for x in beginnings(word)), default=0.0)
+            w = max((self.weights.get(x, 0.0) for x in beginnings(word)), key=abs)
             if len(self.seen) >= CACHE_WORDS:
                 self.seen.clear()
             self.seen[word] = w
         return w
 
-    def positives(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+    def scored(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """The number of words, and the positions and log-odds of those that have some."""
         words = WORD.findall(lowered(text)) if text else []
-        weight, seen = self.weight, self.seen
-        out = []
-        for i, word in enumerate(words):
-            w = seen.get(word)
-            if w is None:
-                w = weight(word)
-            if w > 0:
-                out.append((i, w))
-        return len(words), out
+        weight = self.weight
+        known = {word: w for word in set(words) if (w := weight(word))}
+        if not known or max(known.values()) <= 0:
+            return len(words), []  # without a positive word there is no segment
+        return len(words), [(i, known[word]) for i, word in enumerate(words) if word in known]
 
     def expected(self, length: int, score: float) -> float:
         """How many segments of this score or more chance gives in a clean text."""
@@ -127,11 +126,16 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
+def flat(x: float) -> float:
+    """Grows as the logarithm where evidence is large, so that no value has to be cut."""
+    return math.asinh(x)
+
+
 def evidence(model: Model, length: int, segments: list[tuple[int, int, float]]) -> float:
-    """Minus the log of the expected number, for all segments that chance doesn't explain, or the best."""
+    """Minus the log of the expected number, for all segments that chance doesn't explain, or the best, flattened."""
     each = [-math.log(model.size * max(length, 1)) + model.rate * s for _, _, s in segments]
     least = -math.log(SIGNIFICANT)
-    return min(sum(x for x in each if x > least) or max(each), 60.0)
+    return flat(sum(x for x in each if x > least) or max(each))
 
 
 def feature_counts(docs: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame) -> DataFrame:
-    """(feature, weight): the kept log-odds, best z-scores first."""
+    """(feature, weight): the log-odds that can be told from chance, of either sign."""
     totals = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0")).first()
     n1, n0 = totals.n1 or 0, totals.n0 or 0
     a0 = PRIOR * (n1 + n0)
@@ -159,8 +163,7 @@ def log_odds(counts: DataFrame) -> DataFrame:
     a = (y1 + y0) * PRIOR
     odds = F.log((y1 + a) / (n1 + a0 - y1 - a)) - F.log((y0 + a) / (n0 + a0 - y0 - a))
     z = odds / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-    kept = counts.where(y1 >= LEAST_DOCS).select("feature", odds.alias("weight"), z.alias("z")).where(F.col("z") >= LEAST_Z)
-    return kept.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    return counts.where(y1 + y0 >= LEAST_DOCS).select("feature", odds.alias("weight"), z.alias("z")).where(F.abs("z") >= LEAST_Z).select("feature", "weight")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
@@ -175,41 +178,68 @@ def labelled(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_
 
 
 def fit(sample: DataFrame) -> Model:
-    """The model of (text, toxic) rows; `sample` has a bounded number of rows."""
-    model = Model({r.feature: r.weight for r in log_odds(feature_counts(sample)).collect()})
-    weights = sample.sparkSession.sparkContext.broadcast(model.weights)
+    """The model of (text, toxic) rows; `sample` has a bounded number of rows.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Model(weights.value)
-        for batch in batches:
-            found = [scorer.positives(t) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[i for i, _ in p] for _, p in found], pa.list_(pa.int64())), pa.array([[w for _, w in p] for _, p in found], pa.list_(pa.float64()))], ["toxic", "n", "at", "w"])
-
-    rows = [(r.toxic, r.n, list(zip(r.at, r.w, strict=True))) for r in sample.mapInArrow(scan, "toxic int, n long, at array<long>, w array<double>").collect()]
-    hits, tokens, by_weight = [0, 0], [0, 0], Counter()
-    for toxic, n, positives in rows:
-        tokens[toxic] += n
-        hits[toxic] += len(positives)
-        if not toxic:
-            by_weight.update(round(w, 1) for _, w in positives)
+    Texts are scored in tasks. The driver gets the counts of rounded weights, and then two numbers for
+    each row of the sample.
+    """
+    small_batches(sample.sparkSession)
+    sample = materialize(sample.select(F.col("toxic").cast("int").alias("toxic"), "text"))
+    model = Model({r.feature: r.weight for r in log_odds(feature_counts(sample)).collect()})
+    hits, tokens, by_weight = _chances(sample, model)
     q1, q0 = ((hits[k] + 1) / (tokens[k] + 2) for k in (1, 0))
     model.gap = max(1e-3, math.log1p(-min(q0, 0.5)) - math.log1p(-min(q1, 0.9)))
-    model.rate = _rate({**by_weight} or {max(model.weights.values(), default=1.0): 1}, tokens[0] + 2, model.gap)
-    scored = [(toxic, n, maximal_segments(p, model.gap)) for toxic, n, p in rows]
-    best = [(toxic, n, max(s for _, _, s in seg)) for toxic, n, seg in scored if seg]
-    level = float(np.median([s for _, _, s in best])) if best else 1.0
-    over = sum(not toxic and s >= level for toxic, _, s in best)
-    model.size = min(1.0, (over + 1) / (tokens[0] + 1) * math.exp(model.rate * level))
-    x = np.array([evidence(model, n, seg) for _, n, seg in scored if seg])
-    y = np.array([toxic for toxic, _, seg in scored if seg], float)
-    rest = [toxic for toxic, _, seg in scored if not seg]
+    model.rate = _rate(by_weight if max(by_weight, default=0) > 0 else {1.0: 1}, tokens[0] + 2, model.gap)
+    best = _by_text(sample, model, lambda m, n, seg: max((s for _, _, s in seg), default=None))
+    found = [x for _, _, x in best if x is not None]
+    level = float(np.median(found)) if found else 1.0
+    over = sum(not toxic and x is not None and x >= level for toxic, _, x in best)
+    model.size = min(1.0, (over + 1) / (tokens[0] + 1) * math.exp(min(700.0, model.rate * level)))
+    rows = _by_text(sample, model, lambda m, n, seg: evidence(m, n, seg) if seg else None)
+    rest = [toxic for toxic, _, x in rows if x is None]
     model.none = min(0.5, (sum(rest) + 0.5) / (len(rest) + 10))
-    model.slope, model.offset = _logistic(x, y)
+    model.slope, model.offset = _logistic(np.array([x for *_, x in rows if x is not None]), np.array([toxic for toxic, _, x in rows if x is not None], float))
+    forget(sample)
     return model
 
 
+def _chances(sample: DataFrame, model: Model) -> tuple[list[int], list[int], dict[float, int]]:
+    """By label how many words have positive log-odds and how many there are; of clean texts how often each rounded score."""
+    shared = Shared(sample.sparkSession, model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts = shared.value, Counter()
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = Counter(WORD.findall(lowered(text))) if text else {}
+                for word, n in words.items():
+                    counts[toxic, round(own.weight(word), 1)] += n
+        yield pa.record_batch([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.float64()), pa.array(counts.values(), pa.int64())], ["toxic", "w", "n"])
+
+    rows = sample.mapInArrow(scan, "toxic int, w double, n long").groupBy("toxic", "w").agg(F.sum("n").alias("n")).collect()
+    hits, tokens = ([sum(r.n for r in rows if r.toxic == k and r.w > low) for k in (0, 1)] for low in (0, -math.inf))
+    return hits, tokens, {r.w: r.n for r in rows if not r.toxic and r.w}
+
+
+def _by_text(sample: DataFrame, model: Model, measure: Callable[[Model, int, list], float | None]) -> list[tuple[int, int, float | None]]:
+    """(toxic, words, what `measure` makes of the segments) of each text of the bounded sample."""
+    shared = Shared(sample.sparkSession, model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = [own.scored(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([measure(own, n, maximal_segments(p, own.gap)) for n, p in found], pa.float64())], ["toxic", "n", "x"])
+
+    return [tuple(r) for r in sample.mapInArrow(scan, "toxic int, n long, x double").collect()]
+
+
 def _rate(counts: dict[float, int], tokens: int, gap: float) -> float:
-    """The positive root of E[exp(rate * score)] = 1 over the tokens of clean texts, by bisection."""
+    """The positive root of E[exp(rate * score)] = 1 over the tokens of clean texts, by bisection.
+
+    Scores are positive with some counts; where the mean isn't negative there is no root over the
+    least rate looked at, which is then given.
+    """
     hit = sum(counts.values())
 
     def over(rate: float) -> bool:
@@ -236,29 +266,40 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(b[0]), 0.0), float(b[1])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text", key: str = "doc_id") -> DataFrame:
+PASSAGE = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
+
+
+def judged(model: Model, text: str | None, threshold: float) -> tuple[float, int, list[dict]]:
+    """Score, prediction and significant passages of one text."""
+    n, own = model.scored(text)
+    segments = maximal_segments(own, model.gap)
+    p = model.probability(n, segments)
+    some = [(a, b, s, e) for a, b, s in segments if (e := model.expected(n, s)) <= SIGNIFICANT]
+    spans = [m.span() for m in WORD.finditer(lowered(text))] if some else []
+    return p, int(p >= threshold), [{"first": spans[a][0], "end": spans[b][1], "score": s, "expected": e} for a, b, s, e in some]
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """`docs` with score, predicted and passages (array of first and end character, score, expected).
 
-    Null and empty texts have no words and get the score of texts without a positive word.
-    Repeated rows get equal scores; columns of these names are replaced, all others stay.
+    Null and empty texts have no words and get the score of texts without a positive word; very long
+    texts are scored whole; a text with the threshold's very score is predicted toxic; repeated rows
+    get equal scores; columns of these names are replaced, all others stay; an empty table gives an
+    empty table.
     """
+    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
     names = ["score", "predicted", "passages"]
     docs = docs.drop(*names)
-    at = docs.columns.index(text)
+    verdict, = unused(docs.columns, "verdict")
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
-        for batch in batches:
-            scores, passages = [], []
-            for body in batch.column(at).to_pylist():
-                n, positives = own.positives(body)
-                segments = maximal_segments(positives, own.gap)
-                scores.append(own.probability(n, segments))
-                spans = [m.span() for m in WORD.finditer(lowered(body))] if any(own.expected(n, s) <= SIGNIFICANT for _, _, s in segments) else None
-                passages.append([{"first": spans[a][0], "end": spans[b][1], "score": s, "expected": own.expected(n, s)} for a, b, s in segments if own.expected(n, s) <= SIGNIFICANT] if spans else [])
-            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, kind)], [*batch.schema.names, *names])
-
-    added = T.StructType.fromDDL("score double, predicted int, passages array<struct<first:long,end:long,score:double,expected:double>>")
-    return docs.mapInArrow(per_batch, T.StructType([*docs.schema.fields, *added.fields]))
+        for column in columns:
+            rows = [judged(own, text.as_py(), threshold) for text in column]
+            score, predicted, passages = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(passages, pa.list_(PASSAGE))], names)
+
+    kind = "score double, predicted int, passages array<struct<first:long,end:long,score:double,expected:double>>"
+    found = docs.withColumn(verdict, F.arrow_udf(judge, kind, F.ArrowUDFType.SCALAR_ITER)(F.col(text)))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(verdict)[n].alias(n) for n in names))

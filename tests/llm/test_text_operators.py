@@ -67,6 +67,38 @@ def test_secrets_count_owners(spark):
     assert found[11] == [] and secrets.scan(documents(spark, []), repo="lang", owner="source").count() == 0
 
 
+def test_secrets_of_many_repositories_are_copied(spark):
+    own = "Zx81Qw92Er73Ty64Ui55"
+    repos = [(f"s{i}", None) if i % 2 else (None, f"s{i}") for i in range(5)]
+    rows = [(i, f"key {own} {own} x", s, lang, *EXTRA) for i, (s, lang) in enumerate(repos[:4])]
+
+    def found(some: list, **names) -> list:
+        docs = documents(spark, some).withColumn("repo", F.struct("source", "lang")).withColumn("mine", F.lit("one"))
+        return secrets.scan(docs, owner="mine").collect()
+
+    spans = [s for r in found(rows) for s in r.spans]
+    assert len(spans) == 8 and all((s.n_docs, s.n_repos, s.n_owners, s.live) == (4, 4, 1, True) for s in spans)
+    assert not any(r.spans for r in found([*rows, (9, own, *repos[4], *EXTRA)]))  # a fifth repository
+    docs = spark.createDataFrame([(1, "x" * 30, None, "en"), (2, "y", "en", None)], "doc_id long, text string, source string, lang string")
+    assert docs.select(F.struct("source", "lang").alias("r")).distinct().count() == 2
+
+
+def test_texts_of_very_many_matches_take_no_square_time(spark):
+    text = " ".join(f"{i:024x} token={i:08d}" for i in range(6000))
+    rows = [(1, text), (2, text[:5000])]
+    got = {r.doc_id: r.spans for r in secrets.scan(documents(spark, rows), repo="lang", owner="source").collect()}
+    for k, t in rows:
+        assert [(s.start, s.kind, s.end) for s in got[k] if s.kind < 3] == base_spans(t)
+
+
+def test_wide_values_are_counted_alike(spark, monkeypatch):
+    rows = [(i, f"token = example{i % 3}value", f"o{i % 7}", "en", *EXTRA) for i in range(40)]
+    scanned = lambda: sorted(map(str, secrets.scan(documents(spark, rows), repo="lang", owner="source").collect()))
+    whole = scanned()
+    monkeypatch.setattr(secrets, "WIDE", 2)
+    assert scanned() == whole
+
+
 # tokens
 def test_token_counts_equal_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -113,18 +145,70 @@ def brute_best(scores: dict[int, float], n: int, gap: float) -> float:
 
 def test_maximal_segments_match_brute_force():
     rng = random.Random(1)
-    for _ in range(200):
+    for _ in range(300):
         n = rng.randint(1, 12)
-        scores = {i: rng.choice([0.5, 1.0, 2.0]) for i in range(n) if rng.random() < 0.4}
+        scores = {i: rng.choice([0.5, 1.0, 2.0, -0.4, -1.5]) for i in range(n) if rng.random() < 0.5}
         found = toxicity.maximal_segments(sorted(scores.items()), 0.7)
-        assert bool(found) == bool(scores)
+        assert bool(found) == any(s > 0 for s in scores.values())
         if found:
             assert max(s for _, _, s in found) == pytest.approx(brute_best(scores, n, 0.7))
-            assert all(b < c for (_, b, _), (c, _, _) in itertools.pairwise(sorted(found)))  # disjoint
+            assert sorted((a, b) for a, b, _ in found) == sorted(brute_maximal([scores.get(i, -0.7) for i in range(n)]))
             for a, b, s in found:
                 assert s == pytest.approx(sum(scores.get(i, -0.7) for i in range(a, b + 1)))
 
 
+def brute_maximal(x: list[float]) -> list[tuple[int, int]]:
+    """All maximal segments by their definition: the best one (the shortest of equals), and so on to either side of it."""
+    n, best = len(x), None
+    for a in range(n):
+        for b in range(a, n):
+            key = (round(sum(x[a : b + 1]), 9), a - b)
+            if key[0] > 0 and (best is None or key > best[0]):
+                best = (key, a, b)
+    if best is None:
+        return []
+    _, a, b = best
+    return brute_maximal(x[:a]) + [(a, b)] + [(c + b + 1, d + b + 1) for c, d in brute_maximal(x[b + 1 :])]
+
+
+def test_toxic_scores_equal_brute_force(spark):
+    """The whole fit and every score again in plain Python."""
+    sf = str(DATA / "sf0.01")
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").where("toxic is not null").collect()}
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    learn = [(labels[k], t) for k, t in rows if k in labels and zlib.crc32(str(k).encode()) % 3 != 1]
+    features = [Counter(x for y, t in learn if y == k for x in {f for w in set(toxicity.WORD.findall(toxicity.lowered(t or ""))) for f in toxicity.beginnings(w)}) for k in (0, 1)]
+    n0, n1 = (f.total() for f in features)
+    weights = {}
+    for x in features[0] | features[1]:
+        y0, y1 = features[0][x], features[1][x]
+        a, a0 = 0.1 * (y0 + y1), 0.1 * (n0 + n1)
+        odds = math.log((y1 + a) / (n1 + a0 - y1 - a)) - math.log((y0 + a) / (n0 + a0 - y0 - a))
+        if y0 + y1 >= 4 and abs(odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))) >= 3:
+            weights[x] = odds
+    assert max(weights.values()) > 0
+    docs = table(spark, sf, "documents")
+    model = queries.toxicity_model(spark, sf, docs)
+    assert model.weights == pytest.approx(weights)
+
+    def segments(text: str) -> tuple[int, list[float]]:
+        words = toxicity.WORD.findall(toxicity.lowered(text or ""))
+        x = [max((weights.get(f, 0.0) for f in toxicity.beginnings(w)), key=abs) or -model.gap for w in words]
+        return len(words), [s for _, _, s in toxicity.maximal_segments(enumerate(x), 0.0)]
+
+    def evidence(n: int, found: list[float]) -> float:
+        each = [model.rate * s - math.log(model.size * max(n, 1)) for s in found]
+        return math.asinh(sum(e for e in each if e > -math.log(0.05)) or max(each))
+
+    got = {r.doc_id: r for r in queries.op8_toxic_segments(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        n, found = segments(t)
+        want = 1 / (1 + math.exp(-model.offset - model.slope * evidence(n, found))) if found else model.none
+        r = got[k]
+        assert (r.score, r.predicted, r.held_out) == (pytest.approx(want), int(want >= 0.7), zlib.crc32(str(k).encode()) % 3 == 1)
+
+
 def test_held_out_toxic_documents_are_told_apart(spark):
     sf = str(DATA / "sf0.1")
     rows = queries.op8_toxic_segments(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
@@ -147,6 +231,8 @@ def test_toxicity_of_odd_rows(spark):
     assert hit.predicted == 1 and bad in hit.text[hit.passages[0].first : hit.passages[0].end]
     assert toxicity.score(documents(spark, []), model).count() == 0
     assert toxicity.fit(sample.limit(0)).probability(0, []) < 0.7  # nothing to learn from
+    mild = toxicity.fit(spark.createDataFrame([(f"the calm river {i}", 0) for i in range(40)] + [(f"the vile river {i}", 1) for i in range(40)], "text string, toxic int"))
+    assert mild.weight("calm") < 0 < mild.weight("vile") and mild.weight("river") == 0
 
 
 # language model
