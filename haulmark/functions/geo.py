@@ -60,3 +60,41 @@ def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column
             hit = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
             crossings = crossings + hit.cast("int")
     return crossings % 2 == 1
+
+
+def ring(*corners: tuple[Column, Column]) -> Column:
+    """A ring of corners, counter-clockwise and not closed: array<struct<x, y>>."""
+    return F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners))
+
+
+def _turns(points: Column) -> Column:
+    """Each corner of a ring beside the next one."""
+    n = F.size(points)
+    pairs = F.transform(points, lambda p, i: F.struct(p.alias("p"), F.get(points, (i + 1) % n).alias("q")))
+    return F.when(n > 0, pairs).otherwise(F.slice(pairs, 1, 0))
+
+
+def ring_area(points: Column) -> Column:
+    """The area in a counter-clockwise ring."""
+    return F.aggregate(_turns(points), F.lit(0.0), lambda a, t: a + (t["p"]["x"] * t["q"]["y"] - t["q"]["x"] * t["p"]["y"]) / 2)
+
+
+def clipped(points: Column, convex: Column) -> Column:
+    """The ring of what lies in both a ring and a convex one: the sides of the convex ring cut it one after another."""
+
+    def cut(own: Column, side: Column) -> Column:
+        a, b = side["p"], side["q"]
+
+        def left_of(p: Column) -> Column:
+            return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+        def kept(t: Column) -> Column:
+            p, q, d, e = t["p"], t["q"], left_of(t["p"]), left_of(t["q"])
+            share = d / F.when(d == e, 1.0).otherwise(d - e)
+            crossing = F.struct((p["x"] + share * (q["x"] - p["x"])).alias("x"), (p["y"] + share * (q["y"] - p["y"])).alias("y"))
+            crosses = (d >= 0) != (e >= 0)
+            return F.when((d >= 0) & crosses, F.array(p, crossing)).when(d >= 0, F.array(p)).when(crosses, F.array(crossing)).otherwise(F.slice(F.array(p), 1, 0))
+
+        return F.flatten(F.transform(_turns(own), kept))
+
+    return F.aggregate(_turns(convex), points, cut)

@@ -24,17 +24,29 @@ def address_key(street: Column, city: Column, state: Column, zipcode: Column) ->
     return F.when(normalize(street) != "", F.concat_ws("|", normalize(street), normalize(city), F.lower(F.trim(state)), F.substring(zipcode, 1, 5)))
 
 
-def speed_kph(tag: Column) -> Column:
-    """The least speed of a tag like '30 mph; 50', in km/h; null if no part is a number."""
-    parts = F.transform(F.split(tag, ";"), lambda p: F.trim(p))
-    each = F.transform(
-        parts,
-        lambda p: F.when(
-            p.rlike(r"^[0-9]+(\.[0-9]+)?( ?(mph|km/h|kph))?$"),
-            F.regexp_extract(p, r"^([0-9]+(?:\.[0-9]+)?)", 1).cast("double") * F.when(p.endswith("mph"), 1.609344).otherwise(1.0),
-        ),
-    )
-    return F.array_min(F.filter(each, lambda x: x.isNotNull()))
+#: Fixed value: kilometres in a mile.
+MILE_KM = 1.609344
+SPEED = r"(?i)^[0-9]+(\.[0-9]+)?\s*(mph|km/h|kph)?$"
+
+
+def speed_tag(tag: Column) -> Column:
+    """struct<kph, status> of a tag like '30 mph', '30 mph; 50' or "['30 mph', '50']".
+
+    The least speed counts, and only if every part is a speed over zero: the first part that isn't
+    one says what is wrong with the tag.
+    """
+    flat = F.when(tag.startswith("["), F.replace(F.regexp_replace(tag, r"[\[\]'\"]", ""), F.lit(","), F.lit(";"))).otherwise(tag)
+    parts = F.filter(F.transform(F.split(flat, ";"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def read(part: Column) -> Column:
+        value = F.regexp_extract(part, r"^([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double") * F.when(F.lower(part).endswith("mph"), MILE_KM).otherwise(1.0)
+        wrong = F.when(~part.rlike(SPEED), "non_numeric_or_conditional").when(value <= 0, "invalid_numeric")
+        return F.struct(value.alias("kph"), wrong.alias("wrong"))
+
+    each = F.transform(parts, read)
+    wrong = F.get(F.filter(F.transform(each, lambda x: x["wrong"]), lambda x: x.isNotNull()), F.lit(0))
+    status = F.when(tag.isNull() | (F.size(parts) == 0), "missing").otherwise(F.coalesce(wrong, F.when(F.size(parts) == 1, "parsed_single").otherwise("parsed_multivalue_conservative_min")))
+    return F.struct(F.when(wrong.isNull(), F.array_min(F.transform(each, lambda x: x["kph"]))).alias("kph"), status.alias("status"))
 
 
 def multivalue(tag: Column) -> Column:

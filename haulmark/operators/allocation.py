@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
 
+from .lineage import settle
+
 
 def largest_remainder(df: DataFrame, keys: list[str], share: str, total: str, label: str) -> DataFrame:
     """`df` with `count`: shares scaled to a key's whole `total`, floors first, the rest to the largest
@@ -32,43 +34,53 @@ def largest_remainder(df: DataFrame, keys: list[str], share: str, total: str, la
 
 
 def rounded_margins(cells: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Whole numbers near `cells` with exactly these row and column sums (of one total).
+    """The whole numbers with exactly these row and column sums (of one total) that are nearest to `cells`
+    in the sum of absolute differences.
 
-    Cells start at their floors. What rows and columns miss is given out a unit at a time, to the
-    cell of the largest fraction first, along paths that may pass a unit of another row on; a cell
-    gets a second unit only where no other way is left.
+    Cells start at their floors; a cell with a fraction f can take one unit, at a cost of 1 - 2 f. What
+    rows and columns miss goes along cheapest augmenting paths, a unit at a time, which gives a flow
+    of least cost. Where the margins ask for more than the fractions can take, the rest goes to whole cells.
     """
-    base = np.maximum(np.floor(cells - 1e-7), 0)
-    fraction, given = cells - base, np.zeros(cells.shape, bool)
-    extra = np.zeros(cells.shape)
-    row_need, column_need = rows - base.sum(1), columns - base.sum(0)
-    for i in range(len(rows)):
-        while row_need[i] > 0:
-            back: dict[int, tuple[int, int]] = {}  # column -> (row that reaches it, the column before)
-            queue, end = deque([(i, -1)]), -1
-            while queue and end < 0:
-                r, before = queue.popleft()
-                for c in np.argsort(-fraction[r], kind="stable").tolist():
-                    if c in back or given[r, c]:
-                        continue
-                    back[c] = (r, before)
-                    if column_need[c] > 0:
-                        end = c
-                        break
-                    queue.extend((k, c) for k in np.flatnonzero(given[:, c]).tolist())
-            if end < 0:
-                end = int(column_need.argmax())
-                extra[i, end] += 1
-            c = end
-            column_need[end] -= 1
-            row_need[i] -= 1
-            while c in back:
-                r, before = back[c]
-                given[r, c] = True
-                if before >= 0:
-                    given[r, before] = False
-                c = before
-    return (base + given + extra).astype(np.int64)
+    given = np.floor(cells + 1e-9)
+    fraction = cells - given
+    order = np.arange(cells.size).reshape(cells.shape) * 1e-12  # of equal costs the first cells
+    cost = np.where(fraction > 1e-9, np.round(1 - 2 * fraction, 9), np.inf) + order
+    taken = np.zeros(cells.shape, bool)
+    row_need, column_need = rows - given.sum(1), columns - given.sum(0)
+    while row_need.sum() > 0.5:
+        near_row = np.where(row_need > 0, 0.0, np.inf)  # cost of the cheapest way to each row and column
+        near_column, from_row, from_column = np.full(len(columns), np.inf), {}, {}
+        for _ in range(len(rows) + len(columns)):
+            ways = np.where(taken, np.inf, near_row[:, None] + cost)
+            best = ways.min(0)
+            closer = np.flatnonzero(best < near_column - 1e-15)
+            near_column[closer] = best[closer]
+            from_row.update(zip(closer.tolist(), ways.argmin(0)[closer].tolist(), strict=True))
+            ways = np.where(taken, near_column[None, :] - np.where(taken, cost, 0), np.inf)
+            best = ways.min(1)
+            closer = np.flatnonzero(best < near_row - 1e-15)
+            near_row[closer] = best[closer]
+            from_column.update(zip(closer.tolist(), ways.argmin(1)[closer].tolist(), strict=True))
+            if not len(closer):
+                break
+        ends = np.where(column_need > 0, near_column, np.inf)
+        c = int(ends.argmin())
+        if ends[c] == np.inf:  # no cell with a fraction is left on any way
+            r, c = int(row_need.argmax()), int(column_need.argmax())
+            given[r, c] += 1
+            row_need[r] -= 1
+            column_need[c] -= 1
+            continue
+        column_need[c] -= 1
+        while True:
+            r = from_row[c]
+            taken[r, c] = True
+            if r not in from_column:
+                break
+            c = from_column[r]
+            taken[r, c] = False
+        row_need[r] -= 1
+    return (given + taken).astype(np.int64)
 
 
 def controlled_rounding(df: DataFrame, group: str, row: str, column: str, share: str) -> DataFrame:
@@ -105,21 +117,23 @@ def controlled_rounding(df: DataFrame, group: str, row: str, column: str, share:
 
 def farthest_seeds(df: DataFrame, group: str, n: int) -> DataFrame:
     """(group, rank, id): points spread by farthest-first choice in each group of (id, x, y); the first is
-    that of the least hash, ties go to the smaller id."""
+    that of the least hash, ties go to the smaller id. Ids are numbers.
 
-    def per_group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
-        at = rows[["x", "y"]].to_numpy(float)
-        chosen = [int(rows["rank_hash"].idxmin())]
-        far = np.hypot(*(at - at[chosen[0]]).T)
-        while len(chosen) < min(n, len(rows)):
-            chosen.append(int(far.argmax()))
-            far = np.minimum(far, np.hypot(*(at - at[chosen[-1]]).T))
-        return pd.DataFrame({group: rows[group].iloc[0], "rank": range(1, len(chosen) + 1), "id": rows["id"].iloc[chosen].to_numpy()})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    hashed = df.withColumn("rank_hash", hashing.stable_long(F.col("id")))
-    return hashed.groupBy(group).applyInPandas(per_group, f"{group} {kinds[group]}, rank long, id {kinds['id']}")
+    Each rank is one aggregate over all points beside the few seeds chosen so far, so a group may have
+    any number of points.
+    """
+    rows = df.select(group, "id", "x", "y")
+    one = F.struct("id", "x", "y")
+    first = rows.groupBy(group).agg(F.min_by(one, F.struct(hashing.stable_long(F.col("id")), "id")).alias("p"))
+    chosen = settle(first.select(group, F.lit(1).cast("bigint").alias("rank"), "p.*"))
+    few = chosen.count() * n <= 1 << 18
+    for rank in range(2, n + 1):
+        seeds = chosen.groupBy(group).agg(F.collect_list(one).alias("seeds"))  # n at most in each
+        beside = rows.join(seeds.hint("broadcast") if few else seeds, group).where(~F.exists("seeds", lambda s: s["id"] == F.col("id")))
+        far = F.array_min(F.transform("seeds", lambda s: F.hypot(F.col("x") - s["x"], F.col("y") - s["y"])))
+        best = beside.groupBy(group).agg(F.max_by(one, F.struct(far, -F.col("id"))).alias("p"))
+        chosen = settle(chosen.union(best.select(group, F.lit(rank).cast("bigint"), "p.*")))
+    return chosen.select(group, "rank", "id")
 
 
 def grown_regions(communities: DataFrame, group: str, quota: float, regions: int) -> DataFrame:

@@ -6,11 +6,17 @@ folder. Recursive SQL isn't used: it allows neither distinct unions nor aggregat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import settle
+from .windows import global_position
+
+
+#: Rounds of paths after which what is known is compacted.
+LOGGED = 8
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -47,19 +53,23 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(source, node, cost): least cost from each source over edges (u, v, w), w >= 0; `sources` has (source, node, cost).
 
-    Only nodes that became cheaper go on to the next round.
+    Only nodes that became cheaper go on to the next round, and only they are written; what is known
+    is a log of such rounds, which is compacted now and then. A round looks up what it has reached.
     """
-    best = settle(sources.groupBy("source", "node").agg(F.min("cost").alias("cost")))
-    frontier = best
+    least = lambda log: reduce(DataFrame.union, log).groupBy("source", "node").agg(F.min("cost").alias("cost"))
+    frontier = settle(sources.groupBy("source", "node").agg(F.min("cost").alias("cost")))
+    log = [frontier]
     for _ in range(rounds):
         reached = frontier.join(edges, frontier.node == edges.u).select("source", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         reached = reached.groupBy("source", "node").agg(F.min("cost").alias("new"))
-        joined = settle(best.join(reached, ["source", "node"], "full_outer"))
-        better = F.col("new") < F.coalesce("cost", F.lit(float("inf")))
-        frontier = joined.where(better).select("source", "node", F.col("new").alias("cost"))
-        best = joined.select("source", "node", F.least(F.coalesce("cost", "new"), F.coalesce("new", "cost")).alias("cost"))
+        known = reduce(DataFrame.union, log).join(reached.select("source", "node"), ["source", "node"], "left_semi")
+        joined = reached.join(known.groupBy("source", "node").agg(F.min("cost").alias("cost")), ["source", "node"], "left")
+        frontier = settle(joined.where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("source", "node", F.col("new").alias("cost")))
         if frontier.isEmpty():
-            return best
+            return least(log)
+        log.append(frontier)
+        if len(log) > LOGGED:
+            log = [settle(least(log))]
     raise RuntimeError("costs did not settle")
 
 
@@ -103,11 +113,9 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def ranked(members: DataFrame, prefix: str) -> DataFrame:
     """`members` (node, component) with the component's size and label: by size down, then smallest node."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
-    # components are ranked by how many are before, summed by size first, so no task sorts them all
-    by_size = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-    before = by_size.alias("a").join(by_size.alias("b"), F.col("b.size") > F.col("a.size"), "left").groupBy(F.col("a.size").alias("size")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    rank = sizes.withColumn("at", F.row_number().over(W.partitionBy("size").orderBy("least"))).join(before, "size")
-    named = rank.select("component", "size", F.format_string("%s%04d", F.lit(prefix), F.col("before") + F.col("at")).alias("label"))
+    # a place in the whole order of components, which no task sorts alone, nor all those of one size
+    placed = global_position(sizes, [F.desc("size"), F.asc("least")])
+    named = placed.select("component", "size", F.format_string("%s%04d", F.lit(prefix), F.col("position") + 1).alias("label"))
     return members.join(named, "component")
 
 

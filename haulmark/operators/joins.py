@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import geo
 
+from .lineage import settle
+
 
 def fill_left(left: DataFrame, right: DataFrame, on: list[str], fills: dict[str, object]) -> DataFrame:
     """Left join; the filled columns of `right` get their default where nothing matched."""
@@ -31,6 +36,7 @@ def relative_gap(value: Column, reference: Column) -> Column:
 
 def asof_latest(marks: DataFrame, events: DataFrame, by: list[str], mark_at: str, event_at: str, values: list[str]) -> DataFrame:
     """Each mark with the last event of its key at or before it (no tolerance, never a later one).
+    Of events at one time that with the largest `values` is the last.
 
     One shuffle and one sort by key: marks and events are one stream in which the last event is
     carried forward, so nothing is multiplied as in a range join.
@@ -38,7 +44,7 @@ def asof_latest(marks: DataFrame, events: DataFrame, by: list[str], mark_at: str
     held = F.struct(*values)
     a = events.select(*by, F.col(event_at).alias("_at"), F.lit(0).alias("_mark"), held.alias("_held"), F.lit(None).cast(marks.schema[mark_at].dataType).alias("_own"))
     b = marks.select(*by, F.col(mark_at).alias("_at"), F.lit(1).alias("_mark"), F.lit(None).cast(a.schema["_held"].dataType).alias("_held"), F.col(mark_at).alias("_own"))
-    run = W.partitionBy(*by).orderBy("_at", "_mark").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy(*by).orderBy("_at", "_mark", "_held").rowsBetween(W.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("_last", F.last("_held", ignorenulls=True).over(run)).where("_mark = 1")
     return both.select(*by, F.col("_own").alias(mark_at), *(F.col("_last")[v].alias(v) for v in values))
 
@@ -64,25 +70,36 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return found.where(F.col("distance") <= radius).select("id", "other", "distance")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, radius: float, rounds: int = 12) -> DataFrame:
+def extent(*sides: DataFrame) -> tuple[float, float]:
+    """The diagonal of the box around the (x, y) rows of all sides, and the mean spacing of the last one's rows in it."""
+    boxes = [s.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("x")).first() for s in sides]
+    some = [b for b in boxes if b[4]]
+    if not some or not boxes[-1][4]:
+        return 0.0, 0.0
+    wide, high = max(b[1] for b in some) - min(b[0] for b in some), max(b[3] for b in some) - min(b[2] for b in some)
+    return math.hypot(wide, high), math.sqrt(max(wide * high, 1e-12) / boxes[-1][4])
+
+
+def nearest_join(left: DataFrame, right: DataFrame, radius: float | None = None) -> DataFrame:
     """The nearest right row of each left row, ties by the smaller id: (id, other, distance).
 
-    Rows that find nothing within the radius go on with four times the radius, so the answer is
-    exact and dense places stay cheap. Every round is an equi-join on cells.
+    Rows that find nothing within the radius (that of the mean spacing, if none is given) go on with
+    four times the radius, until it covers everything, so no row is lost and dense places stay cheap.
+    Every round is an equi-join on cells. Rows without coordinates have no nearest row.
     """
-    parts, rest = [], left
-    for turn in range(rounds):
-        found = radius_join(rest, right, radius * 4**turn)
-        parts.append(found.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("best")))
-        if turn == rounds - 1:
+    reach, spacing = extent(left, right)
+    radius, parts = radius or max(spacing, reach / (1 << 40), 1e-9), []
+    rest = left.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    while True:
+        best = radius_join(rest, right, radius).groupBy("id").agg(F.min(F.struct("distance", "other")).alias("best"))
+        parts.append(settle(best))
+        if radius > reach:
             break
-        rest = rest.join(parts[-1].select("id"), "id", "left_anti")
+        rest = settle(rest.join(parts[-1].select("id"), "id", "left_anti"))
         if rest.isEmpty():
             break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.select("id", F.col("best.other").alias("other"), F.col("best.distance").alias("distance"))
+        radius *= 4
+    return reduce(DataFrame.union, parts).select("id", F.col("best.other").alias("other"), F.col("best.distance").alias("distance"))
 
 
 def contained_join(inner: DataFrame, boxes: DataFrame, size: float) -> DataFrame:

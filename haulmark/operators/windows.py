@@ -7,14 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 
 def upto(keys: list[str], *order: object) -> W:
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
 
-def improving(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Rows whose value is strictly less than all before."""
-    before = F.min(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+def improving(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows whose value is strictly less than all before; `order` is total in a key."""
+    before = F.min(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(value) < F.col("_before"))).drop("_before")
 
 
@@ -29,17 +31,19 @@ def hash_quota(df: DataFrame, cell: list[str], rank: Column, tie: list[str], quo
     return df.withColumn("pick", F.row_number().over(order).cast("bigint")).where(F.col("pick") <= quota)
 
 
-def global_position(df: DataFrame, order: list[str], tasks: int = 8) -> DataFrame:
+def global_position(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """`df` with `position`, 0-based in the whole order.
 
-    Rows are range-partitioned and numbered inside their partition; the partitions' sizes, a row
-    for each, are run over to give each its first number.
+    Rows are range-partitioned (into the session's number of partitions), sorted and numbered where
+    they lie, and kept once, as another run of the range partitioning could draw its bounds
+    elsewhere. The partitions' sizes, a row for each, are run over to give each its first number.
     """
-    sorted_ = df.repartitionByRange(tasks, *order).withColumn("_part", F.spark_partition_id())
-    inside = sorted_.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    first = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_first"))
-    return inside.join(first, "_part").withColumn("position", (F.col("_first") + F.col("_n") - 1).cast("bigint")).drop("_part", "_n", "_first")
+    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    task, inside = F.shiftright("_id", 33).alias("_task"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(task).agg(F.count(F.lit(1)).alias("_size"))
+    first = sizes.select("_task", (F.sum("_size").over(W.orderBy("_task")) - F.col("_size")).alias("_first"))
+    numbered = placed.withColumn("_task", task).join(F.broadcast(first), "_task")  # a row for each partition
+    return numbered.withColumn("position", (F.col("_first") + inside).cast("bigint")).select(*df.columns, "position")
 
 
 def sessions(df: DataFrame, keys: list[str], order: str, starts: Column) -> DataFrame:

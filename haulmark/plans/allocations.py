@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
-from haulmark.operators import allocation, joins
+from haulmark.operators import allocation, joins, windows
 from haulmark.sources.tables import LOCATIONS, locations, points, table
 
 from .registry import query
@@ -109,15 +109,24 @@ def seed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(family.alias("family"), seed("depot").alias("depot_seed"), seed("customers").alias("customer_seed"), seed("depot", "retry", "1").alias("retry_seed"), day.alias("day_type"))
 
 
-@query(f"""WITH c AS (SELECT c_nationkey AS city, least(count(*), 40) AS families FROM customer GROUP BY 1), f AS (SELECT city, families, unnest(range(0, families)) AS ordinal FROM c), d AS (SELECT city, ordinal, families, row_number() OVER (PARTITION BY city ORDER BY {L("CAST(city AS VARCHAR) || '|' || CAST(ordinal AS VARCHAR)")}, ordinal) AS n FROM f),
+@query(f"""WITH c AS (SELECT c_nationkey AS city, count(*) AS families FROM customer GROUP BY 1), f AS (SELECT city, families, unnest(range(0, families)) AS ordinal FROM c), d AS (SELECT city, ordinal, families, row_number() OVER (PARTITION BY city ORDER BY {L("CAST(city AS VARCHAR) || '|' || CAST(ordinal AS VARCHAR)")}, ordinal) AS n FROM f),
   t AS (SELECT city, ordinal, CASE WHEN n <= ceil(families * 5 / 7) THEN 'weekday' ELSE 'weekend' END AS day_type FROM d)
   SELECT city, ordinal, CAST(scale AS INTEGER) AS scale, branch, day_type, 'F' || substr(md5(city || '|' || ordinal), 1, 10) AS family_id FROM t, (SELECT unnest([50, 100, 500]) AS scale), (SELECT unnest(range(0, 10)) AS branch) WHERE branch < 500 // scale""")
 def generation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City by ordinal by scale by branch, with an exact five-to-two quota of day types in a hashed order."""
-    sizes = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("city")).agg(F.least(F.count(F.lit(1)), F.lit(40)).alias("families"))
-    family = sizes.select("city", "families", F.explode(F.expr("sequence(0L, families - 1)")).alias("ordinal"))
-    n = F.row_number().over(W.partitionBy("city").orderBy(hashing.stable_long(F.col("city"), F.col("ordinal")), "ordinal"))
-    typed = family.withColumn("day_type", F.when(n <= F.ceil(F.col("families") * 5 / 7), "weekday").otherwise("weekend"))
+    """City by ordinal by scale by branch, with an exact five-to-two quota of day types in a hashed order.
+
+    A family for each customer. Ordinals and hashed places are places in whole orders less the city's
+    first, so no city's families meet in one task.
+    """
+
+    def placed(df: DataFrame, order: list, name: str) -> DataFrame:
+        rows = windows.global_position(df, ["city", *order])
+        first = rows.groupBy("city").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("families"))
+        return rows.join(first, "city").select(*df.columns, (F.col("position") - F.col("first")).alias(name), "families")
+
+    family = placed(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("city"), "c_custkey"), ["c_custkey"], "ordinal").select("city", "ordinal")
+    typed = placed(family.withColumn("rank", hashing.stable_long(F.col("city"), F.col("ordinal"))), ["rank", "ordinal"], "n")
+    typed = typed.withColumn("day_type", F.when(F.col("n") < F.ceil(F.col("families") * 5 / 7), "weekday").otherwise("weekend"))
     views = F.array(*(F.struct(F.lit(s).alias("scale"), F.lit(b).cast("bigint").alias("branch")) for s in (50, 100, 500) for b in range(500 // s)))
     out = typed.select("city", "ordinal", "day_type", F.explode(views).alias("v"))
     return out.select("city", "ordinal", "v.scale", "v.branch", "day_type", F.concat(F.lit("F"), F.substring(F.md5(hashing.joined(F.col("city"), F.col("ordinal"))), 1, 10)).alias("family_id"))
@@ -140,24 +149,53 @@ def resample_until_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.when(at > 0, at - 1).alias("attempt"), count("early").alias("early"), count("late").alias("late"))
 
 
+#: Most draws of one kind that an order needs, and orders that are drawn at once.
+MOST_UNITS, MOST_PACKAGES, BLOCK = 60, 72, 2048
+
+
+def uniforms(seeds: np.ndarray, stream: int, n: int) -> np.ndarray:
+    """n draws in (0, 1) for each seed: a mixed counter (splitmix64), so the same wherever a row is drawn."""
+    x = seeds.astype(np.uint64)[:, None] + (np.arange(n, dtype=np.uint64) + np.uint64(stream << 20)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
+
+
+def drawn_orders(seeds: np.ndarray, units: np.ndarray) -> dict[str, np.ndarray]:
+    """Packages, volume, service time and window of the orders of these seeds and units.
+
+    Orders of units are binomial and at least one; packages add a negative binomial of two failures an
+    order (a sum of geometric draws); volumes and service times are lognormal, window starts normal.
+    """
+
+    def normal(stream: int, n: int) -> np.ndarray:
+        return np.sqrt(-2 * np.log(uniforms(seeds, stream, n))) * np.cos(2 * np.pi * uniforms(seeds, stream + 1, n))
+
+    def first(n: int, counts: np.ndarray) -> np.ndarray:
+        return np.arange(n) < counts[:, None]
+
+    orders = np.maximum(1, ((uniforms(seeds, 0, MOST_UNITS) < 0.3) & first(MOST_UNITS, units)).sum(1))
+    geometric = np.floor(np.log(uniforms(seeds, 1, 2 * MOST_UNITS)) / np.log(0.2))
+    packages = np.clip(orders + (geometric * first(2 * MOST_UNITS, 2 * orders)).sum(1), 1, MOST_PACKAGES).astype(np.int64)
+    volumes = np.clip(np.exp(7.5 + 0.9 * normal(2, MOST_PACKAGES)), 1, 2e5)
+    start = np.clip(36000 + 5400 * normal(6, 1)[:, 0], 28800, 72000)
+    return {
+        "packages": packages, "volume_cm3": (volumes * first(MOST_PACKAGES, packages)).sum(1), "service_s": np.clip(np.exp(4.0 + 0.5 * normal(4, 1)[:, 0]), 10, 1800),
+        "tw_start_s": np.where(uniforms(seeds, 8, 1)[:, 0] < 0.3, start, np.nan),
+    }
+
+
 @query()
 def sample_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages, volume, service time and window of each order, drawn in Arrow batches from a generator seeded
-    by the order's own key: the same on every partitioning."""
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, seed, units in zip(frame["o_orderkey"], frame["seed"], frame["units"], strict=True):
-                rng = np.random.default_rng(seed)
-                orders = max(1, rng.binomial(units, 0.3))
-                packages = int(np.clip(orders + rng.negative_binomial(2.0 * orders, 2.0 / 2.5), 1, 72))
-                volume = float(np.clip(rng.lognormal(7.5, 0.9, packages), 1, 2e5).sum())
-                service = float(np.clip(rng.lognormal(4.0, 0.5), 10, 1800))
-                start = float(np.clip(rng.normal(36000, 5400), 28800, 72000)) if rng.random() < 0.3 else float("nan")
-                out.append((key, packages, volume, service, start))
-            done = pd.DataFrame(out, columns=["o_orderkey", "packages", "volume_cm3", "service_s", "tw_start_s"])
-            yield done.astype({"tw_start_s": "object"}).where(done.notna(), None)
-
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", hashing.stable_long(F.col("o_orderkey"), F.lit("orders")).alias("seed"), (1 + F.pmod("o_custkey", F.lit(60))).alias("units"))
-    return rows.mapInPandas(draw, "o_orderkey long, packages long, volume_cm3 double, service_s double, tw_start_s double")
+    """Packages, volume, service time and window of each order, drawn in blocks of orders from counters that
+    the order's own key seeds: the same on every partitioning."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(at, BLOCK)
+                out = drawn_orders(some.column(1).to_numpy(), some.column(2).to_numpy())
+                yield pa.record_batch([some.column(0), *(pa.array(x, from_pandas=True) for x in out.values())], ["o_orderkey", *out])
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", hashing.stable_long(F.col("o_orderkey"), F.lit("orders")).alias("seed"), (1 + F.pmod("o_custkey", F.lit(MOST_UNITS))).alias("units"))
+    return rows.mapInArrow(draw, "o_orderkey long, packages long, volume_cm3 double, service_s double, tw_start_s double")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import geo, hashing, text
 from haulmark.operators import graphs, joins, windows
+from haulmark.operators.lineage import settle
 from haulmark.sources.tables import LINKS, LOCATIONS, LONLAT, POINTS, ROADS, STOPS, locations, lonlat, points, roads, stops, table
 
 from .registry import query
@@ -127,6 +130,7 @@ def knn_join_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = seg.select("seg", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("at"), "x1", "y1", "xe", "ye")
     sample = sample.select(F.col("seg").alias("id"), (F.col("x1") + F.col("at") * (F.col("xe") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("at") * (F.col("ye") - F.col("y1"))).alias("y"))
     rest, parts, radius = a.select("id", "x", "y"), [], 400.0
+    furthest = joins.extent(rest, sample)[0]
     fraction = geo.segment_fraction(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("xe"), F.col("ye"))
     foot = lambda p, q: F.col(p) + F.col("f") * (F.col(q) - F.col(p))
     while True:
@@ -134,21 +138,20 @@ def knn_join_1(spark: SparkSession, sf_dir: str) -> DataFrame:
         exact = near.join(rest, "id").join(seg, "seg").withColumn("f", fraction)
         exact = exact.withColumn("distance", F.round(geo.distance(F.col("x"), F.col("y"), foot("x1", "xe"), foot("y1", "ye")), 6))
         best = exact.where(F.col("distance") <= radius).groupBy("id").agg(F.min(F.struct("distance", "seg", "f")).alias("best"))
-        parts.append(best)
-        rest = rest.join(best.select("id"), "id", "left_anti")
-        radius *= 4
-        if radius > 1e6 or rest.isEmpty():
+        parts.append(settle(best))
+        if radius > furthest:
             break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.select(F.col("id").alias("point_id"), "best.seg", "best.distance", F.round("best.f", 6).alias("fraction"))
+        rest = settle(rest.join(parts[-1].select("id"), "id", "left_anti"))
+        if rest.isEmpty():
+            break
+        radius *= 4
+    return reduce(DataFrame.union, parts).select(F.col("id").alias("point_id"), "best.seg", "best.distance", F.round("best.f", 6).alias("fraction"))
 
 
 @query(f"""WITH {SIDES}, d AS (SELECT point_id, other, sqrt((x - x2) ** 2 + (y - y2) ** 2) AS distance FROM a, b),
   r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, other) AS n FROM d) SELECT point_id, other, round(distance, 6) AS distance FROM r WHERE n = 1""")
 def knn_join_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.nearest_join(*_sides(spark, sf_dir), 300.0).select(F.col("id").alias("point_id"), "other", F.round("distance", 6).alias("distance"))
+    return joins.nearest_join(*_sides(spark, sf_dir)).select(F.col("id").alias("point_id"), "other", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {SIDES} SELECT point_id, other, round(sqrt((x - x2) ** 2 + (y - y2) ** 2), 6) AS distance FROM a, b WHERE sqrt((x - x2) ** 2 + (y - y2) ** 2) <= 400 AND point_id % 4 <> other % 4")
@@ -272,12 +275,12 @@ def join_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY 1), m AS (SELECT user_id, day, t0 + to_hours(24 * day) AS at FROM f, (SELECT unnest([1, 3, 7, 14, 28]) AS day)),
-  i AS (SELECT user_id, ts, event_id, value FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR value < before)
+  i AS (SELECT user_id, ts, event_id, value FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR value < before QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
   SELECT m.user_id, CAST(m.day AS INTEGER) AS day, i.event_id, i.value FROM m ASOF LEFT JOIN i ON m.user_id = i.user_id AND m.at >= i.ts""")
 def asof_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incumbent (running best) of each user at fixed checkpoints after the first event."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    best = windows.improving(events, ["user_id"], "ts", "value")
+    best = windows.improving(events, ["user_id"], ["ts", "event_id"], "value")
     first = events.groupBy("user_id").agg(F.min("ts").alias("t0")).select("user_id", "t0", F.explode(F.array(*map(F.lit, [1, 3, 7, 14, 28]))).alias("day"))
     marks = first.select("user_id", (F.col("t0") + F.make_dt_interval(F.col("day"))).alias("at"), "day")
     found = joins.asof_latest(marks.select("user_id", "at"), best, ["user_id"], "at", "ts", ["event_id", "value"])

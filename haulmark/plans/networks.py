@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions import geo
 from haulmark.operators import graphs
-from haulmark.sources.tables import LINKS, LOCATIONS, ROADS, locations, roads, table
+from haulmark.sources.tables import LINKS, LOCATIONS, ROADS, TRADE, locations, roads, table, trade
 
 from .registry import query
 
@@ -24,7 +24,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH g AS (SELECT event_id, user_id, sum(CASE WHEN ts - before <= INTERVAL 12 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)),
   c AS (SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id, part) AS component, count(*) OVER (PARTITION BY user_id, part) AS size FROM g),
   r AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS rank FROM (SELECT DISTINCT component, size FROM c WHERE size > 1))
-  SELECT node, component, size, 'W' || CASE WHEN rank < 10000 THEN lpad(CAST(rank AS VARCHAR), 4, '0') ELSE substr(CAST(rank AS VARCHAR), 1, 4) END AS label FROM c JOIN r USING (component, size)""")
+  SELECT node, component, size, 'W' || lpad(CAST(rank AS VARCHAR), greatest(4, length(CAST(rank AS VARCHAR)))::INTEGER, '0') AS label FROM c JOIN r USING (component, size)""")
 def wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak components of events that follow within twelve hours, labelled by size and smallest member."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -33,16 +33,17 @@ def wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.ranked(member, "W").select("node", "component", "size", "label")
 
 
-#: Roads one way only where lengths say so, so that there are several strong components.
-SOME = f"{LINKS}, picked AS (SELECT u, v, w FROM links WHERE (u + v) % 3 <> 0 AND (u < v OR u % 4 <> 1))"
-SOME_WHERE = "(u + v) % 3 <> 0 AND (u < v OR u % 4 <> 1)"
+#: Of two ways between cities the longer one is closed.
+SOME = f"{LINKS}, picked AS (SELECT l.u, l.v, l.w FROM links l LEFT JOIN links r ON r.u = l.v AND r.v = l.u WHERE r.w IS NULL OR l.w <= r.w)"
 
 
 @query(f"""WITH RECURSIVE {SOME}, reach AS (SELECT n_nationkey AS a, n_nationkey AS b FROM nation UNION SELECT a, picked.v FROM reach JOIN picked ON b = picked.u),
   c AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1), s AS (SELECT component, count(*) AS size FROM c GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS rank FROM s)
-  SELECT node, component, size, 'S' || lpad(CAST(rank AS VARCHAR), 4, '0') AS label FROM c JOIN r USING (component)""")
+  SELECT node, component, size, 'S' || lpad(CAST(rank AS VARCHAR), greatest(4, length(CAST(rank AS VARCHAR)))::INTEGER, '0') AS label FROM c JOIN r USING (component)""")
 def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _links(spark, sf_dir).where(SOME_WHERE).select("u", "v")
+    links = _links(spark, sf_dir)
+    back = links.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("w").alias("back"))
+    edges = links.join(back, ["u", "v"], "left").where(F.col("back").isNull() | (F.col("w") <= F.col("back"))).select("u", "v")
     return graphs.ranked(graphs.strong_components(edges, _nodes(spark, sf_dir)), "S").select("node", "component", "size", "label")
 
 
@@ -52,13 +53,30 @@ def _paths_sql(edges: str, starts: str, hops: int = 30) -> str:
   best AS (SELECT source, node, min(cost) AS cost FROM walk GROUP BY 1, 2)"""
 
 
-@query(f"WITH RECURSIVE {LINKS}, {_paths_sql('links', 'SELECT n_nationkey AS source, n_nationkey AS node, 0.0::DOUBLE AS cost FROM nation WHERE n_nationkey % 5 = 0')} SELECT source, node, cost FROM best")
+@query(f"WITH RECURSIVE {LINKS}, {_paths_sql('links', 'SELECT min(n_nationkey) AS source, min(n_nationkey) AS node, 0.0::DOUBLE AS cost FROM nation GROUP BY n_regionkey')} SELECT source, node, cost FROM best")
 def sssp_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distances from five sources at once."""
-    starts = _nodes(spark, sf_dir).where("node % 5 = 0").select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"))
+    """Least distances from the first city of each region, all sources at once."""
+    first = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("node"))
+    starts = first.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"))
     return graphs.shortest(_links(spark, sf_dir), starts)
 
 
+@query(f"WITH RECURSIVE {TRADE}, {_paths_sql('trade', 'SELECT min(s_suppkey) * 2 + 1 AS source, min(s_suppkey) * 2 + 1 AS node, 0.0::DOUBLE AS cost FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey', 40)} SELECT source, node, cost FROM best")
+def sssp_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least costs from the first supplier of each region over the graph of all customers and suppliers."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    first = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").groupBy("n_regionkey").agg((F.min("s_suppkey") * 2 + 1).alias("node"))
+    return graphs.shortest(graphs.settle(trade(spark, sf_dir)), first.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")))
+
+
+@query()
+def scc_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong components of the graph of all customers and suppliers."""
+    edges = graphs.settle(trade(spark, sf_dir).select("u", "v"))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return graphs.ranked(graphs.strong_components(edges, nodes), "S").select("node", "component", "size", "label")
+
+
 @query(f"""WITH RECURSIVE {LINKS}, back AS (SELECT v AS u, u AS v, w FROM links), {_paths_sql('links', 'SELECT 0 AS source, 0 AS node, 0.0::DOUBLE AS cost')},
   walk2(source, node, cost, hop) AS (SELECT 0, 0, 0.0::DOUBLE, 0 UNION ALL SELECT source, v, min(cost + w), any_value(hop) + 1 FROM walk2 JOIN back ON node = u WHERE hop < 30 GROUP BY source, v), best2 AS (SELECT source, node, min(cost) AS cost FROM walk2 GROUP BY 1, 2)
   SELECT n_nationkey AS node, best.cost AS outward, best2.cost AS inward FROM nation LEFT JOIN best ON best.node = n_nationkey LEFT JOIN best2 ON best2.node = n_nationkey""")
@@ -117,6 +135,24 @@ def sssp_turn_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.shortest(line, starts).groupBy("source", (F.col("node") % 100).alias("target")).agg(F.min("cost").alias("cost"))
 
 
+#: How each day type weighs a road.
+PROFILES = {0: 1.0, 1: 1.25}
+REWEIGHED = f"""{PLACED}, profile AS (SELECT unnest([0, 1]) AS p, unnest([1.0, 1.25])::DOUBLE AS f), line2 AS (SELECT p * 10000 + a AS u, p * 10000 + b AS v, turns.w * f + (line.w - turns.w) AS w FROM turns JOIN line ON line.u = turns.a AND line.v = turns.b, profile)"""
+
+
+@query(f"""WITH RECURSIVE {REWEIGHED}, {_paths_sql('line2', 'SELECT p AS source, p * 10000 + edge AS node, w * f AS cost FROM e, profile WHERE u = 0', 60)} SELECT source AS profile, node % 100 AS target, round(min(cost), 6) AS cost FROM best GROUP BY 1, 2""")
+def reweighted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One topology of turns, kept once and weighed anew for each day type; both are searched in the same rounds."""
+    edges = graphs.settle(_placed(spark, sf_dir))
+    turns = graphs.settle(graphs.line_graph(edges.withColumn("w", F.lit(0.0)), geo.turn_penalty_s(geo.turn_delta(F.col("a_angle"), F.col("b_angle")))))
+    profile = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(f).alias("f")) for p, f in PROFILES.items()))).alias("x")
+    weighed = edges.select("u", "edge", "w", profile).select("u", "edge", F.col("x.p").alias("p"), (F.col("w") * F.col("x.f")).alias("cost"))
+    line = turns.join(weighed, turns.b == weighed.edge).select((F.col("p") * 10000 + F.col("a")).alias("u"), (F.col("p") * 10000 + F.col("b")).alias("v"), (F.col("cost") + F.col("w")).alias("w"))
+    starts = weighed.where("u = 0").select(F.col("p").alias("source"), (F.col("p") * 10000 + F.col("edge")).alias("node"), "cost")
+    found = graphs.shortest(graphs.settle(line), starts)
+    return found.groupBy(F.col("source").alias("profile"), (F.col("node") % 100).alias("target")).agg(F.round(F.min("cost"), 6).alias("cost"))
+
+
 @query(f"WITH {LINKS} SELECT u // 5 AS a, v // 5 AS b, min(w) AS w, count(*) AS n FROM links WHERE u // 5 <> v // 5 GROUP BY 1, 2")
 def community_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = _nodes(spark, sf_dir).select("node", F.floor(F.col("node") / 5).cast("int").alias("g"))

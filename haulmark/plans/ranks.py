@@ -65,7 +65,7 @@ def win_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id, value FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR value < before""")
 def win_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.improving(table(spark, sf_dir, "events"), ["user_id"], "ts", "value").select("user_id", "event_id", "value")
+    return windows.improving(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id", "value")
 
 
 @query(f"WITH {STOPS}, {ROUTES} SELECT route_id, pos, u, v FROM (SELECT route_id, pos, station_id AS u, lead(station_id) OVER (PARTITION BY route_id ORDER BY pos) AS v FROM s) WHERE v IS NOT NULL")

@@ -34,14 +34,18 @@ def fn_slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
-@query("""WITH t AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || ' mph' WHEN 2 THEN p_size || ' mph; ' || (p_size + 3) WHEN 3 THEN 'none' ELSE 'signals;' || p_size || 'km/h' END AS tag, p_size AS s FROM part)
-  SELECT p_partkey, tag, round(CASE s % 5 WHEN 0 THEN s::DOUBLE WHEN 1 THEN s * 1.609344::DOUBLE WHEN 2 THEN least(s * 1.609344::DOUBLE, (s + 3)::DOUBLE) WHEN 4 THEN s::DOUBLE END, 6) AS kph, CASE WHEN s % 5 = 3 THEN 'unparsed' ELSE 'parsed' END AS status FROM t""")
+@query("""WITH t AS (SELECT p_partkey, p_size AS s, p_size::VARCHAR AS v, (p_size + 3)::VARCHAR AS w, p_size % 8 AS k FROM part)
+  SELECT p_partkey, CASE k WHEN 0 THEN v WHEN 1 THEN v || ' MPH' WHEN 2 THEN v || ' mph; ' || w WHEN 3 THEN 'none' WHEN 4 THEN 'signals;' || v || 'km/h' WHEN 5 THEN w || ';0 mph' WHEN 6 THEN '[' || chr(39) || v || ' mph' || chr(39) || ', ' || chr(39) || w || '.5' || chr(39) || ']' END AS tag,
+    round(CASE k WHEN 0 THEN s::DOUBLE WHEN 1 THEN s * 1.609344::DOUBLE WHEN 2 THEN least(s * 1.609344::DOUBLE, (s + 3)::DOUBLE) WHEN 6 THEN least(s * 1.609344::DOUBLE, s + 3.5::DOUBLE) END, 6) AS kph,
+    CASE k WHEN 0 THEN 'parsed_single' WHEN 1 THEN 'parsed_single' WHEN 2 THEN 'parsed_multivalue_conservative_min' WHEN 6 THEN 'parsed_multivalue_conservative_min' WHEN 5 THEN 'invalid_numeric' WHEN 7 THEN 'missing' ELSE 'non_numeric_or_conditional' END AS status FROM t""")
 def fn_parse_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, size = F.col("p_size") % 5, F.col("p_size").cast("string")
-    tag = F.when(s == 0, size).when(s == 1, F.concat(size, F.lit(" mph"))).when(s == 2, F.concat(size, F.lit(" mph; "), (F.col("p_size") + 3).cast("string"))).when(s == 3, "none").otherwise(F.concat(F.lit("signals;"), size, F.lit("km/h")))
+    """Tags of eight kinds: single, in miles, several, none, conditional, zero, a list, missing."""
+    v, w = F.col("p_size").cast("string"), (F.col("p_size") + 3).cast("string")
+    kinds = [v, F.concat(v, F.lit(" MPH")), F.concat(v, F.lit(" mph; "), w), F.lit("none"), F.concat(F.lit("signals;"), v, F.lit("km/h")), F.concat(w, F.lit(";0 mph")), F.concat(F.lit("['"), v, F.lit(" mph', '"), w, F.lit(".5']"))]
+    tag = F.get(F.array(*kinds), (F.col("p_size") % 8).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", tag.alias("tag"))
-    kph = text.speed_kph(F.col("tag"))
-    return rows.select("p_partkey", "tag", F.round(kph, 6).alias("kph"), F.when(kph.isNull(), "unparsed").otherwise("parsed").alias("status"))
+    speed = text.speed_tag(F.col("tag"))
+    return rows.select("p_partkey", "tag", F.round(speed["kph"], 6).alias("kph"), speed["status"].alias("status"))
 
 
 @query("""SELECT p_partkey, string_split(p_name, ' ')[1] AS first, len(string_split(p_name, ' ')) AS n, array_to_string(string_split(p_name, ' '), '+') AS joined FROM part""")

@@ -46,3 +46,31 @@ def matrices(spark: SparkSession, path: str, rows: int = 1 << 16) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(cells, "file string, i long, j long, value double")
+
+
+def sql_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(table, values) of the tuples in a SQL dump, one tuple a line: values are trimmed and unquoted texts.
+
+    A record is what one INSERT statement brings, so a tuple knows its table without looking back over
+    lines; what follows UNLOCK TABLES belongs to none, and other lines are left out.
+    """
+    parts = spark.read.option("lineSep", "INSERT INTO `").text(path)
+    named = parts.select(F.regexp_extract("value", r"^(\w+)` VALUES", 1).alias("table"), F.split("value", "\nUNLOCK TABLES")[0].alias("body")).where("table <> ''")
+    lines = named.select("table", F.explode(F.split("body", "\n")).alias("line")).select("table", F.regexp_replace(F.trim("line"), "[,;]+$", "").alias("line"))
+    inner = lines.where(F.col("line").startswith("(") & F.col("line").endswith(")"))
+    values = F.split(F.expr("substr(line, 2, length(line) - 2)"), ",")
+    return inner.select("table", F.transform(values, lambda v: F.regexp_replace(F.trim(v), "^'+|'+$", "")).alias("values"))
+
+
+def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table by the suffix of its path: csv with a header, parquet, JSON lines, or GeoJSON features' properties."""
+    suffix = path.rstrip("/").rpartition(".")[2].lower()
+    if suffix == "csv":
+        return spark.read.option("header", True).schema(schema).csv(path)
+    if suffix == "parquet":
+        return spark.read.schema(schema).parquet(path)
+    if suffix in ("json", "jsonl", "ndjson"):
+        return spark.read.schema(schema).json(path)
+    if suffix == "geojson":
+        return tolerant_json_lines(spark, path, f"type string, properties struct<{schema}>", "properties").select("properties.*")
+    raise ValueError(f"no reader for .{suffix}: {path}")

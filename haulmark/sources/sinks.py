@@ -33,3 +33,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def markdown_row(*columns: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *(c.cast("string") for c in columns)), F.lit(" |"))
+
+
+def json_report(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, report): each row as a JSON object whose names are sorted."""
+    return df.select(*keys, F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("report"))

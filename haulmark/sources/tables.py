@@ -21,6 +21,14 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def picked(df: DataFrame, **aliases: list[str]) -> DataFrame:
+    """Columns by their names here, each from the first of its aliases that `df` has."""
+    found = {name: next((c for c in known if c in df.columns), None) for name, known in aliases.items()}
+    if missing := [f"{name} ({', '.join(aliases[name])})" for name, c in found.items() if c is None]:
+        raise ValueError(f"columns are missing: {'; '.join(missing)}")
+    return df.select(*(F.col(c).alias(name) for name, c in found.items()))
+
+
 def eligible(df: DataFrame, gate: str, *columns: str) -> DataFrame:
     """Rows whose gate is true (null is false), with the columns asked for; the gate itself is read but dropped."""
     return require(df, gate, *columns).where(F.coalesce(F.col(gate).cast("boolean"), F.lit(False))).select(*columns)
@@ -85,13 +93,28 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer, supplier = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = item.join(order, item.l_orderkey == order.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    joined = joined.where((F.col("c_nationkey") != F.col("s_nationkey")) & (F.pmod(F.col("c_nationkey") * 5 + F.col("s_nationkey") * 3, F.lit(7)) < 3))
+    joined = joined.where(F.col("c_nationkey") != F.col("s_nationkey"))
     return joined.groupBy(F.col("c_nationkey").alias("u"), F.col("s_nationkey").alias("v"), F.substring("o_orderpriority", 1, 1).cast("int").alias("key")).agg(
         F.min(F.col("l_quantity") * 100 + F.pmod(F.col("l_partkey"), F.lit(97))).alias("length_m"), F.count(F.lit(1)).alias("trips"))
 
 
 ROADS = """roads AS (SELECT c_nationkey AS u, s_nationkey AS v, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS key, min(l_quantity * 100 + l_partkey % 97) AS length_m, count(*) AS trips
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey <> s_nationkey AND (c_nationkey * 5 + s_nationkey * 3) % 7 < 3 GROUP BY 1, 2, 3)"""
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2, 3)"""
 #: One edge for each pair: the shortest, of the smallest key.
 LINKS = ROADS + ", links AS (SELECT u, v, min(length_m) AS w FROM roads GROUP BY u, v)"
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges (u, v, w) between customers (even nodes) and suppliers (odd nodes), which grow with the
+    data: goods go to the customer, returned ones back; of parallel edges the least quantity."""
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    joined = item.join(order, item.l_orderkey == order.o_orderkey)
+    customer, supplier, back = F.col("o_custkey") * 2, F.col("l_suppkey") * 2 + 1, F.col("l_returnflag") == "R"
+    edges = joined.select(F.when(back, customer).otherwise(supplier).alias("u"), F.when(back, supplier).otherwise(customer).alias("v"), "l_quantity")
+    return edges.groupBy("u", "v").agg(F.min("l_quantity").cast("double").alias("w"))
+
+
+TRADE = """trade AS (SELECT CASE WHEN l_returnflag = 'R' THEN o_custkey * 2 ELSE l_suppkey * 2 + 1 END AS u, CASE WHEN l_returnflag = 'R' THEN l_suppkey * 2 + 1 ELSE o_custkey * 2 END AS v,
+  CAST(min(l_quantity) AS DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
