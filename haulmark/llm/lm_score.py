@@ -6,6 +6,7 @@ which one expectation-maximisation pass over the training words then fits. A wor
 start piece (marked) and goes on with inner pieces until it stops, so that the lattice is a
 distribution over words. Words seen in training have, beside the lattice, one arc for the whole
 word: P(w) = (c + V * lattice(w)) / (N + V + 1), the Witten-Bell mixture; the end token has (c + 1) / (N + V + 1).
+Without training V counts as 1, so that the probabilities of words and end still sum to 1.
 
 What is gathered from the corpus is a table of all distinct words, kept by Spark. Only words that
 make up at least one part in `HEAVY` of the training tokens are sent to the tasks, and so at most
@@ -199,7 +200,9 @@ def score(docs: DataFrame, held_out: F.Column, vocabulary: str, text: str = "tex
 
     `held_out` says which rows the model doesn't learn from. Null and empty texts are the end token
     alone; repeated rows are scored each; an empty table gives an empty table; without any training
-    row N and V are 0 and every token is unknown. Other columns are left out.
+    row N and V are 0, every token is unknown and words are scored by the lattice. Very long texts and
+    words are scored whole; words that occur equally often tie in `base_score`; other columns are left
+    out. `docs` is read several times and has to give the same rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -210,7 +213,8 @@ def score(docs: DataFrame, held_out: F.Column, vocabulary: str, text: str = "tex
     ends = docs.where(~F.col("held")).count()
     n, v = (n_words or 0) + ends, (v_words or 0) + (ends > 0)
     lattice = Shared(spark, fit(words, pieces, first_lattice(pieces)))
-    denominator, mixed = math.log10(n + (v + 1)), math.log10(n + v + 1)
+    share = max(v, 1)  # of the lattice
+    denominator, mixed = math.log10(n + (v + 1)), math.log10(n + share + 1)
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice.value
@@ -218,7 +222,7 @@ def score(docs: DataFrame, held_out: F.Column, vocabulary: str, text: str = "tex
             found = pa.array([model.log_marginal(_text(w)) for w in batch.column(0).to_pylist()], pa.float64())
             yield pa.record_batch([batch.column(0), batch.column(1), found], ["word", "c", "lm"])
 
-    floor = F.lit(math.log(max(v, 1)))
+    floor = F.lit(math.log(share))
     # log10 of (c + v * exp(lm)) / (n + v), also where exp(lm) is 0 in a double
     mixture = F.when(F.col("c") > 0, F.log10(F.col("c") + F.exp(floor + F.col("lm")))).otherwise((floor + F.col("lm")) / math.log(10)) - mixed
     scored = words.mapInArrow(marginals, "word binary, c long, lm double").select(
@@ -227,7 +231,7 @@ def score(docs: DataFrame, held_out: F.Column, vocabulary: str, text: str = "tex
     least = max(2, -(-n // HEAVY))
     heavy = spark.sparkContext.broadcast({bytes(r.word): (r.base, r.score) for r in scored.where(F.col("c") >= least).toLocalIterator()})
     end_base = math.log10(ends + 1) - denominator
-    end_score = math.log10((ends + 1) / (n + v + 1))
+    end_score = math.log10((ends + 1) / (n + share + 1))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = heavy.value

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -137,6 +138,77 @@ def test_media_of_random_bytes_and_broken_files():
             media.decode_many([broken])
 
 
+def foreign_jpeg(width: int, height: int, parts: list[tuple[int, int, list]], quantiser: int, wide: bool, restart: int) -> bytes:
+    """A baseline file by its own writer: parts (h, v, blocks in MCU order of DC and AC runs), one Huffman table
+    of 8-bit codes for DC sizes and AC symbols alike."""
+    symbols = [*range(12), *(r << 4 | s for r in range(3) for s in range(1, 5)), 0xF0]
+    symbols = list(dict.fromkeys(symbols))
+    code = {s: f"{i:08b}" for i, s in enumerate(symbols)}
+
+    def number(v: int) -> tuple[int, str]:
+        size = abs(v).bit_length()
+        return size, f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else ""
+
+    table = lambda kind: struct.pack(">HB", 19 + len(symbols), kind) + bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols)
+    segments = [b"\xff\xd8", b"\xff\xe0" + struct.pack(">H", 7) + b"other", b"\xff\xdb" + (struct.pack(">HB", 131, 16) + struct.pack(">64H", *[quantiser] * 64) if wide else struct.pack(">HB", 67, 0) + bytes([quantiser] * 64))]
+    segments.append(b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * len(parts), 8, height, width, len(parts)) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v, _) in enumerate(parts)))
+    segments += [b"\xff\xc4" + table(0), b"\xff\xc4" + table(16)]
+    if restart:
+        segments.append(b"\xff\xdd" + struct.pack(">HH", 4, restart))
+    segments.append(b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(parts), len(parts)) + b"".join(bytes([i + 1, 0]) for i in range(len(parts))) + b"\x00\x3f\x00")
+    per = [h * v if len(parts) > 1 else 1 for h, v, _ in parts]
+    mcus, scan, bits, last = len(parts[0][2]) // per[0], b"", "", [0] * len(parts)
+
+    def flushed() -> bytes:
+        raw = bits + "1" * (-len(bits) % 8)
+        return int(raw, 2).to_bytes(len(raw) // 8, "big").replace(b"\xff", b"\xff\x00") if raw else b""
+
+    for m in range(mcus):
+        if restart and m and m % restart == 0:
+            scan += flushed() + bytes([0xFF, 0xD0 + (m // restart - 1) % 8])
+            bits, last = "", [0] * len(parts)
+        for k, (_, _, blocks) in enumerate(parts):
+            for dc, ac in blocks[m * per[k] : (m + 1) * per[k]]:
+                size, raw = number(dc - last[k])
+                bits, last[k] = bits + code[size] + raw, dc
+                for run, value in ac:
+                    for _ in range(run // 16):
+                        bits += code[0xF0]
+                    size, raw = number(value)
+                    bits += code[(run % 16) << 4 | size] + raw
+                bits += code[0]
+    return b"".join(segments) + scan + flushed() + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("h", "v", "wide", "restart"), [(1, 1, False, 0), (2, 1, False, 2), (2, 2, True, 0), (1, 2, False, 1)])
+def test_files_of_other_writers_are_read(h, v, wide, restart):
+    rng = random.Random(h * 7 + v)
+    across, down = 3, 2  # MCUs
+    width, height = across * 8 * h - 3, down * 8 * v - 5
+    ac = lambda: [(rng.choice([0, 1, 2, 16, 18]), rng.choice([1, -1, 3, -9])) for _ in range(rng.randint(0, 3))]
+    plane = [[rng.randint(-60, 60) for _ in range(across * h)] for _ in range(down * v)]
+    luma = [(plane[y * v + j][x * h + i], ac()) for y in range(down) for x in range(across) for j in range(v) for i in range(h)]
+    chroma = [[(rng.randint(-40, 40), ac()) for _ in range(across * down)] for _ in range(2)]
+    file = foreign_jpeg(width, height, [(h, v, luma), (1, 1, chroma[0]), (1, 1, chroma[1])], 16, wide, restart)
+    (thumb,), = media.decode_many([file])
+    want = [[max(0, min(255, x * 16 // 8 + 128)) for x in row[: -(-width // 8)]] for row in plane[: -(-height // 8)]]
+    assert (thumb.width, thumb.height, thumb.luma.tolist()) == (width, height, want)
+    grey = [(x, ac()) for row in plane for x in row]
+    (thumb,), = media.decode_many([foreign_jpeg(across * h * 8, down * v * 8, [(1, 1, grey)], 8, wide, restart)])
+    assert thumb.luma.tolist() == [[x + 128 for x in row] for row in plane]
+
+
+def test_features_are_those_of_plain_python(spark):
+    texts = [(1, "x" * 64), (2, "the quick brown fox " * 40), (3, ""), (4, "é" * 3000)]
+    got = {r.doc_id: r.feature for r in media.read_column(media.encode_column(documents(spark, texts))).collect()}
+    for k, t in texts:
+        payload = t.encode() + bytes(-len(t.encode()) % 64 or (0 if t else 64))
+        rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+        cells = [[rows[j * len(rows) // 8][i * 64 // 9] for i in range(9)] for j in range(8)]
+        bits = "".join(str(int(b > a)) for row in cells for a, b in itertools.pairwise(row))
+        assert got[k] == f"512x{8 * len(rows)}:{int(bits, 2):016x}"
+
+
 # toxicity
 def brute_best(scores: dict[int, float], n: int, gap: float) -> float:
     x = [scores.get(i, -gap) for i in range(n)]
@@ -255,6 +327,35 @@ def test_base_scores_equal_plain_counts(spark):
     assert lm_score.score(documents(spark, []), held, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_scores_equal_brute_force(spark):
+    """Every score again from the words, the fitted lattice and the formula of the mixture."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    rows += [(10**6, None), (10**6 + 1, "zqxj zqxj \u4e2d\u6587"), (10**6 + 1, "zqxj zqxj \u4e2d\u6587"), (10**6 + 2, "w" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (F.col("doc_id") % 5 == 2, F.lit(True)):
+        learn = [lm_score.lower_words(t) for k, t in rows if k % 5 != 2] if "doc_id" in str(held) else []
+        c, ends = Counter(w for ws in learn for w in ws), len(learn)
+        n, v = c.total() + ends, len(c) + (ends > 0)
+        pieces = lm_score.load_pieces(path)
+        before, into = lm_score.first_lattice(pieces), {}
+        for word in c:
+            before.expect(word.decode(), into)
+        lattice = lm_score.normalised(into, pieces)
+
+        def point(word: bytes) -> float:
+            lattice_share = math.log(max(v, 1)) + lattice.log_marginal(word.decode())
+            return (math.log10(c[word] + math.exp(lattice_share)) if c[word] else lattice_share / math.log(10)) - math.log10(n + max(v, 1) + 1)
+
+        end = math.log10((ends + 1) / (n + max(v, 1) + 1))
+        got = Counter((r.doc_id, r.n_tokens, r.train_tokens, round(r.score, 5)) for r in lm_score.score(docs, held, path).collect())
+        want = Counter((k, len(lm_score.lower_words(t)) + 1, n, round(sum(map(point, lm_score.lower_words(t))) + end, 5)) for k, t in rows)
+        assert {(k, t, m): s for k, t, m, s in got} == pytest.approx({(k, t, m): s for k, t, m, s in want}, abs=2e-5)
+        assert sum(got.values()) == len(rows)
+        # words and end: what is known, the lattice's share of the rest, and the end
+        assert (c.total() + max(v, 1) + ends + 1) / (n + max(v, 1) + 1) == pytest.approx(1)
+
+
 def test_marginals_sum_over_all_segmentations():
     pieces = {"▁a": -1.0, "▁ab": -2.0, "b": -1.5, "c": -1.0, "bc": -3.0, "▁": -4.0, "a": -2.5} | {f"<0x{i:02X}>": -9.0 for i in range(256)}
     lattice = lm_score.first_lattice(pieces)
