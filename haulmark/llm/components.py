@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,10 +25,13 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = materialize(small)
         same = after.count() == now.count() and after.exceptAll(now).isEmpty()
+        forget(now)
         now = after
         if same:
             break
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp"))
-    return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots).distinct())
+    out = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots).distinct())
+    forget(now)
+    return out

@@ -12,13 +12,16 @@ and what stays is counted over the whole sets.
 A large group of near copies would fill its columns with pairs. Columns first link their documents
 to one pivot each, that with the largest share of frequent shingles: of near copies the least edited.
 What becomes connected that way needs no further pairs, as only components are asked for. Pairs whose
-parities (1024 bits of each set) differ in more places than sets that link can are dropped where they
+parities (256 bits of each set) differ in more places than sets that link can are dropped where they
 arise. Then every pair of different components that shares a column is looked at, so no link
-between components is lost. Frequent columns are split by salt, and pairs of frequent pivots too.
+between components is lost. In the first turn frequent columns are split by salt, and pairs of
+frequent pivots too; in the second, columns of many sets are split by sizes (only like sizes link)
+and dealt to tiles, so that each pair meets in one tile and no task holds a whole column.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep_keys, materialize, row_chunks, text_bytes
+from .common import few_bytes, forget, keep_keys, materialize, row_chunks, small_batches, text_bytes
 from .components import connected
 from .shingles import U, mix, shingle_sets
 
@@ -40,13 +43,17 @@ FREQUENT, LEAST = 1 << 18, 8
 #: Shingles with hashes under COUNTED are counted exactly; of the others, those that are LEAST_SEEN times in a task's BUFFER.
 COUNTED = U(int(0.4 * 2**64))
 BUFFER, LEAST_SEEN = 1 << 20, 4
-#: Documents of a frequent column that are dealt to one part, and pairs of a pivot.
-PART = 4096
+#: Documents of a frequent column that are dealt to one part, pairs of a pivot, and sets of a column on one side of a tile.
+PART, PAIRS, TILE = 4096, 256, 256
+#: Sizes in ratios over 4/3 are at least one class apart, and sets that link at most one.
+CLASS = math.log(1.34)
+#: Rows whose parities are counted at once.
+COUNT_ROWS = 512
 #: Words of 64 bits that hold the parities of a set's shingles by their hash.
-WORDS = 16
+WORDS = 4
 PARITIES = [f"b{i}" for i in range(WORDS)]
 #: Sets that a task remembers to have passed on.
-SEEN = 1 << 20
+SEEN = 1 << 17
 
 
 def needed(na: Column, nb: Column) -> Column:
@@ -86,8 +93,12 @@ def describe(docs: DataFrame) -> DataFrame:
                 begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                 check[row[begin]] = np.bitwise_xor.reduceat(mix(hashes * U(3) + U(1)), begin)
             bit = ((hashes >> U(20)) % U(64 * WORDS)).astype(np.int64)
-            odd = np.bincount(row * 64 * WORDS + bit, minlength=len(sizes) * 64 * WORDS) & 1
-            words = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), WORDS)
+            words = np.zeros((len(sizes), WORDS), np.int64)
+            for low in range(0, len(sizes), COUNT_ROWS):
+                a, b = np.searchsorted(row, (low, low + COUNT_ROWS))
+                some = words[low : low + COUNT_ROWS]
+                odd = np.bincount((row[a:b] - low) * 64 * WORDS + bit[a:b], minlength=some.size * 64).astype(np.uint8) & 1
+                some[:] = np.packbits(odd).view(np.int64).reshape(some.shape)
             yield pa.record_batch([rows.column(0), pa.array(node), pa.array(check.view(np.int64)), pa.array(sizes), *(pa.array(w) for w in words.T.copy())], names)
 
     names = ["key", "node", "check", "n", *PARITIES]
@@ -144,6 +155,7 @@ def frequencies(docs: DataFrame) -> dict[str, np.ndarray]:
             break
         least = b.low
     rows = sorted((r.h % (1 << 64), r.n) for r in sums.where(F.col("n") >= least).collect()) if least else []
+    forget(sums)
     return {"h": np.array([h for h, _ in rows], np.uint64), "n": np.array([n for _, n in rows], np.int64)}
 
 
@@ -182,8 +194,8 @@ def columns(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
     return docs.select("text").mapInArrow(per_batch, "h long, part int, node long, n int, pull int")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the (node, key) asked for."""
+def whole_sets(docs: DataFrame, keys: DataFrame, lone: DataFrame) -> DataFrame:
+    """(node, shingles) of the texts under `keys`, and of the nodes of `lone` among those without a key."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unmet = Unmet()
@@ -196,28 +208,31 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def sets(some: DataFrame) -> DataFrame:
         return some.select("text").mapInArrow(per_batch, "node long, shingles array<long>")
 
-    asked = materialize(nodes.select("node", "key").distinct())
-    found = sets(keep_keys(docs, materialize(asked.where("key is not null").select("key").distinct()), "key"))
+    found = sets(keep_keys(docs, keys, "key"))
     # no join finds null keys: of all texts under them, the sets asked for stay
-    lone = materialize(asked.where("key is null").select("node"))
     if not lone.isEmpty():
         found = found.union(keep_keys(sets(docs.where("key is null")), lone, "node"))
     return found.dropDuplicates(["node"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, counted over the whole sets. `b` may be in very many pairs:
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, counted over the whole sets, written. `b` may be in very many pairs:
     these are dealt to parts, and its set to each of them."""
-    hot = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    hot = materialize(hot)
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key"), "node"))
+    keys, lone = materialize(asked.where("key is not null").select("key").distinct()), materialize(asked.where("key is null").select("node"))
+    sets = whole_sets(docs, keys, lone)
+    hot = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.ceil(F.col("n") / PAIRS).cast("int").alias("parts")))
+    # of pairs in one part there are PAIRS times those in several at most, so `many` is small beside them
     many = hot.where("parts > 1")
-    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod("a", F.coalesce("parts", F.lit(1))).cast("int").alias("part")) if not many.isEmpty() else pairs.select("a", "b", F.lit(0).alias("part"))
+    dealt = pairs.join(few_bytes(many, 24), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     right = sets.withColumnsRenamed({"node": "b", "shingles": "sb"}).join(hot, "b")
     right = right.select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     left = dealt.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
     both = left.join(right, ["b", "part"])
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * PERCENT).select("a", "b")
+    out = materialize(both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * PERCENT).select("a", "b"))
+    forget(asked, keys, lone, hot)
+    return out
 
 
 def similar_sizes(na: str, nb: str) -> Column:
@@ -230,14 +245,37 @@ def like_parities() -> Column:
     return apart * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
 
 
+def tiles(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs within the columns of `members` (h, node, n, ...): with equal (h, size, ta, tb)
+    each pair of like sizes meets once. Sides of one class of sizes (`up` is false) meet both ways round.
+
+    A column of TILE sets or fewer is one tile. Larger ones go by class of sizes, each set as left with
+    its own class and the next, and by tiles of hashed parts, of about TILE sets a side.
+    """
+    sizes = materialize(members.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > TILE).select("h"))
+    one = [F.lit(0).alias(c) for c in ("size", "ta", "tb")]
+    few = keep_keys(members, sizes, "h", "left_anti").select("*", *one, F.lit(False).alias("up"))
+    large = keep_keys(members, sizes, "h").withColumn("size", F.floor(F.log("n") / CLASS).cast("int") + 1)
+    left = large.select(*members.columns, F.explode(F.array(F.struct("size", F.lit(False).alias("up")), F.struct((F.col("size") + 1).alias("size"), F.lit(True).alias("up")))).alias("x")).select(*members.columns, "x.size", "x.up")
+    cut = materialize(left.groupBy("h", "size").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("g")))
+    own, every = F.pmod(F.xxhash64("node"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    cut = few_bytes(cut, 32)
+    left = left.join(cut, ["h", "size"]).select(*members.columns, "size", own.alias("ta"), every.alias("tb"), "up")
+    right = large.join(cut, ["h", "size"]).select(*members.columns, "size", every.alias("ta"), own.alias("tb"), F.lit(False).alias("up"))
+    return few.unionByName(left), few.unionByName(right)
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) of every row of `docs`: the component is the smallest key
     that links reach.
 
     Null and empty texts have no shingles and are linked with nothing, so they are their own
-    component; repeated rows are equal sets and linked; null keys are never a component's id, unless
-    it has no other; other columns are left out; an empty table gives an empty table.
+    component; very long texts are taken whole; repeated rows are equal sets and linked, and of equal
+    keys each row has its own set; two sets of exactly PERCENT link; null keys are never a component's
+    id, unless it has no other; other columns are left out; an empty table gives an empty table. `docs`
+    is read several times and has to give the same rows each time (a table does).
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = materialize(describe(docs))
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"), *(F.first(b).alias(b) for b in PARITIES)))
@@ -249,37 +287,38 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     laid = columns(docs, frequencies(docs)).withColumn("pivot", F.max(own).over(by)).withColumn("other", F.min("node").over(by)).withColumn("last", F.max("node").over(by))
     laid = materialize(laid.where("part > 0 or other <> last").select("h", "part", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pull").alias("pull")))
     # the pivots of a frequent column's parts are linked to one of them
-    parts = laid.where("part > 0").select("h").distinct()
-    pivots = laid.join(parts, "h").select("h", F.col("pivot").alias("node"), F.col("pivot_n").alias("n"), "pull").distinct()
+    pivots = laid.where("part > 0").select("h", F.col("pivot").alias("node"), F.col("pivot_n").alias("n"), "pull").distinct()
     heads = pivots.groupBy("h").agg(F.max(own).alias("first"))
     stars = laid.select("node", "n", "pivot", "pivot_n", "pull").union(pivots.join(heads, "h").select("node", "n", "first.node", "first.n", "first.pull"))
     stars = stars.where((F.col("node") != F.col("pivot")) & similar_sizes("n", "pivot_n")).groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("pull").alias("pull"))
     # each document's best pivots by what is shared and by pull: the others are for the second turn, if it needs them
     best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x"), F.max(F.struct("pull", "b")).alias("y"))
     pairs = materialize(best.select("a", F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b")))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = whole_sets(docs, nodes.join(classes, "node"))
-    edges = materialize(linked(pairs, sets))
+    edges = linked(pairs, docs, classes)
     comps = connected(edges)
     # what shares a column and isn't connected yet
     tagged = laid.select("h", "node", "n").distinct().join(comps, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
     spread = tagged.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    tagged = materialize(tagged.join(spread, "h"))
-    own = classes.select("node", *PARITIES)
-    tagged = tagged.join(own, "node")
-    left, right = (tagged.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", *PARITIES))) for s in "ab")
-    more = left.join(right, "h").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & similar_sizes("n_a", "n_b") & like_parities())
-    more = more.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
+    members = materialize(tagged.join(spread, "h").join(classes.select("node", *PARITIES), "node"))
+    forget(laid)
+    left, right = (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("node", "n", "comp", "up", *PARITIES)}) for d, s in zip(tiles(members), "ab", strict=True))
+    more = left.join(right, ["h", "size", "ta", "tb"]).where((F.col("comp_a") != F.col("comp_b")) & (F.col("up_a") | (F.col("node_a") < F.col("node_b"))) & similar_sizes("n_a", "n_b") & like_parities())
+    more = more.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
     # columns beyond both prefixes can add no more than the longer rest
     rest = F.greatest(F.ceil(F.col("na") * PERCENT / 100) - 1, F.ceil(F.col("nb") * PERCENT / 100) - 1)
-    more = materialize(more.where(F.col("shared") + rest >= needed(F.col("na"), F.col("nb"))).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    seen = pairs.union(pairs.select("b", "a"))
+    more = materialize(more.where(F.col("shared") + rest >= needed(F.col("na"), F.col("nb"))).select("a", "b").join(seen, ["a", "b"], "left_anti"))
+    forget(members, pairs)
     if not more.isEmpty():
-        nodes = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        new = materialize(linked(more, whole_sets(docs, nodes.join(classes, "node"))))
+        new = linked(more, docs, classes)
         if not new.isEmpty():
+            forget(comps)
             comps = connected(edges.union(new))
+        forget(new)
+    forget(edges, more)
     least = classes.join(comps, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
     ids = least.groupBy("comp").agg(F.min("key").alias("component_id"))
     named = materialize(least.join(ids, "comp").select("node", "component_id"))
+    forget(classes, comps)
     out = rows.select("key", "node", "n").join(named, "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
