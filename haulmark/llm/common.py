@@ -158,4 +158,4 @@ def few_bytes(frame: DataFrame, row_bytes: int) -> DataFrame:
 
 def keep_keys(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join with materialized `keys`: broadcast where they are counted to be few, else shuffled."""
-    return rows.join(few_bytes(keys, 16), on, how)
+    return rows.join(few_bytes(keys, 64), on, how)
