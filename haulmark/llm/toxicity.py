@@ -8,7 +8,8 @@ number of segments as good that chance would give in a clean text of that length
 turns that evidence into a probability.
 
 The model is fitted on at most `LABELLED_ROWS` labelled documents, which bounds its features: each
-has to be in LEAST_DOCS of them.
+has to be in LEAST_DOCS of them. Near copies among them count once, as they would make any of their
+words look telling.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, forget, materialize, small_batches, unused
+from .common import Shared, forget, materialize, row_chunks, small_batches, text_bytes, unused
+from .shingles import PLACE, mix, shingle_sets
 
 LABELLED_ROWS = 1 << 15
 #: Shares of the background counts that the Dirichlet prior weighs.
 PRIOR = 0.1
-#: Log-odds are told from chance by a z-score as far from zero, and in as many documents.
-LEAST_Z, LEAST_DOCS = 3.0, 4
+#: Log-odds count if they are as far from zero, by a z-score as far from zero, and in as many documents.
+LEAST_ODDS, LEAST_Z, LEAST_DOCS = 1.0, 3.0, 4
+#: Least hashes by which near copies among the labelled texts are told.
+HASHES = 8
 #: A word's beginnings are features besides the word: of as many letters, and each a half longer than the one before.
 LEAST_BEGINNING = 4
 #: Segments that chance gives so often or less in a clean text of the same length are significant.
@@ -163,7 +167,7 @@ def log_odds(counts: DataFrame) -> DataFrame:
     a = (y1 + y0) * PRIOR
     odds = F.log((y1 + a) / (n1 + a0 - y1 - a)) - F.log((y0 + a) / (n0 + a0 - y0 - a))
     z = odds / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-    return counts.where(y1 + y0 >= LEAST_DOCS).select("feature", odds.alias("weight"), z.alias("z")).where(F.abs("z") >= LEAST_Z).select("feature", "weight")
+    return counts.where(y1 + y0 >= LEAST_DOCS).select("feature", odds.alias("weight"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.abs("weight") >= LEAST_ODDS)).select("feature", "weight")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
@@ -177,6 +181,34 @@ def labelled(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_
     return docs.select(key, "text").join(F.broadcast(chosen), key).select("text", "toxic")
 
 
+def unlike(sample: DataFrame) -> DataFrame:
+    """Of (text, toxic) rows one of each group of near copies with one label.
+
+    A text has HASHES least hashes of its shingles, and near copies share most of them; each text goes
+    with the one that most texts have, and of these the text of the least hash stays.
+    """
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            for i, j in row_chunks(offsets, 1 << 18):
+                hashes, row = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 5)
+                begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+                found = np.stack([np.minimum.reduceat(mix(hashes ^ s), begin) for s in PLACE[:HASHES]], 1) if len(row) else np.zeros((0, HASHES), np.uint64)
+                at = pa.array(np.repeat(row[begin] + i, HASHES))
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(found.ravel().view(np.int64))], ["row", "toxic", "hash"])
+
+    texts = materialize(sample.dropDuplicates(["text", "toxic"]).select(F.xxhash64("text").alias("row"), "toxic", "text"))
+    each = materialize(texts.mapInArrow(least, "row long, toxic int, hash long"))
+    often = each.groupBy("hash", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    best = each.join(often, ["hash", "toxic"]).groupBy("row", "toxic").agg(F.max(F.struct("n", "hash")).alias("b"))
+    kept = best.groupBy("b.hash", "toxic").agg(F.min("row").alias("row")).select("row", "toxic")
+    wordless = each.select("row").distinct()
+    out = materialize(texts.join(kept, ["row", "toxic"], "left_semi").union(texts.join(wordless, "row", "left_anti")).select("toxic", "text"))
+    forget(texts, each)
+    return out
+
+
 def fit(sample: DataFrame) -> Model:
     """The model of (text, toxic) rows; `sample` has a bounded number of rows.
 
@@ -184,7 +216,7 @@ def fit(sample: DataFrame) -> Model:
     each row of the sample.
     """
     small_batches(sample.sparkSession)
-    sample = materialize(sample.select(F.col("toxic").cast("int").alias("toxic"), "text"))
+    sample = unlike(sample.select(F.col("toxic").cast("int").alias("toxic"), "text"))
     model = Model({r.feature: r.weight for r in log_odds(feature_counts(sample)).collect()})
     hits, tokens, by_weight = _chances(sample, model)
     q1, q0 = ((hits[k] + 1) / (tokens[k] + 2) for k in (1, 0))

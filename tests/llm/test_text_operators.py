@@ -249,6 +249,7 @@ def test_toxic_scores_equal_brute_force(spark):
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").where("toxic is not null").collect()}
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     learn = [(labels[k], t) for k, t in rows if k in labels and zlib.crc32(str(k).encode()) % 3 != 1]
+    learn = [tuple(r) for r in toxicity.unlike(spark.createDataFrame(learn, "toxic int, text string")).collect()]
     features = [Counter(x for y, t in learn if y == k for x in {f for w in set(toxicity.WORD.findall(toxicity.lowered(t or ""))) for f in toxicity.beginnings(w)}) for k in (0, 1)]
     n0, n1 = (f.total() for f in features)
     weights = {}
@@ -256,7 +257,7 @@ def test_toxic_scores_equal_brute_force(spark):
         y0, y1 = features[0][x], features[1][x]
         a, a0 = 0.1 * (y0 + y1), 0.1 * (n0 + n1)
         odds = math.log((y1 + a) / (n1 + a0 - y1 - a)) - math.log((y0 + a) / (n0 + a0 - y0 - a))
-        if y0 + y1 >= 4 and abs(odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))) >= 3:
+        if y0 + y1 >= 4 and abs(odds) >= 1 and abs(odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))) >= 3:
             weights[x] = odds
     assert max(weights.values()) > 0
     docs = table(spark, sf, "documents")
@@ -281,6 +282,19 @@ def test_toxic_scores_equal_brute_force(spark):
         assert (r.score, r.predicted, r.held_out) == (pytest.approx(want), int(want >= 0.7), zlib.crc32(str(k).encode()) % 3 == 1)
 
 
+def test_near_copies_teach_once(spark):
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    base = some(200)
+    near = [" ".join(w if rng.random() > 0.01 else "x" for w in base) for _ in range(60)]
+    lone = [" ".join(some(100)) for _ in range(40)]
+    rows = [(t, 1) for t in near] + [(t, 0) for t in lone] + [(lone[0], 0), (lone[1], 1), (None, 0), ("", 1), (None, 0)]
+    kept = Counter((r.text, r.toxic) for r in toxicity.unlike(spark.createDataFrame(rows, "text string, toxic int")).collect())
+    assert set(kept.values()) == {1} and {(t, 0) for t in lone} | {(lone[1], 1), (None, 0), ("", 1)} <= set(kept)
+    assert sum((t, 1) in kept for t in near) <= 3
+    assert toxicity.unlike(spark.createDataFrame([], "text string, toxic int")).count() == 0
+
+
 def test_held_out_toxic_documents_are_told_apart(spark):
     sf = str(DATA / "sf0.1")
     rows = queries.op8_toxic_segments(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
@@ -291,7 +305,8 @@ def test_held_out_toxic_documents_are_told_apart(spark):
 
 def test_toxicity_of_odd_rows(spark):
     bad, good = "you vile scum trash", "the calm river flows"
-    sample = spark.createDataFrame([(f"{good} {i}", 0) for i in range(30)] + [(f"{good} {bad} {i}", 1) for i in range(30)], "text string, toxic int")
+    own = lambda text, i: " ".join(f"{w} {i}{k}" for k, w in enumerate(text.split()))  # noqa: E731  no two are near copies
+    sample = spark.createDataFrame([(own(good, i), 0) for i in range(30)] + [(own(f"{good} {bad}", i), 1) for i in range(30)], "text string, toxic int")
     model = toxicity.fit(sample)
     rows = [*ODD, (7, f"{good} {bad} {bad} {good}")]
     docs = documents(spark, rows).withColumn("score", F.lit("clash"))
@@ -303,7 +318,7 @@ def test_toxicity_of_odd_rows(spark):
     assert hit.predicted == 1 and bad in hit.text[hit.passages[0].first : hit.passages[0].end]
     assert toxicity.score(documents(spark, []), model).count() == 0
     assert toxicity.fit(sample.limit(0)).probability(0, []) < 0.7  # nothing to learn from
-    mild = toxicity.fit(spark.createDataFrame([(f"the calm river {i}", 0) for i in range(40)] + [(f"the vile river {i}", 1) for i in range(40)], "text string, toxic int"))
+    mild = toxicity.fit(spark.createDataFrame([(own("the calm river", i), 0) for i in range(40)] + [(own("the vile river", i), 1) for i in range(40)], "text string, toxic int"))
     assert mild.weight("calm") < 0 < mild.weight("vile") and mild.weight("river") == 0
 
 
