@@ -52,6 +52,19 @@ def test_odd_rows_pass_through(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_columns_may_have_the_names_inside(spark):
+    names = "row at kept copy leak verdict score predicted copies epoch block group key node n component_id _row _at _kept".split()
+    rows = [(i, f"w{i} " * 20 + "the same words again and again", "en", f"src{i % 3}", 9) for i in range(12)] + [(3, "w3 " * 20 + "the same words again and again", "en", "src0", 9)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = plain.select("*", *(F.lit(f"mine {n}").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, clash, SF)
+        assert found.columns == clash.columns
+        got = found.collect()
+        assert all(r[n] == f"mine {n}" for r in got for n in names)
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in stage(spark, plain, SF).collect()), name
+
+
 def test_a_tiny_source_costs_no_document(spark):
     rows = [(i, "w " * 50, "hot" if i % 2 else f"src{i % 19}") for i in range(760)] + [(1000, "one", "tiny"), (1001, None, "hot"), (1002, "", "src2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
