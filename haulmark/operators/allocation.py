@@ -7,7 +7,9 @@ spreads them, and none grows with the number of groups.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 from collections import defaultdict, deque
 
 import numpy as np
@@ -170,6 +172,105 @@ def grown_regions(communities: DataFrame, group: str, quota: float, regions: int
     return communities.groupBy(group).applyInPandas(per_group, f"{group} {kinds[group]}, id {kinds['id']}, region long")
 
 
+def _ways(near: dict, start: object) -> dict:
+    """Least cost from `start` to every node that directed edges near[u][v] lead to."""
+    done: dict = {}
+    heap = [(0.0, start)]
+    while heap:
+        cost, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        done[u] = cost
+        for v, w in near.get(u, {}).items():
+            if v not in done:
+                heapq.heappush(heap, (cost + w, v))
+    return done
+
+
+def _tie(*parts: object) -> int:
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def region_seeds(room: dict, out: dict, back: dict, quotas: dict) -> dict:
+    """A community for each region, largest quotas first: one with room in the decile where the middle of the
+    region's quota lies, or the nearest decile that has any; the first is the roomiest, the others are
+    furthest from the seeds so far, by the mean of the ways there and back."""
+    seeds: dict = {}
+    far: dict = {}
+    for region in sorted(quotas, key=lambda r: (-sum(quotas[r].values()), _tie(r), r)):
+        middle, run = sum(quotas[region].values()) / 2, 0.0
+        for target in sorted(quotas[region]):
+            run += quotas[region][target]
+            if run >= middle:
+                break
+        for decile in sorted(range(10), key=lambda d: (abs(d - target), d)):
+            free = [c for c in sorted(room) if room[c].get(decile, 0) > 0 and c not in seeds.values()]
+            if free:
+                break
+        else:
+            continue  # no community is left for it
+        if far:
+            best = max(free, key=lambda c: (min(f.get(c, -math.inf) for f in far.values()), -_tie(region, c), c))
+        else:
+            best = min(free, key=lambda c: (-room[c][decile], _tie(region, c), c))
+        seeds[region] = best
+        there, here = _ways(out, best), _ways(back, best)
+        far[best] = {c: (there[c] + here[c]) / 2 for c in there.keys() & here.keys()}
+    return seeds
+
+
+def region_growth(room: dict, out: dict, back: dict, quotas: dict, seeds: dict) -> tuple[dict, dict]:
+    """(members, unmet deciles) of each region: in turn, regions whose communities lack room for some decile's
+    quota take a neighbour, one that has such deciles before others, then over the shortest edge."""
+    members = {r: [c] for r, c in seeds.items()}
+
+    def unmet(region: object) -> set:
+        return {d for d, q in quotas[region].items() if sum(room[c].get(d, 0) for c in members[region]) < q}
+
+    turns = sorted(members, key=lambda r: (-sum(quotas[r].values()), _tie("growth", r), r))
+    moved = True
+    while moved:
+        moved = False
+        for region in turns:
+            lacking = unmet(region)
+            edge: dict = {}
+            for c in members[region] if lacking else ():
+                for way in (out, back):
+                    for v, w in way.get(c, {}).items():
+                        if v not in members[region] and v in room:
+                            edge[v] = min(edge.get(v, math.inf), w)
+            if edge:
+                members[region].append(min(edge, key=lambda v: (not lacking & room[v].keys(), edge[v], _tie(region, v), v)))
+                moved = True
+    return members, {r: unmet(r) for r in members}
+
+
+def graph_regions(cells: DataFrame, edges: DataFrame, quotas: DataFrame, group: str) -> DataFrame:
+    """(group, region, id, step, met): the communities of each region, its seed first (step 0), and whether they
+    have room for all its quotas. A community may be in several regions; a region that finds no seed has no row.
+
+    cells: (group, id, decile, capacity); edges: (group, u, v, w), one way; quotas: (group, region, decile, quota).
+    """
+
+    def per_group(key: tuple, rows: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        room: dict = defaultdict(dict)
+        wanted: dict = defaultdict(dict)
+        for what, name, decile, n in rows[["what", "name", "decile", "n"]].itertuples(index=False):
+            (room if what == "cell" else wanted)[name][decile] = n
+        out: dict = defaultdict(dict)
+        back: dict = defaultdict(dict)
+        for u, v, w in ways[["u", "v", "w"]].itertuples(index=False):
+            out[u][v] = back[v][u] = w
+        members, lacking = region_growth(room, out, back, wanted, region_seeds(room, out, back, wanted))
+        found = [(key[0], r, c, step, not lacking[r]) for r in sorted(members) for step, c in enumerate(members[r])]
+        return pd.DataFrame(found, columns=[group, "region", "id", "step", "met"])
+
+    both = cells.select(group, F.lit("cell").alias("what"), F.col("id").cast("bigint").alias("name"), "decile", F.col("capacity").cast("bigint").alias("n"))
+    both = both.unionByName(quotas.select(group, F.lit("quota").alias("what"), F.col("region").cast("bigint").alias("name"), "decile", F.col("quota").cast("bigint").alias("n")))
+    kind = cells.schema[group].dataType.simpleString()
+    return both.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(per_group, f"{group} {kind}, region long, id long, step long, met boolean")
+
+
 def matched(options: DataFrame, group: str) -> DataFrame:
     """(group, left, right): a largest matching of each group's (left, right) options.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
 from haulmark.operators import allocation, joins, windows
+from haulmark.operators.lineage import settle
 from haulmark.sources.tables import LOCATIONS, locations, points, table
 
 from .registry import query
@@ -64,6 +65,22 @@ def region_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allocation.grown_regions(_communities(spark, sf_dir), "kind", 12.0, 4)
 
 
+@query()
+def graph_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three regions for each kind, grown over adjacent communities until they have room for their quotas by decile."""
+    rows = points(spark, sf_dir).withColumn("decile", F.least(F.lit(9), F.floor(F.hypot("x", "y") / 400)).cast("int"))
+    gx, gy = F.floor(F.col("x") / 500), F.floor(F.col("y") / 500)
+    cells = rows.groupBy("kind", gx.alias("gx"), gy.alias("gy"), "decile").agg(F.count(F.lit(1)).alias("capacity")).withColumn("id", F.col("gx") * 1000 + F.col("gy"))
+    cells = settle(cells)
+    quotas = cells.groupBy("kind", "decile").agg(F.ceil(F.sum("capacity") / 6).alias("quota"))
+    quotas = quotas.select("kind", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("region"), "decile", "quota")
+    place = cells.select("kind", "id", "gx", "gy").distinct()
+    step = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))).alias("s")
+    ways = place.select("kind", F.col("id").alias("u"), "gx", "gy", step).select("kind", "u", ((F.col("gx") + F.col("s.dx")) * 1000 + F.col("gy") + F.col("s.dy")).alias("v"), F.hypot("s.dx", "s.dy").alias("far"))
+    edges = ways.join(place.select("kind", F.col("id").alias("v")), ["kind", "v"]).select("kind", "u", "v", (F.col("far") * (1 + hashing.stable_unit(F.col("u"), F.col("v")))).alias("w"))
+    return allocation.graph_regions(cells, settle(edges), quotas, "kind")
+
+
 @query()
 def greedy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four chargers for each kind, chosen among its communities."""
