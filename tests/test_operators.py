@@ -164,7 +164,7 @@ def test_gates_and_parsers_on_nulls(spark):
     with pytest.raises(ValueError, match="nope"):
         require(df, "nope")
     one = spark.range(1).select(
-        text.speed_kph(F.lit("30 mph;50")).alias("a"), text.speed_kph(F.lit("none")).alias("b"), text.tri_bool(F.lit(None).cast("string")).alias("c"), text.unsafe_path(F.lit("a/../b")).alias("d"),
+        text.speed_tag(F.lit("30 mph;50"))["kph"].alias("a"), text.speed_tag(F.lit("30 mph;walk"))["kph"].alias("b"), text.tri_bool(F.lit(None).cast("string")).alias("c"), text.unsafe_path(F.lit("a/../b")).alias("d"),
         text.unsafe_path(F.lit("a/b")).alias("e"), text.try_number(F.lit("1e999")).alias("f"), text.checkpoint_label(F.lit(0.5)).alias("g"), time.day_type(F.lit("2024-01-06").cast("date")).alias("h"),
         text.normalize(F.lit("  A--b c ")).alias("i"), F.array_join(text.multivalue(F.lit("['a', 'b']")), "+").alias("j")).first()
     assert tuple(one) == (30 * 1.609344, None, None, True, False, None, "0p5s", "weekend", "a b c", "a+b")

@@ -15,7 +15,9 @@ SF = str(DATA / "sf0.001")
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("events") / "in")
-    table(spark, SF, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value", "props").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    rows = table(spark, SF, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value", "props", "ntile(4) over (order by ts) as part")
+    for part in range(1, 5):  # one after another, as a file source reads files in the order they came
+        rows.where(f"part = {part}").drop("part").coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
     return path
 
 
