@@ -7,13 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one where none is set, which only one machine can share."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/haulmark-shared"
+
 
-    The folder is spark.checkpoint.dir; a temporary one is set only where none is, as in tests.
-    """
+def settle(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="haulmark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

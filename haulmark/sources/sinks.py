@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulmark.operators.lineage import shared_folder
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a local temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/haulmark-scratch"
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def write_new(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
