@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulmark.operators.lineage import shared_folder
+
 #: What `materialize` has written and not yet deleted, and where the frames read from.
 _WRITTEN: dict[str, SparkSession] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -39,15 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where none is set, which only one machine can have."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/haulmark-checkpoints"
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """These settings of the session, and afterwards what was there before."""
@@ -72,7 +64,7 @@ def small_batches(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/haulmark-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/haulmark-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
     with settings(spark, WRITING):
         df.write.parquet(path)

@@ -12,7 +12,9 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp): the smallest node that each node of edges (a, b) reaches.
 
     Alternating large-star and small-star steps: every step keeps the components and links nodes
-    to smaller ones, and so halves the depth about each round; edges never grow in number.
+    to smaller ones, and so halves the depth about each round; edges never grow in number. Loops and
+    repeated edges change nothing; nodes without an edge to another aren't among the rows; edges with
+    a null end are left out; no edges give no rows.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):

@@ -348,8 +348,9 @@ def _chunked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
 def encode_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, media, n_bytes): the text of each row as a stored JPEG, and its bytes unpadded.
 
-    Null and empty texts are stored as 64 zero bytes; equal texts have equal media; repeated rows
-    are stored each; null keys stay null; other columns are left out.
+    Null and empty texts are stored as 64 zero bytes; very long texts become several streams of one
+    file; equal texts have equal media; repeated rows are stored each; null keys stay null; other
+    columns are left out; an empty table gives an empty table.
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

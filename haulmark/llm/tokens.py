@@ -88,8 +88,9 @@ class MergeCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens) of every row of `docs`.
 
-    Null and empty texts have 0 bytes and 0 tokens; a null key stays null; repeated rows are
-    counted each; other columns are left out; an empty table gives an empty table. `vocabulary`
+    Null and empty texts have 0 bytes and 0 tokens; very long texts and words are counted whole; of
+    pairs of one rank the first is merged first; a null key stays null; repeated rows are counted
+    each; other columns are left out; an empty table gives an empty table. `vocabulary`
     is the path of a byte-level BPE file that every executor can read.
     """
 
