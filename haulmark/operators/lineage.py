@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one where none is set, which only one machine can share."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"file://{tempfile.gettempdir()}/haulmark-shared"
 
