@@ -49,23 +49,23 @@ class Shares:
     least: float
     most: float
 
-    def sums(self, exponents: list[float]) -> list[tuple[float, float]]:
-        """For each exponent the sums of p^a and of p^a ln p over all sources."""
-        each = self.table.select("p", F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a"))
+    def sums(self, exponent: Callable[[Column], Column], n: int = 1) -> list[tuple[float, float]]:
+        """For the exponents a of 1 to n the sums of p^a and of p^a ln p over all sources."""
+        each = self.table.select("p", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i")).withColumn("a", exponent(F.col("i")))
         power = F.pow("p", "a")
         found = each.groupBy("i").agg(F.sum(power).alias("s"), F.sum(power * F.ln("p")).alias("l")).collect()
         return [(r.s, r.l) for r in sorted(found)]
 
-    def largest(self, low: float, high: float, enough: Callable[[float, float, float], bool], exponent: Callable[[float], float] = lambda x: x) -> float:
+    def largest(self, low: float, high: float, enough: Callable[[float, float, float], bool], exponent: Callable = lambda x: x) -> float:
         """The largest x in [low, high] for which `enough` (of the exponent and its two sums), true at
-        low and ever less so, still holds."""
-        if enough(exponent(high), *self.sums([exponent(high)])[0]):
+        low and ever less so, still holds. `exponent` takes numbers and columns."""
+        if enough(exponent(high), *self.sums(lambda _: F.lit(float(exponent(high))))[0]):
             return high
         for _ in range(ROUNDS):
-            grid = [low + (high - low) * i / GRID for i in range(1, GRID)]
-            sums = self.sums([exponent(x) for x in grid])
-            held = next((i for i, x in enumerate(grid) if not enough(exponent(x), *sums[i])), len(grid))
-            low, high = (grid[held - 1] if held else low), (grid[held] if held < len(grid) else high)
+            point = lambda i, low=low, wide=high - low: low + wide * i / GRID
+            sums = self.sums(lambda i, point=point: exponent(point(i)), GRID - 1)
+            held = next((i for i, x in enumerate(sums, 1) if not enough(exponent(point(i)), *x)), GRID)
+            low, high = (point(held - 1) if held > 1 else low), (point(held) if held < GRID else high)
         return low
 
 
@@ -93,7 +93,7 @@ def weights(sources: DataFrame, entropy_share: float, max_repeats: float, budget
             exponent = 1 - shares.largest(0.0, 1 - exponent, lambda a, s, l: spread(a) <= max_repeats, lambda d: 1 - d)
         elif budget is not None:  # the repetition shrinks as the exponent grows: bisect what is left to 1
             exponent = 1 - shares.largest(0.0, 1 - exponent, lambda a, s, l: budget * repeated(a, s) <= max_repeats * (1 + 1e-12), lambda d: 1 - d)
-        norm = shares.sums([exponent])[0][0]
+        norm = shares.sums(lambda _: F.lit(exponent))[0][0]
         size = norm * shares.most ** (1 - exponent) if whole else budget if budget is not None else max_repeats / repeated(exponent, norm)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / (total or 1), F.lit(exponent)) / norm).otherwise(0.0)
     # a hair more, so that a quota of exactly the whole source isn't lost to rounding
