@@ -239,7 +239,8 @@ def _hinted(table: DataFrame, lists: str, item_bytes: int) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """(rid, first, count): stretches of repeated windows in texts of (rid, text)."""
     by_anchor, by_name = W.partitionBy("anchor", "part"), W.partitionBy("anchor", "part", "name", "check")
-    seen = runs(docs, frequent_anchors(docs))
+    # dealt once, as both windows need it: left to the planner, names would be dealt first and anchors again
+    seen = runs(docs, frequent_anchors(docs)).repartition("anchor", "part")
     seen = seen.withColumn("times", F.sum("weight").over(by_name)).withColumn("place", F.min(F.struct("rid", "first")).over(by_name))
     seen = seen.withColumn("all", F.sum("weight").over(by_anchor)).withColumn("least", F.min("times").over(by_anchor))
     known = F.col("done") | (F.col("times") > 1)
