@@ -40,6 +40,8 @@ LEAST_BEGINNING = 4
 #: Segments that chance gives so often or less in a clean text of the same length are significant.
 SIGNIFICANT = 0.05
 WORD = re.compile(r"[^\W\d_]+")
+#: Distinct features after which a task passes on its counts.
+FLUSH = 1 << 16
 #: Words whose weights each task remembers.
 CACHE_WORDS = 1 << 17
 
@@ -147,12 +149,21 @@ def feature_counts(docs: DataFrame) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
+
+        def flushed() -> pa.RecordBatch:
+            names = [*(counts[0].keys() | counts[1].keys())]
+            out = pa.record_batch([pa.array(names, pa.string()), *(pa.array([counts[k][x] for x in names], pa.int64()) for k in (1, 0))], ["feature", "toxic", "clean"])
+            for count in counts:
+                count.clear()
+            return out
+
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall(lowered(text))) if text else ()
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = set(WORD.findall(lowered(text.as_py()))) if text.is_valid else ()
                 counts[toxic].update({x for w in words for x in beginnings(w)})
-        names = [*(counts[0].keys() | counts[1].keys())]
-        yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([counts[k][x] for x in names], pa.int64()) for k in (1, 0))], ["feature", "toxic", "clean"])
+                if len(counts[0]) + len(counts[1]) > FLUSH:
+                    yield flushed()
+        yield flushed()
 
     rows = docs.select("text", "toxic").mapInArrow(per_batch, "feature string, toxic long, clean long")
     return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
