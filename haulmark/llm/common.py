@@ -19,6 +19,8 @@ from haulmark.operators.lineage import shared_folder
 #: What `materialize` has written and not yet deleted, and where the frames read from.
 _WRITTEN: dict[str, SparkSession] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Of those that are bucketed, their names in the session's catalog.
+_TABLES: dict[str, str] = {}
 #: While a table is written: its shuffles go as soon as it stands.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Batches for Python of so many bytes, in a session that says nothing itself.
@@ -79,6 +81,21 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` written once to the shared folder, in buckets of `key`: a join by it with a table that is dealt by the
+    same key moves no row of this one. As many buckets as the session has shuffle partitions."""
+    spark = df.sparkSession
+    name = f"haulmark_{uuid.uuid4().hex}"
+    path, n = f"{shared_folder(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _WRITTEN[path] = spark
+    _TABLES[path] = name
+    with settings(spark, WRITING):
+        df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    _PATHS[out] = path
+    return out
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what `materialize` wrote for these frames, once nothing reads them."""
     for df in frames:
@@ -87,6 +104,8 @@ def forget(*frames: DataFrame) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if name := _TABLES.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 

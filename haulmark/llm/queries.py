@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm_score, media, mixing, ngram_join, oracles, secrets, sharding, suffix_dedup, tokens, toxicity
+from . import decontam, lm_score, media, mixing, ngram_join, oracles, recompression, secrets, sharding, spelling, suffix_dedup, tokens, toxicity, whitening
 from .common import table
 
 TOKEN_LIMIT = 512
@@ -84,7 +84,20 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), remainder(7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op9_repeated_bytes": op9_repeated_bytes, "op4_shingle_components": op4_shingle_components, "op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores}
+def op11_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") / 2).cast("long").alias("n_spans"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_repeated_bytes": op9_repeated_bytes, "op4_shingle_components": op4_shingle_components, "op1_secret_ownership": op1_secret_ownership, "op2_benchmark_leaks": op2_benchmark_leaks, "op3_extendible_shards": op3_extendible_shards, "op7_temperature_mix": op7_temperature_mix, "op8_toxic_segments": op8_toxic_segments, "op5_jpeg_media": op5_jpeg_media, "op6_token_counts": op6_token_counts, "op10_lattice_scores": op10_lattice_scores, "op11_repeated_words": op11_repeated_words, "op12_whitened_embeddings": op12_whitened_embeddings, "op13_spelling_variants": op13_spelling_variants}
 
 ORACLES = {
     "op1_secret_ownership": oracles.SECRETS,

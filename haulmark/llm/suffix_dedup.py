@@ -2,20 +2,9 @@
 
 A byte goes if it lies in a string of `LENGTH` bytes that also starts elsewhere, in the same text
 or another. This is not an induced suffix sort: only whether a window of LENGTH bytes occurs twice
-is asked for, so windows are named and grouped, and suffixes are never put in order:
-
-1. In each window of LENGTH bytes the smallest hash of KGRAM bytes is its anchor. Equal windows have
-   equal anchors at equal offsets, so comparing windows of equal anchors compares all that can be
-   equal. Consecutive windows of one anchor are a run; tuples (anchor name, run name, place) are
-   grouped by name. A run whose name occurs twice is repeated as a whole.
-2. Runs that stand alone under an anchor that occurs elsewhere hold the ends of repeats. Only they
-   (and one copy of each repeated run beside them) are named again, window by window, and grouped.
-
-Names are two independent 64-bit hashes, which both have to agree. Names that a task has met twice
-need no grouping to be known as repeated: their places are passed on under keys of their own, so a
-string that a third of all rows share reaches its group once from each task. Names of frequent
-anchors are dealt to parts by run name. Texts are joined with what is asked of them; these tables
-are broadcast while their counted bytes are few, and beyond that the join shuffles.
+is asked for, so windows are named and grouped (`repeats`), and suffixes are never put in order. In each
+window the smallest hash of KGRAM bytes is its anchor. Equal windows have equal anchors at equal
+offsets, so comparing windows of equal anchors compares all that can be equal.
 """
 
 from __future__ import annotations
@@ -25,23 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, row_chunks, small_batches, text_bytes
+from . import repeats
+from .common import row_chunks, text_bytes, unused
+from .repeats import PLACE_BITS
 from .shingles import PLACE, POWERS, U, mix
 
 LENGTH, KGRAM = 200, 100
 REACH = LENGTH - KGRAM + 1
 CHUNK = 1 << 20
-#: Low bits of a packed value that hold a place in a piece; a piece has fewer bytes.
-PLACE_BITS = U(21)
-FREQUENT, BUFFER, LEAST_SEEN, PART = 1 << 20, 1 << 20, 4, 4096
-#: Repeated names that a task remembers.
-SEEN = 1 << 20
 BYTE, OTHER = np.random.default_rng(20240301).integers(1, 1 << 63, (2, 256), np.uint64) * U(2) + U(1)
-#: Counted bytes of runs or stretches up to which they are broadcast.
-BROADCAST_BYTES = 1 << 26
 
 
 class Windows:
@@ -90,196 +73,30 @@ class Windows:
         return tuple(mix((x[at + LENGTH] - x[at]) * self.down[at] ^ U(0x9FB21C651E98DF25)) for x in (self.total, self.other))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
-    """Rows with their bytes, offsets and how far into the text the bytes begin: longer texts come in
-    pieces that share LENGTH - 1 bytes, so that each window is in one piece."""
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(text_at))
-        for i, j in row_chunks(offsets, CHUNK):
-            own, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            if len(own) <= CHUNK + LENGTH:
-                yield batch.slice(i, j - i), own, cuts, 0
-            else:
-                for start in range(0, len(own) - LENGTH + 1, CHUNK):
-                    piece = own[start : start + CHUNK + LENGTH - 1]
-                    yield batch.slice(i, 1), piece, np.array([0, len(piece)]), start
-
-
-class Repeats:
-    """Which names a task has met before: at once in a piece, or as repeated in an earlier one."""
-
-    def __init__(self) -> None:
-        self.known = self.checks = np.zeros(0, np.uint64)
-
-    def sift(self, names: np.ndarray, checks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each name whether it is known as repeated without grouping, and the weight (1, or 2 for
-        repeated names) under which it goes to its group. One of each newly repeated name goes there."""
-        known = np.zeros(len(names), bool)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
-            known = (self.known[at] == names) & (self.checks[at] == checks)
-        every, first, back = np.unique(names, return_index=True, return_inverse=True)
-        alike = checks == checks[first][back]  # others of the same first name are left to the groups
-        weight = np.bincount(back, np.where(alike, weights, 0), minlength=len(every))
-        lone = ~alike
-        lone[first] = True
-        done = known | ~lone
-        fresh = (weight > 1) & ~known[first]
-        if len(self.known) + fresh.sum() > SEEN:
-            self.known = self.checks = np.zeros(0, np.uint64)
-        self.known, keep = np.unique(np.concatenate((self.known, every[fresh])), return_index=True)
-        self.checks = np.concatenate((self.checks, checks[first][fresh]))[keep]
-        return done, np.where(alike, np.minimum(weight[back], 2), np.minimum(weights, 2)).astype(np.int32)
-
-
-def frequent_anchors(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Anchors that tasks see often, with about how often: at most FREQUENT by their share."""
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def often() -> pa.RecordBatch:
-            names, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            rest = int(seen[seen < LEAST_SEEN].sum())
-            names, seen = names[seen >= LEAST_SEEN], seen[seen >= LEAST_SEEN]
-            return pa.record_batch([pa.array([*names.view(np.int64).tolist(), None], pa.int64()), pa.array([*seen.tolist(), rest], pa.int64())], ["anchor", "seen"])
-
-        for _, data, offsets, _ in _pieces(batches, 0):
-            held.append(Windows(data, offsets).anchor)
-            size += len(held[-1])
-            if size >= BUFFER:
-                yield often()
-                held.clear()
-                size = 0
-        yield often()
-
-    counts = materialize(docs.select("text").mapInArrow(per_batch, "anchor long, seen long").groupBy("anchor").agg(F.sum("seen").alias("seen")))
-    total = counts.agg(F.sum("seen")).first()[0] or 0
-    rows = counts.where("anchor is not null").where(F.col("seen") >= max(2 * LEAST_SEEN, total // FREQUENT)).collect()
-    rows = sorted((r.anchor % (1 << 64), r.seen) for r in rows)
-    return {"a": np.array([a for a, _ in rows], np.uint64), "n": np.array([n for _, n in rows], np.int64)}
-
-
-def runs(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
-    """(anchor, part, name, check, weight, rid, first, count, hot, done) of the runs of (rid, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["anchor", "part", "name", "check", "weight", "rid", "first", "count", "hot", "done"]
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = shared.value["a"], shared.value["n"]
-        repeats = Repeats()
-        for rows, data, offsets, start in _pieces(batches, 1):
-            w = Windows(data, offsets)
-            if not len(w.name):
-                continue
-            done, weight = repeats.sift(w.name, w.check, np.ones(len(w.name)))
-            rid = rows.column(0).to_numpy()[w.text]
-            times = np.zeros(len(w.name), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, w.anchor), len(common) - 1)
-                times = np.where(common[at] == w.anchor, seen[at], 0)
-            part = (w.name % np.maximum(1, -(-times // PART)).astype(np.uint64)).astype(np.int32)
-            # what is known already sorts under a key of its own
-            key = np.where(done, mix(w.name ^ mix(rid.astype(np.uint64) + w.first.astype(np.uint64) * PLACE[3])), w.anchor)
-            first = w.first - offsets[w.text] + start
-            columns = [key.view(np.int64), part, w.name.view(np.int64), w.check.view(np.int64), weight, rid, first, (w.last - w.first + 1).astype(np.int32), times > 0, done]
-            yield pa.record_batch([pa.array(c) for c in columns], names)
-
-    return docs.select("rid", "text").mapInArrow(per_batch, "anchor long, part int, name long, check long, weight int, rid long, first long, count int, hot boolean, done boolean")
+class ByteCutter:
+    """Windows of LENGTH bytes, in pieces of long texts that begin `chunk` bytes apart."""
 
+    LENGTH = LENGTH
 
-def named_windows(docs: DataFrame) -> DataFrame:
-    """(name, check, weight, rid, first, count, done) of the windows of the runs that (rid, text, runs) asks
-    for; runs: (first, count, kind), kind 2 for runs that are known to be repeated."""
-    names = ["name", "check", "weight", "rid", "first", "count", "done"]
+    def __init__(self, chunk: int = CHUNK) -> None:
+        self.CHUNK = chunk
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeats = Repeats()
-        for rows, data, offsets, start in _pieces(batches, 1):
-            w = Windows(data, offsets)
-            asked = rows.column(2)
-            lens = np.diff(asked.offsets.to_numpy())
-            flat = asked.flatten()
-            first, count, kind = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            owner = np.repeat(np.arange(len(lens)), lens)
-            first = first - start + offsets[owner]
-            # the runs that lie in this piece
-            inside = (first >= offsets[owner]) & (first < w.count) & (first - offsets[owner] < CHUNK)
-            first, count, kind, owner = first[inside], count[inside], kind[inside], owner[inside]
-            if not len(first):
-                continue
-            at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            kind, owner = np.repeat(kind, count), np.repeat(owner, count)
-            name, check = w.names(at)
-            done, weight = repeats.sift(name, check, np.where(kind == 2, 2, 1))
-            rid, place = rows.column(0).to_numpy()[owner], at - offsets[owner] + start
-            send = ~done
-            yield pa.record_batch([pa.array(c) for c in (name[send].view(np.int64), check[send].view(np.int64), weight[send], rid[send], place[send], np.ones(send.sum(), np.int32), done[send])], names)
-            # known windows of asked runs, as stretches of consecutive ones
-            known = np.flatnonzero(done & (kind == 1))
-            if len(known):
-                new = np.ones(len(known), bool)
-                new[1:] = (place[known[1:]] != place[known[:-1]] + 1) | (rid[known[1:]] != rid[known[:-1]])
-                begin = np.flatnonzero(new)
-                size = np.diff(np.append(begin, len(known))).astype(np.int32)
-                head = known[begin]
-                key = mix(name[head] ^ mix(rid[head].astype(np.uint64) + place[head].astype(np.uint64) * PLACE[3]))
-                yield pa.record_batch([pa.array(c) for c in (key.view(np.int64), check[head].view(np.int64), np.full(len(head), 2, np.int32), rid[head], place[head], size, np.ones(len(head), bool))], names)
-
-    return docs.select("rid", "text", "runs").mapInArrow(per_batch, "name long, check long, weight int, rid long, first long, count int, done boolean")
-
-
-def _hinted(table: DataFrame, lists: str, item_bytes: int) -> DataFrame:
-    """The table of one row a text, with a broadcast hint if all its lists have few bytes."""
-    rows, items = table.agg(F.count(F.lit(1)), F.sum(F.size(lists))).first()
-    return table.hint("broadcast") if rows * 64 + (items or 0) * item_bytes <= BROADCAST_BYTES else table
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """(rid, first, count): stretches of repeated windows in texts of (rid, text)."""
-    by_anchor, by_name = W.partitionBy("anchor", "part"), W.partitionBy("anchor", "part", "name", "check")
-    # dealt once, as both windows need it: left to the planner, names would be dealt first and anchors again
-    seen = runs(docs, frequent_anchors(docs)).repartition("anchor", "part")
-    seen = seen.withColumn("times", F.sum("weight").over(by_name)).withColumn("place", F.min(F.struct("rid", "first")).over(by_name))
-    seen = seen.withColumn("all", F.sum("weight").over(by_anchor)).withColumn("least", F.min("times").over(by_anchor))
-    known = F.col("done") | (F.col("times") > 1)
-    lead = ~F.col("done") & (F.col("place.rid") == F.col("rid")) & (F.col("place.first") == F.col("first"))
-    beside = F.col("hot") | (F.col("least") == 1)
-    kind = F.when(~known & (F.col("hot") | (F.col("all") > 1)), 1).when(known & lead & beside, 2).when(known, 0)
-    level = materialize(seen.select("rid", "first", "count", kind.alias("kind")).where("kind is not null"))
-    asked = level.where("kind > 0").groupBy("rid").agg(F.collect_list(F.struct("first", "count", "kind")).alias("runs"))
-    asked = materialize(asked)
-    some = docs.join(_hinted(asked, "runs", 40), "rid")
-    windows = named_windows(some).withColumn("times", F.sum("weight").over(W.partitionBy("name", "check")))
-    windows = windows.where("done or times > 1").select("rid", "first", "count")
-    return level.where("kind <> 1").select("rid", "first", "count").union(windows)
-
-
-def _merged(firsts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the bytes that these windows cover, as maximal stretches."""
-    order = np.argsort(firsts, kind="stable")
-    first, end = firsts[order], np.maximum.accumulate((firsts + counts - 1 + LENGTH)[order])
-    new = np.ones(len(first), bool)
-    new[1:] = first[1:] > end[:-1]
-    begin = np.flatnonzero(new)
-    return first[begin], end[np.append(begin[1:], len(first)) - 1]
-
-
-def stretches(places: DataFrame) -> DataFrame:
-    """(rid, spans): the removed (start, end) of each text of (rid, first, count), merged."""
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(self, batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, Windows, np.ndarray, int]]:
         for batch in batches:
-            out = []
-            for one in batch.column(1):
-                rows = one.values
-                start, end = _merged(*(rows.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)))
-                out.append(np.stack((start, end), 1).ravel())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["rid", "spans"])
-
-    grouped = places.groupBy("rid").agg(F.collect_list(F.struct("first", "count")).alias("x"))
-    return grouped.mapInArrow(per_batch, "rid long, spans array<long>")
+            data, offsets = text_bytes(batch.column(text_at))
+            for i, j in row_chunks(offsets, self.CHUNK):
+                own, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                if len(own) <= self.CHUNK + LENGTH:
+                    yield batch.slice(i, j - i), Windows(own, cuts), cuts, 0
+                else:
+                    for start in range(0, len(own) - LENGTH + 1, self.CHUNK):
+                        piece = own[start : start + self.CHUNK + LENGTH - 1]
+                        cuts = np.array([0, len(piece)])
+                        yield batch.slice(i, 1), Windows(piece, cuts), cuts, start
+
+    def cut(self, text: np.ndarray, spans: list[int]) -> tuple[int, bytes]:
+        edges = [0, *spans, len(text)]
+        return len(text), b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -289,31 +106,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     `docs` is read once; its keys and texts are kept with the rows' numbers. Null and empty
     texts and those under LENGTH bytes lose nothing; very long texts are looked at in pieces that
     share LENGTH - 1 bytes; of strings that occur twice no place is spared, so there are no ties;
-    repeated rows repeat each other's strings; other columns are left out; an empty table gives an
-    empty table.
+    repeated rows repeat each other's strings; other columns are left out; a key with the name of an
+    added column keeps it and the added one gets underscores; an empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
-    docs = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "rid")
-    spans = materialize(stretches(repeated(docs)))
-    joined = docs.join(_hinted(spans, "spans", 8), "rid", "left").select("key", "text", "spans")
-    names = ["key", "n_bytes", "n_removed", "spans", "kept"]
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for i, j in row_chunks(offsets, CHUNK):
-                some = batch.slice(i, j - i)
-                cut = [x or [] for x in some.column(2).to_pylist()]
-                kept = []
-                for row, x in enumerate(cut, i):
-                    own = data[offsets[row] : offsets[row + 1]]
-                    edges = [0, *x, len(own)]
-                    kept.append(b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                size = np.diff(offsets[i : j + 1])
-                left = np.array([len(k) for k in kept])
-                yield pa.record_batch([some.column(0), pa.array(size), pa.array(size - left), pa.array(cut, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names)
-
-    kind = docs.schema["key"].dataType.simpleString()
-    out = joined.mapInArrow(per_batch, f"key {kind}, n_bytes long, n_removed long, spans array<long>, kept binary")
-    return out.withColumnRenamed("key", key)
-
+    n_bytes, removed, spans, kept = unused([key], "n_bytes", "n_removed", "spans", "kept")
+    found = repeats.without_repeats(docs, ByteCutter(), text, key)
+    return found.select(F.col("key").alias(key), F.col("size").alias(n_bytes), F.col("n_removed").alias(removed), F.col("spans").alias(spans), F.col("kept").alias(kept))

@@ -13,7 +13,7 @@ import pytest
 from conftest import DATA, database, rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from haulmark.llm import components, decontam, mixing, ngram_join, oracles, queries, sharding, suffix_dedup
+from haulmark.llm import components, decontam, mixing, ngram_join, oracles, queries, repeats, sharding, suffix_dedup
 from haulmark.llm.common import table
 
 SF = str(DATA / "sf0.001")
@@ -138,9 +138,9 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch):
     rows = [(i, text(rng.randint(0, 300)) + (shared if i % 2 else more) + text(rng.randint(0, 300))) for i in range(12)]
     rows += [(20, shared[5:300] + "x" + shared[100:]), (21, "a" * 1000), (22, None), (23, ""), (24, "ab" * 100), (25, text(199)), (None, text(50)), (26, text(3000)), (26, text(10)), (27, rows[0][1]), (27, rows[0][1])]
     assert deduplicated(suffix_dedup.dedup(documents(spark, rows))) == removed(rows, 200)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)  # long texts come in pieces
-    monkeypatch.setattr(suffix_dedup, "PART", 2)
-    assert deduplicated(suffix_dedup.dedup(documents(spark, rows))) == removed(rows, 200)
+    monkeypatch.setattr(repeats, "PART", 2)
+    in_pieces = repeats.without_repeats(documents(spark, rows), suffix_dedup.ByteCutter(700), "text", "doc_id")
+    assert deduplicated(in_pieces.withColumnsRenamed({"key": "doc_id", "size": "n_bytes"})) == removed(rows, 200)
     assert suffix_dedup.dedup(documents(spark, [])).count() == 0
 
 
@@ -151,14 +151,14 @@ def test_row_numbers_stay_when_splits_change(spark, tmp_path, monkeypatch):
     rows = [(i, text(150) + (shared if i % 5 == 0 else "") + text(150)) for i in range(60)]
     path = f"file://{tmp_path}/docs"
     spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(path)
-    stretches = suffix_dedup.stretches
+    stretches = repeats.stretches
 
-    def later(places):
-        found = stretches(places).localCheckpoint()
+    def later(places, length):
+        found = stretches(places, length).localCheckpoint()
         spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # as after a change of executors: one file in a split
         return found
 
-    monkeypatch.setattr(suffix_dedup, "stretches", later)
+    monkeypatch.setattr(repeats, "stretches", later)
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     spark.conf.set("spark.sql.files.minPartitionNum", "1")
     try:
