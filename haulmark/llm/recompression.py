@@ -30,10 +30,11 @@ from .repeats import PLACE_BITS
 from .shingles import PLACE, POWERS, SPACE, U, mix
 
 LENGTH = 35
-#: Rounds; symbols of the last level stand for about 2.4 words and reach over about 13.
-ROUNDS = 3
+#: The most words that a symbol of each level may reach over to be an anchor; there is one round less than levels.
+REACH = [1, 5, 10]
+ROUNDS = len(REACH) - 1
 #: Words of a piece of a long text, and bytes of texts that make one piece.
-CHUNK, CHUNK_BYTES = 1 << 17, 1 << 20
+CHUNK, CHUNK_BYTES = 1 << 17, 1 << 18
 #: Beyond any text.
 FAR = 1 << 40
 BYTE, OTHER = np.random.default_rng(20240615).integers(1, 1 << 63, (2, 256), np.uint64) * U(2) + U(1)
@@ -70,42 +71,47 @@ class Level:
         right[:-1] = np.where(last[:-1], FAR, self.high[1:])
         return left, right, last
 
-    def joined(self, first: np.ndarray, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> Level:
-        """Symbols from each of `first` up to before the next, with these names; reaches are united."""
-        return Level(names, self.text[first], self.start[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first))
+    def joined(self, first: np.ndarray, last: np.ndarray, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> Level:
+        """Symbols from each of `first` to `last`, with these names. Inside a text, reaches begin and end in the order of
+        the symbols, so those of the first and last count."""
+        return Level(names, self.text[first], self.start[first], low[first], high[last])
 
     def runs(self) -> Level:
         """Runs of one symbol as one; a symbol that stays alone is seen to have other neighbours."""
-        left, right, last = self.beside()
+        left, right, end = self.beside()
+        low, high = np.minimum(self.low, left), np.maximum(self.high, right)
         new = np.ones(len(self.name), bool)
-        new[1:] = (self.name[1:] != self.name[:-1]) | last[:-1]
+        new[1:] = (self.name[1:] != self.name[:-1]) | end[:-1]
+        if new.all():
+            return Level(self.name, self.text, self.start, low, high)
         first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(self.name))).astype(np.uint64)
-        name = self.name[first]
-        name = np.where(length > 1, mix(name * PLACE[10] + length * PLACE[11]), name)
-        return self.joined(first, name, np.minimum(self.low, left), np.maximum(self.high, right))
+        last = np.append(first[1:], len(self.name)) - 1
+        name = self.name[first].copy()
+        many = np.flatnonzero(last > first)
+        name[many] = mix(name[many] * PLACE[10] + (last - first + 1)[many].astype(np.uint64) * PLACE[11])
+        return self.joined(first, last, name, low, high)
 
     def pairs(self, number: int) -> Level:
         """Pairs of an opening and a closing symbol as one; one that stays alone is seen to have no such neighbour."""
-        left, right, last = self.beside()
+        left, right, end = self.beside()
         closing = (mix(self.name + PLACE[20 + number]) & U(1)).astype(bool)
         second = np.zeros(len(self.name), bool)
-        second[1:] = ~closing[:-1] & closing[1:] & ~last[:-1]
+        second[1:] = ~closing[:-1] & closing[1:] & ~end[:-1]
         opened = np.append(second[1:], False)
         low = np.where(closing & ~second, np.minimum(self.low, left), self.low)
         high = np.where(~closing & ~opened, np.maximum(self.high, right), self.high)
         first = np.flatnonzero(~second)
-        name = self.name[first].copy()
-        pair = opened[first]
+        name, pair = self.name[first].copy(), np.flatnonzero(opened[first])
         name[pair] = mix(name[pair] * PLACE[12] + self.name[first[pair] + 1] * PLACE[13])
-        return self.joined(first, name, low, high)
+        return self.joined(first, first + opened[first], name, low, high)
 
 
 class WordWindows:
     """Windows of the words of some texts, and their runs of one anchor."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
-        """`starts` and `ends` of words in `data`; each text has its words from counts[i] to before counts[i + 1]."""
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, anchored: bool = True) -> None:
+        """`starts` and `ends` of words in `data`; each text has its words from counts[i] to before counts[i + 1]. Runs
+        are found only if windows are to be `anchored`."""
         n = len(starts)
         self.count = max(0, n - LENGTH + 1)
         empty = np.zeros(0, np.int64)
@@ -124,6 +130,8 @@ class WordWindows:
             self.sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:n]))))
             if table is BYTE:
                 symbols = words
+        if not anchored:
+            return
         text = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
         whole = text[: self.count] == text[LENGTH - 1 : LENGTH - 1 + self.count]
         if not whole.any():
@@ -138,7 +146,7 @@ class WordWindows:
             lacking = whole & (level < 0)
             if not lacking.any():
                 break
-            found = self._least(levels[number], number, lacking)
+            found = self._least(levels[number], number)
             here = lacking & (found != NONE)
             best[here], level[here] = found[here], number
         start = np.flatnonzero(whole)
@@ -162,31 +170,21 @@ class WordWindows:
         x = self.sums[0]
         return mix((x[high] - x[low]) * self.down[low] + (high - low).astype(np.uint64) * PLACE[3] + (start - low).astype(np.uint64) * PLACE[4] + U(number))
 
-    def _least(self, level: Level, number: int, lacking: np.ndarray) -> np.ndarray:
-        """For windows that lack an anchor, the least key of a symbol inside, with the symbol in its low bits."""
-        best = np.full(self.count, NONE)
-        room = LENGTH - (level.high - level.low)
-        before = np.concatenate(([0], np.cumsum(lacking)))
-        # the windows that hold a reach start from high - LENGTH to low
-        use = np.flatnonzero(room >= 0)
-        since, until = np.maximum(level.high[use] - LENGTH, 0), np.minimum(level.low[use] + 1, self.count)
-        use = use[(since < until) & (before[np.maximum(until, 0)] > before[np.minimum(since, self.count)])]
-        if not len(use):
-            return best
-        low, room = level.low[use], room[use]
-        key = (self._key(low, level.high[use], level.start[use], number) >> PLACE_BITS << PLACE_BITS) | use.astype(np.uint64)
-        order = np.lexsort((key, low))
-        low, room, key = low[order], room[order], key[order]
-        for back in range(LENGTH):
-            some = (room >= back) & (low >= back) & (low - back < self.count)
-            at, value = low[some] - back, key[some]
-            if not len(at):
-                continue
-            first = np.ones(len(at), bool)
-            first[1:] = at[1:] != at[:-1]
-            at, value = at[first], value[first]
-            best[at] = np.minimum(best[at], value)
-        return best
+    def _least(self, level: Level, number: int) -> np.ndarray:
+        """For each window the least key of a symbol inside, with the symbol in its low bits. A symbol lies inside if
+        REACH words from where its reach begins do, which is the same in equal windows."""
+        best = np.full(len(self.sums[0]) - 1, NONE)
+        use = np.flatnonzero((level.low >= 0) & (level.high - level.low <= REACH[number]))
+        low = level.low[use]
+        np.minimum.at(best, low, (self._key(low, level.high[use], level.start[use], number) >> PLACE_BITS << PLACE_BITS) | use.astype(np.uint64))
+        # the least of `wide` places, from the running least of blocks either way
+        wide, n = LENGTH - REACH[number] + 1, self.count
+        blocks = np.full(-(-(n + wide - 1) // wide) * wide, NONE)
+        blocks[: n + wide - 1] = best[: n + wide - 1]
+        blocks = blocks.reshape(-1, wide)
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        return np.minimum(behind[:n], ahead[wide - 1 : wide - 1 + n])
 
     def names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both names of the windows that start at these places."""
@@ -201,14 +199,14 @@ class WordCutter:
     def __init__(self, chunk: int = CHUNK) -> None:
         self.CHUNK = chunk
 
-    def pieces(self, batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, WordWindows, np.ndarray, int]]:
+    def pieces(self, batches: Iterator[pa.RecordBatch], text_at: int, anchored: bool = True) -> Iterator[tuple[pa.RecordBatch, WordWindows, np.ndarray, int]]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(text_at))
             for i, j in row_chunks(offsets, CHUNK_BYTES):
                 own = data[offsets[i] : offsets[j]]
                 starts, ends, counts = word_places(own, offsets[i : j + 1] - offsets[i])
                 if len(starts) <= self.CHUNK + LENGTH:
-                    yield batch.slice(i, j - i), WordWindows(own, starts, ends, counts), counts, 0
+                    yield batch.slice(i, j - i), WordWindows(own, starts, ends, counts, anchored), counts, 0
                     continue
                 # many texts of short words, or one long text: text by text and piece by piece
                 for row in range(i, j):
@@ -217,7 +215,7 @@ class WordCutter:
                         a, b = starts[start : min(after, start + self.CHUNK + LENGTH - 1)], ends[start : min(after, start + self.CHUNK + LENGTH - 1)]
                         if len(a) >= LENGTH:
                             cuts = np.array([0, len(a)])
-                            yield batch.slice(row, 1), WordWindows(own[a[0] : b[-1]], a - a[0], b - a[0], cuts), cuts, start - before
+                            yield batch.slice(row, 1), WordWindows(own[a[0] : b[-1]], a - a[0], b - a[0], cuts, anchored), cuts, start - before
 
     def cut(self, text: np.ndarray, spans: list[int]) -> tuple[int, bytes]:
         starts, ends, _ = word_places(text, np.array([0, len(text)]))

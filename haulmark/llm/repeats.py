@@ -62,8 +62,9 @@ class Cutter(Protocol):
     LENGTH: int
     CHUNK: int
 
-    def pieces(self, batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, Windows, np.ndarray, int]]:
-        """Rows with their windows, the unit where each row begins, and how far into the text the piece does."""
+    def pieces(self, batches: Iterator[pa.RecordBatch], text_at: int, anchored: bool = True) -> Iterator[tuple[pa.RecordBatch, Windows, np.ndarray, int]]:
+        """Rows with their windows, the unit where each row begins, and how far into the text the piece does. Runs are
+        wanted only if `anchored`."""
 
     def cut(self, text: np.ndarray, spans: list[int]) -> tuple[int, bytes]:
         """How many units a text has, and what is left without the spans (starts and ends in turn)."""
@@ -91,8 +92,8 @@ class Repeats:
         fresh = (weight > 1) & ~known[first]
         if len(self.known) + fresh.sum() > SEEN:
             self.known = self.checks = np.zeros(0, np.uint64)
-        self.known, keep = np.unique(np.concatenate((self.known, every[fresh])), return_index=True)
-        self.checks = np.concatenate((self.checks, checks[first][fresh]))[keep]
+        place = np.searchsorted(self.known, every[fresh])
+        self.known, self.checks = np.insert(self.known, place, every[fresh]), np.insert(self.checks, place, checks[first][fresh])
         return done, np.where(alike, np.minimum(weight[back], 2), np.minimum(weights, 2)).astype(np.int32)
 
 
@@ -161,7 +162,7 @@ def named_windows(docs: DataFrame, cutter: Cutter) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = Repeats()
-        for rows, w, offsets, start in cutter.pieces(batches, 1):
+        for rows, w, offsets, start in cutter.pieces(batches, 1, anchored=False):
             asked = rows.column(2)
             lens = np.diff(asked.offsets.to_numpy())
             flat = asked.flatten()

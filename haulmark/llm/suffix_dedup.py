@@ -30,7 +30,7 @@ BYTE, OTHER = np.random.default_rng(20240301).integers(1, 1 << 63, (2, 256), np.
 class Windows:
     """Hashes of all windows of one piece (the bytes of some texts), and their runs."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, anchored: bool = True) -> None:
         n = len(data)
         self.total, self.other = np.zeros((2, n + 1), np.uint64)
         up, self.down = POWERS.upto(n + 1)
@@ -40,7 +40,7 @@ class Windows:
         empty = np.zeros(0, np.int64)
         self.text = self.first = self.last = empty
         self.anchor = self.name = self.check = np.zeros(0, np.uint64)
-        if not self.count:
+        if not self.count or not anchored:
             return
         grams = n - KGRAM + 1
         gram = mix((self.total[KGRAM:] - self.total[:grams]) * self.down[:grams])
@@ -81,18 +81,18 @@ class ByteCutter:
     def __init__(self, chunk: int = CHUNK) -> None:
         self.CHUNK = chunk
 
-    def pieces(self, batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, Windows, np.ndarray, int]]:
+    def pieces(self, batches: Iterator[pa.RecordBatch], text_at: int, anchored: bool = True) -> Iterator[tuple[pa.RecordBatch, Windows, np.ndarray, int]]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(text_at))
             for i, j in row_chunks(offsets, self.CHUNK):
                 own, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if len(own) <= self.CHUNK + LENGTH:
-                    yield batch.slice(i, j - i), Windows(own, cuts), cuts, 0
+                    yield batch.slice(i, j - i), Windows(own, cuts, anchored), cuts, 0
                 else:
                     for start in range(0, len(own) - LENGTH + 1, self.CHUNK):
                         piece = own[start : start + self.CHUNK + LENGTH - 1]
                         cuts = np.array([0, len(piece)])
-                        yield batch.slice(i, 1), Windows(piece, cuts), cuts, start
+                        yield batch.slice(i, 1), Windows(piece, cuts, anchored), cuts, start
 
     def cut(self, text: np.ndarray, spans: list[int]) -> tuple[int, bytes]:
         edges = [0, *spans, len(text)]
