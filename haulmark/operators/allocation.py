@@ -1,16 +1,14 @@
-"""Exact allocation: rounding to totals and margins, quotas, seeds, growth, matching, balanced splits.
+"""Exact allocation: rounding to totals and margins, quotas, seeds, nested and balanced splits.
 
-Rounding and quotas are windows. What is a search over one bounded group (a city's communities, a
-family's orders) runs in that group's task, by `applyInPandas`; groups are independent, so Spark
+Rounding and quotas are windows. What is a search over one bounded group (a city's communities) runs in
+that group's task, by `applyInPandas`; groups are independent, so Spark
 spreads them, and none grows with the number of groups.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import math
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
 
+from . import windows
 from .lineage import settle
 
 
@@ -172,157 +171,6 @@ def grown_regions(communities: DataFrame, group: str, quota: float, regions: int
     return communities.groupBy(group).applyInPandas(per_group, f"{group} {kinds[group]}, id {kinds['id']}, region long")
 
 
-def _ways(near: dict, start: object) -> dict:
-    """Least cost from `start` to every node that directed edges near[u][v] lead to."""
-    done: dict = {}
-    heap = [(0.0, start)]
-    while heap:
-        cost, u = heapq.heappop(heap)
-        if u in done:
-            continue
-        done[u] = cost
-        for v, w in near.get(u, {}).items():
-            if v not in done:
-                heapq.heappush(heap, (cost + w, v))
-    return done
-
-
-def _tie(*parts: object) -> int:
-    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
-
-
-def region_seeds(room: dict, out: dict, back: dict, quotas: dict) -> dict:
-    """A community for each region, largest quotas first: one with room in the decile where the middle of the
-    region's quota lies, or the nearest decile that has any; the first is the roomiest, the others are
-    furthest from the seeds so far, by the mean of the ways there and back."""
-    seeds: dict = {}
-    far: dict = {}
-    for region in sorted(quotas, key=lambda r: (-sum(quotas[r].values()), _tie(r), r)):
-        middle, run = sum(quotas[region].values()) / 2, 0.0
-        for target in sorted(quotas[region]):
-            run += quotas[region][target]
-            if run >= middle:
-                break
-        for decile in sorted(range(10), key=lambda d: (abs(d - target), d)):
-            free = [c for c in sorted(room) if room[c].get(decile, 0) > 0 and c not in seeds.values()]
-            if free:
-                break
-        else:
-            continue  # no community is left for it
-        if far:
-            best = max(free, key=lambda c: (min(f.get(c, -math.inf) for f in far.values()), -_tie(region, c), c))
-        else:
-            best = min(free, key=lambda c: (-room[c][decile], _tie(region, c), c))
-        seeds[region] = best
-        there, here = _ways(out, best), _ways(back, best)
-        far[best] = {c: (there[c] + here[c]) / 2 for c in there.keys() & here.keys()}
-    return seeds
-
-
-def region_growth(room: dict, out: dict, back: dict, quotas: dict, seeds: dict) -> tuple[dict, dict]:
-    """(members, unmet deciles) of each region: in turn, regions whose communities lack room for some decile's
-    quota take a neighbour, one that has such deciles before others, then over the shortest edge."""
-    members = {r: [c] for r, c in seeds.items()}
-
-    def unmet(region: object) -> set:
-        return {d for d, q in quotas[region].items() if sum(room[c].get(d, 0) for c in members[region]) < q}
-
-    turns = sorted(members, key=lambda r: (-sum(quotas[r].values()), _tie("growth", r), r))
-    moved = True
-    while moved:
-        moved = False
-        for region in turns:
-            lacking = unmet(region)
-            edge: dict = {}
-            for c in members[region] if lacking else ():
-                for way in (out, back):
-                    for v, w in way.get(c, {}).items():
-                        if v not in members[region] and v in room:
-                            edge[v] = min(edge.get(v, math.inf), w)
-            if edge:
-                members[region].append(min(edge, key=lambda v: (not lacking & room[v].keys(), edge[v], _tie(region, v), v)))
-                moved = True
-    return members, {r: unmet(r) for r in members}
-
-
-def graph_regions(cells: DataFrame, edges: DataFrame, quotas: DataFrame, group: str) -> DataFrame:
-    """(group, region, id, step, met): the communities of each region, its seed first (step 0), and whether they
-    have room for all its quotas. A community may be in several regions; a region that finds no seed has no row.
-
-    cells: (group, id, decile, capacity); edges: (group, u, v, w), one way; quotas: (group, region, decile, quota).
-    """
-
-    def per_group(key: tuple, rows: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
-        room: dict = defaultdict(dict)
-        wanted: dict = defaultdict(dict)
-        for what, name, decile, n in rows[["what", "name", "decile", "n"]].itertuples(index=False):
-            (room if what == "cell" else wanted)[name][decile] = n
-        out: dict = defaultdict(dict)
-        back: dict = defaultdict(dict)
-        for u, v, w in ways[["u", "v", "w"]].itertuples(index=False):
-            out[u][v] = back[v][u] = w
-        members, lacking = region_growth(room, out, back, wanted, region_seeds(room, out, back, wanted))
-        found = [(key[0], r, c, step, not lacking[r]) for r in sorted(members) for step, c in enumerate(members[r])]
-        return pd.DataFrame(found, columns=[group, "region", "id", "step", "met"])
-
-    both = cells.select(group, F.lit("cell").alias("what"), F.col("id").cast("bigint").alias("name"), "decile", F.col("capacity").cast("bigint").alias("n"))
-    both = both.unionByName(quotas.select(group, F.lit("quota").alias("what"), F.col("region").cast("bigint").alias("name"), "decile", F.col("quota").cast("bigint").alias("n")))
-    kind = cells.schema[group].dataType.simpleString()
-    return both.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(per_group, f"{group} {kind}, region long, id long, step long, met boolean")
-
-
-def matched(options: DataFrame, group: str) -> DataFrame:
-    """(group, left, right): a largest matching of each group's (left, right) options.
-
-    Layers by breadth, then augmenting paths by depth (Hopcroft and Karp); groups are one view's orders.
-    """
-
-    def per_group(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict = defaultdict(list)
-        for a, b in sorted(set(zip(rows["left"].tolist(), rows["right"].tolist(), strict=True))):
-            near[a].append(b)
-        of_left: dict = {}
-        of_right: dict = {}
-        while True:
-            layer = {a: 0 for a in near if a not in of_left}
-            queue, found = deque(layer), False
-            while queue:
-                a = queue.popleft()
-                for b in near[a]:
-                    c = of_right.get(b)
-                    if c is None:
-                        found = True
-                    elif c not in layer:
-                        layer[c] = layer[a] + 1
-                        queue.append(c)
-            if not found:
-                break
-            at = {a: iter(near[a]) for a in layer}
-            for root in [a for a in layer if a not in of_left]:
-                stack, via = [root], {}
-                while stack:
-                    a = stack[-1]
-                    for b in at[a]:
-                        c = of_right.get(b)
-                        if c is None:
-                            via[a] = b
-                            for x in reversed(stack):  # flip the path
-                                of_left[x], of_right[via[x]] = via[x], x
-                            stack = []
-                            break
-                        if layer.get(c) == layer[a] + 1:
-                            via[a] = b
-                            stack.append(c)
-                            break
-                    else:
-                        layer[a] = -1
-                        stack.pop()
-        return pd.DataFrame({group: rows[group].iloc[0], "left": list(of_left), "right": list(of_left.values())})
-
-    kinds = {f.name: f.dataType.simpleString() for f in options.schema}
-    return options.groupBy(group).applyInPandas(per_group, f"{group} {kinds[group]}, left {kinds['left']}, right {kinds['right']}")
-
-
 def assigned(options: DataFrame, quotas: DataFrame, group: str) -> DataFrame:
     """(group, id, cell, cost): each id once, no cell over its quota, at the least total cost; ids that no
     cell has room for are left out, as few as possible.
@@ -394,13 +242,47 @@ def greedy_cover(df: DataFrame, group: str, n: int) -> DataFrame:
     return df.groupBy(group).applyInPandas(per_group, f"{group} {kinds[group]}, rank long, id {kinds['id']}, score double")
 
 
-def balanced_split(groups: DataFrame, share: float, restarts: int) -> DataFrame:
-    """(restart, g, held_out): whole groups (g, size) held out in a hashed order until `share` of all is reached.
+def balanced_split(groups: DataFrame, share: float, restarts: int, features: list[str], tolerance: float, slack: float) -> DataFrame:
+    """(g, size, held_out, restart, count_error, feature_error): whole groups (g, size, features) held out in a hashed
+    order while at most `share` of all is.
 
-    Restarts are rows, so Spark runs them side by side; the running sum is a window in each restart.
+    Restarts are rows, so Spark runs them side by side; the running sum is a window in each restart. Of the
+    restarts whose number is off by no more than `tolerance` of all, or than the best by `slack`, that of the
+    least error in the features' sums wins (their differences from the share, relative, on average).
     """
-    tries = groups.select("g", "size", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
+    tries = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
     rank = hashing.stable_long(F.col("restart"), F.col("g"))
     every = W.partitionBy("restart")
     run = tries.withColumns({"upto": F.sum("size").over(every.orderBy(rank, "g").rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("size").over(every)})
-    return run.select("restart", "g", "size", "total", (F.col("upto") <= F.col("total") * share).alias("held_out"))
+    run = settle(run.withColumn("held_out", F.col("upto") <= F.col("total") * share))
+
+    def off(name: str) -> F.Column:
+        return F.abs(F.sum(F.when(F.col("held_out"), F.col(name)).otherwise(0)) - F.sum(name) * share)
+
+    relative = sum((off(n) / F.greatest(F.sum(n) * share, F.lit(1.0)) for n in features[1:]), off(features[0]) / F.greatest(F.sum(features[0]) * share, F.lit(1.0)))
+    errors = settle(run.groupBy("restart").agg((off("size") / F.sum("size")).alias("count_error"), F.round(relative / len(features), 12).alias("feature_error")))
+    least = errors.agg(F.greatest(F.lit(tolerance), F.min("count_error") + slack).alias("most"))
+    best = errors.join(F.broadcast(least)).where("count_error <= most").agg(F.min(F.struct("feature_error", "count_error", "restart")).alias("b")).select("b.*")  # one row each
+    return run.join(F.broadcast(best), "restart").select("g", "size", "held_out", "restart", F.round("count_error", 9).alias("count_error"), F.round("feature_error", 9).alias("feature_error"))
+
+
+def nested_partition(df: DataFrame, groups: list[str], cells: list[str], key: str, parts: list[int], salt: str) -> DataFrame:
+    """`df` with level_1, level_2 ...: each group cut into parts[0] children, each of these into parts[1], and so on,
+    numbered from 0 inside the group.
+
+    Rows are numbered by cell and inside it by hash, and dealt to the children in turn. So each child has
+    its even share of its parent and of each of the parent's cells, up or down to a whole number, which is a
+    controlled rounding of both margins at every level; a child's rows are in that order again, so one
+    numbering serves all levels. The numbering is of the whole table, less the group's first.
+    """
+    rows = df.withColumn("_hash", hashing.stable_long(F.col(key), F.lit(salt)))
+    placed = windows.global_position(rows, [*groups, *cells, "_hash", key])
+    first = placed.groupBy(*groups).agg(F.min("position").alias("_first"))
+    out = placed.join(first, groups).withColumn("_at", F.col("position") - F.col("_first"))
+    child, done = F.lit(0).cast("bigint"), 1
+    levels = {}
+    for level, n in enumerate(parts, 1):
+        child = child * n + F.pmod(F.floor(F.col("_at") / done), F.lit(n))
+        levels[f"level_{level}"] = child
+        done *= n
+    return out.withColumns(levels).select(*df.columns, *levels)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import settle
+from .lineage import forget, settle
 from .windows import global_position
 
 
@@ -39,8 +39,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         wide = wide.union(least.where("m < hi").select("hi", F.col("m").alias("lo"))).distinct()
         least = wide.groupBy("hi").agg(F.min("lo").alias("m"))
         close = wide.join(least, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        links = settle(close)
+        last, links = links, settle(close)
         now = mark(links)
+        forget(last)
         if now == before:
             break
         before = now
@@ -69,7 +70,8 @@ def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> Data
             return least(log)
         log.append(frontier)
         if len(log) > LOGGED:
-            log = [settle(least(log))]
+            before, log = log, [settle(least(log))]
+            forget(*before[:-1])
     raise RuntimeError("costs did not settle")
 
 
@@ -136,7 +138,10 @@ def contract(edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def chains(nexts: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(start, step, node): the nodes that following (node, next) leads through from each start, which is step 0."""
+    """(start, step, node): the nodes that following (node, next) leads through from each start, which is step 0.
+
+    A chain that goes on after so many rounds, as one in a circle does, is an error.
+    """
     now = settle(starts.select(F.col("node").alias("start"), F.lit(0).cast("bigint").alias("step"), "node"))
     parts = [now]
     for _ in range(rounds):
@@ -144,6 +149,8 @@ def chains(nexts: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame
         if now.isEmpty():
             break
         parts.append(now)
+    else:
+        raise RuntimeError(f"chains go on after {rounds} steps")
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)

@@ -281,18 +281,25 @@ def matrix_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(back, ["i", "j"]).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(off), 6).alias("asymmetric_share"))
 
 
-@query(f"""WITH {STOPS}, g AS (SELECT unnest([1000, 2500, 5000, 7500]) AS threshold), f AS (SELECT unnest([1.0::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]) AS factor)
-  SELECT CAST(threshold AS INTEGER) AS threshold, factor, count(*) FILTER (travel_s * factor <= threshold) AS n, round(count(*) FILTER (travel_s * factor <= threshold) / count(*), 6) AS share, coalesce(sum(packages) FILTER (travel_s * factor <= threshold), 0)::BIGINT AS units,
-  round(coalesce(sum(packages) FILTER (travel_s * factor <= threshold), 0) / sum(packages), 6) AS unit_share FROM stops, g, f GROUP BY 1, 2""")
+#: Distances that may be promoted, and how much larger the one area may be than the other (null: any).
+THRESHOLDS, FACTORS = [1, 2, 5, 10, 20, 50, 100], [2.0, 4.0, 10.0, None]
+
+
+@query(f"""WITH {STOPS}, a AS (SELECT travel_s / 60 AS distance, greatest(packages, part_id % 50 + 1) / least(packages, part_id % 50 + 1) AS factor, packages AS units FROM stops WHERE status <> 'N'),
+  t AS (SELECT unnest([1, 2, 5, 10, 20, 50, 100]) AS threshold), f AS (SELECT unnest([2.0::DOUBLE, 4.0::DOUBLE, 10.0::DOUBLE, NULL]) AS area_factor)
+  SELECT CAST(threshold AS INTEGER) AS threshold, area_factor, count(*) FILTER (ok) AS n, round(count(*) FILTER (ok) / count(*), 6) AS share, coalesce(sum(units) FILTER (ok), 0)::BIGINT AS units, round(coalesce(sum(units) FILTER (ok), 0) / sum(units), 6) AS unit_share
+  FROM (SELECT *, distance <= threshold AND (area_factor IS NULL OR factor <= area_factor) AS ok FROM a, t, f) GROUP BY 1, 2""")
 def scenario_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve scenarios as columns of one aggregate, then as rows."""
-    x, n = F.col("travel_s"), F.col("packages")
-    grid = [(t, f) for t in (1000, 2500, 5000, 7500) for f in (1.0, 1.5, 2.0)]
-    each = [c for k, (t, f) in enumerate(grid) for c in (F.count_if(x * f <= t).alias(f"n{k}"), F.sum(F.when(x * f <= t, n).otherwise(0)).alias(f"u{k}"))]
-    total = stops(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), F.sum(n).alias("all"), *each)
-    rows = F.array(*(F.struct(F.lit(t).alias("threshold"), F.lit(f).alias("factor"), F.col(f"n{k}").alias("n"), F.col(f"u{k}").alias("units")) for k, (t, f) in enumerate(grid)))
-    out = total.select("rows", "all", F.explode(rows).alias("r"))
-    return out.select("r.threshold", "r.factor", "r.n", F.round(F.col("r.n") / F.col("rows"), 6).alias("share"), "r.units", F.round(F.col("r.units") / F.col("all"), 6).alias("unit_share"))
+    """Seven distances by four area factors: 28 scenarios as columns of one aggregate, then as rows."""
+    other = F.pmod("part_id", F.lit(50)) + 1
+    rows = stops(spark, sf_dir).where("status <> 'N'").select((F.col("travel_s") / 60).alias("distance"), (F.greatest("packages", other) / F.least("packages", other)).alias("factor"), "packages")
+    grid = [(t, f) for t in THRESHOLDS for f in FACTORS]
+    passes = lambda t, f: (F.col("distance") <= t) & (F.lit(True) if f is None else F.col("factor") <= f)
+    each = [c for k, (t, f) in enumerate(grid) for c in (F.count_if(passes(t, f)).alias(f"n{k}"), F.sum(F.when(passes(t, f), F.col("packages")).otherwise(0)).alias(f"u{k}"))]
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("packages").alias("all"), *each)
+    out = F.array(*(F.struct(F.lit(t).alias("threshold"), F.lit(f).cast("double").alias("area_factor"), F.col(f"n{k}").alias("n"), F.col(f"u{k}").alias("units")) for k, (t, f) in enumerate(grid)))
+    out = total.select("rows", "all", F.explode(out).alias("r"))
+    return out.select("r.threshold", "r.area_factor", "r.n", F.round(F.col("r.n") / F.col("rows"), 6).alias("share"), "r.units", F.round(F.col("r.units") / F.col("all"), 6).alias("unit_share"))
 
 
 ROUTES = "s AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY stop_no, part_id, station_id, packages, travel_s, ship_date) AS pos FROM stops)"

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
-from haulmark.operators import allocation, joins, windows
+from haulmark.operators import allocation, joins, matching, regions, windows
 from haulmark.operators.lineage import settle
 from haulmark.sources.tables import LOCATIONS, locations, points, table
 
@@ -78,7 +78,10 @@ def graph_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))).alias("s")
     ways = place.select("kind", F.col("id").alias("u"), "gx", "gy", step).select("kind", "u", ((F.col("gx") + F.col("s.dx")) * 1000 + F.col("gy") + F.col("s.dy")).alias("v"), F.hypot("s.dx", "s.dy").alias("far"))
     edges = ways.join(place.select("kind", F.col("id").alias("v")), ["kind", "v"]).select("kind", "u", "v", (F.col("far") * (1 + hashing.stable_unit(F.col("u"), F.col("v")))).alias("w"))
-    return allocation.graph_regions(cells, settle(edges), quotas, "kind")
+    grouped = lambda df: df.withColumnRenamed("kind", "group")
+    members, lacks = regions.graph_regions(grouped(cells).select("group", "id", "decile", "capacity"), grouped(edges), grouped(quotas))
+    short = lacks.groupBy("group", "region").agg(F.sum("deficit").alias("deficit"))
+    return members.join(short, ["group", "region"], "left").select(F.col("group").alias("kind"), "region", "id", "step", F.coalesce("deficit", F.lit(0)).alias("deficit"))
 
 
 @query()
@@ -97,25 +100,49 @@ def quota_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allocation.assigned(options, quotas, "kind")
 
 
+def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and the suppliers that could serve them, in each order's family (customer), with the quantity."""
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("group"))
+    return item.join(order, "l_orderkey").select("group", F.col("l_orderkey").alias("left"), F.col("l_suppkey").alias("right"), "l_quantity")
+
+
 @query()
 def bipartite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to suppliers' slots that are feasible, as many as can be, in each order's family (customer)."""
-    item = table(spark, sf_dir, "lineitem").where("l_quantity >= 10").select("l_orderkey", "l_suppkey")
-    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("family"))
-    options = item.join(order, "l_orderkey").select("family", F.col("l_orderkey").alias("left"), F.col("l_suppkey").alias("right")).distinct()
-    return allocation.matched(options, "family")
+    options = _options(spark, sf_dir).where("l_quantity >= 10").select("group", "left", "right")
+    return matching.matched(options)[0].select(F.col("group").alias("family"), "left", "right")
+
 
+#: Least quantities that a supplier's slots take, source by source.
+SOURCES = [40, 20, 5]
+
+
+@query()
+def order_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family's sources in turn until one covers all of its orders: what was asked, matched, and stuck at each."""
+    options = settle(_options(spark, sf_dir))
+    ranked = options.withColumn("rank", F.explode(F.array(*(F.when(F.col("l_quantity") >= q, F.lit(rank)) for rank, q in enumerate(SOURCES))))).where("rank IS NOT NULL")
+    _, attempts = matching.by_sources(options.select("group", "left"), ranked.select("group", "rank", "left", "right"), len(SOURCES))
+    return attempts.withColumnRenamed("group", "family")
 
-@query(f"""WITH g AS (SELECT l_suppkey AS g, count(*) AS size FROM lineitem GROUP BY 1), t AS (SELECT g, size, restart, sum(size) OVER (PARTITION BY restart ORDER BY {L("CAST(restart AS VARCHAR) || '|' || CAST(g AS VARCHAR)")}, g ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY restart) AS total FROM g, (SELECT unnest(range(0, 64)) AS restart)),
-  e AS (SELECT restart, sum(size) FILTER (upto <= total * 0.2::DOUBLE) AS held, max(total) AS total FROM t GROUP BY 1), b AS (SELECT arg_min(restart, (abs(coalesce(held, 0) - total * 0.2::DOUBLE), restart)) AS restart FROM e)
-  SELECT g, size, upto <= total * 0.2::DOUBLE AS held_out FROM t JOIN b USING (restart)""")
+
+#: What a held-out fifth of the stations should look like, and how far off the number of stops may be.
+SHARE, RESTARTS, TOLERANCE, SLACK = 0.2, 256, 0.002, 0.0005
+FEATURES = {"n_returned": "l_returnflag = 'R'", "n_accepted": "l_returnflag = 'A'", "n_open": "l_linestatus = 'O'", "n_large": "l_quantity > 25"}
+
+
+@query(f"""WITH g AS (SELECT l_suppkey AS g, count(*) AS size, {", ".join(f"count(*) FILTER ({test}) AS {name}" for name, test in FEATURES.items())} FROM lineitem GROUP BY 1),
+  t AS (SELECT *, sum(size) OVER (PARTITION BY restart ORDER BY {L("CAST(restart AS VARCHAR) || '|' || CAST(g AS VARCHAR)")}, g ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY restart) AS total FROM g, (SELECT unnest(range(0, {RESTARTS})) AS restart)),
+  e AS (SELECT restart, abs(coalesce(sum(size) FILTER (upto <= total * {SHARE}::DOUBLE), 0) - sum(size) * {SHARE}::DOUBLE) / sum(size) AS count_error,
+    round(({" + ".join(f"abs(coalesce(sum({n}) FILTER (upto <= total * {SHARE}::DOUBLE), 0) - sum({n}) * {SHARE}::DOUBLE) / greatest(sum({n}) * {SHARE}::DOUBLE, 1.0::DOUBLE)" for n in FEATURES)}) / {len(FEATURES)}, 12) AS feature_error FROM t GROUP BY 1),
+  b AS (SELECT arg_min(restart, (feature_error, count_error, restart)) AS restart FROM e WHERE count_error <= (SELECT greatest({TOLERANCE}::DOUBLE, min(count_error) + {SLACK}::DOUBLE) FROM e))
+  SELECT g, size, upto <= total * {SHARE}::DOUBLE AS held_out, CAST(t.restart AS INTEGER) AS restart, round(count_error, 9) AS count_error, round(feature_error, 9) AS feature_error FROM t JOIN b USING (restart) JOIN e USING (restart)""")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole stations held out for a fifth of all stops: of 64 hashed restarts the one that comes nearest."""
-    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.count(F.lit(1)).alias("size"))
-    tries = allocation.balanced_split(sizes, 0.2, 64)
-    error = tries.groupBy("restart").agg(F.abs(F.sum(F.when(F.col("held_out"), F.col("size")).otherwise(0)) - F.max("total") * 0.2).alias("error"))
-    best = error.agg(F.min_by("restart", F.struct("error", "restart")).alias("restart"))
-    return tries.join(F.broadcast(best), "restart").select("g", "size", "held_out")  # one row
+    """Whole stations held out for a fifth of all stops: of 256 hashed restarts those near the share by number, and of
+    these the one whose features are held out most evenly."""
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.count(F.lit(1)).alias("size"), *(F.count_if(F.expr(test)).alias(name) for name, test in FEATURES.items()))
+    return allocation.balanced_split(sizes, SHARE, RESTARTS, list(FEATURES), TOLERANCE, SLACK)
 
 
 @query(f"""SELECT c_custkey AS family, {L("CAST(c_custkey AS VARCHAR) || '|depot'")} AS depot_seed, {L("CAST(c_custkey AS VARCHAR) || '|customers'")} AS customer_seed, {L("CAST(c_custkey AS VARCHAR) || '|depot|retry|1'")} AS retry_seed, CASE WHEN {L("CAST(c_custkey AS VARCHAR) || '|day'")} % 7 < 5 THEN 'weekday' ELSE 'weekend' END AS day_type FROM customer""")
@@ -149,25 +176,41 @@ def generation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("city", "ordinal", "v.scale", "v.branch", "day_type", F.concat(F.lit("F"), F.substring(F.md5(hashing.joined(F.col("city"), F.col("ordinal"))), 1, 10)).alias("family_id"))
 
 
-U = hashing.sql_unit
+#: Draws of an order until its window, the day's end and the vehicle all fit; the seconds are those of a day.
+ATTEMPTS, DAY_START, DAY_END, CAPACITY = 64, 28800, 64800, 150_000
+PARTS = [(1, "start"), (9, "service"), (17, "demand")]
+DRAWS = ", ".join(f"CAST('0x' || substr(h, {at}, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u_{name}" for at, name in PARTS)
 
 
-@query(f"""WITH t AS (SELECT o_orderkey, attempt, {U("CAST(o_orderkey AS VARCHAR) || '|' || CAST(attempt AS VARCHAR)")} AS u FROM orders, (SELECT unnest(range(0, 16)) AS attempt)), k AS (SELECT *, CASE WHEN u < 0.3 THEN 'early' WHEN u > 0.8 THEN 'late' ELSE 'ok' END AS state FROM t)
-  SELECT o_orderkey, CAST(min(attempt) FILTER (state = 'ok') AS INTEGER) AS attempt, count(*) FILTER (state = 'early' AND attempt < coalesce(ok, 16)) AS early, count(*) FILTER (state = 'late' AND attempt < coalesce(ok, 16)) AS late FROM (SELECT *, min(attempt) FILTER (state = 'ok') OVER (PARTITION BY o_orderkey) AS ok FROM k) GROUP BY 1""")
+@query(f"""WITH t AS (SELECT o_orderkey, attempt, {DAY_START} + 600 * (o_custkey % 17) AS arrival, 1800 + 60 * (o_custkey % 89) AS back, md5(CAST(o_orderkey AS VARCHAR) || '|' || CAST(attempt AS VARCHAR)) AS h FROM orders, (SELECT unnest(range(0, {ATTEMPTS})) AS attempt)),
+  d AS (SELECT *, {DRAWS} FROM t), w AS (SELECT *, {DAY_START} + CAST(floor(u_start * 36000) AS BIGINT) AS tw_start, 60 + CAST(floor(u_service * 1800) AS BIGINT) AS service, 1000 + CAST(floor(u_demand * 200000) AS BIGINT) AS demand FROM d),
+  k AS (SELECT o_orderkey, attempt, greatest(arrival, tw_start) <= tw_start + 7200 AS tw_ok, greatest(arrival, tw_start) + service + back <= {DAY_END} AS horizon_ok, demand <= {CAPACITY} AS capacity_ok FROM w),
+  m AS (SELECT *, min(attempt) FILTER (tw_ok AND horizon_ok AND capacity_ok) OVER (PARTITION BY o_orderkey) AS ok FROM k)
+  SELECT o_orderkey, CAST(min(ok) AS INTEGER) AS attempt, CAST(count(*) FILTER (NOT tw_ok AND attempt < coalesce(ok, {ATTEMPTS})) AS INTEGER) AS time_window, CAST(count(*) FILTER (NOT horizon_ok AND attempt < coalesce(ok, {ATTEMPTS})) AS INTEGER) AS operating_horizon, CAST(count(*) FILTER (NOT capacity_ok AND attempt < coalesce(ok, {ATTEMPTS})) AS INTEGER) AS cargo_capacity FROM m GROUP BY 1""")
 def resample_until_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws by attempt until one passes both gates, with the reasons of those before; up to 16, inside one row, without a shuffle."""
-    key = F.col("o_orderkey").cast("string")
-    draw = lambda a: hashing.stable_unit(F.concat_ws("|", key, a.cast("string")))
-    state = lambda u: F.when(u < 0.3, "early").when(u > 0.8, "late").otherwise("ok")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda a: state(draw(a))).alias("s"))
-    at = F.array_position("s", "ok").cast("int")
-    before = F.when(at > 0, F.slice("s", 1, at - 1)).otherwise(F.col("s"))
-    count = lambda what: F.size(F.filter(before, lambda s: s == what)).cast("bigint")
-    return rows.select("o_orderkey", F.when(at > 0, at - 1).alias("attempt"), count("early").alias("early"), count("late").alias("late"))
+    """Draws by attempt until one passes all gates, with what the ones before failed: a fold inside the row, without a
+    shuffle, that draws no further once it has passed; up to 64 draws."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (DAY_START + F.pmod("o_custkey", F.lit(17)) * 600).alias("arrival"), (1800 + F.pmod("o_custkey", F.lit(89)) * 60).alias("back"))
+
+    def draw(state: F.Column, attempt: F.Column) -> F.Column:
+        h = F.md5(hashing.joined(F.col("o_orderkey"), attempt))
+        u = {name: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) for at, name in PARTS}
+        start, service, demand = DAY_START + F.floor(u["start"] * 36000), 60 + F.floor(u["service"] * 1800), 1000 + F.floor(u["demand"] * 200000)
+        begins = F.greatest("arrival", start)
+        ok = {"time_window": begins <= start + 7200, "operating_horizon": begins + service + F.col("back") <= DAY_END, "cargo_capacity": demand <= CAPACITY}
+        passed = ok["time_window"] & ok["operating_horizon"] & ok["cargo_capacity"]
+        failed = {name: state[name] + F.when(test, 0).otherwise(1) for name, test in ok.items()}
+        drawn = F.struct(F.when(passed, attempt).alias("attempt"), *(f.alias(name) for name, f in failed.items()))
+        return F.when(state["attempt"].isNotNull(), state).otherwise(drawn)
+
+    none = F.struct(F.lit(None).cast("int").alias("attempt"), *(F.lit(0).alias(name) for name in ("time_window", "operating_horizon", "cargo_capacity")))
+    return rows.select("o_orderkey", F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), none, draw).alias("x")).select("o_orderkey", "x.*")
 
 
 #: Most draws of one kind that an order needs, and orders that are drawn at once.
 MOST_UNITS, MOST_PACKAGES, BLOCK = 60, 72, 2048
+#: How likely a unit orders.
+ORDERS = 0.3
 
 
 def uniforms(seeds: np.ndarray, stream: int, n: int) -> np.ndarray:
@@ -181,7 +224,8 @@ def uniforms(seeds: np.ndarray, stream: int, n: int) -> np.ndarray:
 def drawn_orders(seeds: np.ndarray, units: np.ndarray) -> dict[str, np.ndarray]:
     """Packages, volume, service time and window of the orders of these seeds and units.
 
-    Orders of units are binomial and at least one; packages add a negative binomial of two failures an
+    Orders of units are binomial, given that there is one at least: the first is drawn among the units, those after it
+    are free; packages add a negative binomial of two failures an
     order (a sum of geometric draws); volumes and service times are lognormal, window starts normal.
     """
 
@@ -191,7 +235,10 @@ def drawn_orders(seeds: np.ndarray, units: np.ndarray) -> dict[str, np.ndarray]:
     def first(n: int, counts: np.ndarray) -> np.ndarray:
         return np.arange(n) < counts[:, None]
 
-    orders = np.maximum(1, ((uniforms(seeds, 0, MOST_UNITS) < 0.3) & first(MOST_UNITS, units)).sum(1))
+    # the place of the first unit that orders, given that one does
+    place = np.ceil(np.log1p(-uniforms(seeds, 10, 1)[:, 0] * (1 - (1 - ORDERS) ** units)) / np.log(1 - ORDERS))
+    later = np.arange(1, MOST_UNITS + 1) > np.clip(place, 1, units)[:, None]
+    orders = 1 + ((uniforms(seeds, 0, MOST_UNITS) < ORDERS) & first(MOST_UNITS, units) & later).sum(1)
     geometric = np.floor(np.log(uniforms(seeds, 1, 2 * MOST_UNITS)) / np.log(0.2))
     packages = np.clip(orders + (geometric * first(2 * MOST_UNITS, 2 * orders)).sum(1), 1, MOST_PACKAGES).astype(np.int64)
     volumes = np.clip(np.exp(7.5 + 0.9 * normal(2, MOST_PACKAGES)), 1, 2e5)

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import geo
-from haulmark.operators import graphs
-from haulmark.sources.tables import LINKS, LOCATIONS, ROADS, TRADE, locations, roads, table, trade
+from haulmark.operators import graphs, routing
+from haulmark.sources.tables import LINKS, LOCATIONS, ROADS, TIMED_TRADE, TRADE, locations, roads, table, timed_trade, trade
 
 from .registry import query
 
@@ -77,6 +77,40 @@ def scc_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.ranked(graphs.strong_components(edges, nodes), "S").select("node", "component", "size", "label")
 
 
+def _tree_sql(edges: str, starts: str, hops: int) -> str:
+    """By rounds, the least (cost, second) of ways with exactly so many hops; then the least label, and who leads to it."""
+    return f"""walk(source, node, cost, second, hop) AS (SELECT source, node, 0::BIGINT, 0::BIGINT, 0 FROM ({starts}) UNION ALL SELECT source, v, min(c), arg_min(s, (c, s)), any_value(hop) + 1 FROM (SELECT source, v, cost + w AS c, second + t AS s, hop FROM walk JOIN {edges} ON node = u WHERE hop < {hops}) GROUP BY source, v),
+  best AS (SELECT source, node, min(cost) AS cost, arg_min(second, (cost, second, hop)) AS second, arg_min(hop, (cost, second, hop)) AS hops FROM walk GROUP BY 1, 2),
+  tree AS (SELECT b.source, b.node, b.cost, b.second, b.hops, min(a.node) AS previous FROM best b LEFT JOIN {edges} e ON e.v = b.node AND b.hops > 0
+    LEFT JOIN best a ON a.source = b.source AND a.node = e.u AND a.cost + e.w = b.cost AND a.second + e.t = b.second AND a.hops + 1 = b.hops GROUP BY ALL)"""
+
+
+#: One supplier of each region, and the least ways from it by quantity, then by time.
+TRADE_TREE = f"{TIMED_TRADE}, {_tree_sql('timed', 'SELECT min(s_suppkey) * 2 + 1 AS source, min(s_suppkey) * 2 + 1 AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey', 40)}"
+
+
+def _trade_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    first = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").groupBy("n_regionkey").agg((F.min("s_suppkey") * 2 + 1).alias("node"))
+    zero = F.lit(0).cast("bigint")
+    return routing.shortest_tree(timed_trade(spark, sf_dir), first.select(F.col("node").alias("source"), "node", zero.alias("cost"), zero.alias("second")))
+
+
+@query(f"WITH RECURSIVE {TRADE_TREE} SELECT source, node, cost, second, hops, previous FROM tree")
+def sssp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths with predecessors over the graph of all customers and suppliers, and the time along each."""
+    return _trade_tree(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {TRADE_TREE}, way(source, node, path) AS (SELECT source, node, CAST(node AS VARCHAR) FROM tree WHERE hops = 0 UNION ALL SELECT t.source, t.node, way.path || '>' || t.node FROM tree t JOIN way ON t.source = way.source AND t.previous = way.node)
+  SELECT source, node, hops, cost, path FROM tree JOIN way USING (source, node)""")
+def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shortest path as the nodes it goes through."""
+    tree = graphs.settle(_trade_tree(spark, sf_dir))
+    ways = routing.paths(tree).select("source", "node", F.array_join("path", ">").alias("path"))
+    return tree.join(ways, ["source", "node"]).select("source", "node", "hops", "cost", "path")
+
+
 @query(f"""WITH RECURSIVE {LINKS}, back AS (SELECT v AS u, u AS v, w FROM links), {_paths_sql('links', 'SELECT 0 AS source, 0 AS node, 0.0::DOUBLE AS cost')},
   walk2(source, node, cost, hop) AS (SELECT 0, 0, 0.0::DOUBLE, 0 UNION ALL SELECT source, v, min(cost + w), any_value(hop) + 1 FROM walk2 JOIN back ON node = u WHERE hop < 30 GROUP BY source, v), best2 AS (SELECT source, node, min(cost) AS cost FROM walk2 GROUP BY 1, 2)
   SELECT n_nationkey AS node, best.cost AS outward, best2.cost AS inward FROM nation LEFT JOIN best ON best.node = n_nationkey LEFT JOIN best2 ON best2.node = n_nationkey""")
@@ -135,6 +169,36 @@ def sssp_turn_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.shortest(line, starts).groupBy("source", (F.col("node") % 100).alias("target")).agg(F.min("cost").alias("cost"))
 
 
+#: Two ways onto the roads for each supplier; a hundred suppliers are a family. Times in milliseconds.
+ACCESS = f"""{PLACED}, road AS (SELECT edge, u, v, CAST(w * 120 AS BIGINT) AS time, CAST(w AS BIGINT) AS length FROM e),
+  turn AS (SELECT a, b, CAST(CASE WHEN abs(delta) <= 30 THEN 0 WHEN abs(delta) >= 150 THEN 20000 WHEN delta > 0 THEN 3000 ELSE 8000 END AS BIGINT) AS penalty FROM turns),
+  options AS (SELECT s_suppkey // 100 AS family, s_suppkey AS terminal, o AS option, edge, abs(o - (s_suppkey % 97) / 96.0::DOUBLE) AS at, 1000 * (o + 1) AS link_time, 5 + o AS link_length, time, length FROM supplier, (SELECT unnest([0, 1]) AS o) JOIN road ON u = s_nationkey AND v = (s_nationkey + 1 + (s_suppkey + 7 * o) % 24) % 25),
+  line2 AS (SELECT a AS u, b AS v, penalty + time AS w, length AS t FROM turn JOIN road ON edge = b),
+  {_tree_sql('line2', 'SELECT DISTINCT edge AS source, edge AS node FROM options', 10)},
+  between_ AS (SELECT source AS edge_i, b AS edge_j, min(cost + penalty) AS time, arg_min(second, (cost + penalty, second)) AS length FROM best JOIN turn ON node = a WHERE b IN (SELECT edge FROM options) GROUP BY 1, 2),
+  pair AS (SELECT i.family, i.terminal AS i, j.terminal AS j, i.option AS option_i, j.option AS option_j, i.link_time + ((1 - i.at) * i.time + w.time + j.at * j.time) + j.link_time AS time, i.link_length + ((1 - i.at) * i.length + w.length + j.at * j.length) + j.link_length AS length
+      FROM options i JOIN options j ON i.family = j.family AND i.terminal <> j.terminal JOIN between_ w ON w.edge_i = i.edge AND w.edge_j = j.edge
+    UNION ALL SELECT i.family, i.terminal, j.terminal, i.option, j.option, i.link_time + (j.at - i.at) * i.time + j.link_time, i.link_length + (j.at - i.at) * i.length + j.link_length FROM options i JOIN options j ON i.family = j.family AND i.terminal <> j.terminal AND i.edge = j.edge AND i.at <= j.at
+    UNION ALL SELECT family, terminal, terminal, min(option), min(option), 0, 0 FROM options GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH RECURSIVE {ACCESS} SELECT family, i, j, round(min(time), 6) AS time, round(arg_min(length, (time, length, option_i, option_j)), 6) AS length, arg_min(option_i, (time, length, option_i, option_j)) AS option_i, arg_min(option_j, (time, length, option_i, option_j)) AS option_j FROM pair GROUP BY family, i, j""")
+def access_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quickest turn-aware ways between a family's suppliers by either of their ways onto the roads, then the shortest."""
+    roads_ = graphs.settle(_placed(spark, sf_dir))
+    road = roads_.select("edge", "u", "v", (F.col("w") * 120).cast("bigint").alias("time"), F.col("w").cast("bigint").alias("length"))
+    turns = graphs.line_graph(roads_.withColumn("w", F.lit(0.0)), geo.turn_penalty_s(geo.turn_delta(F.col("a_angle"), F.col("b_angle"))))
+    turns = turns.select("a", "b", (F.col("w") * 1000).cast("bigint").alias("penalty"))
+    key, o = F.col("s_suppkey"), F.col("option")
+    owned = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("option"))
+    target = F.pmod(F.col("s_nationkey") + 1 + F.pmod(key + o * 7, F.lit(24)), F.lit(25))
+    owned = owned.select("s_suppkey", F.col("s_nationkey").alias("u"), target.cast(road.schema["v"].dataType).alias("v"), "option")
+    options = owned.join(road, ["u", "v"]).select(
+        F.floor(key / 100).alias("family"), key.alias("terminal"), "option", "edge", F.abs(o - F.pmod(key, F.lit(97)) / 96.0).alias("at"), ((o + 1) * 1000).alias("link_time"), (o + 5).alias("link_length"))
+    found = routing.access_matrix(road, turns, options)
+    return found.select("family", "i", "j", F.round("time", 6).alias("time"), F.round("length", 6).alias("length"), "option_i", "option_j")
+
+
 #: How each day type weighs a road.
 PROFILES = {0: 1.0, 1: 1.25}
 REWEIGHED = f"""{PLACED}, profile AS (SELECT unnest([0, 1]) AS p, unnest([1.0, 1.25])::DOUBLE AS f), line2 AS (SELECT p * 10000 + a AS u, p * 10000 + b AS v, turns.w * f + (line.w - turns.w) AS w FROM turns JOIN line ON line.u = turns.a AND line.v = turns.b, profile)"""

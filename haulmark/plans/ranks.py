@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
-from haulmark.operators import aggregates, joins, windows
+from haulmark.operators import allocation, aggregates, joins, windows
 from haulmark.sources.tables import LOCATIONS, POINTS, ROADS, STOP_ORDER, STOPS, locations, points, roads, stops, table
 
 from .registry import query
@@ -48,13 +48,14 @@ def win_candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.row_number().over(w).cast("bigint").alias("candidate_rank"))
 
 
-@query(f"""WITH {LOCATIONS}, p AS (SELECT location_id, city_id, row_number() OVER (PARTITION BY city_id ORDER BY {hashing.sql_long("CAST(location_id AS VARCHAR) || '|nest'")}, location_id) - 1 AS pos, count(*) OVER (PARTITION BY city_id) AS n FROM locations)
-  SELECT location_id, city_id, pos, pos * 2 // n AS half, pos * 10 // n AS tenth, pos * 20 // n AS twentieth FROM p""")
+@query(f"""WITH {LOCATIONS}, p AS (SELECT location_id, city_id, kind, units % 10 AS decile, row_number() OVER (PARTITION BY city_id ORDER BY kind, units % 10, {hashing.sql_long("CAST(location_id AS VARCHAR) || '|nest'")}, location_id) - 1 AS pos FROM locations)
+  SELECT location_id, city_id, kind, decile, pos % 2 AS half, pos % 2 * 5 + pos // 2 % 5 AS tenth, (pos % 2 * 5 + pos // 2 % 5) * 2 + pos // 10 % 2 AS twentieth FROM p""")
 def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nested partition into halves, tenths and twentieths of a hashed order: children never cross parents."""
-    w = W.partitionBy("city_id").orderBy(hashing.stable_long(F.col("location_id"), F.lit("nest")), "location_id")
-    rows = locations(spark, sf_dir).select("location_id", "city_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.count(F.lit(1)).over(W.partitionBy("city_id")).alias("n"))
-    return rows.select("location_id", "city_id", "pos", *(F.floor(F.col("pos") * k / F.col("n")).alias(name) for k, name in ((2, "half"), (10, "tenth"), (20, "twentieth"))))
+    """Each city in halves, tenths and twentieths, one inside the other, that share each (kind, decile) cell of their
+    parent evenly: at every level a child has its share of a cell, up or down to a whole number."""
+    rows = locations(spark, sf_dir).select("location_id", "city_id", "kind", F.pmod("units", F.lit(10)).alias("decile"))
+    dealt = allocation.nested_partition(rows, ["city_id"], ["kind", "decile"], "location_id", [2, 5, 2], "nest")
+    return dealt.select("location_id", "city_id", "kind", "decile", F.col("level_1").alias("half"), F.col("level_2").alias("tenth"), F.col("level_3").alias("twentieth"))
 
 
 @query(f"WITH {STOPS} SELECT station_id, status, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY station_id), 6) AS share FROM stops GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing, text
-from haulmark.operators import aggregates, joins, windows
+from haulmark.operators import aggregates, journal, windows
 from haulmark.sources import documents, sinks
 from haulmark.sources.tables import LOCATIONS, POINTS, ROADS, eligible, locations, points, roads, table
 
@@ -118,20 +118,40 @@ def eligibility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locations(spark, sf_dir).groupBy("city_id").agg(F.count(F.lit(1)).alias("n"), *gates, F.count_if(F.col("candidate_eligible").isNull()).alias("n_unknown"))
 
 
-@query("""WITH r AS (SELECT user_id, max(ts) AS reset FROM events WHERE event_type = 'signup' GROUP BY user_id),
-  e AS (SELECT events.* FROM events LEFT JOIN r USING (user_id) WHERE event_type <> 'signup' AND (reset IS NULL OR ts > reset))
-  SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM e GROUP BY user_id, event_type""")
+#: Signups reset what a user has said before; of one time, the larger event comes later.
+LATEST = """WITH r AS (SELECT user_id, max((ts, event_id)) AS reset FROM events WHERE event_type = 'signup' GROUP BY user_id),
+  e AS (SELECT events.* FROM events LEFT JOIN r USING (user_id) WHERE event_type <> 'signup' AND (reset IS NULL OR (ts, event_id) > reset))
+  SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM e GROUP BY user_id, event_type"""
+
+
+@query(LATEST)
 def journal_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from haulmark.operators.journal import replayed
+    rows = table(spark, sf_dir, "events")
+    return journal.replayed(rows, ["user_id"], ["event_type"], F.struct("ts", "event_id"), F.col("event_type") == "signup").select("user_id", "event_type", "event_id", "value")
 
-    return replayed(table(spark, sf_dir, "events"), ["user_id"], ["event_type"], "ts", F.col("event_type") == "signup").select("user_id", "event_type", "event_id", "value")
+
+@query(LATEST)
+def journal_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a journal of JSON lines whose files all end in a torn line, recovered, replayed, compacted and read again."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    path = sinks.scratch(spark)
+    line = rows.select(F.pmod("user_id", F.lit(16)).alias("file"), "us", "event_id", F.to_json(F.struct(*rows.columns)).alias("value"))
+    torn = line.groupBy("file").agg(F.max("us").alias("us"), F.max("event_id").alias("event_id")).select("file", (F.col("us") + 1).alias("us"), "event_id", F.lit('{"event_id":17,"user_').alias("value"))
+    line.union(torn).repartition("file").sortWithinPartitions("file", "us", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    schema = "event_id long, user_id long, event_type string, value double, us long"
+    records, _ = journal.recovered(spark, path, schema)
+    left = journal.replayed(records, ["user_id"], ["event_type"], F.struct("us", "event_id"), F.col("event_type") == "signup")
+    compact = sinks.scratch(spark)
+    journal.compacted(left, compact)
+    again, _ = journal.recovered(spark, compact, schema)
+    return again.select("user_id", "event_type", "event_id", "value")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n = 1""")
 def dedup_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return joins.first_per_key(rows, ["l_orderkey", "l_linenumber"], *map(F.col, ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])).drop("l_extendedprice")
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("x")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "x.l_partkey", "x.l_suppkey", "x.l_quantity")
 
 
 @query("""SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS source FROM customer

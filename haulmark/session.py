@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # what loops have written goes with the frames that read it
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

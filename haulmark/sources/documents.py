@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,18 +48,31 @@ def matrices(spark: SparkSession, path: str, rows: int = 1 << 16) -> DataFrame:
     return files.mapInArrow(cells, "file string, i long, j long, value double")
 
 
+#: A quoted text of a dump (quotes are doubled or escaped), a tuple with such texts, and a value behind its comma.
+QUOTED = r"'(?:[^'\\]++|''|\\.)*+'"
+TUPLE, VALUE = rf"\((?:[^'()]++|{QUOTED})*+\)", rf",\s*+({QUOTED}|[^,]*+)"
+
+
 def sql_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(table, values) of the tuples in a SQL dump, one tuple a line: values are trimmed and unquoted texts.
+    """(table, values) of the tuples in a SQL dump: values are texts without their quotes and escapes; NULL is null.
 
     A record is what one INSERT statement brings, so a tuple knows its table without looking back over
-    lines; what follows UNLOCK TABLES belongs to none, and other lines are left out.
+    lines; what follows UNLOCK TABLES belongs to none, and what is no tuple is left out. Tuples may share a
+    line, and quoted texts may hold commas, quotes, brackets and line ends.
     """
     parts = spark.read.option("lineSep", "INSERT INTO `").text(path)
     named = parts.select(F.regexp_extract("value", r"^(\w+)` VALUES", 1).alias("table"), F.split("value", "\nUNLOCK TABLES")[0].alias("body")).where("table <> ''")
-    lines = named.select("table", F.explode(F.split("body", "\n")).alias("line")).select("table", F.regexp_replace(F.trim("line"), "[,;]+$", "").alias("line"))
-    inner = lines.where(F.col("line").startswith("(") & F.col("line").endswith(")"))
-    values = F.split(F.expr("substr(line, 2, length(line) - 2)"), ",")
-    return inner.select("table", F.transform(values, lambda v: F.regexp_replace(F.trim(v), "^'+|'+$", "")).alias("values"))
+    body = F.regexp_replace("body", r"^\w+` VALUES", "")
+    tuples = named.select("table", F.explode(F.regexp_extract_all(body, F.lit(TUPLE), F.lit(0))).alias("one"))
+    inner = F.concat(F.lit(","), F.expr("substr(one, 2, length(one) - 2)"))
+
+    def plain(value: Column) -> Column:
+        # a line end is written as \\n; of other pairs of escape and character, or of two quotes, the second stays
+        text = F.regexp_replace(F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"(?<!\\)((?:\\\\)*+)\\n", "$1\n"), r"'(')|\\(.)", "$1$2")
+        bare = F.trim(value)
+        return F.when(value.startswith("'"), text).when(F.upper(bare) != "NULL", bare)
+
+    return tuples.select("table", F.transform(F.regexp_extract_all(inner, F.lit(VALUE), F.lit(1)), plain).alias("values"))
 
 
 def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:

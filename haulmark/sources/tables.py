@@ -118,3 +118,17 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRADE = """trade AS (SELECT CASE WHEN l_returnflag = 'R' THEN o_custkey * 2 ELSE l_suppkey * 2 + 1 END AS u, CASE WHEN l_returnflag = 'R' THEN l_suppkey * 2 + 1 ELSE o_custkey * 2 END AS v,
   CAST(min(l_quantity) AS DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+
+
+def timed_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of `trade` with whole costs: (u, v, w, t), the least quantity and, with that, the least time."""
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("w"), F.pmod("l_partkey", F.lit(97)).cast("bigint").alias("t"), "l_returnflag")
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    joined = item.join(order, item.l_orderkey == order.o_orderkey)
+    customer, supplier, back = F.col("o_custkey") * 2, F.col("l_suppkey") * 2 + 1, F.col("l_returnflag") == "R"
+    edges = joined.select(F.when(back, customer).otherwise(supplier).alias("u"), F.when(back, supplier).otherwise(customer).alias("v"), F.struct("w", "t").alias("x"))
+    return edges.groupBy("u", "v").agg(F.min("x").alias("x")).select("u", "v", "x.*")
+
+
+TIMED_TRADE = """timed AS (SELECT CASE WHEN l_returnflag = 'R' THEN o_custkey * 2 ELSE l_suppkey * 2 + 1 END AS u, CASE WHEN l_returnflag = 'R' THEN l_suppkey * 2 + 1 ELSE o_custkey * 2 END AS v,
+  CAST(min(l_quantity) AS BIGINT) AS w, CAST(arg_min(l_partkey % 97, (l_quantity, l_partkey % 97)) AS BIGINT) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
