@@ -81,14 +81,68 @@ def dq_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line_bound": c("l_linenumber") <= 5, "tax_bound": c("l_tax") <= 0.07})
 
 
-@query(f"""WITH {LOCATIONS}, v AS (SELECT city_id, count(*) FILTER (NOT (units BETWEEN 1 AND 60)) AS units_range, count(*) FILTER (kind NOT IN ('BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD')) AS kind_known, count(*) FILTER (candidate_eligible AND NOT default_eligible) AS candidate_implies_default,
-    count(*) FILTER (NOT regexp_full_match(kind, '[A-Z]+')) AS kind_format, count(*) FILTER (release_eligible AND balance < 0) AS release_balance FROM locations GROUP BY 1)
-  SELECT city_id, rule, violations FROM v UNPIVOT (violations FOR rule IN (units_range, kind_known, candidate_implies_default, kind_format, release_balance))""")
+#: Columns of a core table of locations, as SQL that both engines read; some rows break each of the rules below.
+GATE_COLUMNS = [
+    {
+        "id": "c_custkey", "city_id": "c_nationkey", "units": "1 + c_custkey % 60", "balance": "c_acctbal", "occupancy": "CASE c_custkey % 9 WHEN 0 THEN 'RES2' WHEN 1 THEN 'RES3A' WHEN 2 THEN 'COM1' WHEN 3 THEN 'RES5' ELSE 'RES1' END",
+        "geometry_tier": "CASE c_custkey % 8 WHEN 0 THEN 'G2_near_area' WHEN 1 THEN 'G3_far' ELSE 'G1_containment' END", "unit_tier": "CASE WHEN c_custkey % 11 = 0 THEN 'U4_guess' WHEN c_custkey % 2 = 0 THEN 'U1_record' ELSE 'U2_model' END",
+        "match_distance": "CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 8 = 0 THEN c_custkey % 14 WHEN c_custkey % 31 = 0 THEN 1 ELSE 0 END", "area_factor": "1 + c_custkey % 6",
+        "road_distance": "CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE c_custkey % 130 - 1 END", "threshold": "CASE WHEN c_custkey % 41 = 0 THEN 90 ELSE 100 END", "anchor": "CASE c_custkey % 7 WHEN 0 THEN 'node' WHEN 1 THEN 'guess' ELSE 'edge' END",
+        "edge_u": "CASE WHEN c_custkey % 43 <> 0 THEN c_custkey % 25 END", "edge_v": "CASE WHEN c_custkey % 47 <> 0 THEN (c_custkey + 1) % 25 END", "edge_key": "CASE WHEN c_custkey % 53 <> 0 THEN 0 END", "active": "c_custkey % 59 = 0",
+        "geometry_ok": "CASE WHEN c_custkey % 61 <> 0 THEN c_custkey % 8 <> 1 END", "access_ok": "c_custkey % 10 <> 9", "building": "CASE WHEN c_custkey % 67 <> 0 THEN c_custkey * 3 END",
+        "quarantine": "CASE WHEN c_custkey % 71 = 0 THEN 'no footprint' WHEN c_custkey % 3 = 0 THEN '' END", "type_evidence": "CASE WHEN c_custkey % 73 = 0 THEN 'Default value' ELSE 'record' END", "unit_evidence": "CASE WHEN c_custkey % 79 = 0 THEN 'city default' ELSE 'model' END",
+        "segment": "c_mktsegment", "x": "c_custkey % 100", "y": "c_custkey % 83",
+    },
+    {
+        "lower": "CASE WHEN id % 13 = 0 THEN units + 1 ELSE greatest(1, units - id % 3) END", "upper": "CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN units - 1 ELSE units + id % 5 END",
+        "band": "CASE WHEN id % 23 = 0 THEN 'units_99' WHEN units = 1 THEN 'units_1' WHEN units <= 4 THEN 'units_2_4' WHEN units <= 19 THEN 'units_5_19' WHEN units <= 49 THEN 'units_20_49' ELSE 'units_50_plus' END",
+        "kind": "CASE WHEN id % 83 = 0 THEN 'villa' WHEN occupancy = 'RES2' THEN 'manufactured' WHEN units = 1 THEN 'single' WHEN units <= 4 THEN 'small' ELSE 'large' END",
+        "tier": "CASE WHEN id % 89 = 0 THEN 'G0_U0' ELSE substr(geometry_tier, 1, 2) || '_' || substr(unit_tier, 1, 2) END", "method": "CASE WHEN geometry_tier = 'G2_near_area' THEN 'near' WHEN id % 97 = 0 THEN 'by hand' ELSE 'inside' END",
+        "released": "CASE WHEN id % 101 = 0 THEN true ELSE coalesce(geometry_ok, false) AND access_ok END",
+    },
+]
+#: What every row has to meet, then what released rows have to; a rule that is null for a row holds.
+ROW_RULES = {
+    "inactive": "NOT active", "inside_boundary": "x BETWEEN 0 AND 97 AND y BETWEEN 0 AND 80", "release_is_geometry_and_access": "released = (coalesce(geometry_ok, false) AND access_ok)",
+}
+CORE_RULES = {
+    "kind_known": "kind IN ('manufactured', 'single', 'small', 'large')", "band_known": "band IN ('units_1', 'units_2_4', 'units_5_19', 'units_20_49', 'units_50_plus')",
+    "tier_known": "tier IN ('G1_U1', 'G1_U2', 'G2_U1', 'G2_U2')", "geometry_tier_known": "geometry_tier IN ('G1_containment', 'G2_near_area')", "unit_tier_known": "unit_tier IN ('U1_record', 'U2_model')",
+    "method_known": "method IN ('inside', 'near')", "distance_there": "match_distance IS NOT NULL AND match_distance >= 0", "inside_is_exact": "geometry_tier <> 'G1_containment' OR (method = 'inside' AND match_distance = 0)",
+    "near_is_near": "geometry_tier <> 'G2_near_area' OR (method = 'near' AND match_distance <= 10 AND area_factor <= 4)", "tier_combines": "tier = substr(geometry_tier, 1, 2) || '_' || substr(unit_tier, 1, 2)", "building_there": "building IS NOT NULL",
+    "not_quarantined": "coalesce(trim(quarantine), '') = ''", "units_positive": "units >= 1", "lower_bounds": "lower >= 1 AND lower <= units", "upper_above_lower": "upper >= lower", "upper_bounds": "upper >= units",
+    "band_of_units": "band = CASE WHEN units = 1 THEN 'units_1' WHEN units <= 4 THEN 'units_2_4' WHEN units <= 19 THEN 'units_5_19' WHEN units <= 49 THEN 'units_20_49' ELSE 'units_50_plus' END",
+    "kind_of_units": "kind = CASE WHEN occupancy = 'RES2' THEN 'manufactured' WHEN units = 1 THEN 'single' WHEN units <= 4 THEN 'small' ELSE 'large' END", "type_not_default": "lower(type_evidence) NOT LIKE '%default%'",
+    "units_not_default": "lower(unit_evidence) NOT LIKE '%default%'", "residential": "substr(occupancy, 1, 4) IN ('RES1', 'RES2', 'RES3')", "not_institutional": "substr(occupancy, 1, 4) NOT IN ('RES4', 'RES5', 'RES6')", "anchor_known": "anchor IN ('edge', 'node')",
+    "edge_whole": "edge_u IS NOT NULL AND edge_v IS NOT NULL AND edge_key IS NOT NULL", "road_there": "road_distance IS NOT NULL AND road_distance >= 0", "road_in_reach": "road_distance <= 100", "threshold_frozen": "threshold = 100",
+}
+#: The least shares of units that are matched and reached, in a city and in each of its kinds.
+SHARES = {"matched": ("geometry_ok", "true", 0.8), "reached": ("released", "coalesce(geometry_ok, false)", 0.88)}
+GATE = f"core AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in GATE_COLUMNS[1].items())} FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in GATE_COLUMNS[0].items())} FROM customer))"
+
+
+@query(f"""WITH {GATE}, v AS (SELECT city_id, {", ".join(f"count(*) FILTER (NOT ({rule})) AS {name}" for name, rule in ROW_RULES.items())}, {", ".join(f"count(*) FILTER (released AND NOT ({rule})) AS {name}" for name, rule in CORE_RULES.items())}, count(*) - count(DISTINCT id) AS id_unique, CAST(count(*) FILTER (released) = 0 AS BIGINT) AS core_there,
+    {", ".join(f"CAST(coalesce(sum(units) FILTER ({test} AND {among}), 0) < {least} * sum(units) FILTER ({among}) AS BIGINT) AS {name}" for name, (test, among, least) in SHARES.items())} FROM core GROUP BY 1),
+  k AS (SELECT city_id, {", ".join(f"count(*) FILTER ({name}) AS {name}_by_kind" for name in SHARES)} FROM (SELECT city_id, kind, {", ".join(f"coalesce(sum(units) FILTER ({test} AND {among}), 0) < {least} * sum(units) FILTER ({among}) AS {name}" for name, (test, among, least) in SHARES.items())} FROM core GROUP BY 1, 2) GROUP BY 1)
+  SELECT city_id, rule, violations FROM (SELECT * FROM v JOIN k USING (city_id)) UNPIVOT (violations FOR rule IN ({", ".join([*ROW_RULES, *CORE_RULES, "id_unique", "core_there", *SHARES, *(f"{n}_by_kind" for n in SHARES)])}))""")
 def contract_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return quality.violations(locations(spark, sf_dir), {
-        "units_range": c("units").between(1, 60), "kind_known": c("kind").isin("BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"), "candidate_implies_default": ~c("candidate_eligible") | c("default_eligible"),
-        "kind_format": c("kind").rlike("^[A-Z]+$"), "release_balance": ~c("release_eligible") | (c("balance") >= 0)}, ["city_id"])
+    """The gate of a city's locations: 36 rules, as counts of rows that break them and of shares that are too low.
+
+    All rules of rows are one aggregate; shares by kind are one over the kinds' sums.
+    """
+    rows = table(spark, sf_dir, "customer")
+    for columns in GATE_COLUMNS:
+        own = [] if columns is GATE_COLUMNS[0] else ["*"]
+        rows = rows.select(*own, *(F.expr(e).alias(n) for n, e in columns.items()))
+    rules = {n: F.expr(r) for n, r in ROW_RULES.items()} | {n: ~F.col("released") | F.expr(r) for n, r in CORE_RULES.items()}
+    low = [(F.coalesce(F.sum(F.when(F.expr(f"({test}) AND ({among})"), F.col("units"))), F.lit(0)) < F.sum(F.when(F.expr(among), F.col("units"))) * least).alias(n) for n, (test, among, least) in SHARES.items()]
+    by_id = rows.groupBy("city_id", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("released").alias("released"))
+    ids = by_id.groupBy("city_id").agg((F.sum("n") - F.count(F.lit(1))).alias("id_unique"), (F.sum("released") == 0).cast("bigint").alias("core_there"))
+    city = rows.groupBy("city_id").agg(*low).select("city_id", *(F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias(n) for n in SHARES))
+    kinds = rows.groupBy("city_id", "kind").agg(*low).groupBy("city_id").agg(*(F.count_if(F.col(n)).alias(f"{n}_by_kind") for n in SHARES))
+    wide = ids.join(city, "city_id").join(kinds, "city_id")
+    more = wide.unpivot("city_id", [c for c in wide.columns if c != "city_id"], "rule", "violations")
+    return quality.violations(rows, rules, ["city_id"]).union(more)
 
 
 @query("""WITH a AS (SELECT l_suppkey, l_partkey, round(sum(l_extendedprice), 2) AS v FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2), b AS (SELECT l_suppkey, l_partkey, round(sum(l_extendedprice), 2) AS v FROM lineitem WHERE l_linestatus = 'F' OR l_returnflag <> 'A' GROUP BY 1, 2)

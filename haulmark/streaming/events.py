@@ -13,6 +13,8 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -63,6 +65,83 @@ def improvements(events: DataFrame) -> DataFrame:
         per_user, "user_id bigint, event_id bigint, value double", "best double", "append", "NoTimeout")
 
 
+#: Days after a user's first event at which the incumbent is sealed.
+MARKS = [1, 3, 7, 14, 28]
+DAY_US = 86_400_000_000
+
+
+class Seals(StatefulProcessor):
+    """A user's incumbent at marks after the first event. A mark is sealed when the watermark has passed it: an event
+    of before that arrives later changes nothing any more.
+
+    Events wait until the watermark has passed them too and are then taken in the order of their time, so
+    the order in which files bring them makes no difference. A timer stands on the next thing to do.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "us long")
+        self.best = handle.getValueState("best", "us long, event_id long, value double")
+        self.sealed = handle.getValueState("sealed", "n int")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, value double")
+
+    def _settled(self, user: int, until: int) -> list[tuple]:
+        """Take what waits up to `until` and seal the marks up to there."""
+        waiting = sorted(self.waiting.get())
+        if not waiting and not self.first.exists():
+            return []
+        ripe = [r for r in waiting if r[0] <= until]
+        if ripe and not self.first.exists():
+            self.first.update((ripe[0][0],))
+        best, done, out = (self.best.get() if self.best.exists() else None), (self.sealed.get()[0] if self.sealed.exists() else 0), []
+        if self.first.exists():
+            start = self.first.get()[0]
+            marks = [start + day * DAY_US for day in MARKS]
+            for row in [*ripe, (until + 1, None, None)]:
+                while done < len(MARKS) and marks[done] < row[0]:
+                    out.append((user, MARKS[done], best and best[1], best and best[2]))
+                    done += 1
+                if row[1] is not None and row[2] == row[2] and (best is None or row[2] < best[2]):
+                    best = tuple(row)
+            self.sealed.update((done,))
+            if best:
+                self.best.update(best)
+            if left := [tuple(r) for r in waiting if r[0] > until]:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+            due = [*(r[0] for r in left), *(m for m in marks[done:])]
+        else:
+            due = [r[0] for r in waiting]
+        if due:
+            self.handle.registerTimer(min(due) // 1000 + 1)
+        return out
+
+    def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(rows, columns=["user_id", "day", "event_id", "value"]).astype({"user_id": "int64", "day": "int32", "event_id": "Int64", "value": "Float64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for frame in rows:
+            for us, event_id, value in frame[["us", "event_id", "value"]].itertuples(index=False):
+                if us > passed:  # what comes behind the watermark is too late
+                    self.waiting.appendValue((int(us), int(event_id), float(value)))
+        yield from self._out(self._settled(key[0], passed))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._out(self._settled(key[0], timerValues.getCurrentWatermarkInMs() * 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def sealed(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """(user_id, day, event_id, value) of each mark once it is sealed; the stream form of as-of checkpoints."""
+    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "value")
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Seals(), outputStructType="user_id long, day int, event_id long, value double", outputMode="Append", timeMode="EventTime")
+
+
 def latest_table(events: DataFrame, path: str, checkpoint: str) -> Any:
     """Last-write-wins by (user, type): each batch is reduced to its last records and added to a log
     from which `read_latest` takes the last of all; batch numbers make a repeated batch harmless."""
