@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.sources import documents, sinks
-from haulmark.sources.tables import LINKS, picked, roads, table
+from haulmark.sources.tables import LINKS, LOCATIONS, locations, picked, roads, table
 
 from .registry import query
 
@@ -90,3 +90,17 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
     rows = table(spark, sf_dir, "nation").join(counts, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("region")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("customers"), F.count(F.lit(1)).alias("cities"))
     return sinks.json_report(rows, "region")
+
+
+@query(f"""WITH {LOCATIONS} SELECT 'locations' AS name, count(*) AS n, CAST(sum(location_id) AS BIGINT) AS keys, true AS reused FROM locations UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT), true FROM orders UNION ALL SELECT 'stops', count(*), CAST(sum(l_orderkey) AS BIGINT), true FROM lineitem""")
+def family_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables published as one family; a second run finds them verified and keeps them."""
+    own = {
+        "locations": locations(spark, sf_dir).select(F.col("location_id").alias("key"), "city_id", "kind", "units"), "orders": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", "o_totalprice"),
+        "stops": table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_quantity"),
+    }
+    path = sinks.scratch(spark)
+    sinks.publish_family(spark, path, own)
+    reused = not sinks.publish_family(spark, path, own)
+    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"), F.lit(reused).alias("reused")) for name, df in sinks.family(spark, path).items()]
+    return parts[0].union(parts[1]).union(parts[2])
