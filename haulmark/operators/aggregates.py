@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import windows
+from .lineage import settle
+
 
 def pivot_counts(df: DataFrame, keys: list[str], column: str, values: list[object], prefix: str) -> DataFrame:
     """Rows of each key by value, as one column for each of `values`; 0 where there are none. Values are given,
@@ -66,6 +69,27 @@ def summary(value: str) -> list[Column]:
     return [F.count(x).alias("n"), F.min(x).alias("low"), *quantiles(value, 0.1, 0.5, 0.9, 0.99), F.avg(x).alias("mean"), F.max(x).alias("high"), F.stddev_pop(x).alias("std")]
 
 
+def placed_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, edges): exact quantiles, interpolated between neighbours, of any number of rows in a key.
+
+    Rows are numbered in one order of keys and values; those at the places asked for are all that a key
+    gathers, so no task holds a key's values. Null values don't count, and a key without others has no row.
+    """
+    placed = windows.global_position(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")), [*keys, "_v"])
+    sizes = settle(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("position").alias("_first")))
+    asked, at = F.array(*map(F.lit, shares)), F.col("position") - F.col("_first")
+    place = lambda s: (F.col("_n") - 1) * s
+    found = placed.join(sizes, keys).where(F.exists(asked, lambda s: (at == F.floor(place(s))) | (at == F.ceil(place(s)))))
+    found = found.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col("_v").cast("double").alias("v")))).alias("_m"))
+
+    def edge(share: Column) -> Column:
+        h = place(share)
+        low, high = F.try_element_at("_m", F.floor(h)), F.try_element_at("_m", F.ceil(h))
+        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return found.select(*keys, F.transform(asked, edge).alias("edges"))
+
+
 def decile_edges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, edges): 11 exact decile edges."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(i / 10) for i in range(11)))).alias("edges"))
+    return placed_quantiles(df, keys, value, [i / 10 for i in range(11)])
