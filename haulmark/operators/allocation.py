@@ -242,19 +242,24 @@ def greedy_cover(df: DataFrame, group: str, n: int) -> DataFrame:
     return df.groupBy(group).applyInPandas(per_group, f"{group} {kinds[group]}, rank long, id {kinds['id']}, score double")
 
 
-def balanced_split(groups: DataFrame, share: float, restarts: int, features: list[str], tolerance: float, slack: float) -> DataFrame:
-    """(g, size, held_out, restart, count_error, feature_error): whole groups (g, size, features) held out in a hashed
-    order while at most `share` of all is.
+def balanced_split(groups: DataFrame, share: float, restarts: int) -> DataFrame:
+    """`groups` (g, size, ...) for each restart with `held_out`: whole groups held out in a hashed order while at most
+    `share` of all is, and `total`.
 
-    Restarts are rows, so Spark runs them side by side; the running sum is a window in each restart. Of the
-    restarts whose number is off by no more than `tolerance` of all, or than the best by `slack`, that of the
-    least error in the features' sums wins (their differences from the share, relative, on average).
+    Restarts are rows, so Spark runs them side by side; the running sum is a window in each restart.
     """
     tries = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
     rank = hashing.stable_long(F.col("restart"), F.col("g"))
     every = W.partitionBy("restart")
     run = tries.withColumns({"upto": F.sum("size").over(every.orderBy(rank, "g").rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("size").over(every)})
-    run = settle(run.withColumn("held_out", F.col("upto") <= F.col("total") * share))
+    return run.withColumn("held_out", F.col("upto") <= F.col("total") * share).drop("upto")
+
+
+def best_split(groups: DataFrame, share: float, restarts: int, features: list[str], tolerance: float, slack: float) -> DataFrame:
+    """(g, size, held_out, restart, count_error, feature_error) of the best restart of `balanced_split`: of those whose
+    number is off by no more than `tolerance` of all, or than the least by `slack`, that of the least error in
+    the features' sums (their differences from the share, relative, on average)."""
+    run = settle(balanced_split(groups, share, restarts))
 
     def off(name: str) -> F.Column:
         return F.abs(F.sum(F.when(F.col("held_out"), F.col(name)).otherwise(0)) - F.sum(name) * share)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import joins
 from .lineage import settle
 
 
-def replayed(log: DataFrame, scope: list[str], key: list[str], order: Column, reset: Column) -> DataFrame:
+def replayed(log: DataFrame, scope: list[str], key: list[str], order: str | Column, reset: Column) -> DataFrame:
     """The last record of each key since its scope's last reset, by a total `order`; resets themselves are no records."""
-    log = log.withColumn("_order", order)
+    log = log.withColumn("_order", F.col(order) if isinstance(order, str) else order)
     last = log.where(reset).groupBy(*scope).agg(F.max("_order").alias("_reset"))
     kept = log.where(~reset).join(last, scope or F.lit(True), "left").where(F.col("_reset").isNull() | (F.col("_order") > F.col("_reset"))).drop("_reset")
     return joins.last_wins(kept, [*scope, *(k for k in key if k not in scope)], F.col("_order")).drop("_order")

@@ -142,7 +142,7 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole stations held out for a fifth of all stops: of 256 hashed restarts those near the share by number, and of
     these the one whose features are held out most evenly."""
     sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.count(F.lit(1)).alias("size"), *(F.count_if(F.expr(test)).alias(name) for name, test in FEATURES.items()))
-    return allocation.balanced_split(sizes, SHARE, RESTARTS, list(FEATURES), TOLERANCE, SLACK)
+    return allocation.best_split(sizes, SHARE, RESTARTS, list(FEATURES), TOLERANCE, SLACK)
 
 
 @query(f"""SELECT c_custkey AS family, {L("CAST(c_custkey AS VARCHAR) || '|depot'")} AS depot_seed, {L("CAST(c_custkey AS VARCHAR) || '|customers'")} AS customer_seed, {L("CAST(c_custkey AS VARCHAR) || '|depot|retry|1'")} AS retry_seed, CASE WHEN {L("CAST(c_custkey AS VARCHAR) || '|day'")} % 7 < 5 THEN 'weekday' ELSE 'weekend' END AS day_type FROM customer""")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
-from haulmark.operators import allocation, aggregates, joins, windows
+from haulmark.operators import aggregates, allocation, windows
 from haulmark.sources.tables import LOCATIONS, POINTS, ROADS, STOP_ORDER, STOPS, locations, points, roads, stops, table
 
 from .registry import query

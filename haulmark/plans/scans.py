@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing, text
-from haulmark.operators import aggregates, journal, windows
+from haulmark.operators import aggregates, joins, journal, windows
 from haulmark.sources import documents, sinks
 from haulmark.sources.tables import LOCATIONS, POINTS, ROADS, eligible, locations, points, roads, table
 

@@ -178,7 +178,7 @@ def test_splits_are_near_the_share_and_even(spark):
     rng = random.Random(2)
     groups = [(g, rng.randint(1, 30), rng.randint(0, 9), rng.randint(0, 3)) for g in range(60)]
     docs = spark.createDataFrame(groups, "g long, size long, a long, b long")
-    got = allocation.balanced_split(docs, 0.2, 64, ["a", "b"], 0.002, 0.0005).collect()
+    got = allocation.best_split(docs, 0.2, 64, ["a", "b"], 0.002, 0.0005).collect()
     assert {r.g for r in got} == set(range(60)) and len({(r.restart, r.count_error) for r in got}) == 1
     held = [g for g in groups if any(r.g == g[0] and r.held_out for r in got)]
     total = [sum(x) for x in zip(*groups, strict=True)]

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from haulmark.functions import text, time
-from haulmark.operators import allocation, graphs, joins, journal, replay, windows
+from haulmark.operators import allocation, graphs, joins, journal, matching, replay, windows
 from haulmark.sources import documents, sinks
 from haulmark.sources.tables import eligible, require
 
@@ -42,7 +42,7 @@ def test_rounded_margins_are_exact(cells):
 def test_matching_is_as_large_as_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(g, int(a), int(b)) for g in range(6) for a in range(5) for b in range(5) if rng.random() < 0.35]
-    found = allocation.matched(spark.createDataFrame(rows, "g int, left int, right int"), "g").collect()
+    found = matching.matched(spark.createDataFrame(rows, "group int, left int, right int"))[0].withColumnRenamed("group", "g").collect()
     for g in range(6):
         own = {(a, b) for k, a, b in rows if k == g}
         best = max((sum((a, b) in own for a, b in enumerate(p)) for p in itertools.permutations(range(5))), default=0)
