@@ -202,8 +202,7 @@ def pairwise_within_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facilities of one kind that are near are one entity: a range join, then components."""
     rows = points(spark, sf_dir).withColumnRenamed("point_id", "id")
-    kinds = rows.select("id", "kind")
-    pairs = joins.radius_join(rows, rows, 350.0).where("id < other").join(kinds, "id").join(kinds.withColumnsRenamed({"id": "other", "kind": "kind2"}), "other").where("kind = kind2")
+    pairs = joins.radius_join(rows, rows, 350.0, on=("kind",)).where("id < other")
     member = graphs.components(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
     grouped = rows.select("id").join(member, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("group_id"))
     sizes = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
