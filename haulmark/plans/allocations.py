@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haulmark.functions import hashing
-from haulmark.operators import allocation, joins, matching, regions, windows
+from haulmark.operators import allocation, auction, joins, matching, regions, windows
 from haulmark.operators.lineage import settle
 from haulmark.sources.tables import LOCATIONS, locations, points, table
 
@@ -65,25 +65,49 @@ def region_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allocation.grown_regions(_communities(spark, sf_dir), "kind", 12.0, 4)
 
 
-@query()
-def graph_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three regions for each kind, grown over adjacent communities until they have room for their quotas by decile."""
+def _area(spark: SparkSession, sf_dir: str, part: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Points with their communities (kind, gx, gy) and deciles; the communities' capacities; ways between adjacent ones;
+    and the quotas of three regions, each a `part`-th of every decile."""
     rows = points(spark, sf_dir).withColumn("decile", F.least(F.lit(9), F.floor(F.hypot("x", "y") / 400)).cast("int"))
     gx, gy = F.floor(F.col("x") / 500), F.floor(F.col("y") / 500)
-    cells = rows.groupBy("kind", gx.alias("gx"), gy.alias("gy"), "decile").agg(F.count(F.lit(1)).alias("capacity")).withColumn("id", F.col("gx") * 1000 + F.col("gy"))
-    cells = settle(cells)
-    quotas = cells.groupBy("kind", "decile").agg(F.ceil(F.sum("capacity") / 6).alias("quota"))
+    rows = rows.withColumns({"gx": gx, "gy": gy}).withColumn("id", F.col("gx") * 1000 + F.col("gy"))
+    cells = settle(rows.groupBy("kind", "gx", "gy", "id", "decile").agg(F.count(F.lit(1)).alias("capacity")))
+    quotas = cells.groupBy("kind", "decile").agg(F.ceil(F.sum("capacity") / part).alias("quota"))
     quotas = quotas.select("kind", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("region"), "decile", "quota")
     place = cells.select("kind", "id", "gx", "gy").distinct()
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))).alias("s")
     ways = place.select("kind", F.col("id").alias("u"), "gx", "gy", step).select("kind", "u", ((F.col("gx") + F.col("s.dx")) * 1000 + F.col("gy") + F.col("s.dy")).alias("v"), F.hypot("s.dx", "s.dy").alias("far"))
     edges = ways.join(place.select("kind", F.col("id").alias("v")), ["kind", "v"]).select("kind", "u", "v", (F.col("far") * (1 + hashing.stable_unit(F.col("u"), F.col("v")))).alias("w"))
-    grouped = lambda df: df.withColumnRenamed("kind", "group")
-    members, lacks = regions.graph_regions(grouped(cells).select("group", "id", "decile", "capacity"), grouped(edges), grouped(quotas))
+    return tuple(df.withColumnRenamed("kind", "group") for df in (rows, cells, edges, quotas))
+
+
+@query()
+def graph_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three regions for each kind, grown over adjacent communities until they have room for their quotas by decile."""
+    _, cells, edges, quotas = _area(spark, sf_dir, 6)
+    members, lacks = regions.graph_regions(cells.select("group", "id", "decile", "capacity"), edges, quotas)
     short = lacks.groupBy("group", "region").agg(F.sum("deficit").alias("deficit"))
     return members.join(short, ["group", "region"], "left").select(F.col("group").alias("kind"), "region", "id", "step", F.coalesce("deficit", F.lit(0)).alias("deficit"))
 
 
+@query()
+def contested_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points to the quotas of three regions for each kind that start from the same communities (within four cells of
+    the fullest) and grow while they compete: each point once, by a hashed priority; beside it the round in
+    which its region took the community in (0: at first), and what the region lacks."""
+    rows, cells, edges, quotas = _area(spark, sf_dir, 6)
+    full = cells.groupBy("group", "id", "gx", "gy").agg(F.sum("capacity").alias("n")).groupBy("group").agg(F.max_by(F.struct("gx", "gy"), F.struct("n", "id")).alias("c"))
+    near = cells.join(full, "group").where((F.abs(F.col("gx") - F.col("c.gx")) <= 4) & (F.abs(F.col("gy") - F.col("c.gy")) <= 4)).select("group", "id").distinct()
+    members = near.select("group", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("region"), "id")
+    residents = rows.select("group", "id", "decile", F.col("point_id").alias("who"))
+    links = settle(edges.union(edges.select("group", "v", "u", "w")).groupBy("group", "u", "v").agg(F.min("w").alias("w")))
+    priority = -F.log(hashing.stable_unit(F.col("region"), F.col("who")) + 1e-9)
+    placed, areas, lacks = auction.contested(residents, members, links, quotas, priority, 1.0)
+    short = lacks.groupBy("group", "region").agg(F.sum("deficit").alias("deficit"))
+    out = placed.join(residents.select("group", "who", "id"), ["group", "who"]).join(areas, ["group", "region", "id"]).join(short, ["group", "region"], "left")
+    return out.select(F.col("group").alias("kind"), "region", "decile", F.col("who").alias("point_id"), "cost", "step", F.coalesce("deficit", F.lit(0)).alias("deficit"))
+
+
 @query()
 def greedy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four chargers for each kind, chosen among its communities."""
