@@ -6,10 +6,18 @@ the next one would cost it and one unit more. An id goes to the highest bid and
 what a cell holds is within a unit of the best that it could have at these prices, and when all cells
 have their quotas the sum is within a unit for each id of the least one. Bids are picked by their places
 in one order of all options, so a cell may have any share of them.
+
+Ids that know the same cells at the same whole costs are alike, so a group is decided by how many ids
+there are of each profile, however many ids it has: with few profiles the least cost is found by cheapest
+ways between its cells, and ids are dealt to it by their places in one order. Rounds of bids are for
+groups whose profiles come to more than ENTRIES.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +29,10 @@ from .lineage import forget, settle
 CELL = ["group", "cell"]
 #: What a cell without an alternative adds to its bid, in units: more than prices come to otherwise.
 WALL = 1 << 40
+#: What profiles of a group may come to (profiles by the cells that they know) without rounds of bids.
+ENTRIES = 1 << 13
+#: What a group's communities, links and quotas may come to, times its regions, for its regions to grow in one task.
+TOWN = 1 << 18
 
 
 def _lot(*parts: str) -> Column:
@@ -97,6 +109,98 @@ def filled(options: DataFrame, quotas: DataFrame, held: DataFrame | None = None)
     return held
 
 
+FLOW = "takes array<array<struct<at: int, start: bigint, stop: bigint>>>, got array<bigint>, rival array<boolean>"
+
+
+def _flow(quotas: list[int], sizes: list[int], at: list[list[int]], costs: list[list[int]]) -> tuple:
+    """Of each profile (so many ids of `sizes`, which know the cells `at` for `costs`) how many go to which cell, what cells
+    get, and which cells alternating ways from those that lack ids reach. Cheapest ways first, each taken by all it has room for."""
+    cells, n = len(quotas), len(sizes)
+    cost = np.full((n, cells), np.inf)
+    for i in range(n):
+        cost[i, at[i]] = costs[i]
+    need, free, held = np.array(quotas, np.int64), np.array(sizes, np.int64), np.zeros((n, cells), np.int64)
+    while n:
+        # the least cost of an id that is free for a cell, or that another one passes on
+        start = np.where((free > 0)[:, None], cost, np.inf)
+        first, far, back = start.argmin(0), start.min(0), np.full(cells, -1)
+        via = np.zeros((cells, cells), np.int64)
+        passed = np.full((cells, cells), np.inf)
+        for c in range(cells):
+            own = np.flatnonzero(held[:, c] > 0)
+            if len(own):
+                change = cost[own] - cost[own, c][:, None]
+                via[c], passed[c] = own[change.argmin(0)], change.min(0)
+                passed[c, c] = np.inf
+        for _ in range(cells):
+            through = far[:, None] + passed
+            better = through.min(0) < far
+            if not better.any():
+                break
+            back[better], far = through.argmin(0)[better], np.minimum(far, through.min(0))
+        far = np.where(need > 0, far, np.inf)
+        end = int(far.argmin())
+        if far[end] == np.inf:
+            break
+        way = [end]
+        while back[way[-1]] >= 0:
+            way.append(int(back[way[-1]]))
+        begin = first[way[-1]]
+        steps = [(via[b, a], b, a) for a, b in zip(way, way[1:], strict=False)]
+        room = min(need[end], free[begin], *(held[i, b] for i, b, _ in steps))
+        need[end] -= room
+        free[begin] -= room
+        held[begin, way[-1]] += room
+        for i, b, a in steps:
+            held[i, b] -= room
+            held[i, a] += room
+    reach = need > 0
+    while True:
+        wanted = np.isfinite(cost[:, reach]).any(1)
+        more = reach | (held[wanted] > 0).any(0)
+        if (more == reach).all():
+            break
+        reach = more
+    takes = []
+    for row in held:
+        stop = np.cumsum(row)
+        takes.append([(c, int(stop[c] - row[c]), int(stop[c])) for c in np.flatnonzero(row).tolist()])
+    return takes, [int(q - x) for q, x in zip(quotas, need, strict=True)], reach.tolist()
+
+
+def _profiles(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles (group, knows, n) of ids (group, id, n, knows: array<struct<cell, cost>>), and the groups that have too many."""
+    profiles = settle(ids.groupBy("group", "knows").agg(F.sum("n").alias("n")))
+    return profiles, settle(profiles.groupBy("group").agg(F.sum(F.size("knows")).alias("entries")).where(F.col("entries") > ENTRIES).select("group"))
+
+
+def _solved(profiles: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(group, cells, items, x): `_flow` of each group of `quotas`; the cells of profiles have to be among its cells."""
+    cells = quotas.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("cell", "quota"))).alias("cells"))
+    items = profiles.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("knows", "n"))).alias("items"))
+    both = cells.join(items, "group", "left").withColumn("items", F.coalesce("items", F.array().cast(items.schema["items"].dataType)))
+    at = F.transform("items", lambda i: F.transform(i["knows"], lambda k: (F.array_position(F.col("cells")["cell"], k["cell"]) - 1).cast("int")))
+    x = F.udf(_flow, FLOW)(F.col("cells")["quota"], F.col("items")["n"], at, F.transform("items", lambda i: i["knows"]["cost"]))
+    return settle(both.withColumn("x", x))
+
+
+def _got(solved: DataFrame) -> DataFrame:
+    """(group, cell, got, rival) of `_solved`."""
+    each = solved.select("group", F.explode(F.arrays_zip(F.col("cells")["cell"].alias("cell"), F.col("x.got").alias("got"), F.col("x.rival").alias("rival"))).alias("y"))
+    return each.select("group", "y.cell", "y.got", "y.rival")
+
+
+def _dealt(ids: DataFrame, solved: DataFrame) -> DataFrame:
+    """(group, cell, id) of ids (group, id, knows), as many of each profile as `_solved` says."""
+    placed = windows.global_position(ids.select("group", "knows", "id"), ["group", "knows", "id"])
+    first = placed.groupBy("group", "knows").agg(F.min("position").alias("first"))
+    each = solved.select("group", "cells", F.explode(F.arrays_zip(F.col("items")["knows"].alias("knows"), F.col("x.takes").alias("takes"))).alias("y"))
+    takes = each.select("group", "cells", "y.knows", F.explode("y.takes").alias("t")).select("group", "knows", F.get("cells", F.col("t.at"))["cell"].alias("cell"), "t.start", "t.stop")
+    bounds = settle(takes.join(first, ["group", "knows"]))
+    place = F.col("position") - F.col("first")
+    return placed.join(bounds, ["group", "knows"]).where((place >= F.col("start")) & (place < F.col("stop"))).select("group", "cell", "id")
+
+
 def auctioned(options: DataFrame, quotas: DataFrame, unit: float) -> tuple[DataFrame, DataFrame]:
     """(group, cell, id, cost): each id once, no cell over its quota, as many as can be; and what cells lack (group, cell, deficit).
 
@@ -106,15 +210,31 @@ def auctioned(options: DataFrame, quotas: DataFrame, unit: float) -> tuple[DataF
     """
     quotas = settle(quotas.dropna().where("quota > 0").groupBy(*CELL).agg(F.sum("quota").alias("quota")))
     own = settle(options.dropna().groupBy(*CELL, "id").agg(F.min("cost").alias("cost")).join(quotas.select(*CELL), CELL))
-    most = filled(own, quotas)
+    whole = settle(own.withColumn("cost", F.round(F.col("cost") / unit).cast("bigint")))
+    ids = settle(whole.groupBy("group", "id").agg(F.array_sort(F.collect_list(F.struct("cell", "cost"))).alias("knows")))
+    profiles, many = _profiles(ids.withColumn("n", F.lit(1)))
+    here = lambda df: df.join(many, "group", "left_anti")
+    solved = _solved(here(profiles), here(quotas))
+    held = _dealt(here(ids), solved)
+    lacks = quotas.join(_got(solved), CELL).select(*CELL, (F.col("quota") - F.col("got")).alias("deficit")).where("deficit > 0")
+    if not many.isEmpty():
+        more, lacking = _by_bids(*(df.join(many, "group", "left_semi") for df in (whole, quotas)))
+        held, lacks = held.union(more), lacks.union(lacking)
+    held, lacks = settle(held), settle(lacks)
+    forget(whole, ids, profiles, solved, quotas)
+    return held.join(own, [*CELL, "id"]), lacks
+
+
+def _by_bids(whole: DataFrame, quotas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, cell, id) by rounds of bids, and what is lacking."""
+    most = filled(whole, quotas)
     lacks = settle(_lacking(quotas, most).select(*CELL, F.col("need").alias("deficit")))
     can = settle(most.groupBy(*CELL).agg(F.count(F.lit(1)).alias("quota"), F.lit(None).cast("bigint").alias("bound")))
-    whole = own.join(can.select(*CELL), CELL).withColumn("cost", F.round(F.col("cost") / unit).cast("bigint"))
-    whole = settle(whole)
-    start = settle(whole.limit(0).select("group", "id", "cell", F.lit(0).cast("bigint").alias("price")))
-    held = _auction(whole, can, start)
-    forget(whole, quotas, can)
-    return held.select(*CELL, "id").join(own, [*CELL, "id"]), lacks
+    open_ = settle(whole.join(can.select(*CELL), CELL).select(*whole.columns))
+    start = settle(open_.limit(0).select("group", "id", "cell", F.lit(0).cast("bigint").alias("price")))
+    held = _auction(open_, can, start)
+    forget(open_, can)
+    return held.select(*CELL, "id"), lacks
 
 
 def _rivals(options: DataFrame, held: DataFrame, short: DataFrame) -> DataFrame:
@@ -129,33 +249,92 @@ def _rivals(options: DataFrame, held: DataFrame, short: DataFrame) -> DataFrame:
         reach = settle(reach.union(front))
 
 
-def contested(residents: DataFrame, members: DataFrame, links: DataFrame, quotas: DataFrame, cost: Column, unit: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Residents of regions' communities assigned to the regions' quotas by decile, each to one region at most. Regions share
-    communities; where that leaves a quota open, those that lack and all whose residents they want take
-    in a neighbour for each such decile (the nearest with residents of it, or else the nearest), until all
-    quotas are met or none of them has a neighbour left.
+def _grown(quotas: list, census: list, members: list, links: list, lots: list) -> tuple[list, list]:
+    """The rounds of `contested` for one group: (region, id, step) taken in, and what each (region, decile, quota) got."""
+    room, near, far, lives, lot = {}, {}, {}, {}, {(x["region"], x["id"]): x["lot"] for x in lots}
+    for q in sorted(quotas, key=lambda q: q["region"]):
+        room.setdefault(q["decile"], []).append((q["region"], q["quota"]))
+    for c in census:
+        lives.setdefault(c["decile"], {})[c["id"]] = c["n"]
+    for x in links:
+        far.setdefault(x["u"], []).append((x["v"], x["w"]))
+    own = {}
 
-    residents: (group, id, decile, who, ...); members: (group, region, id); links: (group, u, v, w), both ways; quotas: (group,
-    region, decile, quota); cost: of a resident for a region, by their columns. Gives (group, region, decile, who, cost),
-    the members (group, region, id, step; step 0 for those given) and what is lacking (group, region, decile, deficit).
-    """
-    # a resident has one decile, so each decile's regions are a group of their own
+    def take(region: object, one: object) -> None:
+        own.setdefault(region, set()).add(one)
+        ways = near.setdefault(region, {})
+        for v, w in far.get(one, ()):
+            ways[v] = min(w, ways.get(v, w))
+
+    for m in members:
+        take(m["region"], m["id"])
+    more, step = [], 0
+    while True:
+        step += 1
+        told, grow, open_ = [], [], False
+        for decile, cells in room.items():
+            sizes: dict[tuple, int] = {}
+            for one, n in lives.get(decile, {}).items():
+                if at := tuple(i for i, (region, _) in enumerate(cells) if one in own.get(region, ())):
+                    sizes[at] = sizes.get(at, 0) + n
+            _, got, rival = _flow([q for _, q in cells], list(sizes.values()), [list(at) for at in sizes], [[0] * len(at) for at in sizes])
+            told += [(region, decile, quota, x) for (region, quota), x in zip(cells, got, strict=True)]
+            open_ |= any(x < quota for (_, quota), x in zip(cells, got, strict=True))
+            grow += [(region, decile) for (region, _), r in zip(cells, rival, strict=True) if r]
+        asked = set()
+        for region, decile in grow:
+            here = lives.get(decile, {})
+            options = [(v not in here, w, lot[region, v], v) for v, w in near.get(region, {}).items() if v not in own[region]]
+            if options:
+                asked.add((region, min(options)[3]))
+        if not open_ or not asked:
+            return more, told
+        for region, one in sorted(asked):
+            take(region, one)
+            more.append((region, one, step))
+
+
+def _grown_here(census: DataFrame, members: DataFrame, links: DataFrame, quotas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`_grown` by group, each on how many residents of each decile its communities have: what is taken in, and what is told."""
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((members, "region"), (members, "id"), (census, "decile"))}
+    taken = f"more array<struct<region: {kinds['region']}, id: {kinds['id']}, step: int>>, told array<struct<region: {kinds['region']}, decile: {kinds['decile']}, quota: bigint, got: bigint>>"
+    regions, places = quotas.select("group", "region").distinct(), links.select("group", F.col("v").alias("id")).distinct()
+    lots = regions.join(places, "group").select("group", "region", "id", _lot("region", "id").alias("lot"))
+    rows = quotas.groupBy("group").agg(F.collect_list(F.struct("region", "decile", "quota")).alias("quotas"))
+    for name, df in (("census", census), ("members", members), ("links", links), ("lots", lots)):
+        each = df.groupBy("group").agg(F.collect_list(F.struct(*(c for c in df.columns if c != "group"))).alias(name))
+        rows = rows.join(each, "group", "left").withColumn(name, F.coalesce(name, F.array().cast(each.schema[name].dataType)))
+    told = settle(rows.select("group", F.udf(_grown, taken)("quotas", "census", "members", "links", "lots").alias("x")))
+    return tuple(told.select("group", F.explode(f"x.{c}").alias("y")).select("group", "y.*") for c in ("more", "told"))
+
+
+def _grown_in_rounds(residents: DataFrame, census: DataFrame, members: DataFrame, links: DataFrame, quotas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for groups of any number of communities, as rounds of joins: all members, and what is told."""
     group, cell = F.struct("group", "decile").alias("group"), F.col("region").alias("cell")
-    quotas = settle(quotas.where("quota > 0").select(group, cell, "quota"))
-    wanted = quotas.select("group.group", "group.decile", F.col("cell").alias("region"))
-    residents = settle(residents)
-    members = settle(members.select("group", "region", "id", F.lit(0).alias("step")))
+    wanted, quotas = quotas.select("group", "decile", "region"), settle(quotas.select(group, cell, "quota"))
+    known = lambda of: members.select("group", "region", "id").join(wanted, ["group", "region"]).join(of, ["group", "id", "decile"])
     held, step = None, 0
     while True:
         step += 1
-        own = members.select("group", "region", "id").join(wanted, ["group", "region"]).join(residents, ["group", "id", "decile"])
-        options = settle(own.select(group, cell, F.col("who").alias("id"), cost.cast("double").alias("cost")))
-        # what is held stays held, at no price: more options never take away from what can be filled
-        held = settle(filled(options, quotas, held))
-        short = settle(_lacking(quotas, held))
+        own = known(census).select(group, cell, "id", "n").groupBy("group", "id").agg(F.array_sort(F.collect_set(F.struct("cell", F.lit(0).cast("bigint").alias("cost")))).alias("knows"), F.first("n").alias("n"))
+        profiles, many = _profiles(own)
+        solved = _solved(profiles.join(many, "group", "left_anti"), quotas.join(many, "group", "left_anti"))
+        told = quotas.join(_got(solved), CELL)
+        if not many.isEmpty():
+            options = settle(known(residents).select(group, cell, F.col("who").alias("id")).join(many, "group", "left_semi"))
+            large = quotas.join(many, "group", "left_semi")
+            # what is held stays held, at no price: more options never take away from what can be filled
+            held = settle(filled(options, large, held))
+            rivals = _rivals(options, held, settle(_lacking(large, held))).withColumn("rival", F.lit(True))
+            counts = held.groupBy(*CELL).agg(F.count(F.lit(1)).alias("got"))
+            told = told.union(large.join(counts, CELL, "left").join(rivals, CELL, "left").select(*CELL, "quota", F.coalesce("got", F.lit(0)), F.coalesce("rival", F.lit(False))))
+            forget(options)
+        told = settle(told)
+        forget(profiles, solved)
+        short = settle(told.where("got < quota").select(*CELL, (F.col("quota") - F.col("got")).alias("need")))
         if short.isEmpty():
             break
-        grow = settle(_rivals(options, held, short).select("group.group", "group.decile", F.col("cell").alias("region")))
+        grow = settle(told.where("rival").select("group.group", "group.decile", F.col("cell").alias("region")))
         near = members.join(grow.select("group", "region").distinct(), ["group", "region"]).join(links.withColumnRenamed("u", "id"), ["group", "id"])
         near = near.groupBy("group", "region", F.col("v").alias("id")).agg(F.min("w").alias("w")).join(members, ["group", "region", "id"], "left_anti")
         lives = residents.select("group", "id", "decile", F.lit(True).alias("lives")).distinct()
@@ -165,7 +344,40 @@ def contested(residents: DataFrame, members: DataFrame, links: DataFrame, quotas
         if more.isEmpty():
             break
         before, members = members, settle(members.union(more))
-        forget(before, more, options, grow)
-    pairs, _ = auctioned(options, held.groupBy(*CELL).agg(F.count(F.lit(1)).alias("quota")), unit)
-    names = ["group.group", F.col("cell").alias("region"), "group.decile"]
-    return pairs.select(*names, F.col("id").alias("who"), "cost"), members, short.select(*names, F.col("need").alias("deficit"))
+        forget(before, more, grow)
+    return members, told.select("group.group", F.col("cell").alias("region"), "group.decile", "quota", "got")
+
+
+def contested(residents: DataFrame, members: DataFrame, links: DataFrame, quotas: DataFrame, cost: Column, unit: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Residents of regions' communities assigned to the regions' quotas by decile, each to one region at most. Regions share
+    communities; where that leaves a quota open, those that lack and all whose residents they want take
+    in a neighbour for each such decile (the nearest with residents of it, or else the nearest), until all
+    quotas are met or none of them has a neighbour left.
+
+    residents: (group, id, decile, who, ...); members: (group, region, id); links: (group, u, v, w), both ways; quotas: (group,
+    region, decile, quota); cost: of a resident for a region, by their columns. Gives (group, region, decile, who, cost),
+    the members (group, region, id, step; step 0 for those given) and what is lacking (group, region, decile, deficit).
+    """
+    # a resident has one decile, so each decile's regions are a group of their own
+    group, cell = F.struct("group", "decile").alias("group"), F.col("region").alias("cell")
+    quotas = settle(quotas.where("quota > 0").select("group", "region", "decile", F.col("quota").cast("bigint").alias("quota")))
+    residents = settle(residents)
+    members = settle(members.select("group", "region", "id", F.lit(0).alias("step")))
+    # what is filled and who competes is told by how many residents of each decile a community has
+    census = settle(residents.groupBy("group", "id", "decile").agg(F.count(F.lit(1)).alias("n")))
+    links = settle(links.select("group", "u", "v", "w"))
+    size = lambda df: df.groupBy("group").agg(F.count(F.lit(1)).alias("k"))
+    sizes = reduce(DataFrame.union, map(size, (census, links, members, quotas))).groupBy("group").agg(F.sum("k").alias("k"))
+    regions = size(quotas.select("group", "region").distinct()).withColumnRenamed("k", "r")
+    many = settle(sizes.join(regions, "group").where(F.col("k") * F.col("r") > TOWN).select("group"))
+    more, told = _grown_here(*(df.join(many, "group", "left_anti") for df in (census, members.drop("step"), links, quotas)))
+    areas = members.union(more.select(*members.columns))
+    if not many.isEmpty():
+        large, more = _grown_in_rounds(*(df.join(many, "group", "left_semi") for df in (residents, census, members, links, quotas)))
+        areas, told = areas.join(many, "group", "left_anti").union(large), told.union(more.select(*told.columns))
+    members, told = settle(areas), settle(told)
+    own = members.select("group", "region", "id").join(told.select("group", "region", "decile"), ["group", "region"]).join(residents, ["group", "id", "decile"])
+    options = own.select(group, cell, F.col("who").alias("id"), cost.cast("double").alias("cost"))
+    pairs, _ = auctioned(options, told.select(group, cell, F.col("got").alias("quota")), unit)
+    short = told.where("got < quota").select("group", "region", "decile", (F.col("quota") - F.col("got")).alias("deficit"))
+    return pairs.select("group.group", F.col("cell").alias("region"), "group.decile", F.col("id").alias("who"), "cost"), members, short

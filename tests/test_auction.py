@@ -122,3 +122,23 @@ def test_regions_without_competition_stay(spark):
     pairs, areas, lacks = contest(spark, residents, [(1, 1, 1), (1, 2, 2)], [(1, 1, 2, 1.0)], quotas)
     assert lacks == {} and {a.step for a in areas} == {0}
     fits(pairs, areas, residents, quotas, lacks)
+
+
+def test_few_profiles_take_no_rounds_and_rounds_give_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    residents = [(g, c, d, 10_000 * g + 1000 * c + 100 * d + k) for g in (1, 2) for c in range(6) for d in (0, 1) for k in range(rng.randint(0, 4))]
+    quotas, links = [(g, r, d, 6) for g in (1, 2) for r in (1, 2) for d in (0, 1)], [(g, c, c + 1, 1.0 + c) for g in (1, 2) for c in range(5)]
+    members = [(g, r, 2) for g in (1, 2) for r in (1, 2)]
+
+    def none(*_):
+        raise AssertionError("a round of bids")
+
+    with monkeypatch.context() as m:
+        m.setattr(auction, "_round", none)
+        pairs, areas, lacks = contest(spark, residents, members, links, quotas)
+    fits(pairs, areas, residents, quotas, lacks)
+    monkeypatch.setattr(auction, "TOWN", 0)
+    monkeypatch.setattr(auction, "ENTRIES", 0)
+    by_rounds, same, short = contest(spark, residents, members, links, quotas)
+    fits(by_rounds, same, residents, quotas, short)
+    assert sorted(map(tuple, same)) == sorted(map(tuple, areas)) and sum(short.values()) == sum(lacks.values()) and len(by_rounds) == len(pairs)
