@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import contained_join
 from .lineage import settle
 
 
@@ -33,20 +32,23 @@ def _bands(low: Column, high: Column, size: float) -> Column:
 def covered(points: DataFrame, sides: DataFrame, size: float) -> DataFrame:
     """(id, key) of the points (id, x, y) that a polygon of `sides` (key, x1, y1, x2, y2) covers, its edges included.
 
-    Points meet the boxes of polygons on cells of `size`, then only the edges that pass at their height.
+    A polygon is laid out on the cells of `size` that its box meets, each with the edges that pass the cell's band and
+    don't lie left of it: these are all that touch a point there, or that its ray to the right crosses. So a pair
+    is decided where point and cell meet, and neither pairs nor edges of pairs are shuffled.
     """
     sides = settle(sides)
-    boxes = sides.groupBy(F.col("key").alias("box")).agg(
-        F.min(F.least("x1", "x2")).alias("x1"), F.min(F.least("y1", "y2")).alias("y1"), F.max(F.greatest("x1", "x2")).alias("x2"), F.max(F.greatest("y1", "y2")).alias("y2"))
-    near = contained_join(points, boxes, size).withColumnRenamed("box", "key").join(points, "id").select("id", "key", "x", "y", F.floor(F.col("y") / size).alias("band"))
-    banded = sides.select("*", _bands(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
-    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
-    turn = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-    on = (turn == 0) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
+    boxes = sides.groupBy("key").agg(F.floor(F.min(F.least("x1", "x2")) / size).alias("first"), F.floor(F.max(F.greatest("x1", "x2")) / size).alias("last"))
+    banded = sides.select("*", _bands(F.least("y1", "y2"), F.greatest("y1", "y2"), size)).join(boxes, "key")
+    end = F.least("last", F.floor(F.greatest("x1", "x2") / size))
+    celled = banded.select("key", F.col("band").alias("cy"), F.explode(F.sequence("first", end)).alias("cx"), F.struct("x1", "y1", "x2", "y2").alias("e"))
+    laid = celled.groupBy("key", "cx", "cy").agg(F.collect_list("e").alias("edges"))
+    near = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).join(laid, ["cx", "cy"])
+    x, y = F.col("x"), F.col("y")
+    turn = lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    on = lambda e: (turn(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
     # the ray to the right crosses an edge if that passes the height and lies to the right
-    crossed = ((y1 > y) != (y2 > y)) & ((turn > 0) == (y2 > y1)) & (turn != 0)
-    found = near.join(banded, ["key", "band"]).groupBy("id", "key").agg(F.bool_or(on).alias("on"), F.count_if(crossed).alias("n"))
-    return found.where("on OR n % 2 = 1").select("id", "key")
+    crossed = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & ((turn(e) > 0) == (e["y2"] > e["y1"])) & (turn(e) != 0)
+    return near.where((F.size(F.filter("edges", crossed)) % 2 == 1) | F.exists("edges", on)).select("id", "key")
 
 
 def trapezoids(a: DataFrame, b: DataFrame) -> DataFrame:
