@@ -58,16 +58,17 @@ def near(x: Column, size: float) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: _cell(x, size) + d))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """All pairs of (id, x, y) rows with a distance of at most `radius`, and equal in the columns `on`: (id, other, distance).
+def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of (id, x, y) rows with a distance of at most `radius`, and equal in the columns `on`: (id, other, distance),
+    and the columns `also` of the right rows and the left one's x and y beside them, if there are such.
 
     An equi-join on grid cells of that size: each left row looks at nine cells, so only the density
     of the points counts. `right` rows stay where they are.
     """
     a = left.select(*on, "id", "x", "y", near(F.col("x"), radius).alias("cx")).select("*", near(F.col("y"), radius).alias("cy"))
-    b = right.select(*on, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"))
+    b = right.select(*on, *also, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"))
     found = a.join(b, [*on, "cx", "cy"]).withColumn("distance", geo.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
-    return found.where(F.col("distance") <= radius).select("id", "other", "distance")
+    return found.where(F.col("distance") <= radius).select("id", "other", "distance", *(("x", "y", *also) if also else ()))
 
 
 def extent(*sides: DataFrame) -> tuple[float, float]:
