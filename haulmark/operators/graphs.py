@@ -17,6 +17,8 @@ from .windows import global_position
 
 #: Rounds of paths after which what is known is compacted.
 LOGGED = 8
+#: Graphs of more edges than DENSE, and of more than twice LIGHT a node, settle over the LIGHT cheapest of a node first.
+DENSE, LIGHT = 1 << 20, 8
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -51,30 +53,68 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots).distinct()
 
 
-def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(source, node, cost): least cost from each source over edges (u, v, w), w >= 0; `sources` has (source, node, cost).
+def _least(log: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, log).groupBy("source", "node").agg(F.min("cost").alias("cost"))
 
-    Only nodes that became cheaper go on to the next round, and only they are written; what is known
-    is a log of such rounds, which is compacted now and then. A round looks up what it has reached.
-    """
-    least = lambda log: reduce(DataFrame.union, log).groupBy("source", "node").agg(F.min("cost").alias("cost"))
-    frontier = settle(sources.groupBy("source", "node").agg(F.min("cost").alias("cost")))
-    log = [frontier]
+
+def _relaxed(edges: DataFrame, log: list[DataFrame], rounds: int, first: DataFrame | None = None) -> list[DataFrame]:
+    """The log (source, node, cost) of rounds until no edge makes a node cheaper; the last round goes on first, over
+    the edges `first` if they are given."""
+    frontier = log[-1]
     for _ in range(rounds):
-        reached = frontier.join(edges, frontier.node == edges.u).select("source", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
+        along, first = edges if first is None else first, None
+        reached = frontier.join(along, frontier.node == along.u).select("source", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         reached = reached.groupBy("source", "node").agg(F.min("cost").alias("new"))
         known = reduce(DataFrame.union, log).join(reached.select("source", "node"), ["source", "node"], "left_semi")
         joined = reached.join(known.groupBy("source", "node").agg(F.min("cost").alias("cost")), ["source", "node"], "left")
         frontier = settle(joined.where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("source", "node", F.col("new").alias("cost")))
         if frontier.isEmpty():
-            return least(log)
-        log.append(frontier)
+            return log
+        log = [*log, frontier]
         if len(log) > LOGGED:
-            before, log = log, [settle(least(log))]
+            before, log = log, [settle(_least(log)), frontier]
             forget(*before[:-1])
     raise RuntimeError("costs did not settle")
 
 
+def least_costs(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(source, node, cost) as of `shortest`, and the edges that least ways may go over: no other edge is on one.
+
+    In a dense graph few edges are on least ways, so the LIGHT cheapest of a node on average settle first. They bound what
+    a node costs from any source, and so which of the dearer edges can be of use: those whose own cost, after the least
+    that their start may cost, isn't beyond the bound of their end, and all that lead to where a source hasn't been yet.
+    """
+    start = settle(sources.groupBy("source", "node").agg(F.min("cost").alias("cost")))
+    count, nodes = edges.agg(F.count(F.lit(1)), F.approx_count_distinct("u")).first()
+    if count <= DENSE or count <= 2 * LIGHT * nodes:
+        return _least(_relaxed(edges, [start], rounds)), edges
+    bound = edges.agg(F.percentile_approx("w", LIGHT * nodes / count)).first()[0]
+    least, n = start.agg(F.min("cost"), F.count_distinct("source")).first()
+    if bound is None or least is None:
+        return _least(_relaxed(edges, [start], rounds)), edges
+    light, heavy = settle(edges.where(F.col("w") <= bound)), edges.where((F.col("w") > bound) | F.col("w").isNull())
+    log = _relaxed(light, [start], rounds)
+    known = settle(_least(log))
+    forget(*log)
+    seen = known.groupBy("node").agg(F.min("cost").alias("low"), F.when(F.count("cost") == n, F.max("cost")).alias("cap"))
+    # a way over a dearer edge costs more than `bound`, so no start gets cheaper than that by one
+    low = F.least(F.coalesce("low", F.lit(least + bound)), F.lit(least + bound))
+    ends = heavy.join(seen.select(F.col("node").alias("v"), "cap").where("cap IS NOT NULL"), "v", "left").where(F.col("cap").isNull() | (F.col("w") + least <= F.col("cap")))
+    some = ends.join(seen.select(F.col("node").alias("u"), "low"), "u", "left").where(F.col("cap").isNull() | (F.col("w") + low <= F.col("cap")))
+    some = settle(some.select(edges.columns))
+    both = light.union(some)
+    return _least(_relaxed(both, [known], rounds, some)), both
+
+
+def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(source, node, cost): least cost from each source over edges (u, v, w), w >= 0; `sources` has (source, node, cost).
+
+    Only nodes that became cheaper go on to the next round, and only they are written; what is known
+    is a log of such rounds, which is compacted now and then. A round looks up what it has reached.
+    """
+    return least_costs(edges, sources, rounds)[0]
+
+
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node) pairs that edges (u, v) lead to, the source itself included."""
     cost = shortest(edges.select("u", "v", F.lit(0.0).alias("w")), sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))

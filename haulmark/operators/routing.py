@@ -15,41 +15,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graphs
 from .lineage import forget, settle
 
 #: Rounds after which what is known is compacted.
 LOGGED = 8
 
 
-def _label(cost: Column, second: Column, hops: Column, previous: Column) -> Column:
-    return F.struct(cost.alias("cost"), second.alias("second"), hops.cast("int").alias("hops"), previous.alias("previous")).alias("label")
-
-
 def shortest_tree(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(source, node, cost, second, hops, previous): the least label of each node from each source.
 
     edges: (u, v, w, t), of which w >= 0 is added to `cost` and t >= 0 to `second`; sources: (source, node, cost,
     second). A source's own node has no previous one. Parallel edges and loops do no harm.
+
+    Costs settle first; least labels go only over edges that cost just what their ends differ by, so
+    the rest of a label is looked for on these, about one for each node and source.
     """
     key = ["source", "node"]
     edges = settle(edges.select("u", "v", "w", "t"))
+    costs, useful = graphs.least_costs(edges, sources, rounds)
+    costs = settle(costs)
+    away = costs.select("source", F.col("node").alias("u"), "cost").join(useful, "u").select("source", "u", "v", (F.col("cost") + F.col("w")).alias("cost"), "t")
+    tight = settle(away.join(costs.withColumnRenamed("node", "v"), ["source", "v", "cost"]).groupBy("source", "u", "v").agg(F.min("t").alias("t")))
     none = F.lit(None).cast(edges.schema["u"].dataType)
+    label = lambda second, hops, previous: F.struct(second.alias("second"), hops.cast("int").alias("hops"), previous.alias("previous")).alias("label")
     least = lambda log: reduce(DataFrame.union, log).groupBy(*key).agg(F.min("label").alias("label"))
-    frontier = settle(sources.groupBy(*key).agg(F.min(_label(F.col("cost"), F.col("second"), F.lit(0), none)).alias("label")))
+    frontier = settle(sources.join(costs, [*key, "cost"], "left_semi").groupBy(*key).agg(F.min(label(F.col("second"), F.lit(0), none)).alias("label")))
     log = [frontier]
     for _ in range(rounds):
-        step = _label(F.col("label.cost") + F.col("w"), F.col("label.second") + F.col("t"), F.col("label.hops") + 1, F.col("u"))
-        reached = frontier.join(edges, frontier.node == edges.u).select("source", F.col("v").alias("node"), step).groupBy(*key).agg(F.min("label").alias("new"))
+        step = label(F.col("label.second") + F.col("t"), F.col("label.hops") + 1, F.col("u"))
+        reached = frontier.withColumnRenamed("node", "u").join(tight, ["source", "u"]).select("source", F.col("v").alias("node"), step).groupBy(*key).agg(F.min("label").alias("new"))
         known = reduce(DataFrame.union, log).join(reached.select(*key), key, "left_semi").groupBy(*key).agg(F.min("label").alias("label"))
         better = reached.join(known, key, "left").where(F.col("label").isNull() | (F.col("new") < F.col("label")))
         frontier = settle(better.select(*key, F.col("new").alias("label")))
         if frontier.isEmpty():
-            return least(log).select(*key, "label.*")
+            return least(log).join(costs, key).select(*key, "cost", "label.*")
         log.append(frontier)
         if len(log) > LOGGED:
-            before, log = log, [settle(least(log))]
+            before, log = log, [settle(least(log)), frontier]
             forget(*before[:-1])
-    raise RuntimeError("costs did not settle")
+    raise RuntimeError("labels did not settle")
 
 
 def paths(tree: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from haulmark import plans
-from haulmark.operators import routing
+from haulmark.operators import graphs, routing
 from haulmark.sources import tables
 
 SF = str(DATA / "sf0.001")
@@ -120,3 +120,26 @@ def test_results_have_one_row_for_each_pair(spark, name):
     rows = plans.QUERIES[name](spark, SF)
     key = ["source", "node"] if name == "sssp_tree" else ["i", "j"]
     assert rows.groupBy(*key).count().where(F.col("count") > 1).isEmpty()
+
+
+def test_dense_graphs_settle_over_their_cheapest_edges_first(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "DENSE", 0)
+    monkeypatch.setattr(graphs, "LIGHT", 2)
+    rng = random.Random(3)
+    # some nodes are reached by no edge, some by dear ones only, and some by ways of dear and cheap ones
+    rows = [(rng.randrange(40), rng.randrange(36), rng.choice([0, 1, 2, 3, 9, 20, 21, 50]), rng.randint(0, 2)) for _ in range(500)]
+    rows = [r for r in rows if r[1] % 9 or r[2] > 3]
+    edges = spark.createDataFrame(rows, "u long, v long, w long, t long").coalesce(1)
+    starts = spark.createDataFrame([(s, s, 0, 0) for s in (0, 39)], "source long, node long, cost long, second long").coalesce(1)
+    want = {(s, v): label for s in (0, 39) for v, label in labels(rows, s).items()}
+    used, least_costs = [], graphs.least_costs
+    monkeypatch.setattr(graphs, "least_costs", lambda *a: used.append(least_costs(*a)) or used[-1])
+    got = {(r.source, r.node): (r.cost, r.second, r.hops) for r in routing.shortest_tree(edges, starts).collect()}
+    assert got == want
+    assert {(r.source, r.node): r.cost for r in used[0][0].collect()} == {k: label[0] for k, label in want.items()}
+    assert used[0][1].count() < len(rows)  # the others are on no least way
+
+
+def test_edges_of_two_costs_are_aggregated_without_sorting(spark):
+    plan = tables.timed_trade(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
