@@ -14,7 +14,9 @@ to one pivot each, that with the largest share of frequent shingles: of near cop
 What becomes connected that way needs no further pairs, as only components are asked for. Pairs whose
 parities (256 bits of each set) differ in more places than sets that link can are dropped where they
 arise. Then every pair of different components that shares a column is looked at, so no link
-between components is lost. In the first turn frequent columns are split by salt, and pairs of
+between components is lost; and a pair is looked at only in columns that are among the first n - needed + 1 of
+both sets, for the overlap that this pair needs: heavily edited copies of one text, which have so many
+rare shingles in front that they can't link, don't meet in its columns. In the first turn frequent columns are split by salt, and pairs of
 frequent pivots too; in the second, columns of many sets are split by sizes (only like sizes link)
 and dealt to tiles, so that each pair meets in one tile and no task holds a whole column.
 """
@@ -160,8 +162,9 @@ def frequencies(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def columns(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
-    """(h, part, node, n, pull): the first columns of each set in the common order: rare shingles, then those
-    that weren't counted, then frequent ones; `pull` is the share of frequent ones in the whole set.
+    """(h, part, node, n, pull, at): the first columns of each set in the common order: rare shingles, then those
+    that weren't counted, then frequent ones; `pull` is the share of frequent ones in the whole set, `at` the place
+    in the order, from 0.
 
     A set that a task has passed on already is left out.
     """
@@ -174,24 +177,25 @@ def columns(docs: DataFrame, frequent: dict[str, np.ndarray]) -> DataFrame:
             rank = (hashes >= COUNTED).astype(np.int64)
             pull = np.zeros(len(sizes), np.int32)
             if len(common) and len(hashes):
-                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                often = common[at] == hashes
-                rank = np.where(often, counts[at], rank)
+                near = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                often = common[near] == hashes
+                rank = np.where(often, counts[near], rank)
                 pull = (np.bincount(row, often, len(sizes)) * 1000 / np.maximum(sizes, 1)).astype(np.int32)
                 if often.any():
                     order = np.lexsort((hashes, rank, row))
                     hashes, rank, row = hashes[order], rank[order], row[order]
             new = unmet.among(node, sizes)
             begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            take = (np.arange(len(hashes)) - begin[row] < prefix_length(sizes)[row]) & new[row]
+            at = np.arange(len(hashes)) - begin[row]
+            take = (at < prefix_length(sizes)[row]) & new[row]
             own = row[take]
             # parts from 1 of columns that are split, 0 of all others
             parts = np.maximum(1, -(-rank[take] // PART))
             part = np.where(parts > 1, 1 + node[own] % parts, 0)
-            arrays = (hashes[take].view(np.int64), part.astype(np.int32), node[own], sizes[own].astype(np.int32), pull[own])
-            yield pa.record_batch([pa.array(x) for x in arrays], ["h", "part", "node", "n", "pull"])
+            arrays = (hashes[take].view(np.int64), part.astype(np.int32), node[own], sizes[own].astype(np.int32), pull[own], at[take].astype(np.int32))
+            yield pa.record_batch([pa.array(x) for x in arrays], ["h", "part", "node", "n", "pull", "at"])
 
-    return docs.select("text").mapInArrow(per_batch, "h long, part int, node long, n int, pull int")
+    return docs.select("text").mapInArrow(per_batch, "h long, part int, node long, n int, pull int, at int")
 
 
 def whole_sets(docs: DataFrame, keys: DataFrame, lone: DataFrame) -> DataFrame:
@@ -239,6 +243,12 @@ def similar_sizes(na: str, nb: str) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT
 
 
+def remaining() -> Column:
+    """How many shingles the set has from a shared column on, of which fewer are left. Sets that link share a column
+    where these are as many as they need, as the first one they share is such a column."""
+    return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+
+
 def like_parities() -> Column:
     """Sets that link differ in (100 - PERCENT) / (100 + PERCENT) of both sizes' sum at most."""
     apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in PARITIES), F.lit(0))
@@ -265,6 +275,14 @@ def tiles(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return few.unionByName(left), few.unionByName(right)
 
 
+def met(members: DataFrame) -> DataFrame:
+    """The pairs of sets of different components that may link, a row for each column of `members` (h, node, n, at, comp,
+    b0 ...) where they meet: all those that both have among the first n - needed + 1."""
+    left, right = (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("node", "n", "at", "comp", "up", *PARITIES)}) for d, s in zip(tiles(members), "ab", strict=True))
+    both = left.join(right, ["h", "size", "ta", "tb"]).where((F.col("comp_a") != F.col("comp_b")) & (F.col("up_a") | (F.col("node_a") < F.col("node_b"))) & similar_sizes("n_a", "n_b"))
+    return both.where((remaining() >= needed(F.col("n_a"), F.col("n_b"))) & like_parities())
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) of every row of `docs`: the component is the smallest key
     that links reach.
@@ -285,7 +303,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     by = W.partitionBy("h", "part")
     own = F.struct("pull", "node", "n")
     laid = columns(docs, frequencies(docs)).withColumn("pivot", F.max(own).over(by)).withColumn("other", F.min("node").over(by)).withColumn("last", F.max("node").over(by))
-    laid = materialize(laid.where("part > 0 or other <> last").select("h", "part", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pull").alias("pull")))
+    laid = materialize(laid.where("part > 0 or other <> last").select("h", "part", "node", "n", "at", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pull").alias("pull")))
     # the pivots of a frequent column's parts are linked to one of them
     pivots = laid.where("part > 0").select("h", F.col("pivot").alias("node"), F.col("pivot_n").alias("n"), "pull").distinct()
     heads = pivots.groupBy("h").agg(F.max(own).alias("first"))
@@ -297,17 +315,16 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     edges = linked(pairs, docs, classes)
     comps = connected(edges)
     # what shares a column and isn't connected yet
-    tagged = laid.select("h", "node", "n").distinct().join(comps, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    tagged = laid.select("h", "node", "n", "at").distinct().join(comps, "node", "left").select("h", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
     spread = tagged.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     members = materialize(tagged.join(spread, "h").join(classes.select("node", *PARITIES), "node"))
     forget(laid)
-    left, right = (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("node", "n", "comp", "up", *PARITIES)}) for d, s in zip(tiles(members), "ab", strict=True))
-    more = left.join(right, ["h", "size", "ta", "tb"]).where((F.col("comp_a") != F.col("comp_b")) & (F.col("up_a") | (F.col("node_a") < F.col("node_b"))) & similar_sizes("n_a", "n_b") & like_parities())
-    more = more.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
-    # columns beyond both prefixes can add no more than the longer rest
-    rest = F.greatest(F.ceil(F.col("na") * PERCENT / 100) - 1, F.ceil(F.col("nb") * PERCENT / 100) - 1)
+    more = met(members)
+    # behind the last column that a pair shares there, it shares no more than the shorter rest of its sets
+    more = more.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
+        (F.count(F.lit(1)) + F.min(remaining()) - 1).alias("most"), F.first(needed(F.col("n_a"), F.col("n_b"))).alias("needed"))
     seen = pairs.union(pairs.select("b", "a"))
-    more = materialize(more.where(F.col("shared") + rest >= needed(F.col("na"), F.col("nb"))).select("a", "b").join(seen, ["a", "b"], "left_anti"))
+    more = materialize(more.where("most >= needed").select("a", "b").join(seen, ["a", "b"], "left_anti"))
     forget(members, pairs)
     if not more.isEmpty():
         new = linked(more, docs, classes)

@@ -88,6 +88,25 @@ def test_small_parts_change_no_component(spark, monkeypatch):
     assert Counter(map(tuple, ngram_join.join(documents(spark, rows)).collect())) == linked_groups(rows)
 
 
+def test_sets_meet_only_where_they_may_link(spark):
+    size = 300  # sets of 100 shingles that need 86 in common: one beyond place 14 can't be the first that they share
+    rows = [(h, node, 100, at, node, 0, 0, 0, 0) for h, at in ((1, 14), (2, 15), (3, 20)) for node in range(size)]
+    members = spark.createDataFrame(rows, "h long, node long, n int, at int, comp long, b0 long, b1 long, b2 long, b3 long")
+    assert {r.h: r["count"] for r in ngram_join.met(members).groupBy("h").count().collect()} == {1: size * (size - 1) // 2}
+
+
+def test_heavily_edited_copies_equal_all_pairs(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 6)):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words[rng.randint(0, 8) :])))
+    assert Counter(map(tuple, ngram_join.join(documents(spark, rows)).collect())) == linked_groups(rows)
+
+
 def test_near_copies_without_a_key_are_linked(spark):
     words = [f"n{i}" for i in range(200)]
     changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
