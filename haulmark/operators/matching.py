@@ -5,15 +5,20 @@ by layer. A right side joins one tree only, so trees never share a place, and ev
 free right side flips the way to it in the same round. A tree stops when it has met one. When no tree
 meets any, the matching is as large as can be, and what the trees hold is Hall's witness: left sides
 that know fewer right sides together than they are. Rows are dealt by (group, side), so a group may
-hold any share of all rows.
+hold any share of all rows. Groups of FEW options or fewer don't need rounds: each is a row, and its ways are
+looked for where the row lies. The witness is the same for every largest matching, so both tell the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from haulmark.functions import hashing
 
@@ -21,6 +26,69 @@ from .lineage import forget, settle
 
 #: Rounds of proposals before ways are looked for.
 PROPOSALS = 3
+#: Options of a group that is matched in one row.
+FEW = 1024
+
+
+def covered(ways: list[list[int]], rights: int) -> tuple[list[int], list[bool]]:
+    """The right side of each left one in a largest matching (-1: none), and which left sides alternating ways from
+    uncovered ones reach. ways: the right sides that each left one knows."""
+    mate, holder, stuck = [-1] * len(ways), [-1] * rights, [False] * len(ways)
+    for root in range(len(ways)):
+        came, queue, end = {}, [root], -1
+        for a in queue:
+            for b in ways[a]:
+                # what a tree without an end holds leads nowhere later either
+                if b in came or (holder[b] >= 0 and stuck[holder[b]]):
+                    continue
+                came[b] = a
+                if holder[b] < 0:
+                    end = b
+                    break
+                queue.append(holder[b])
+            if end >= 0:
+                break
+        if end < 0:
+            for a in queue:
+                stuck[a] = True
+        while end >= 0:
+            a = came[end]
+            mate[a], holder[end], end = end, a, mate[a]
+    return mate, stuck
+
+
+def _in_rows(options: DataFrame) -> DataFrame:
+    """(group, left, right, stuck) of every left side of groups that are rows: its right side, if it has one, and
+    whether it is in the witness, as its right side then is too."""
+    kinds = [f"{c} {options.schema[c].dataType.simpleString()}" for c in ("group", "left", "right")]
+    packed = options.groupBy("group").agg(F.sort_array(F.collect_set(F.struct("left", "right"))).alias("o"))
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            # numbers instead of sides, the same in all groups of a batch
+            left, right = (flat.field(i).dictionary_encode() for i in (0, 1))
+            ls, rs = (x.indices.to_numpy() for x in (left, right))
+            group, one, other, stuck = [], [], [], []
+            for at, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                mine, ways, places = {}, [], {}
+                for a, b in zip(ls[i:j].tolist(), rs[i:j].tolist(), strict=True):
+                    if a not in mine:
+                        mine[a] = len(ways)
+                        ways.append([])
+                    ways[mine[a]].append(places.setdefault(b, len(places)))
+                mate, held = covered(ways, len(places))
+                names = list(places)
+                group += [at] * len(ways)
+                one += mine
+                other += [names[m] if m >= 0 else None for m in mate]
+                stuck += held
+            yield pa.record_batch([
+                batch.column(0).take(pa.array(np.array(group, np.int64))), left.dictionary.take(pa.array(np.array(one, np.int64))), right.dictionary.take(pa.array(other, pa.int64())), pa.array(stuck, pa.bool_()),
+            ], ["group", "left", "right", "stuck"])
+
+    return packed.mapInArrow(per_batch, ", ".join([*kinds, "stuck boolean"]))
 
 
 def _proposed(options: DataFrame, pairs: DataFrame, number: int) -> DataFrame:
@@ -77,7 +145,28 @@ def matched(options: DataFrame) -> tuple[DataFrame, DataFrame]:
     In a group's witness there are more left than right sides, by as many as stay uncovered; a group
     that is covered has none. Null sides match nothing; repeated options count once.
     """
-    options = settle(options.dropna(subset=["left", "right"]).distinct())
+    options = settle(options.dropna(subset=["left", "right"]))
+    if not all(isinstance(options.schema[c].dataType, AtomicType) for c in ("left", "right")):
+        return _in_rounds(options)
+    many = settle(options.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("group"))
+    if many.isEmpty():
+        return _told(settle(_in_rows(options)))
+    # a null group is a group too
+    large = options.join(F.broadcast(many) if many.count() <= FEW else many, options["group"].eqNullSafe(many["group"]), "left_semi")
+    small = options.join(F.broadcast(many) if many.count() <= FEW else many, options["group"].eqNullSafe(many["group"]), "left_anti")
+    return tuple(a.union(b) for a, b in zip(_told(settle(_in_rows(small))), _in_rounds(large), strict=True))
+
+
+def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and witness, as of `matched`, of rows as of `_in_rows`."""
+    stuck = rows.where("stuck")
+    rights = stuck.where("right IS NOT NULL").select("group", F.lit("right").alias("side"), F.col("right").alias("member"))
+    return rows.where("right IS NOT NULL").select("group", "left", "right"), stuck.select("group", F.lit("left").alias("side"), F.col("left").alias("member")).union(rights)
+
+
+def _in_rounds(options: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and witness, as of `matched`, of groups of any size."""
+    options = settle(options.distinct())
     pairs = settle(options.limit(0))
     for number in range(PROPOSALS):
         before, pairs = pairs, _proposed(options, pairs, number)

@@ -61,6 +61,24 @@ def test_matchings_are_largest_and_witnessed(spark):
     assert pairs.count() == witness.count() == 0
 
 
+def test_small_groups_take_no_rounds_and_tell_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(g, a, rng.randrange(5 + g % 3)) for g in range(40) for a in range(rng.randint(1, 8)) for _ in range(rng.randint(1, 3))]
+    options = spark.createDataFrame([*rows, *rows[:9], (1, None, 2), (1, 2, None)], "group long, left long, right long").repartition(3)
+    told = {}
+    for few in (0, 12, 1024):  # all by rounds, some, none
+        monkeypatch.setattr(matching, "FEW", few)
+        pairs, witness = (sorted(map(tuple, d.collect())) for d in matching.matched(options))
+        for column in (1, 2):
+            assert len({(p[0], p[column]) for p in pairs}) == len(pairs)
+        assert set(pairs) <= set(rows)
+        told[few] = (Counter(p[0] for p in pairs), witness)
+    assert told[0] == told[12] == told[1024] and {g: n for g, n in told[0][0].items()} == {g: largest(own) for g, own in by_group(rows).items()}
+    monkeypatch.setattr(matching, "_in_rounds", None)
+    assert matching.matched(options)[0].count() == sum(told[0][0].values())
+    assert sum(x for x in Counter(w[0] for w in told[0][1]).values()) > 0
+
+
 def test_sources_are_tried_in_order(spark):
     rng = random.Random(8)
     options, wanted = set(), set()
