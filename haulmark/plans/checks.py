@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,27 +33,9 @@ def route_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def udtf_route_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same replay stop by stop, by a Python table function over each route's partition; for those who want every step."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="route_id bigint, step int, t double, battery double")
-    class Steps:
-        def __init__(self) -> None:
-            self.route, self.step, self.t, self.battery = None, 0, 28800.0, replay.BATTERY
-
-        def eval(self, row: object) -> Iterator[tuple]:
-            if self.route != row["route_id"]:
-                self.route, self.step, self.t, self.battery = row["route_id"], 0, 28800.0, replay.BATTERY
-            self.step += 1
-            self.battery -= row["packages"] * 1.5
-            self.t = max(self.t + row["travel_s"] / 10, 30000.0) + row["service_s"]
-            if row["status"] == "N":
-                self.t += (replay.BATTERY - self.battery) / (replay.EFFICIENCY * replay.POWER) * 3600
-                self.battery = replay.BATTERY
-            yield self.route, self.step, self.t, self.battery
-
-    rows = stops(spark, sf_dir)
-    return Steps(rows.asTable().partitionBy("route_id").orderBy(*STOP_ORDER))
+    """The same replay stop by stop, for those who want every step: the fold of `route_replay` keeps its states, and a
+    table function gives a row for each."""
+    return replay.steps(_routes(spark, sf_dir), 28800.0)
 
 
 @query(f"""WITH {LINKS}, n AS (SELECT n_nationkey AS id, n_nationkey % 4 = 0 AS station, n_nationkey % 7 + 1 AS demand FROM nation), state AS (SELECT id AS u, 40 - id AS battery, 3 + id % 6 AS load, 28800 + id * 2000 AS t FROM n),
