@@ -31,14 +31,15 @@ def hash_quota(df: DataFrame, cell: list[str], rank: Column, tie: list[str], quo
     return df.withColumn("pick", F.row_number().over(order).cast("bigint")).where(F.col("pick") <= quota)
 
 
-def global_position(df: DataFrame, order: list[str | Column]) -> DataFrame:
+def global_position(df: DataFrame, order: list[str | Column], tasks: int | None = None) -> DataFrame:
     """`df` with `position`, 0-based in the whole order.
 
-    Rows are range-partitioned (into the session's number of partitions), sorted and numbered where
+    Rows are range-partitioned (into the session's number of partitions, or `tasks`), sorted and numbered where
     they lie, and kept once, as another run of the range partitioning could draw its bounds
     elsewhere. The partitions' sizes, a row for each, are run over to give each its first number.
     """
-    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ranges = df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)
+    placed = settle(ranges.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     task, inside = F.shiftright("_id", 33).alias("_task"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(task).agg(F.count(F.lit(1)).alias("_size"))
     first = sizes.select("_task", (F.sum("_size").over(W.orderBy("_task")) - F.col("_size")).alias("_first"))
