@@ -124,31 +124,56 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node that reaches `node` and is reached by it.
 
-    By colouring: the smallest colour is passed forward until it settles, then backward inside a
-    colour; what the backward pass reaches is a component and goes, and the rest goes on.
+    In a dense graph some edges, LIGHT a node on average, already tie most nodes together. What one round of colours
+    finds in them becomes one node each, and all edges between different ones, of which few are left, then tell what
+    else belongs together: what reaches and is reached by a part of a component is in it, so nothing is lost.
     """
-    left, out = settle(nodes.select("node")), None
+    count, n = edges.count(), nodes.count()
+    if count <= DENSE or count <= 2 * LIGHT * n:
+        return _coloured(edges, nodes)
+    some = edges.where(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20)) < int(LIGHT * n / count * (1 << 20)))
+    part = settle(_coloured(some, nodes, once=True))
+    u, v = (part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    between = settle(edges.join(u, "u").join(v, "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    whole = _coloured(between, part.select(F.col("component").alias("node")).distinct())
+    return part.select("node", F.col("component").alias("part")).join(whole.withColumnRenamed("node", "part"), "part").select("node", "component")
+
+
+def _coloured(edges: DataFrame, nodes: DataFrame, once: bool = False) -> DataFrame:
+    """The components by colouring: the smallest colour is passed forward until it settles, then backward inside a
+    colour; what the backward pass reaches is a component and goes, and the rest goes on, or stays apart if `once`.
+    Only nodes whose colour has changed pass it on.
+    """
+    left, out, inside = settle(nodes.select("node")), None, None
     while not left.isEmpty():
-        inside = settle(edges.join(left.withColumnRenamed("node", "u"), "u", "left_semi").join(left.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v").distinct())
-        colour = settle(left.select("node", F.col("node").alias("c")))
+        last, between = inside, edges if inside is None else inside
+        inside = settle(between.join(left.withColumnRenamed("node", "u"), "u", "left_semi").join(left.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v").distinct())
+        if last is not None:
+            forget(last)
+        colour = left.select("node", F.col("node").alias("c"))
+        passed = inside.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("p"))
         while True:
-            passed = colour.join(inside, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("c").alias("p"))
-            new = settle(colour.join(passed, "node", "left").select("node", F.least("c", F.coalesce("p", "c")).alias("c"), (F.col("p") < F.col("c")).alias("moved")))
-            colour = new.select("node", "c")
-            if new.where("moved").isEmpty():
+            last, colour = colour, settle(colour.join(passed, "node", "left").select("node", F.least("c", F.coalesce("p", "c")).alias("c"), (F.coalesce("p", "c") < F.col("c")).alias("moved")))
+            forget(last)
+            moved = colour.where("moved")
+            if moved.isEmpty():
                 break
+            passed = moved.join(inside, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("c").alias("p"))
         tagged = inside.join(colour.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
         back = settle(tagged.where("cu = cv").select("u", "v"))
-        found = settle(colour.where("node = c"))
+        found = settle(colour.where("node = c").select("node", "c"))
         grown = found
         while True:
             more = settle(grown.join(back, F.col("node") == F.col("v")).select(F.col("u").alias("node"), "c").distinct().join(found, "node", "left_anti"))
             if more.isEmpty():
                 break
             found, grown = settle(found.union(more)), more
+        forget(back, colour)
         part = found.select("node", F.col("c").alias("component"))
         out = part if out is None else out.union(part)
         left = settle(left.join(found, "node", "left_anti"))
+        if once:
+            return out.union(left.select("node", F.col("node").alias("component")))
     return out if out is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions import geo
 from haulmark.operators import graphs, routing
-from haulmark.sources.tables import LINKS, LOCATIONS, ROADS, TIMED_TRADE, TRADE, locations, roads, table, timed_trade, trade
+from haulmark.sources.tables import LINKS, LOCATIONS, ROADS, TIMED_TRADE, TRADE, locations, roads, table, timed_trade, trade, traded
 
 from .registry import query
 
@@ -72,7 +72,7 @@ def sssp_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scc_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong components of the graph of all customers and suppliers."""
-    edges = graphs.settle(trade(spark, sf_dir).select("u", "v"))
+    edges = graphs.settle(traded(spark, sf_dir).select("u", "v"))  # parallel edges change nothing
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return graphs.ranked(graphs.strong_components(edges, nodes), "S").select("node", "component", "size", "label")
 

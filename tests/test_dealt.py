@@ -7,7 +7,8 @@ import pytest
 from conftest import DATA, database, rows_of, sql_rows
 
 from haulmark import plans
-from haulmark.operators import aggregates
+from haulmark.operators import aggregates, graphs
+from haulmark.sources.tables import traded
 
 
 def test_edges_inside_an_envelope_are_those_of_two_passes(spark):
@@ -31,3 +32,41 @@ def test_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch, name):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert any("hashpartitioning" in line and f", {tasks})" in line and "REPARTITION_BY_NUM" in line for line in plan.splitlines())
     assert rows_of(frame) == sql_rows(db, plans.ORACLES[name])[0]
+
+
+def test_strong_components_of_dense_graphs_start_from_few_edges(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    inner = [(int(a) + 40 * g, int(b) + 40 * g) for g in range(3) for a, b in rng.integers(0, 40, (500, 2))]
+    edges = spark.createDataFrame([*inner, *inner[:200], (0, 41), (1, 45), (81, 50), (200, 3), (3, 201), (202, 203), (203, 202)], "u int, v int")
+    nodes = edges.selectExpr("explode(array(u, v)) AS node").distinct()
+    rows = lambda: sorted((r.node, r.component) for r in graphs.strong_components(edges, nodes).collect())
+    whole, sizes, coloured = rows(), [], graphs._coloured
+    monkeypatch.setattr(graphs, "DENSE", 100)
+    monkeypatch.setattr(graphs, "LIGHT", 3)
+    monkeypatch.setattr(graphs, "_coloured", lambda e, n, **more: sizes.append(e.count()) or coloured(e, n, **more))
+    assert rows() == whole and {c for _, c in whole} >= {0, 40, 80, 200, 201, 202}
+    assert len(sizes) == 2 and sizes[0] < edges.count() / 4 and sizes[1] < edges.count() * 2 / 3
+
+
+def test_trade_components_need_no_distinct_edges(spark):
+    sf = str(DATA / "sf0.001")
+    found = {r.node: r.component for r in plans.QUERIES["scc_trade"](spark, sf).collect()}
+    edges = {(r.u, r.v) for r in traded(spark, sf).collect()}
+    ahead, behind = {}, {}
+    for u, v in edges:
+        ahead.setdefault(u, set()).add(v)
+        behind.setdefault(v, set()).add(u)
+
+    def reach(start, of):
+        seen, todo = {start}, [start]
+        while todo:
+            todo = [v for u in todo for v in of.get(u, ()) if v not in seen and not seen.add(v)]
+        return seen
+
+    left, want = {n for e in edges for n in e}, {}
+    while left:
+        start = min(left)
+        part = reach(start, ahead) & reach(start, behind)
+        want |= dict.fromkeys(part, start)
+        left -= part
+    assert found == want
