@@ -22,7 +22,7 @@ def test_edges_inside_an_envelope_are_those_of_two_passes(spark):
         assert got[k][0] == pytest.approx(cap) and got[k][1] == pytest.approx(np.quantile(of[of <= got[k][0]], np.arange(11) / 10))
 
 
-@pytest.mark.parametrize("name", ["station_deciles", "join_right"])
+@pytest.mark.parametrize("name", ["station_deciles", "join_right", "generalized_cost"])
 def test_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(aggregates, "DEALT", 500)
     sf = DATA / "sf0.001"
