@@ -11,10 +11,14 @@ joined with the edges that cross them, and what a window orders is one slab of o
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from .aggregates import tasks_for
 from .lineage import settle
 
 
@@ -25,30 +29,92 @@ def edges(rings: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     return rings.select(key, F.explode(sides).alias("e")).select(key, "e.*").where("x1 <> x2 OR y1 <> y2")
 
 
-def _bands(low: Column, high: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / size), F.floor(high / size))).alias("band")
+#: Parts that a side of `covered`'s cells is cut into, points and pieces of a cell that one group has, pairs of points and boxes that a task is meant for, and pairs that are compared at once.
+FINE, CROWD, PAIRS, BLOCK = 2, 2048, 1 << 24, 1 << 17
+
+
+def _pieces(shapes: DataFrame, size: float) -> DataFrame:
+    """(key, cx, cy, inside, edges) of the cells that shapes (key, left, right, low, high, edges) touch or hold.
+
+    A cell that no edge touches is inside or dropped. Another one has the edges that decide a ray from its points
+    to the right, four numbers each: not those that lie left of it, nor those right of it that pass its whole
+    height, which count in `inside`.
+    """
+    slack = size * 1e-6  # more than the rounding of a point's cell, or of where an edge enters it
+    at, along = F.col("cy").cast("double"), F.col("cx").cast("double")
+    bottom, top, west, east = at * size - slack, (at + 1) * size + slack, along * size - slack, (along + 1) * size + slack
+    rows = shapes.select("key", "left", "right", "edges", F.explode(F.sequence("low", "high")).alias("cy"))
+
+    def within(e: Column) -> Column:
+        x_at = lambda y: F.when(e["y1"] == e["y2"], e["x1"]).otherwise(e["x1"] + (F.least(F.greatest(y, F.least(e["y1"], e["y2"])), F.greatest(e["y1"], e["y2"])) - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"]))
+        ends = [F.when(e["y1"] == e["y2"], e["x2"]).otherwise(x_at(bottom)), x_at(top)]
+        return F.struct(*(e[c] for c in ("x1", "y1", "x2", "y2")), (F.least(*ends) - slack).alias("from"), (F.greatest(*ends) + slack).alias("to"), ((F.least(e["y1"], e["y2"]) < bottom) & (F.greatest(e["y1"], e["y2"]) > top)).alias("whole"))
+
+    met = F.filter("edges", lambda e: (F.least(e["y1"], e["y2"]) <= top) & (F.greatest(e["y1"], e["y2"]) >= bottom))
+    rows = rows.select("key", "cy", "left", "right", F.transform(met, within).alias("edges")).select("key", "cy", "edges", F.explode(F.sequence("left", "right")).alias("cx"))
+    beyond = lambda e: e["whole"] & (e["from"] > east)
+    rows = rows.select("key", "cx", "cy", F.filter("edges", lambda e: (e["to"] >= west) & ~beyond(e)).alias("kept"), (F.size(F.filter("edges", beyond)) % 2 == 1).alias("odd"))
+    middle = (at + 0.5) * size
+    touched, crossed = F.exists("kept", lambda e: e["from"] <= east), F.size(F.filter("kept", lambda e: (e["y1"] > middle) != (e["y2"] > middle))) % 2 == 1
+    piece = F.when(touched, F.struct(F.col("odd").alias("inside"), F.flatten(F.transform("kept", lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"]))).alias("edges")))
+    piece = piece.when(F.col("odd") != crossed, F.struct(F.lit(True).alias("inside"), F.array().cast("array<double>").alias("edges")))
+    return rows.select("key", "cx", "cy", F.explode(F.array_compact(F.array(piece))).alias("p")).select("key", "cx", "cy", "p.*")
+
+
+def _hits(points: pa.Table, pieces: pa.Table) -> pa.Table:
+    """(id, key) of the points (id, x, y) of a cell that its pieces (key, inside, edges) cover."""
+    points, pieces = points.combine_chunks(), pieces.combine_chunks()
+    x, y, inside, lists = points["x"].to_numpy(), points["y"].to_numpy(), pieces["inside"].to_numpy(), pieces["edges"].combine_chunks()
+    edges, sizes = lists.flatten().to_numpy().reshape(-1, 4), lists.value_lengths().to_numpy() // 4
+    x1, y1, x2, y2 = edges.T[:, :, None]
+    low, high, up = np.minimum(y1, y2), np.maximum(y1, y2), np.where(y2 > y1, 1.0, -1.0)
+    dx, dy = (x2 - x1) * up, (y2 - y1) * up  # a turn is positive where the edge lies to the right
+    order, starts, found = np.argsort(-sizes), np.cumsum(sizes) - sizes, []
+    step = max(1, BLOCK // max(1, len(x)))
+    room = np.empty((2, step, len(x)))
+    for rows in (order[i : i + step] for i in range(0, len(order), step)):
+        hit, on = np.repeat(inside[rows][:, None], len(x), axis=1), None
+        for k in range(sizes[rows[0]]):
+            e = starts[rows[: np.count_nonzero(sizes[rows] > k)]] + k  # those that have as many come first
+            turn, other = room[:, : len(e)]
+            np.multiply(np.subtract(y, y1[e], out=turn), dx[e], out=turn)
+            np.multiply(np.subtract(x, x1[e], out=other), dy[e], out=other)
+            np.subtract(turn, other, out=turn)
+            # the ray to the right crosses an edge if that passes the height and lies to the right
+            hit[: len(e)] ^= (low[e] <= y) & (high[e] > y) & (turn > 0)
+            if not turn.all():
+                on = np.zeros_like(hit) if on is None else on
+                on[: len(e)] |= (turn == 0) & (x >= np.minimum(x1, x2)[e]) & (x <= np.maximum(x1, x2)[e]) & (low[e] <= y) & (high[e] >= y)
+        of, at = np.divmod(np.flatnonzero(hit if on is None else hit | on), len(x))
+        found.append(pa.table({"id": points["id"].take(pa.array(at)), "key": pieces["key"].take(pa.array(rows[of]))}))
+    return pa.concat_tables(found) if found else pa.table({"id": points["id"][:0], "key": pieces["key"][:0]})
 
 
 def covered(points: DataFrame, sides: DataFrame, size: float) -> DataFrame:
     """(id, key) of the points (id, x, y) that a polygon of `sides` (key, x1, y1, x2, y2) covers, its edges included.
 
-    A polygon is laid out on the cells of `size` that its box meets, each with the edges that pass the cell's band and
-    don't lie left of it: these are all that touch a point there, or that its ray to the right crosses. So a pair
-    is decided where point and cell meet, and neither pairs nor edges of pairs are shuffled.
+    A polygon is laid out on the cells that its box meets, which are a fraction of `size` wide. Cells inside it give
+    all their points; in cells that an edge touches a pair is decided where point and piece meet, by the few edges
+    that matter there. So neither pairs nor edges of pairs are shuffled. Pairs grow with the square of the density:
+    tasks go by their number, and the points and pieces of a crowded cell are dealt to several groups.
     """
-    sides = settle(sides)
-    boxes = sides.groupBy("key").agg(F.floor(F.min(F.least("x1", "x2")) / size).alias("first"), F.floor(F.max(F.greatest("x1", "x2")) / size).alias("last"))
-    banded = sides.select("*", _bands(F.least("y1", "y2"), F.greatest("y1", "y2"), size)).join(boxes, "key")
-    end = F.least("last", F.floor(F.greatest("x1", "x2") / size))
-    celled = banded.select("key", F.col("band").alias("cy"), F.explode(F.sequence("first", end)).alias("cx"), F.struct("x1", "y1", "x2", "y2").alias("e"))
-    laid = celled.groupBy("key", "cx", "cy").agg(F.collect_list("e").alias("edges"))
-    near = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).join(laid, ["cx", "cy"])
-    x, y = F.col("x"), F.col("y")
-    turn = lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    on = lambda e: (turn(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    # the ray to the right crosses an edge if that passes the height and lies to the right
-    crossed = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & ((turn(e) > 0) == (e["y2"] > e["y1"])) & (turn(e) != 0)
-    return near.where((F.size(F.filter("edges", crossed)) % 2 == 1) | F.exists("edges", on)).select("id", "key")
+    size /= FINE
+    cell = lambda v: F.floor(v / size)
+    box = (F.min(cell(F.least("x1", "x2"))).alias("left"), F.max(cell(F.greatest("x1", "x2"))).alias("right"), F.min(cell(F.least("y1", "y2"))).alias("low"), F.max(cell(F.greatest("y1", "y2"))).alias("high"))
+    shapes = settle(sides.groupBy("key").agg(*box, F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")))
+    placed = settle(points.select("id", "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")))
+    boxes = shapes.select("left", "right", F.explode(F.sequence("low", "high")).alias("cy")).select("cy", F.explode(F.sequence("left", "right")).alias("cx"))
+    count = lambda df, name: df.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias(name))
+    met = settle(count(placed, "n").join(count(boxes, "boxes"), ["cx", "cy"]).select("*", *(F.ceil(F.col(c) / CROWD).alias(g) for c, g in (("n", "parts"), ("boxes", "slices")))))
+    pairs, rows = met.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("boxes")), F.lit(0.0)), F.coalesce(F.sum("boxes"), F.lit(0))).first()
+    keys, tasks = ["cx", "cy", "part", "slice"], int(pairs // PAIRS) + tasks_for(rows)
+    dealt = lambda c, n: F.pmod(F.hash(c), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    laid = _pieces(shapes, size).join(met, ["cx", "cy"]).select("cx", "cy", "key", "inside", "edges", dealt("key", "slices").alias("slice"), every("parts").alias("part"))
+    near = placed.join(met, ["cx", "cy"]).select("cx", "cy", "id", "x", "y", dealt("id", "parts").alias("part"), every("slices").alias("slice"))
+    near, laid = (df.repartition(tasks, *keys).groupBy(*keys) for df in (near, laid))
+    kinds = {"id": points.schema["id"].dataType, "key": sides.schema["key"].dataType}
+    return near.cogroup(laid).applyInArrow(lambda p, q: _hits(p.select(["id", "x", "y"]), q), StructType([StructField(c, t) for c, t in kinds.items()]))
 
 
 def trapezoids(a: DataFrame, b: DataFrame) -> DataFrame:
