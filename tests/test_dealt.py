@@ -70,3 +70,40 @@ def test_trade_components_need_no_distinct_edges(spark):
         want |= dict.fromkeys(part, start)
         left -= part
     assert found == want
+
+
+def test_generalized_cost_has_every_term(spark):
+    """A plain loop over each customer's routes: load, lateness and battery carried along, and the attributes of the history."""
+    db = database(DATA / "sf0.001")
+    found = db.execute("""SELECT o_custkey, l_orderkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag = 'N' FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+      ORDER BY o_custkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), l_extendedprice""").fetchall()
+    solutions: dict = {}
+    for customer, order, node, packages, price, station in found:
+        solutions.setdefault(customer, {}).setdefault(order, []).append((node, packages, price, station))
+    history, of = {}, {}
+    for key, routes in solutions.items():
+        of[key] = [(r[i][0], k, r[i - 1][0] if i else -1, r[i + 1][0] if i + 1 < len(r) else -1) for k, r in enumerate(routes.values()) for i in range(len(r))]
+        for attribute in of[key]:
+            history[attribute] = history.get(attribute, 0) + 1
+    want = {}
+    for key, routes in solutions.items():
+        distance = load_pen = late = short = 0.0
+        feasible = True
+        for stops in routes.values():
+            t, used, load = 28800.0, 0.0, 0.0
+            for _, packages, price, station in stops:
+                t, used, distance = t + price / 100, used + 1.5 * packages, distance + price / 10
+                t, due = max(t, 28800 if station else 30000), 86400 if station else 31000 + 500 * packages
+                late, short, load = late + max(0, t - due), short + max(0, used - 100), load + (0 if station else 1000 * packages)
+                feasible &= t <= due + 1e-5 and used <= 100 + 1e-5
+                t, used = (t + used * 36, 0.0) if station else (t + 30 + 2 * packages, used)
+            load_pen += max(0, load - 100000)
+            feasible &= load <= 100000 and any(not s[3] for s in stops)
+        served = [s[0] for r in routes.values() for s in r if not s[3]]
+        frequency = sum(history[a] for a in of[key])
+        cost = distance + 0.01 * load_pen + 0.5 * late + 10 * short + 0.1 * distance * frequency * (len(of[key]) * len(routes)) ** 0.5 / (1e-10 + len(found))
+        want[key] = (len(routes), frequency, cost, short, distance if feasible and len(set(served)) == len(served) else 1e10)
+    got = {r.solution_id: (r.routes, r.frequency, r.cost, r.battery_pen, r.feasible_cost) for r in plans.QUERIES["generalized_cost"](spark, str(DATA / "sf0.001")).collect()}
+    assert set(got) == set(want) and any(w[3] > 0 for w in want.values())
+    for key, each in want.items():
+        assert got[key] == pytest.approx(each, rel=1e-9, abs=1e-3)
